@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_counts, packing, simple8b
+from . import decontam, edit_counts, packing, sharding, simhash, simple8b
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_output(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
+
+
 def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edit_counts(table(spark, sf_dir, "documents"))
 
@@ -22,9 +26,17 @@ def op6_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simple8b_tokens, op5_edit_aware_counts, op6_hierarchical_packing)}
+    return {f.__name__: f for f in (op1_simple8b_tokens, op2_decontamination, op5_edit_aware_counts, op6_hierarchical_packing, op7_minimax_shards, op8_simhash_anchors)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": decontam.ORACLE}
