@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -77,10 +76,12 @@ def running_offsets(counts: DataFrame, part: str, count: str, offset: str, withi
     return counts.withColumn(offset, F.coalesce(F.sum(count).over(w), F.lit(0).cast("long")))
 
 
-def text_key(doc_id: Column, text: Column) -> Column:
-    """Identity of a row for joins back: rows that agree in id and text are interchangeable."""
-    return F.struct(doc_id.alias("id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("md5"))
+def row_key(doc_id: Column, digest: Column) -> Column:
+    """One string per (id, digest of the text), for joins back to rows; null ids included."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), digest)
 
 
-def python_path_ready() -> None:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+def with_key(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with ``row_key`` of their id and text in column ``name``."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn(name, row_key(F.col("doc_id"), F.md5(text.cast("binary"))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, edit_counts, packing, sharding, simhash, simple8b
+from . import decontam, edit_counts, html_density, media, notices, packing, quality, sharding, simhash, simple8b
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
 
 
+def op3_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.documents_as_media(table(spark, sf_dir, "documents"))
+
+
+def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edit_counts(table(spark, sf_dir, "documents"))
 
@@ -31,11 +39,24 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("digest", "label")
+
+
+def op9_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simple8b_tokens, op2_decontamination, op5_edit_aware_counts, op6_hierarchical_packing, op7_minimax_shards, op8_simhash_anchors)}
+    own = (
+        op1_simple8b_tokens, op2_decontamination, op3_media_sequences, op4_text_density, op5_edit_aware_counts,
+        op6_hierarchical_packing, op7_minimax_shards, op8_simhash_anchors, op9_boosted_quality, op10_fuzzy_notices,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,7 @@ null; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -58,11 +59,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text"):
-                prints = [fingerprint(t) for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+                texts = some.column(1).to_pylist()
+                digests = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(digests), pa.array([fingerprint(t) for t in texts], pa.int64())], names=["doc_id", "digest", "fp"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    return slim.mapInArrow(run, "doc_id long, digest string, fp long")
 
 
 # --- anchors -------------------------------------------------------------------------------------------------------
@@ -199,12 +201,19 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: its fingerprint and the smallest doc_id of its component."""
+    """One row per document: its fingerprint and the smallest doc_id of its component; also a digest of the text and
+    the component's least fingerprint (``label``)."""
     prints = written(fingerprints(docs), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     labels = components(written(links(nodes), "pairs"))
     named = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_print = named.join(least, "label").select(F.col("fp").alias("node_fp"), "component_id")
+    of_print = named.join(least, "label").select(F.col("fp").alias("node_fp"), "component_id", "label")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return prints.join(of_print, F.col("fp") == F.col("node_fp")).select("doc_id", hexed, "component_id")
+    return prints.join(of_print, F.col("fp") == F.col("node_fp")).select("doc_id", hexed, "component_id", "digest", "label")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest) of the document of each component that stays: the smallest id, nulls last, then the digest."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    return near_duplicates(docs).groupBy("label").agg(F.min(order).alias("kept")).select("kept.doc_id", "kept.digest")
