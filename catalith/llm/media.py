@@ -146,7 +146,8 @@ def media_table(payloads: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """What each stored form holds when read back; one row per digest."""
+    """What each stored form holds when read back; one row per digest. Written out, so that a join with references deals
+    both sides anew and the references of a hot digest can be split over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +161,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 names = [f.split()[0] for f in FEATURES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
 
-    return media.mapInArrow(run, FEATURES).dropDuplicates(["digest"])
+    return written(media.mapInArrow(run, FEATURES).dropDuplicates(["digest"]), "media-features")
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ judged separately and alike; overlapping places all count; further columns are i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -83,18 +83,28 @@ def fuzzy(text: str) -> Iterator[tuple[str, int, int, int, float]]:
                 at = done = max(m.end(), at + 1)
 
 
+def word_numbers(words: str, places: Iterable[int]) -> list[int]:
+    """Number of the word at each place; the text is walked once, however many places there are."""
+    places = list(places)
+    number, at, of = 0, 0, {}
+    for p in sorted(set(places)):
+        number += words.count(" ", at, p)
+        of[p], at = number, p
+    return [of[p] for p in places]
+
+
 def scan_text(text: str | None) -> tuple:
     words = word_text(text)
     n_words = words.count(" ") + 1 if words else 0
     padded = f" {words} "
     base: dict[str, list[int]] = {}
     for phrase, label in BASE.items():
-        if places := [padded.count(" ", 0, at) for at in _finds(padded, f" {phrase} ")]:
+        if places := word_numbers(padded, _finds(padded, f" {phrase} ")):
             base[label] = places
-    spans, best = [], 1.0 if base else 0.0
-    for label, start, stop, edits, likeness in fuzzy(words):
-        spans.append({"label": label, "first_word": words.count(" ", 0, start), "last_word": words.count(" ", 0, max(start, stop - 1)), "edits": edits})
-        best = max(best, likeness)
+    found = list(fuzzy(words))
+    firsts, lasts = word_numbers(words, [f[1] for f in found]), word_numbers(words, [max(f[1], f[2] - 1) for f in found])
+    spans = [{"label": f[0], "first_word": a, "last_word": b, "edits": f[3]} for f, a, b in zip(found, firsts, lasts, strict=True)]
+    best = max([1.0 if base else 0.0, *(f[4] for f in found)])
     starts = [p for places in base.values() for p in places]
     labels = sorted({*base, *(s["label"] for s in spans)})
     return n_words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(labels), best, spans
