@@ -1,0 +1,170 @@
+"""Tokens, Simple-8b output, packing and edit-aware counts against the library itself."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from catalith.llm import edit_counts, packing, simple8b
+from catalith.llm.tokens import encoder, tokenizer_path
+
+from .samples import clashing, documents, odd_rows
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def ids_of(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+ALPHABET = st.text(st.one_of(st.sampled_from(" \t\n\x1c\x85 .,!?'sSİıßéÉ́<|>09aZ"), st.characters(exclude_categories=["Cs"])), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(ALPHABET, max_size=5))
+def test_encoder_equals_library(library, texts):
+    texts = [*texts, "Ends. with, marks!? Don't STOP É.", "<|endoftext|>a<|startoftext|>"]
+    ids, counts = encoder(tokenizer_path()).encode(texts)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in expected]
+    assert ids.tolist() == [i for x in expected for i in x]
+
+
+@settings(max_examples=200, deadline=None)
+@given(values=st.lists(st.one_of(st.integers(0, 1), st.integers(0, 70_000), st.integers(0, (1 << 64) - 1)), max_size=700), data=st.data())
+def test_simple8b_round_trip(values, data):
+    words, offsets, escapes = simple8b.pack(np.array(values, np.uint64))
+    assert simple8b.unpack(words, len(values), escapes).tolist() == values
+    lo = data.draw(st.integers(0, len(values)))
+    hi = data.draw(st.integers(lo, len(values)))
+    assert simple8b.unpack_range(words, offsets, len(values), escapes, lo, hi).tolist() == values[lo:hi]
+
+
+def test_simple8b_packs_small_ids_densely():
+    words, _, _ = simple8b.pack(np.zeros(2400, np.uint64))
+    assert len(words) == 10
+    assert len(simple8b.pack(np.full(600, 63, np.uint64))[0]) == 60
+
+
+def brute_tokens(library, rows):
+    out, start = [], 0
+    for doc, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+        ids = ids_of(library, text)
+        out.append((doc, start, len(ids), crc(ids)))
+        start += len(ids)
+    return out
+
+
+def test_token_output(spark, library):
+    got = simple8b.token_output(documents(spark)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_tokens(library, odd_rows())))
+
+
+def test_token_output_of_clashing_and_empty_tables(spark):
+    assert simple8b.token_output(clashing(spark)).count() == 2
+    assert simple8b.token_output(documents(spark, [])).count() == 0
+
+
+def check_packed(rows, got, library):
+    """Every id in exactly one piece, offsets gapless, at most 4096 tokens; returns tokens and padded size."""
+    expected = Counter()
+    for doc, text, *_ in rows:
+        expected[(doc, tuple(ids_of(library, text)))] += 1
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces[(r.doc_id, r.doc_tokens)].append((r.start, r.length, r.ids_crc32))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    wanted = Counter()
+    for (doc, ids), n in expected.items():
+        wanted[(doc, len(ids))] += n * len(ids)
+    assert {k: sum(p[1] for p in v) for k, v in pieces.items()} == wanted
+    texts = {doc: ids for (doc, ids), n in expected.items() if n == 1}
+    for (doc, tokens), ps in pieces.items():
+        if doc in texts and len(texts[doc]) == tokens and sum(1 for d, _ in expected if d == doc) == 1:
+            ps.sort()
+            assert ps[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(ps, ps[1:], strict=False))
+            assert all(crc(texts[doc][s : s + n]) == c for s, n, c in ps)
+    padded = tokens = 0
+    assert sorted(sequences) == list(range(len(sequences)))
+    for parts in sequences.values():
+        parts.sort()
+        size = sum(n for _, n in parts)
+        assert parts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False)) and size <= 4096
+        tokens += size
+        padded += size if size & (size - 1) == 0 else 4096
+    return tokens, padded
+
+
+def test_packing(spark, library):
+    rows = odd_rows()
+    got = packing.pack(documents(spark).repartition(3)).collect()
+    tokens, padded = check_packed(rows, got, library)
+    assert padded - tokens <= 3 * 4096
+    assert packing.pack(documents(spark, [])).count() == 0
+    assert packing.pack(clashing(spark)).count() == 2
+
+
+def test_packing_has_little_padding(spark, library):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 900))), None, None, None) for i in range(600)]
+    tokens, padded = check_packed(rows, packing.pack(documents(spark, rows).coalesce(1)).collect(), library)
+    assert padded < 1.02 * tokens
+
+
+def test_step_groups_are_balanced():
+    sizes = [4096, 256, 512, 1024, 2048, 4096] * 20
+    loads = Counter()
+    for size, g in zip(sizes, packing.step_groups(sizes, 16 * 4096), strict=True):
+        loads[g] += size
+    assert max(loads.values()) - min(loads.values()) <= 4096
+
+
+@settings(max_examples=150, deadline=None)
+@given(seed=st.integers(0, 10_000))
+def test_edits_equal_a_full_recount(library, seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice("ab .,\n\té9'<|>") for _ in range(rng.randint(0, 900)))
+    count = lambda texts: [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    pieces = edit_counts.leaves(text, 40)
+    assert "".join(pieces) == text
+    tree = edit_counts.Tree([len(x) for x in pieces], count(pieces))
+    cuts = sorted(rng.randint(0, len(text)) for _ in range(2 * rng.randint(0, 4)))
+    edits = [(a, b, rng.choice(["", "x", " y ", "'s", ".."])) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+    after, again = edit_counts.apply_edits(text, tree, edits, count)
+    wanted = text
+    for a, b, r in sorted(edits, reverse=True):
+        wanted = wanted[:a] + r + wanted[b:]
+    if sorted(edits) == edits:  # several edits at one place have no defined order between them
+        assert after == wanted
+        assert tree.tokens == count([wanted])[0]
+
+
+def test_edit_counts_query(spark, library):
+    rows = [*odd_rows(), (900, "mail me at a.b@example.com or 10.0.0.1 " + "word " * 3000 + "c@d.org", None, None, None)]
+    n = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    expected = Counter((d, n(t), len(edit_counts.private_spans(t or "")), n(edit_counts.PRIVATE.sub(edit_counts.PLACEHOLDER, t or ""))) for d, t, *_ in rows)
+    got = edit_counts.edit_counts(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_after) for r in got) == expected
+    edited = next(r for r in got if r.doc_id == 900)
+    assert 0 < edited.chars_encoded_again < edited.chars_after / 4
+    assert edit_counts.edit_counts(documents(spark, [])).count() == 0
+    assert edit_counts.edit_counts(clashing(spark)).count() == 2
+
+
+def test_overlapping_edits_are_an_error():
+    tree = edit_counts.Tree([3], [1])
+    with pytest.raises(ValueError):
+        edit_counts.apply_edits("abc", tree, [(0, 2, ""), (1, 3, "")], lambda t: [0] * len(t))
