@@ -114,18 +114,33 @@ def split_dimension_weight(c: Column) -> Column:
     )
 
 
-# Substrings of detail labels, in order of precedence, with the fields they fill.
+# What a detail label must contain, in order of precedence, and the field it fills.
 DETAIL_LABELS = (
-    ("brand", "brand"), ("manufacturer", "manufacturer"), ("item model number", "model_number"), ("part number", "part_number"),
-    ("country of origin", "country_of_origin"), ("best sellers rank", "best_sellers_rank"), ("date first available", "first_available_date"),
-    ("package dimensions", "package_dimensions"), ("product dimensions", "item_dimensions"), ("item dimensions", "item_dimensions"),
-    ("package weight", "package_weight"), ("item weight", "item_weight"),
+    (("model number",), "model_number"), (("part number",), "part_number"), (("country of origin",), "country_of_origin"),
+    (("best sellers rank",), "best_sellers_rank"), (("manufacturer",), "manufacturer"), (("date first available",), "first_available_date"),
+    (("upc",), "upc"), (("weight", "item"), "item_weight"), (("weight", "package"), "package_weight"),
+    (("dimensions", "package"), "package_dimensions"), (("dimensions",), "item_dimensions"),
 )
 
 
 def detail_field(label: Column) -> Column:
+    """Field that a labelled detail fills, or NULL; a brand label must stand alone."""
     low = F.lower(label)
-    return reduce(lambda e, p: e.when(low.contains(p[0]), p[1]), DETAIL_LABELS[1:], F.when(low.contains(DETAIL_LABELS[0][0]), DETAIL_LABELS[0][1]))
+    out = F.when(strip(low) == "brand", "brand")
+    for parts, name in DETAIL_LABELS:
+        out = out.when(reduce(lambda a, b: a & b, [low.contains(p) for p in parts]), name)
+    return out
+
+
+def detail_value(label: Column, value: Column) -> Column:
+    """Dimensions and package weights stand in one text, parted by a semicolon."""
+    name = detail_field(label)
+    parts = split_dimension_weight(value)
+    return (
+        F.when(name.isin("package_dimensions", "item_dimensions"), parts["dimensions"])
+        .when(name == "package_weight", F.coalesce(F.nullif(parts["weight"], F.lit("")), F.lit("N/A")))
+        .otherwise(value)
+    )
 
 
 def clean_brand(c: Column) -> Column:
@@ -138,15 +153,14 @@ def zip5(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(\d{5})", 1), F.lit(""))
 
 
-def shipping_cost(prime: Column, text: Column, price: Column, attribute: Column) -> Column:
-    """FREE for prime; orders-over-N offers hold if the price reaches N; else the stated cost; else FREE."""
-    over = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)on orders over \$([\d,.]+)", 1)
-    least = parse_price(F.nullif(over, F.lit("")))
+def shipping_cost(prime: Column, text: Column, price: Column, stated: Column) -> Column:
+    """FREE for prime; where delivery is free on orders over N, FREE if the price reaches N, else N/A; else what is
+    stated; else FREE."""
+    over = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?is)free delivery.*?on orders over \$(\d+(?:\.\d+)?)", 1).try_cast("double")
     return (
         F.when(prime, "FREE")
-        .when(least.isNotNull() & (parse_price(price) >= least), "FREE")
-        .when(least.isNotNull(), "N/A")
-        .otherwise(F.coalesce(F.nullif(strip(attribute), F.lit("")), F.lit("FREE")))
+        .when(over.isNotNull(), F.when(parse_price(price) >= over, "FREE").otherwise("N/A"))
+        .otherwise(F.coalesce(F.nullif(strip(stated), F.lit("")), F.lit("FREE")))
     )
 
 
@@ -158,22 +172,24 @@ def fulfillment(ships_from: Column) -> Column:
 def stock_count(status: Column, options: Column) -> Column:
     """Units in stock: a stated remainder, 0 when unavailable, the largest quantity option, else 999 (unknown)."""
     low = F.lower(F.coalesce(status, F.lit("")))
-    left = F.regexp_extract(low, r"only (\d+)", 1).try_cast("int")
-    most = F.array_max(F.transform(options, lambda o: parse_int(o))).cast("int")
+    left = F.coalesce(F.regexp_extract(low, r"(\d+)", 1).try_cast("int"), F.lit(999))
+    most = F.array_max(F.transform(options, lambda o: F.when(strip(o).rlike(r"^\d+$"), strip(o)).try_cast("int")))
     gone = low.contains("out of stock") | low.contains("unavailable")
-    return F.coalesce(left, F.when(gone, F.lit(0)), most, F.lit(999))
+    return F.when(low.contains("only"), left).when(gone, 0).otherwise(F.coalesce(most, F.lit(999)))
 
 
+#: Phrases that name a day of delivery.
+DELIVERY_PHRASE = r"(?i)(Tomorrow|Today|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d+)"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
 def delivery_days(phrase: Column, as_of: Column) -> Column:
     """Days from ``as_of`` to a delivery phrase (today, tomorrow, overnight, month and day); NULL if none is found."""
     low = F.lower(phrase)
-    month = F.regexp_extract(low, r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2}\b", 1)
-    day = F.regexp_extract(low, r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* (\d{1,2})\b", 1).try_cast("int")
+    month = F.regexp_extract(low, r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}\b", 1)
+    day = F.regexp_extract(low, r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})\b", 1).try_cast("int")
     number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month).cast("int")
-    this = F.try_to_date(F.concat_ws("-", F.year(as_of), number, day), "y-M-d") if hasattr(F, "try_to_date") else F.try_make_date(F.year(as_of), number, day)
+    this = F.try_to_date(F.concat_ws("-", F.year(as_of), number, day), "y-M-d")
     days = F.datediff(this, as_of)
     ahead = F.when(days < -180, F.datediff(F.add_months(this, 12), as_of)).otherwise(days)
     return F.when(low.contains("today") | low.contains("overnight"), 0).when(low.contains("tomorrow"), 1).otherwise(F.when(number > 0, ahead))
