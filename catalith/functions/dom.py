@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -80,6 +81,22 @@ def parse(html: str) -> Node:
     return b.root
 
 
+class Index:
+    """Nodes of a page by what a selector's last step may ask for, each list in page order."""
+
+    def __init__(self, root: Node):
+        self.root, self.nodes = root, list(root.nodes())
+        self.of: dict[str, list[Node]] = {}
+        for n in self.nodes:
+            for key in {n.tag, *(f".{c}" for c in n.attrs.get("class", "").split()), *(f"[{a}" for a in n.attrs), f"#{n.attrs.get('id', '')}"}:
+                self.of.setdefault(key, []).append(n)
+
+    def candidates(self, tag: str, parts: list[tuple[str, str, str, str]]) -> list[Node]:
+        for id_, cls, attr, _ in parts:
+            return self.of.get(f"#{id_}" if id_ else f".{cls}" if cls else f"[{attr}", [])
+        return self.nodes if tag in ("", "*") else self.of.get(tag, [])
+
+
 def _fits(node: Node, tag: str, parts: list[tuple[str, str, str, str]]) -> bool:
     if tag not in ("", "*") and node.tag != tag:
         return False
@@ -91,6 +108,7 @@ def _fits(node: Node, tag: str, parts: list[tuple[str, str, str, str]]) -> bool:
     return True
 
 
+@lru_cache(maxsize=1024)
 def _steps(selector: str) -> list[tuple[bool, str, list]]:
     """(direct child of the step before?, tag, conditions) of each step."""
     return [(m[1] is not None and ">" in m[1], m[2] or "", PART.findall(m[3])) for m in STEP.finditer(selector.strip()) if m[2] or m[3]]
@@ -109,9 +127,10 @@ def _matches(node: Node | None, steps: list, k: int) -> bool:
     return False
 
 
-def select(root: Node, selector: str) -> list[Node]:
+def select(within: Node | Index, selector: str) -> list[Node]:
     steps = _steps(selector)
-    return [n for n in root.nodes() if _fits(n, *steps[-1][1:]) and _matches(n.parent, steps, len(steps) - 2)]
+    nodes = within.candidates(*steps[-1][1:]) if isinstance(within, Index) else within.nodes()
+    return [n for n in nodes if _fits(n, *steps[-1][1:]) and _matches(n.parent, steps, len(steps) - 2)]
 
 
 @dataclass(frozen=True)
@@ -123,7 +142,7 @@ class Probe:
     every: bool = False
     between: str = ""
 
-    def run(self, root: Node) -> list[str]:
+    def run(self, root: Node | Index) -> list[str]:
         for s in self.selectors:
             texts = [(n.attrs.get(self.attr, "") if self.attr else n.text(self.between)).strip() for n in select(root, s)]
             texts = [t for t in texts if t]
@@ -132,7 +151,7 @@ class Probe:
         return []
 
 
-def pairs(root: Node) -> list[dict[str, str]]:
+def pairs(root: Node | Index) -> list[dict[str, str]]:
     """Label and value of every table row with a head cell, then of list items with a bold label."""
     out = []
     for row in select(root, "tr"):
@@ -154,7 +173,7 @@ def probed(html: Column, probes: dict[str, Probe]) -> Column:
     def look(pages: pd.Series) -> pd.DataFrame:
         found, details = [], []
         for page in pages:
-            root = parse(page or "")
+            root = Index(parse(page or ""))
             found.append({name: p.run(root) for name, p in probes.items()})
             details.append(pairs(root))
         return pd.DataFrame({"found": found, "details": details})

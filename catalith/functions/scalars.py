@@ -72,7 +72,7 @@ def normal_path(c: Column) -> Column:
 
 def money(value: Column) -> Column:
     """$ and two decimals; cents are made exact first, so that no tie is left to binary fractions."""
-    return F.format_string("$%s", F.round(value, 2).cast("decimal(18,2)").cast("string"))
+    return F.concat(F.lit("$"), F.round(value, 2).cast("decimal(18,2)").cast("string"))
 
 
 def total_price(buybox: Column, shipping: Column) -> Column:

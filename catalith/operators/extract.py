@@ -131,7 +131,7 @@ def json_fields(product: Column) -> dict[str, Column]:
 
 def script_fields(html: Column) -> dict[str, Column]:
     """What scripts and meta tags repeat of the record."""
-    dollars = lambda c: F.coalesce(F.when(c.contains("$"), c), F.concat(F.lit("$"), F.format_string("%s", c.try_cast("decimal(18,2)").cast("string"))))
+    dollars = lambda c: F.coalesce(F.when(c.contains("$"), c), F.concat(F.lit("$"), c.try_cast("decimal(18,2)").cast("string")))
     keyword = X.strip(F.get(F.split(_match(html, r'(?i)<meta\s+name="keywords"\s+content="([^"]+)"'), ","), F.lit(0)))
     block = X.plain_text(_match(html, r'(?s)<div\s+id="productDescription_feature_div"[^>]*>(.*?)</div>'))
     return {

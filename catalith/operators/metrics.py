@@ -167,3 +167,27 @@ def speeds(samples: DataFrame, key: str, at: str, done: str) -> DataFrame:
     kept = samples.withColumn("__apart", apart).where(F.col("__apart").isNull() | (F.col("__apart") >= 1))
     gap = F.col(at).cast("double") - F.lag(F.col(at).cast("double")).over(order)
     return kept.withColumn("speed", (F.col(done) - F.lag(done).over(order)) / gap * 60).drop("__apart")
+
+
+def smoothed_speed(samples: DataFrame, key: str, at: str, done: str, alpha: float = SHORT) -> DataFrame:
+    """Exponentially smoothed items per minute of each counter, from its successive samples."""
+    rated = speeds(samples, key, at, done).where(F.col("speed").isNotNull())
+    return ewma(rated, key, [at], "speed", alpha, "speed")
+
+
+def coordinator_totals(quota_rows: DataFrame) -> DataFrame:
+    """Sums of the quotas given out and the number of workers."""
+    return quota_rows.agg(F.sum("quota_concurrency").alias("concurrency"), F.sum("quota_qps").alias("qps"), F.count("*").alias("workers"))
+
+
+def fleet_totals(workers: DataFrame) -> DataFrame:
+    """Requests in flight over the online workers, and how many these are."""
+    return workers.agg(F.coalesce(F.sum(F.when(F.col("online"), F.col("inflight"))), F.lit(0)).alias("inflight"), F.count_if("online").alias("online"))
+
+
+def duplicate_work(local: DataFrame, served: DataFrame) -> DataFrame:
+    """Per worker: successes it counted beyond the results that were accepted."""
+    here = local.groupBy("worker_id").agg(F.count_if("success").alias("succeeded"))
+    there = served.groupBy("worker_id").agg(F.count_if(F.col("counter") == "accepted").alias("accepted"), F.count_if(F.col("counter") == "stale").alias("stale"))
+    joined = here.join(there, "worker_id", "left").fillna(0, ["accepted", "stale"])
+    return joined.withColumn("duplicates", F.col("succeeded") - F.col("accepted"))

@@ -200,3 +200,38 @@ def screenshot_update(shots: DataFrame, updates: DataFrame) -> DataFrame:
         "error_detail": F.coalesce("u.error_detail", "error_detail"),
         "retry_count": F.col("retry_count") + F.coalesce("f", F.lit(0)),
     }).drop("u", "f")
+
+
+def paths_after(entities: DataFrame, updates: DataFrame) -> DataFrame:
+    """A finished screenshot's path goes to its entity; other updates leave it."""
+    done = updates.where((F.col("status") == "done") & X.normal_path(F.col("file_path")).isNotNull())
+    last = done.groupBy("asin").agg(F.max_by("file_path", "seq").alias("__path"))
+    return entities.join(last, "asin", "left").withColumn("screenshot_path", F.coalesce("__path", "screenshot_path")).drop("__path")
+
+
+def pending_screenshots(shots: DataFrame, count: int) -> DataFrame:
+    return shots.where("status = 'pending'").orderBy("id").limit(count)
+
+
+# --- schedules -----------------------------------------------------------------------------------------------------
+
+
+def run_due(due: DataFrame, members: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """New automatic batches of due schedules, and their wanted tasks (schedule_id, asin in ``members``; a schedule
+    without members of its own takes the whole catalog, under a NULL schedule_id)."""
+    batches = due.select(F.col("id").alias("schedule_id"), X.batch_name(now, F.col("name")).alias("name"), F.lit(True).alias("is_auto"), "needs_screenshot", now.alias("created_at"))
+    own = members.where(F.col("schedule_id").isNotNull())
+    listed = batches.join(own, "schedule_id").select("name", "asin")
+    whole = batches.join(own.select("schedule_id").distinct(), "schedule_id", "left_anti").select("name")
+    catalog = members.where(F.col("schedule_id").isNull()).select("asin")
+    return batches, listed.unionByName(catalog.join(F.broadcast(whole)))  # schedules are few: one row each
+
+
+def after_run(schedules: DataFrame, due: DataFrame, now: Column) -> DataFrame:
+    ran = due.select("id", F.lit(True).alias("__ran"))
+    return schedules.join(ran, "id", "left").withColumn("last_run_date", F.when(F.col("__ran"), F.date_format(now, "yyyy-MM-dd")).otherwise(F.col("last_run_date"))).drop("__ran")
+
+
+def updated_settings(settings: dict, changes: dict, known: set[str]) -> dict:
+    """Known keys laid over the settings under the next version."""
+    return settings | {k: v for k, v in changes.items() if k in known} | {"version": settings.get("version", 0) + 1}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions import quality
 from catalith.functions import scalars as X
-from catalith.operators import changes, metrics, results, tasks
+from catalith.operators import changes, extract, metrics, results, tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -483,6 +483,18 @@ def page_quality_class(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", quality.response_class(status, F.col("html")).alias("class"))
 
 
+#: Articles read as product pages: their heading is put where a title may stand.
+@query(r"""
+SELECT page_id::VARCHAR AS asin, coalesce(nullif(trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')), ''), 'N/A') AS title,
+'N/A' AS brand, 'N/A' AS current_price, 'N/A' AS stock_status, '' AS bullet_points FROM pages
+""")
+def product_records(spark, sf_dir):
+    html = F.replace(F.replace("html", F.lit("<h1>"), F.lit("<h1><span>")), F.lit("</h1>"), F.lit("</span></h1>"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("asin"), html.alias("html"))
+    records = extract.products(pages, F.to_date(F.lit("2024-01-01")))
+    return records.select("asin", "title", "brand", "current_price", "stock_status", "bullet_points")
+
+
 @query(r"""
 SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 2 AND NOT contains(lower(x), 'license')), chr(10)) AS bullets FROM documents
 """)

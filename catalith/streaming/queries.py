@@ -1,4 +1,59 @@
 """Registered streaming queries: each drains a file stream once and returns what its sink holds."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import jobs
+
+
+def sliding_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = jobs.file_stream(spark, sf_dir, "events").select(
+        F.col("event_type").alias("worker_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 10).alias("success"), F.get_json_object("props", "$.k").cast("long").alias("resp_bytes")
+    )
+    rows = spark.read.parquet(jobs.drained(jobs.sliding_metrics(events, ["worker_id"], "1 day", "12 hours"), "complete"))
+    return rows.select("worker_id", F.unix_seconds("window.start").alias("start_s"), "total", F.round("success_rate", 6).alias("success_rate"), "bytes")
+
+
+def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sightings = jobs.file_stream(spark, sf_dir, "events", files=1_000_000).select(
+        F.col("user_id").alias("asin"),
+        F.col("event_id").alias("seq"),
+        (F.col("event_type") == "purchase").alias("is_auto"),
+        F.when(F.col("event_type") != "click", F.floor(F.col("value") / 20)).cast("double").alias("price"),
+        F.floor(F.get_json_object("props", "$.k").cast("long") / 30).cast("double").alias("stock"),
+    )
+    return spark.read.parquet(jobs.drained(jobs.price_changes(sightings)))
+
+
+def stream_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = jobs.file_stream(spark, sf_dir, "events").select(F.col("user_id").alias("worker_id"), F.col("event_id").alias("version"), F.col("event_type").alias("setting"))
+    at = jobs.shared_folder(spark)
+    jobs.drained(settings, into=jobs.upsert_into(at, "worker_id", "version"))
+    return jobs.last_batch(at, spark).select("worker_id", "setting", "version")
+
+
+def stream_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = jobs.file_stream(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    accepted = spark.read.parquet(jobs.drained(jobs.accepted_once(results, ["user_id", "event_type"], lateness="400 days")))
+    return accepted.groupBy("event_type").agg(F.count("*").alias("accepted"))
+
+
+QUERIES = {f.__name__: f for f in (sliding_stream_metrics, stream_price_changes, stream_settings, stream_accepted)}
+SQL = {
+    "stream_price_changes": """
+WITH b AS (SELECT user_id AS asin, event_id AS seq, event_type = 'purchase' AS is_auto, CASE WHEN event_type <> 'click' THEN floor(value / 20) END AS price,
+floor(json_extract_string(props, '$.k')::BIGINT / 30) AS stock, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+w AS (SELECT *, last_value(CASE WHEN rn = 1 OR is_auto THEN struct_pack(price := price, stock := stock) END IGNORE NULLS) OVER (PARTITION BY asin ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM b)
+SELECT asin, seq, concat_ws(', ', CASE WHEN price > base.price THEN 'price:up' WHEN price < base.price THEN 'price:down' END,
+CASE WHEN stock > base.stock THEN 'stock_qty:up' WHEN stock < base.stock THEN 'stock_qty:down' END) AS change_detail FROM w WHERE rn > 1 AND base.price IS NOT NULL AND change_detail <> ''
+""",
+    "sliding_stream_metrics": """
+WITH e AS (SELECT event_type AS worker_id, epoch(ts)::BIGINT AS t, value > 10 AS success, json_extract_string(props, '$.k')::BIGINT AS b FROM events),
+w AS (SELECT *, unnest([t - t % 43200, t - t % 43200 - 43200]) AS start_s FROM (SELECT worker_id, floor(t)::BIGINT AS t, success, b FROM e))
+SELECT worker_id, start_s, count(*) AS total, round(avg(success::INT), 6) AS success_rate, sum(b) AS bytes FROM w GROUP BY 1, 2
+""",
+    "stream_settings": "SELECT user_id AS worker_id, arg_max(event_type, event_id) AS setting, max(event_id) AS version FROM events GROUP BY 1",
+    "stream_accepted": "SELECT event_type, count(DISTINCT user_id) AS accepted FROM events GROUP BY 1",
+}

@@ -1,0 +1,84 @@
+"""Every registered query against its DuckDB equivalent, the entry, streaming state over micro-batches, and plans."""
+
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from catalith.operators import results
+from catalith.plans import queries as plans
+from catalith.streaming import jobs
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    con = duckdb.connect()
+    for f in os.listdir(sf_dir):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{sf_dir}/{f}')")
+    return con
+
+
+def canonical(rows, columns):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    show = lambda v: repr(round(v, 9)) if isinstance(v, float) else str(v)
+    return sorted(tuple(show(r[i]) for i in order) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
+def test_equals_duckdb(spark, sf_dir, con, name):
+    df = plans.queries()[name](spark, sf_dir)
+    cursor = con.execute(plans.oracle_sql()[name])
+    columns = [d[0] for d in cursor.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(cursor.fetchall(), columns)
+
+
+def test_every_query_has_an_oracle_or_a_reason():
+    assert set(plans.queries()) == set(plans.oracle_sql())
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_state_over_micro_batches(spark, tmp_path):
+    """A baseline set in one micro-batch holds in the next."""
+    schema = "asin long, seq long, is_auto boolean, price double, stock double"
+    rows = [[(1, 1, False, 10.0, 5.0), (2, 1, False, None, 1.0)], [(1, 2, False, 12.0, 5.0), (2, 2, False, 3.0, 1.0)], [(1, 3, True, 9.0, 4.0), (1, 4, False, 9.0, 6.0), (2, 3, True, 3.0, 1.0), (2, 4, False, 4.0, 1.0)]]
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        os.utime(f"{tmp_path}/in/{k}", (k, k))
+        for f in os.listdir(f"{tmp_path}/in/{k}"):
+            os.utime(f"{tmp_path}/in/{k}/{f}", (1_600_000_000 + k, 1_600_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = spark.read.parquet(jobs.drained(jobs.price_changes(stream))).collect()
+    assert {(r.asin, r.seq): r.change_detail for r in got} == {(1, 2): "price:up", (1, 3): "price:down, stock_qty:down", (1, 4): "stock_qty:up", (2, 4): "price:up"}
+
+
+def test_silent_workers(spark, tmp_path):
+    beats = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:00:00"), ("z", "2024-01-01 01:00:00")]
+    spark.createDataFrame(beats, "worker_id string, t string").select("worker_id", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("worker_id string, ts timestamp").parquet(f"{tmp_path}/in")
+    got = {r.worker_id: r.beats for r in spark.read.parquet(jobs.drained(jobs.silent_workers(stream))).collect()}
+    assert got == {"a": 2, "b": 1}
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir):
+    q = results.ResultQuery(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("asin"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand")))
+    text = plan(q.page(cursor=100))
+    assert "LessThan(p_partkey,100)" in text and "p_type" not in text and "TakeOrderedAndProject" in text
+
+
+def test_counts_are_combined_before_the_shuffle(spark, sf_dir):
+    text = plan(plans.queries()["batch_status_counts"](spark, sf_dir))
+    assert "partial_count" in text and "CartesianProduct" not in text
+
+
+def test_change_detection_shuffles_once(spark, sf_dir):
+    assert plan(plans.changes.detect_changes(plans.observations(spark, sf_dir))).count("Exchange hashpartitioning") == 1
