@@ -28,18 +28,25 @@ def detect_changes(observations: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("asin").orderBy("seq")
     earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
     first = F.row_number().over(by_key) == 1
-    seen = observations.withColumns({"tb_hash": X.title_bullets_hash(), "first_seen": first})
-    snapshot = F.struct("current_price", "buybox_price", "stock_count", "stock_status", "tb_hash")
+    # Dealt by key first: the window needs it anyway, and so the parsed columns never travel. Texts are parsed once per
+    # sighting, below the window; above it only numbers and codes are compared.
+    observations = observations.repartition("asin")
+    parsed = {
+        "tb_hash": X.title_bullets_hash(), "price_n": X.parse_price(F.col("current_price")), "buybox_n": X.parse_price(F.col("buybox_price")),
+        "stock_n": X.parse_int(F.col("stock_count")), "status_n": X.normal_status(F.col("stock_status")),
+    }
+    seen = observations.withColumns({**parsed, "first_seen": first})
+    snapshot = F.struct("current_price", "buybox_price", "stock_count", "stock_status", *parsed)
     seen = seen.withColumn("sets_baseline", F.col("first_seen") | F.coalesce("is_auto", F.lit(False)))
     seen = seen.withColumns({
         "base": F.last(F.when(F.col("sets_baseline"), snapshot), ignorenulls=True).over(earlier),
         "last_title": F.last("title", ignorenulls=True).over(earlier),
     })
     parts = {
-        "price": X.compare_price(F.col("base.current_price"), F.col("current_price")),
-        "buybox": X.compare_price(F.col("base.buybox_price"), F.col("buybox_price")),
-        "stock_qty": X.compare_quantity(F.col("base.stock_count"), F.col("stock_count")),
-        "stock_status": X.compare_status(F.col("base.stock_status"), F.col("stock_status")),
+        "price": X.compare(F.col("base.price_n"), F.col("price_n")),
+        "buybox": X.compare(F.col("base.buybox_n"), F.col("buybox_n")),
+        "stock_qty": X.compare(F.col("base.stock_n"), F.col("stock_n")),
+        "stock_status": F.when(F.col("base.status_n") != F.col("status_n"), "changed"),
     }
     fields = {"price": "current_price", "buybox": "buybox_price", "stock": "stock_count", "status": "stock_status"}
     known = ~F.col("first_seen") & F.col("base.current_price").isNotNull()

@@ -254,7 +254,7 @@ def offers(pages: DataFrame) -> DataFrame:
         F.coalesce(day, F.left(X.strip(F.regexp_replace(one("delivery"), r"Details|Or fastest|FREE delivery|\.", "")), F.lit(60))).alias("delivery"),
         one("seller").alias("seller"),
         one("ships_from").alias("ships_from"),
-        F.when(F.lower(one("ships_from")).contains("amazon"), "FBA").otherwise("FBM").alias("is_fba"),
+        F.when(F.lower(one("ships_from")).contains(X.OWN_SENDER), "FBA").otherwise("FBM").alias("is_fba"),
     ).where(F.col("price").isNotNull())
 
 
