@@ -111,7 +111,9 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _in_cells(anchored: DataFrame) -> DataFrame:
     """Give crowded anchors cells (c, m): centres of chunk c against members of chunk m."""
     crowd = anchored.where("centre").groupBy("anchor").count().where(F.col("count") > CELL)
-    crowd = crowd.select("anchor", F.ceil(F.col("count") / CELL).cast("int").alias("k"))  # at most fingerprints / CELL rows
+    # At most fingerprints / CELL rows. Written, so that Spark knows the size and broadcasts it only under its threshold;
+    # else the replicas would be dealt by anchor for this join and again by cell.
+    crowd = written(crowd.select("anchor", F.ceil(F.col("count") / CELL).cast("int").alias("k")), "crowded-anchors")
     k = F.coalesce("k", F.lit(1))
     chunk = F.pmod(F.xxhash64("fp"), k).cast("int")
     every = F.sequence(F.lit(0), k - 1)
