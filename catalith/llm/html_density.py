@@ -4,7 +4,8 @@ For every DOM node: characters per tag, adjusted by how much of it is link text
 density sum adds the densities of its children; the node of the greatest sum leads to the article. The body's own density is the
 threshold: the found node is raised along its path to the body as long as its parents reach the threshold, and siblings of the
 raised node at least half as dense are further sections of the article. Page furniture that markup names (navigation,
-forms, adverts, notices, reader comments, hidden parts) is taken off before. Where the found node lies in an ``article``
+forms, adverts, notices, reader comments, hidden parts) is taken off before, unless it wraps the page: a form or a part
+so named that holds an article, the heading or most of the page's text stays. Where the found node lies in an ``article``
 or ``main`` element, or holds one, that element is the article.
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks in page order joined by one
@@ -46,6 +47,10 @@ OFF_WORDS = COMMENT_WORDS | frozenset(
     " related recommended recommendations share sharing social footer header masthead pagination pager toolbar skip hidden copyright disclaimer alert".split()
 )
 LANDMARKS = ("article", "main")
+#: Furniture by tag that may wrap a whole page; the controls inside stay off.
+WRAPPERS = frozenset(("form", "fieldset"))
+#: Kept text under so many characters beside a part (a site's name, a skip link) is no article of its own.
+FEW = 100
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -57,6 +62,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.off = ["html"], [-1], [False]
+        self.talk: set[int] = set()  # nodes named as reader comments
         self.texts: list[tuple[int, str]] = []  # node, text
         stack, at = [0], 0
         for m in TOKEN.finditer(source):
@@ -109,7 +115,7 @@ class Page:
         node = len(tags)
         tags.append(name)
         self.parent.append(stack[-1])
-        self.off.append(name in OFF_TAGS or bool(attributes.strip() and self._named_off(name, attributes, stack)))
+        self.off.append(bool(attributes.strip() and self._named_off(name, attributes, stack)) or name in OFF_TAGS)
         if name == "header" and not any(tags[k] in LANDMARKS for k in stack):
             self.off[node] = True
         if name in BLOCK or name == "br":
@@ -120,6 +126,7 @@ class Page:
         if name in ("body", "html", "main") or name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             return False
         words: set[str] = set()
+        node = len(self.tag) - 1
         for key, *value in ATTRIBUTE.findall(attributes):
             key, text = key.lower(), "".join(value)
             if key in ("class", "id"):
@@ -128,6 +135,8 @@ class Page:
                 return True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", text, re.I):
                 return True
+        if words & COMMENT_WORDS:
+            self.talk.add(node)
         if name == "article":
             return bool(words & COMMENT_WORDS)
         hit = words & OFF_WORDS
@@ -151,18 +160,44 @@ class Page:
         return range(len(self.tag) - 1, 0, -1)
 
     def settle(self) -> None:
-        """Carry what is taken off down; a named part that holds an article or heading, or most of the page, stays."""
+        """Carry what is taken off down; a named part or a form that holds an article or heading, or most of the page, stays.
+
+        Most of the page: more than half of its text outside what is always furniture (navigation, footers, controls). Next to
+        a kept article or heading, and for parts named as comments, size alone keeps a part only if little else is kept.
+        """
         n = len(self.tag)
-        size, keeps = [0] * n, [t in LANDMARKS or t == "h1" for t in self.tag]
+        marks = [t in LANDMARKS or t == "h1" for t in self.tag]
+        may_stay = [self.off[k] and (t in WRAPPERS or t not in OFF_TAGS and t not in RAW and t != "header") for k, t in enumerate(self.tag)]
+        gone = [False] * n
+        above = [-1] * n  # the nearest part, the node itself included, that is taken off
+        for k in range(1, n):
+            gone[k] = gone[self.parent[k]] or self.off[k] and not may_stay[k]
+            above[k] = k if self.off[k] else above[self.parent[k]]
+        size, heads, headings = [0] * n, [0] * n, [0] * n
+        own, own_marks, own_landmarks = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # by ``above``; the last: kept anyway
         for node, text in self.texts:
-            size[node] += len(text)
+            if not gone[node]:
+                size[node] += len(text.strip())
+                own[above[node]] += len(text.strip())
         for k in self._children_first():
-            size[self.parent[k]] += size[k]
-            if keeps[k] and not (self.off[k] and self.tag[k] == "article"):
-                keeps[self.parent[k]] = True
+            p = self.parent[k]
+            size[p] += size[k]
+            heads[p] += heads[k] + (marks[k] and not (self.off[k] and self.tag[k] == "article"))
+            headings[p] += headings[k] + (self.tag[k] == "h1")
+            if marks[k] and size[k] and not gone[k] and not (k in self.talk and self.tag[k] == "article"):
+                own_marks[above[k]] += 1
+                own_landmarks[above[k]] += self.tag[k] in LANDMARKS
+        kept, kept_marks, kept_landmarks = own[-1], own_marks[-1], own_landmarks[-1]
         for k in range(1, n):
-            if self.off[k] and self.tag[k] not in OFF_TAGS and self.tag[k] not in RAW and self.tag[k] not in ("header", "article") and keeps[k]:
-                self.off[k] = False
+            if may_stay[k] and not self.off[self.parent[k]]:
+                if headings[k] if self.tag[k] == "article" else heads[k]:
+                    stays = True
+                else:
+                    guarded = kept_marks or k in self.talk
+                    stays = 2 * size[k] > size[0] and (not guarded or kept < FEW and not (k in self.talk and kept_landmarks))
+                if stays:
+                    self.off[k] = False
+                    kept, kept_marks, kept_landmarks = kept + own[k], kept_marks + own_marks[k], kept_landmarks + own_landmarks[k]
             self.off[k] = self.off[k] or self.off[self.parent[k]]
 
     def densities(self) -> tuple[list[float], list[float]]:

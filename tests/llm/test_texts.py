@@ -75,6 +75,32 @@ def test_main_text(frame):
     assert html_density.main_text(PAGE % (frame % BODY)) == TEXT
 
 
+WRAPPED = "<h2>The  title</h2>" + BODY.split("</h1>")[1]
+
+
+@pytest.mark.parametrize("named", ["id=page class=has-sidebar", "class=nav-open", "id=wrap class='site with-banner'", "class=has-comments", "class=menu-open style='display:none'"])
+@pytest.mark.parametrize("body", [WRAPPED, "<div>" + BODY.split("</h1>")[1] + "</div>"])
+def test_a_named_wrapper_of_the_page_stays(named, body):
+    page = "<html><body><div class=logo>Site</div><div %s><nav><a href=a>one</a></nav>%s<div class=sidebar><p>Related</p></div></div></body></html>"
+    got = html_density.main_text(page % (named, body))
+    assert got.removeprefix("Site\n") == (TEXT if "h2" in body else TEXT.removeprefix("The title\n"))
+
+
+@pytest.mark.parametrize("body", ["<article>" + BODY + "</article>", "<div class=post>" + BODY + "</div>", "<div class=post>" + WRAPPED + "</div>"])
+@pytest.mark.parametrize("inner", ["%s", "<fieldset>%s</fieldset>"])
+def test_a_form_around_the_page_stays(body, inner):
+    page = "<html><body><form id=aspnetForm method=post><input type=hidden name=__VIEWSTATE value=x><label>Find</label><button>Go</button>" + inner + "<select><option>one</select></form></body></html>"
+    assert html_density.main_text(page % body) == TEXT
+
+
+def test_furniture_larger_than_the_article_stays_off():
+    talk = "<section id=comments>" + "<p>Reader says: a nice long comment about all of this.</p>" * 40 + "</section>"
+    more = "<div class=sidebar>" + "<p>Related text of the sidebar stands here.</p>" * 40 + "</div>"
+    for frame in ("<article>%s</article>", "<div class=post>%s</div>"):
+        assert html_density.main_text("<html><body>" + frame % BODY + talk + more + "</body></html>") == TEXT
+    assert html_density.main_text("<html><body><div class=post>" + WRAPPED + "</div>" + talk + "</body></html>") == TEXT
+
+
 def test_density_prefers_text_over_links():
     links = "<div>" + "".join(f"<a href=/{i}>some link text number {i}</a> " for i in range(60)) + "</div>"
     prose = "<div><p>" + "Plain sentences stand here without any links at all. " * 8 + "</p><p>" + "More of the same prose follows in a second block. " * 6 + "</p></div>"
