@@ -5,8 +5,8 @@ density sum adds the densities of its children; the node of the greatest sum lea
 threshold: the found node is raised along its path to the body as long as its parents reach the threshold, and siblings of the
 raised node at least half as dense are further sections of the article. Page furniture that markup names (navigation,
 forms, adverts, notices, reader comments, hidden parts) is taken off before, unless it wraps the page: a form or a part
-so named that holds an article, the heading or most of the page's text stays. Where the found node lies in an ``article``
-or ``main`` element, or holds one, that element is the article.
+so named that holds an article, the heading or most of the page's text stays. Where the found node lies in ``article``
+or ``main`` elements, the outermost is the article; where it holds one with most of its text, that one is.
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks in page order joined by one
 line feed. ``br`` is white space.
@@ -163,7 +163,7 @@ class Page:
         """Carry what is taken off down; a named part or a form that holds an article or heading, or most of the page, stays.
 
         Most of the page: more than half of its text outside what is always furniture (navigation, footers, controls). Next to
-        a kept article or heading, and for parts named as comments, size alone keeps a part only if little else is kept.
+        a kept article or heading, and for parts named as comments, size alone keeps a part only if little else is kept, and never next to a headed article.
         """
         n = len(self.tag)
         marks = [t in LANDMARKS or t == "h1" for t in self.tag]
@@ -193,15 +193,16 @@ class Page:
                 if headings[k] if self.tag[k] == "article" else heads[k]:
                     stays = True
                 else:
+                    titled = kept_landmarks and (k in self.talk or kept_marks > kept_landmarks)  # the article is elsewhere
                     guarded = kept_marks or k in self.talk
-                    stays = 2 * size[k] > size[0] and (not guarded or kept < FEW and not (k in self.talk and kept_landmarks))
+                    stays = 2 * size[k] > size[0] and not titled and (not guarded or kept < FEW and size[k] > 10 * kept)
                 if stays:
                     self.off[k] = False
                     kept, kept_marks, kept_landmarks = kept + own[k], kept_marks + own_marks[k], kept_landmarks + own_landmarks[k]
             self.off[k] = self.off[k] or self.off[self.parent[k]]
 
-    def densities(self) -> tuple[list[float], list[float]]:
-        """Composite density and density sum of each node."""
+    def densities(self) -> tuple[list[float], list[float], list[int]]:
+        """Composite density, density sum and characters of each node."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         in_link = [False] * n
@@ -230,24 +231,24 @@ class Page:
             density[k] = c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1) / max(1e-9, math.log(base + 1))
             if k:
                 sums[self.parent[k]] += density[k]
-        return density, sums
+        return density, sums, chars
 
     def article(self) -> list[int]:
         """Roots of the main text, in page order."""
         self.settle()
-        density, sums = self.densities()
+        density, sums, chars = self.densities()
         n = len(self.tag)
         best = max((k for k in range(n) if not self.off[k]), key=lambda k: (sums[k], density[k]))
         landmark, k = -1, best
         while k >= 0:
-            if self.tag[k] == "article" or self.tag[k] == "main" and landmark < 0:
+            if self.tag[k] in LANDMARKS:  # the outermost: a main's heading and lead stand outside its article
                 landmark = k
             k = self.parent[k]
         if landmark >= 0:
             return [landmark]
-        inside = [k for k in range(best, n) if self.tag[k] in LANDMARKS and not self.off[k] and self._under(k, best)]
-        if inside:
-            return [max(inside, key=lambda k: (sums[k], -k))]
+        for k in range(best, n):
+            if self.tag[k] in LANDMARKS and not self.off[k] and 2 * chars[k] > chars[best] and self._under(k, best):
+                return [k]
         body = self.tag.index("body") if "body" in self.tag else 0
         raised = best
         while raised > body and self.parent[raised] > body and density[self.parent[raised]] >= density[body]:

@@ -94,6 +94,7 @@ def test_a_form_around_the_page_stays(body, inner):
 
 
 def test_furniture_larger_than_the_article_stays_off():
+    assert html_density.main_text("<html><body><div class=ad>" + "An advert. " * 99 + "</div><article><h1>Short</h1><p>Text.</article></body></html>") == "Short\nText."
     talk = "<section id=comments>" + "<p>Reader says: a nice long comment about all of this.</p>" * 40 + "</section>"
     more = "<div class=sidebar>" + "<p>Related text of the sidebar stands here.</p>" * 40 + "</div>"
     for frame in ("<article>%s</article>", "<div class=post>%s</div>"):
@@ -101,6 +102,30 @@ def test_furniture_larger_than_the_article_stays_off():
     assert html_density.main_text("<html><body><div class=post>" + WRAPPED + "</div>" + talk + "</body></html>") == TEXT
 
 
+PROSE = [f"Paragraph {i} of the post has a sentence that is long enough to count as text." for i in range(20)]
+CARD = "<article class=card><h3>Teaser</h3><p>Read another story.</p></article>"
+
+
+@pytest.mark.parametrize("at", [0, 10, 20])
+def test_an_embedded_teaser_is_not_the_article(at):
+    blocks = ["<p>" + p + "</p>" for p in PROSE]
+    got = html_density.main_text("<html><body><div class=post>" + "".join(blocks[:at]) + CARD + "".join(blocks[at:]) + "</div></body></html>").split("\n")
+    assert [b for b in got if b not in ("Teaser", "Read another story.")] == PROSE
+
+
+@pytest.mark.parametrize("n", [3, 20])
+def test_heading_and_lead_of_main_stay(n):
+    story = "".join("<p>" + p + "</p>" for p in PROSE[:n])
+    page = "<html><body><div>Site</div><main><h1>Heading</h1><p>The lead says it.</p><article>" + story + "</article></main></body></html>"
+    assert html_density.main_text(page) == "\n".join(["Heading", "The lead says it.", *PROSE[:n]])
+
+
+def test_an_inner_landmark_with_most_text_is_the_article():
+    story = "".join("<p>" + p + "</p>" for p in PROSE)
+    page = "<html><body><div>Site name</div><div><article>" + story + "</article></div><div><p>Elsewhere: more.</p></div></body></html>"
+    assert html_density.main_text(page) == "\n".join(PROSE)
+
+
 def test_density_prefers_text_over_links():
     links = "<div>" + "".join(f"<a href=/{i}>some link text number {i}</a> " for i in range(60)) + "</div>"
     prose = "<div><p>" + "Plain sentences stand here without any links at all. " * 8 + "</p><p>" + "More of the same prose follows in a second block. " * 6 + "</p></div>"
