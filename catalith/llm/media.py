@@ -66,17 +66,43 @@ def feature(samples: np.ndarray) -> str:
 
 
 def parse(source: str | None) -> list[dict]:
-    """Ordered text blocks and media references; a reference in a figure takes its figcaption, else its alt text."""
+    """Ordered text blocks and media references; a reference in a figure takes its figcaption, else its alt text.
+
+    A figure's captions are held until it ends, at the end of the page at the latest, so they may come before or after its
+    references. Captions of a figure without references, and outside of figures, are text blocks at their place.
+    """
     out: list[dict] = []
     run: list[str] = []
-    figure: list[dict] | None = None
-    caption: list[str] | None = None
+    figures: list[dict] = []  # open ones: items, items of inner figures that have no caption, captions
+    caption: list[str] | None = None  # of the innermost figure
+
+    def clean(parts: list[str]) -> str:
+        return " ".join(html.unescape("".join(parts)).split())
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(run)).split())
+        text = clean(run)
         run.clear()
         if text:
-            out.append({"pos": len(out), "kind": "text", "text": text, "digest": None, "caption": None})
+            out.append({"pos": 0, "kind": "text", "text": text, "digest": None, "caption": None})
+
+    def end_caption() -> None:
+        nonlocal caption
+        if caption is not None:
+            figures[-1]["captions"][-1]["text"] = clean(caption)
+            caption = None
+
+    def end_figure() -> None:
+        end_caption()
+        flush()
+        figure = figures.pop()
+        text = " ".join(c["text"] for c in figure["captions"] if c["text"])
+        takers = (figure["items"] or figure["inner"]) if text else []
+        for item in takers:
+            item["caption"] = text
+        for held in figure["captions"]:
+            held["kind"] = None if takers or not held["text"] else "text"
+        if figures:
+            figures[-1]["inner"] += figure["inner"] if figure["items"] and takers else [] if takers else figure["items"] + figure["inner"]
 
     at, source = 0, source or ""
     for m in TOKEN.finditer(source):
@@ -87,31 +113,40 @@ def parse(source: str | None) -> list[dict]:
         if not close and name in RAW and name not in MEDIA_TAGS:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
-        elif name == "figcaption":
-            if close and caption is not None:
-                text = " ".join(html.unescape("".join(caption)).split())
-                for item in figure or ():
-                    item["caption"] = text
-                caption = None
-            elif not close:
-                flush()
+        elif name == "figcaption" and figures:
+            end_caption()
+            flush()
+            if not close:
                 caption = []
+                out.append({"pos": 0, "kind": None, "text": "", "digest": None, "caption": None})
+                figures[-1]["captions"].append(out[-1])
         elif name == "figure":
+            end_caption()
             flush()
-            figure, caption = (None, None) if close else ([], None)
+            if not close:
+                figures.append({"items": [], "inner": [], "captions": []})
+            elif figures:
+                end_figure()
         elif name in MEDIA_TAGS and not close:
             flush()
             values = {k.lower(): html.unescape("".join(v)) for k, *v in ATTRIBUTE.findall(m[3])}
             if values.get("src"):
-                item = {"pos": len(out), "kind": "media", "text": None, "digest": values["src"].removeprefix("sha256:"), "caption": values.get("alt") or None}
+                item = {"pos": 0, "kind": "media", "text": None, "digest": values["src"].removeprefix("sha256:"), "caption": values.get("alt") or None}
                 out.append(item)
-                if figure is not None:
-                    figure.append(item)
+                if figures:
+                    figures[-1]["items"].append(item)
         elif name in BLOCK or name == "br":
             if caption is None:
                 flush()
+            else:
+                caption.append(" ")
     (run if caption is None else caption).append(source[at:])
+    while figures:
+        end_figure()
     flush()
+    out = [item for item in out if item["kind"]]
+    for pos, item in enumerate(out):
+        item["pos"] = pos
     return out
 
 
@@ -173,10 +208,16 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     return found.unionByName(flat.where("kind = 'text'"), allowMissingColumns=True)
 
 
-def collected(elements: DataFrame) -> DataFrame:
-    """Resolved sequences again as one array per key, in order of position."""
+def collected(elements: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
+    """Resolved sequences again as one array per key, in order of position.
+
+    Elements name no page without any; given the parsed ``sequences``, their keys stay, with an empty array.
+    """
     rest = [c for c in elements.columns if c not in ("key", "pos")]
-    return elements.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", *rest))).alias("sequence"))
+    if sequences is not None:
+        elements = elements.unionByName(sequences.where(F.size("sequence") == 0).select("key"), allowMissingColumns=True)
+    element = F.when(F.col("pos").isNotNull(), F.struct("pos", *rest))  # null without a position; collect_list leaves it out
+    return elements.groupBy("key").agg(F.sort_array(F.collect_list(element)).alias("sequence"))
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:

@@ -60,6 +60,40 @@ def test_sequences_keep_order_and_captions(spark):
     assert again[1] == list(range(7)) and 2 not in again
 
 
+def brief(source):
+    found = media.parse(source)
+    assert [x["pos"] for x in found] == list(range(len(found)))
+    return [x["text"] if x["kind"] == "text" else (x["digest"], x["caption"]) for x in found]
+
+
+@pytest.mark.parametrize(
+    ("source", "wanted"),
+    [
+        ("<figure><figcaption>C</figcaption><img src=a></figure>after", [("a", "C"), "after"]),
+        ("<figure><figcaption>C</figcaption><img src=a><img src=b alt=no></figure>", [("a", "C"), ("b", "C")]),
+        ("x<figcaption>C</figcaption>y<img src=a>", ["x", "C", "y", ("a", None)]),
+        ("<figure><img src=a><figcaption>C</figure><p>after", [("a", "C"), "after"]),
+        ("<figure><img src=a><figcaption>C <p>rest</p>of page", [("a", "C rest of page")]),
+        ("<figure><figcaption>C", ["C"]),
+        ("<figure>code<figcaption>C</figcaption>more</figure>", ["code", "C", "more"]),
+        ("<figure><img src=a><figcaption></figcaption></figure><figure><img src=b alt=B></figure>", [("a", None), ("b", "B")]),
+        ("<figure><figure><img src=a><figcaption>A</figcaption></figure><figure><img src=b></figure><figcaption>All</figcaption></figure>", [("a", "A"), ("b", "All")]),
+        ("<figure><img src=a><figcaption>A<figure><img src=b><figcaption>B</figcaption></figure>after", [("a", "A"), ("b", "B"), "after"]),
+        ("</figure></figcaption>x<figure>y", ["x", "y"]),
+    ],
+)
+def test_captions_in_any_place_are_kept(source, wanted):
+    assert brief(source) == wanted
+
+
+def test_pages_without_elements_keep_their_key(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p><img src=aa>"), (2, None), (3, ""), (4, "<br>")], "page_id long, html string")
+    parsed = media.sequences(pages, "page_id", "html")
+    table = spark.createDataFrame([("aa", 7)], "digest string, payload int")
+    got = {r.key: len(r.sequence) for r in media.collected(media.resolve(parsed, table), parsed).collect()}
+    assert got == {1: 2, 2: 0, 3: 0, 4: 0}
+
+
 # --- html ----------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p>";</script></head><body class="menu-open">
