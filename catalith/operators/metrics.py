@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalith.functions import scalars as X
 
@@ -42,31 +46,70 @@ def trailing(requests: DataFrame, key: str, at: str, seconds: float, **figures:
     return requests.withColumns({name: c.over(frame) for name, c in figures.items()})
 
 
-def ewma(rows: DataFrame, key: str, order: list[str], value: str, alpha: float, name: str) -> DataFrame:
-    """Exponentially smoothed value per key, started by the first value; folds the key's ordered values."""
-    start = F.struct(F.lit(None).cast("double").alias("v"))
+def _folded(rows: DataFrame, key: str, order: list[str], value: str, alphas: list[float]) -> DataFrame:
+    """Per key an array ``e`` of exponentially smoothed values, one for each of ``alphas``.
+
+    Rows are dealt by range over key and order, so a key of any size is spread over tasks, each of which folds its rows one
+    by one. A part turns a value before it, v, into decay * v + added, or into ``alone`` where there is none (or the part
+    holds a null, which starts anew). A key has one such row per task at most; these are combined in order.
+    """
+    places = [f"o{i}" for i in range(len(order))]
+    slim = rows.select(F.col(key).alias("k"), *[F.col(c).alias(p) for c, p in zip(order, places, strict=True)], F.col(value).cast("double").alias("x"))
+    dealt = slim.repartitionByRange("k", *places, "x").sortWithinPartitions("k", *places, "x").select("k", "x")
+    kind = dealt.schema["k"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        m = range(len(alphas))
+        now, started = None, False
+        typed = None
+
+        def of() -> pa.RecordBatch:
+            columns = [pa.array([now], typed), pa.array([part], pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array([v], pa.list_(pa.float64())) for v in (alone, decay, added)]], names=["k", "part", "alone", "decay", "added"])
+
+        for batch in batches:
+            typed = batch.column(0).type
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not started or k != now and not (k != k and now != now):
+                    if started:
+                        yield of()
+                    now, started = k, True
+                    alone, decay, added = [None] * len(alphas), [1.0] * len(alphas), [0.0] * len(alphas)
+                for i in m:
+                    a = alphas[i]
+                    if x is None:
+                        alone[i] = decay[i] = added[i] = None
+                        continue
+                    alone[i] = x if alone[i] is None else a * x + (1 - a) * alone[i]
+                    if decay[i] is not None:
+                        decay[i], added[i] = (1 - a) * decay[i], a * x + (1 - a) * added[i]
+        if started:
+            yield of()
+
+    schema = T.StructType([T.StructField("k", kind), T.StructField("part", T.LongType()), *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("alone", "decay", "added")]])
+    parts = dealt.mapInArrow(run, schema)
+    start = F.array(*[F.lit(None).cast("double") for _ in alphas])
+
+    def step(acc: Column, p: Column) -> Column:
+        after = lambda i: F.when(acc[i].isNull() | p["decay"][i].isNull(), p["alone"][i]).otherwise(p["decay"][i] * acc[i] + p["added"][i])
+        return F.array(*[after(i) for i in range(len(alphas))])
+
+    ordered = F.array_sort(F.collect_list(F.struct("part", "alone", "decay", "added")))
+    return parts.groupBy(F.col("k").alias(key)).agg(F.aggregate(ordered, start, step).alias("e"))
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(F.when(acc["v"].isNull(), x[value]).otherwise(alpha * x[value] + (1 - alpha) * acc["v"]).alias("v"))
 
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias(value))))
-    return rows.groupBy(key).agg(F.aggregate(ordered, start, step)["v"].alias(name))
+def ewma(rows: DataFrame, key: str, order: list[str], value: str, alpha: float, name: str) -> DataFrame:
+    """Exponentially smoothed value per key, started by the first value; folds the key's ordered values."""
+    return _folded(rows, key, order, value, [alpha]).select(key, F.col("e")[0].alias(name))
 
 
 def dual_ewma(requests: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Short and long smoothed latency of successful requests and their gradient long / short (1 without data)."""
-    ok = requests.where(F.col("success") & (F.col("latency_s") > 0)).withColumn("latency_s", F.col("latency_s").cast("double"))
-    values = F.array_sort(F.collect_list(F.struct(*order, "latency_s")))
-    start = F.struct(F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("l"))
-
-    def step(acc: Column, x: Column) -> Column:
-        v = x["latency_s"]
-        mix = lambda old, a: F.when(old.isNull(), v).otherwise(a * v + (1 - a) * old)
-        return F.struct(mix(acc["s"], SHORT).alias("s"), mix(acc["l"], LONG).alias("l"))
-
-    smooth = ok.groupBy(key).agg(F.aggregate(values, start, step).alias("e"))
-    gradient = F.when(F.col("e.s") > 0, F.col("e.l") / F.col("e.s")).otherwise(F.lit(1.0))
-    return smooth.select(key, F.col("e.s").alias("ewma_short"), F.col("e.l").alias("ewma_long"), gradient.alias("rtt_gradient"))
+    ok = requests.where(F.col("success") & (F.col("latency_s") > 0))
+    smooth = _folded(ok, key, order, "latency_s", [SHORT, LONG])
+    short, long = F.col("e")[0], F.col("e")[1]
+    return smooth.select(key, short.alias("ewma_short"), long.alias("ewma_long"), F.when(short > 0, long / short).otherwise(F.lit(1.0)).alias("rtt_gradient"))
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ checkpoints in a shared folder, so a lost executor repeats a micro-batch at most
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WINDOW, SLIDE, LATENESS = "30 seconds", "3 seconds", "1 minute"
+BATCH_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,11 +37,32 @@ def accepted_once(results: DataFrame, lease: list[str], at: str = "ts", lateness
     return results.withWatermark(at, lateness).dropDuplicatesWithinWatermark(lease)
 
 
+def ordered_stream(table: DataFrame, by: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """A table as a stream of micro-batches of at most ``rows`` rows, ascending in ``by`` from one to the next.
+
+    The table is dealt by range and written as files of so many rows; a file source takes the oldest file first, so their
+    times are set in order. A file system that does not keep set times gives an error.
+    """
+    spark = table.sparkSession
+    at = shared_folder(spark)
+    table.repartitionByRange(by).sortWithinPartitions(by).write.option("maxRecordsPerFile", rows).parquet(f"{at}/ordered")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/ordered")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place = lambda path: [int(n) for n in re.search(r"part-(\d+)-.*?(?:[.-]c(\d+))?\.", path.getName()).groups(default="0")]
+    paths = sorted((s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("part-")), key=place)
+    for k, path in enumerate(paths):
+        files.setTimes(path, (1_000_000_000 + k) * 1000, -1)
+        if files.getFileStatus(path).getModificationTime() != (1_000_000_000 + k) * 1000:
+            raise ValueError("the folder's file system keeps no set times, which the order of micro-batches needs")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d").parquet(f"{at}/ordered")
+
+
 def price_changes(observations: DataFrame) -> DataFrame:
     """Changes of numeric price and stock against the baseline that the last scheduled sighting set.
 
     Needs asin, seq (long, ascending in time within a key across micro-batches), is_auto, price, stock. The state of a
-    key is its baseline alone, so it does not grow with the log.
+    key is its baseline alone, so it does not grow with the log. A key's rows of one micro-batch come in no order and are
+    sorted in memory: bound the micro-batches, as ``ordered_stream`` does.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -53,6 +76,9 @@ def price_changes(observations: DataFrame) -> DataFrame:
                 parts = [f"{n}:{'up' if b > a else 'down'}" for n, a, b in (("price", price, new_price), ("stock_qty", stock, new_stock)) if a is not None and b is not None and a != b]
                 if parts:
                     out.append((key[0], int(seq), ", ".join(parts)))
+                    if len(out) == 10_000:
+                        yield pd.DataFrame(out, columns=["asin", "seq", "change_detail"])
+                        out = []
             if not known or auto:
                 price, stock, known = new_price, new_stock, True
         state.update((price, stock))

@@ -17,7 +17,8 @@ def sliding_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sightings = jobs.file_stream(spark, sf_dir, "events", files=1_000_000).select(
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "value", "props")
+    sightings = jobs.ordered_stream(events, "event_id").select(
         F.col("user_id").alias("asin"),
         F.col("event_id").alias("seq"),
         (F.col("event_type") == "purchase").alias("is_auto"),

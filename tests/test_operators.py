@@ -217,3 +217,20 @@ def test_screenshots(spark):
     r = tasks.screenshot_update(shots, ups).first()
     assert (r.status, r.file_path, r.retry_count) == ("done", "p.png", 1)
     assert tasks.paths_after(spark.createDataFrame([("a", None), ("b", "old")], "asin string, screenshot_path string"), ups).orderBy("asin").collect()[0].screenshot_path == "p.png"
+
+
+def test_smoothing_spreads_a_hot_key_over_tasks(spark):
+    values = [(i * 37 % 101) / 7 + 0.1 for i in range(4000)]
+    rows = [("hot", i, v) for i, v in enumerate(values)] + [("b", 1, 2.0), ("b", 2, None), ("b", 3, 5.0), ("b", 4, 7.0), (None, 1, 3.0), ("c", 1, None)]
+    table = spark.createDataFrame(rows, "k string, at int, v double").repartition(5)
+    want = values[0]
+    for v in values[1:]:
+        want = 0.001 * v + 0.999 * want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the few rows of a test are put into one task
+    try:
+        df = metrics.ewma(table, "k", ["at"], "v", 0.001, "e")
+        got = {r.k: r.e for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got["hot"] == pytest.approx(want, rel=1e-12) and got["b"] == pytest.approx(0.001 * 7 + 0.999 * 5) and got[None] == 3.0 and got["c"] is None
+    assert "rangepartitioning" in df._jdf.queryExecution().executedPlan().toString()

@@ -57,6 +57,17 @@ def test_state_over_micro_batches(spark, tmp_path):
     assert {(r.asin, r.seq): r.change_detail for r in got} == {(1, 2): "price:up", (1, 3): "price:down, stock_qty:down", (1, 4): "stock_qty:up", (2, 4): "price:up"}
 
 
+def test_ordered_micro_batches_are_bounded(spark):
+    """A hot key in small micro-batches gives what one batch over all gives."""
+    rows = [(1, (i * 7919) % 1000, i % 5 == 0, float(i * 31 % 17), float(i % 3)) for i in range(1000)]
+    table = spark.createDataFrame(rows, "asin long, seq long, is_auto boolean, price double, stock double").repartition(4)
+    sizes, at = [], []
+    jobs.drained(jobs.ordered_stream(table, "seq", 90), into=lambda df, n: (sizes.append(df.count()), at.append(df.agg(F.min("seq"), F.max("seq")).first())))
+    assert sum(sizes) == 1000 and max(sizes) <= 90 and all(a[1] < b[0] for a, b in zip(at, at[1:]))
+    one, many = (sorted(map(tuple, spark.read.parquet(jobs.drained(jobs.price_changes(jobs.ordered_stream(table, "seq", n)))).collect())) for n in (5000, 300))
+    assert one == many and len(one) > 100
+
+
 def test_silent_workers(spark, tmp_path):
     beats = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:00:00"), ("z", "2024-01-01 01:00:00")]
     spark.createDataFrame(beats, "worker_id string, t string").select("worker_id", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
