@@ -37,7 +37,7 @@ def stream_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = jobs.file_stream(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    accepted = spark.read.parquet(jobs.drained(jobs.accepted_once(results, ["user_id", "event_type"], lateness="400 days")))
+    accepted = spark.read.parquet(jobs.drained(jobs.accepted_once(results, ["user_id", "event_type"])))
     return accepted.groupBy("event_type").agg(F.count("*").alias("accepted"))
 
 

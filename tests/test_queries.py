@@ -68,6 +68,17 @@ def test_ordered_micro_batches_are_bounded(spark):
     assert one == many and len(one) > 100
 
 
+def test_results_are_accepted_once_however_late(spark, tmp_path):
+    """Two files out of time order, years apart: a late first result is taken, a late repeat is not."""
+    for k, batch in enumerate([[(1, "2024-01-01"), (2, "2024-01-01")], [(1, "2030-01-01")], [(1, "2030-01-02"), (2, "2010-01-01"), (3, "2010-01-01")]]):
+        spark.createDataFrame(batch, "lease int, t string").select("lease", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        for f in os.listdir(f"{tmp_path}/in/{k}"):
+            os.utime(f"{tmp_path}/in/{k}/{f}", (1_600_000_000 + k, 1_600_000_000 + k))
+    stream = spark.readStream.schema("lease int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = spark.read.parquet(jobs.drained(jobs.accepted_once(stream, ["lease"]))).collect()
+    assert sorted(r.lease for r in got) == [1, 2, 3]
+
+
 def test_silent_workers(spark, tmp_path):
     beats = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:00:00"), ("z", "2024-01-01 01:00:00")]
     spark.createDataFrame(beats, "worker_id string, t string").select("worker_id", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
