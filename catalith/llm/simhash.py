@@ -7,7 +7,8 @@ to every anchor within radius + 1 = 2 (1 or 16 of them), so of two halves that d
 of either. Only fingerprints that share an anchor are compared, over all 64 bits.
 
 Exact copies never meet: distinct fingerprints are compared, and documents join their fingerprint's component at the
-end. A crowded anchor is cut into cells (centre chunk, member chunk), so no task holds it whole. Inside a cell a search
+end. A crowded anchor is cut into cells (centre chunk, member chunk), sized by its centres and by its members, so no
+task holds it whole; cells without a centre are passed over, since every link meets at a centre. Inside a cell a search
 from member to member gives a spanning forest of the links rather than all pairs.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; fewer than three words are
@@ -32,8 +33,10 @@ THRESHOLD = 3
 SHINGLE = 3
 SEED = 42
 HALF_BITS = 31
-#: An anchor with more centres than this is cut into cells of about so many.
+#: An anchor with more members than this is cut into cells of about so many, centres and members each.
 CELL = 5_000
+#: Halves within 2 bits of an anchor.
+REACH = 1 + HALF_BITS + HALF_BITS * (HALF_BITS - 1) // 2
 SMALL_GROUP = 32
 
 
@@ -108,19 +111,42 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor * 2 + which), pa.array(some[at]), pa.array(centre)], names=["anchor", "fp", "centre"])
 
 
-def _in_cells(anchored: DataFrame) -> DataFrame:
-    """Give crowded anchors cells (c, m): centres of chunk c against members of chunk m."""
-    crowd = anchored.where("centre").groupBy("anchor").count().where(F.col("count") > CELL)
-    # At most fingerprints / CELL rows. Written, so that Spark knows the size and broadcasts it only under its threshold;
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp = batch.column(0).to_numpy()
+        for which in (0, 1):
+            half = (fp >> (which * HALF_BITS)) & ((1 << HALF_BITS) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(half * 2 + which)], names=["half"])
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each half, with how many fingerprints it brings as members and as centres."""
+    for batch in batches:
+        coded, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        at, anchor = half_anchors(coded >> 1)
+        centre = np.arange(len(at)) < len(coded)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor * 2 + (coded[at] & 1)), pa.array(n[at]), pa.array(np.where(centre, n[at], 0))], names=["anchor", "members", "centres"])
+
+
+def _in_cells(anchored: DataFrame, prints: DataFrame) -> DataFrame:
+    """Give crowded anchors cells (c, m): centres of chunk c against members of chunk m.
+
+    Members are counted by half. Halves of CELL / REACH fingerprints or fewer are left out: together they add CELL at
+    most to an anchor. So counting costs two rows a fingerprint, and a cell holds about twice CELL of a kind at most.
+    """
+    heavy = prints.select("fp").mapInArrow(_halves, "half long").groupBy("half").count().where(F.col("count") > CELL // REACH)
+    reached = heavy.select("half", F.col("count").alias("n")).mapInArrow(_reached, "anchor long, members long, centres long")
+    crowd = reached.groupBy("anchor").agg(F.sum("members").alias("members"), F.sum("centres").alias("centres")).where(F.col("members") > CELL)
+    # At most 32 * fingerprints / CELL rows. Written, so that Spark knows the size and broadcasts it only under its threshold;
     # else the replicas would be dealt by anchor for this join and again by cell.
-    crowd = written(crowd.select("anchor", F.ceil(F.col("count") / CELL).cast("int").alias("k")), "crowded-anchors")
-    k = F.coalesce("k", F.lit(1))
-    chunk = F.pmod(F.xxhash64("fp"), k).cast("int")
-    every = F.sequence(F.lit(0), k - 1)
-    as_member = F.transform(every, lambda c: c * k + chunk)
-    as_centre = F.transform(every, lambda m: chunk * k + m)
-    cells = F.when(k == 1, F.array(F.lit(0))).when(F.col("centre"), F.array_distinct(F.concat(as_member, as_centre))).otherwise(as_member)
-    return anchored.join(crowd, "anchor", "left").select("anchor", F.explode(cells).alias("cell"), "fp")
+    chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / CELL)).cast("int")
+    crowd = written(crowd.select("anchor", chunks("centres").alias("kc"), chunks("members").alias("km")), "crowded-anchors")
+    kc, km = F.coalesce("kc", F.lit(1)), F.coalesce("km", F.lit(1))
+    chunk = lambda k: F.pmod(F.xxhash64("fp"), k).cast("int")
+    as_member = F.transform(F.sequence(F.lit(0), kc - 1), lambda c: c * km + chunk(km))
+    as_centre = F.transform(F.sequence(F.lit(0), km - 1), lambda m: chunk(kc) * km + m)
+    cells = F.when(kc * km == 1, F.array(F.lit(0))).when(F.col("centre"), F.array_distinct(F.concat(as_member, as_centre))).otherwise(as_member)
+    return anchored.join(crowd, "anchor", "left").select("anchor", F.explode(cells).alias("cell"), "fp", "centre")
 
 
 # --- links ---------------------------------------------------------------------------------------------------------
@@ -143,11 +169,16 @@ def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links inside runs of equal (anchor, cell); a run may span batches, its fingerprints are carried."""
-    held = [np.zeros(0, np.int64)] * 3
+    held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
 
     def of(cols: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, cell, fp = cols
-        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])])) if len(fp) else np.zeros(0, np.int64)
+        anchor, cell, fp, centre = cols
+        starts = lambda: np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])])) if len(fp) else np.zeros(0, np.int64)
+        if len(fp):
+            new = starts()
+            led = np.repeat(np.logical_or.reduceat(centre, new), np.diff(np.concatenate([new, [len(fp)]])))
+            anchor, cell, fp = anchor[led], cell[led], fp[led]
+        new = starts()
         sizes = np.diff(np.concatenate([new, [len(fp)]]))
         found: list[np.ndarray] = []
         small = np.repeat(sizes <= SMALL_GROUP, sizes)
@@ -166,7 +197,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
-        cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+        cols = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
         if not len(cols[0]):
             continue
         last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
@@ -180,7 +211,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(prints: DataFrame) -> DataFrame:
     """Pairs of distinct fingerprints (column ``fp``) that connect all that link."""
     anchored = prints.select("fp").mapInArrow(_replicate, ANCHORED)
-    cells = _in_cells(anchored).select("anchor", F.col("cell").cast("long").alias("cell"), "fp")
+    cells = _in_cells(anchored, prints).select("anchor", F.col("cell").cast("long").alias("cell"), "fp", "centre")
     dealt = cells.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 

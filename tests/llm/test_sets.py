@@ -243,3 +243,12 @@ def test_one_document_of_each_component_survives(spark):
 def test_simhash_of_few_and_no_rows(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     assert simhash.near_duplicates(clashing(spark)).count() == 2
+
+
+def test_members_of_a_shared_half_are_cut_into_cells(spark, monkeypatch):
+    """Prints that share a half which is no anchor crowd 16 anchors, 15 of them without a centre."""
+    monkeypatch.setattr(simhash, "CELL", 50)
+    prints = spark.createDataFrame([(int((i * 2654435761) % 2**31 << 31 | 1),) for i in range(1000)], "fp long")
+    anchored = prints.mapInArrow(simhash._replicate, simhash.ANCHORED)
+    sizes = [r["count"] for r in simhash._in_cells(anchored, prints).groupBy("anchor", "cell").count().collect()]
+    assert max(sizes) <= 300
