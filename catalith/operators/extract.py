@@ -170,7 +170,7 @@ def products(pages: DataFrame, as_of: Column, default_zip: str = "10001") -> Dat
     ld, js = json_fields(F.col("json")), script_fields(html)
     d = looked.withColumn("d", detail_map(F.col("p.details")))
 
-    no_offer = (F.lower(F.left(html, F.lit(50_000))).contains("no featured offer") & ~there("cart_button")) | (
+    no_offer = (F.lower(html).contains("no featured offer") & ~there("cart_button")) | (
         (says("links", "see all buying") | says("spans", "see all buying")) & ~there("price_box")
     )
     gone = says("availability_all", "currently unavailable")
@@ -219,7 +219,7 @@ def products(pages: DataFrame, as_of: Column, default_zip: str = "10001") -> Dat
         "delivery_time": only(F.when(delivery["days"] < 999, delivery["days"].cast("string")).otherwise(NA)),
         "image_urls": F.coalesce(_first_of(script_images, one("main_image"), ld["images"]), F.lit("")),
         "bullet_points": F.array_join(bullets, "\n"),
-        "long_description": F.left(F.coalesce(_first_of(F.array_join(long_text, "\n"), js["long_text"], js["description"], ld["description"]), F.lit("")), F.lit(10_000)),
+        "long_description": F.coalesce(_first_of(F.array_join(long_text, "\n"), js["long_text"], js["description"], ld["description"]), F.lit("")),
         "upc_list": F.array_join(upc, ","),
         "ean_list": F.when(ean == "", F.coalesce(ld["ean"], F.lit(""))).when(~ean.contains(F.coalesce(ld["ean"], F.lit(""))), F.concat_ws(",", ean, ld["ean"])).otherwise(ean),
         "parent_asin": parent,

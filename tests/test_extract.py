@@ -105,3 +105,11 @@ def test_selectors(selector, wanted):
     root = parse('<div id="d"><p class="x y" data-q="1">a</p></div><section><b><p>b</p></b></section>')
     assert [n.text() for n in select(root, selector)] == wanted
     assert Probe((selector,), every=True).run(root) == wanted
+
+
+def test_long_pages_are_read_whole(spark):
+    """The reference looks at the first 50,000 characters and keeps 10,000 of the description."""
+    page = "<html><body><span id=\"productTitle\">T</span><div id=\"productDescription\"><p>" + "word " * 12_000 + "end</p></div><p>No featured offers available</p></body></html>"
+    pages = spark.createDataFrame([("asin-1", page)], "asin string, html string")
+    r = extract.products(pages, F.lit(datetime.date(2024, 11, 28))).first()
+    assert r.current_price == extract.NO_OFFER and r.long_description.endswith("end")
