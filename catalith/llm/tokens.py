@@ -62,8 +62,18 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_word = breaks_at_space(json.load(f))
+        self.closing: dict[str, bool] = {}  # by the last character of a word
         self.reset()
 
+    def _closes(self, letter: str) -> bool:
+        """Whether closing marks behind this letter are a pre-token of their own, as the library itself cuts them. Not
+        so where the normaliser ends it in a combining mark ("İ" becomes "i" and U+0307), nor where the library's
+        tables do not know it as a letter."""
+        if letter not in self.closing:
+            text = self.library.normalizer.normalize_str(letter + ".")
+            self.closing[letter] = letter.isalpha() and self.library.pre_tokenizer.pre_tokenize_str(text)[-1][0] == "."
+        return self.closing[letter]
+
     def reset(self) -> None:
         self.index = _Index()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -100,7 +110,7 @@ class Encoder:
         return flat[np.arange(total, dtype=np.int64) + np.repeat(starts - (stops - counts), counts)]
 
     def _resolve(self) -> None:
-        """Fill the rows of fresh words. A word that ends in closing marks is its core followed by the marks; a
+        """Fill the rows of fresh words. A word that ends in closing marks behind a letter is its core followed by the marks; a
         capitalised Latin core has the ids of its lower-case form, as the normaliser lower-cases."""
         index = self.index
         fresh, index.fresh = index.fresh, []
@@ -116,7 +126,7 @@ class Encoder:
                 low = core
                 if core and not core.islower() and core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core)):
                     low = core.lower()
-                if len(core) < len(w) and core and core[-1].isalpha():
+                if len(core) < len(w) and core and self._closes(core[-1]):
                     pairs.append((row, index[low], index[w[len(core) :]]))
                 elif low != w and core == w:
                     pairs.append((row, index[low], -1))

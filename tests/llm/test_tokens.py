@@ -1,6 +1,7 @@
 """Tokens, Simple-8b output, packing and edit-aware counts against the library itself."""
 
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from catalith.llm import edit_counts, packing, simple8b
-from catalith.llm.tokens import encoder, tokenizer_path
+from catalith.llm.tokens import TAIL, encoder, tokenizer_path
 
 from .samples import clashing, documents, odd_rows
 
@@ -43,6 +44,37 @@ def test_encoder_equals_library(library, texts):
     assert ids.tolist() == [i for x in expected for i in x]
 
 
+def equal_ids(library, texts):
+    ids, counts = encoder(tokenizer_path()).encode(texts)
+    expected = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in expected]
+    assert ids.tolist() == [i for x in expected for i in x]
+
+
+def test_any_last_letter_before_any_mark(library):
+    """Every letter as the last of a word in front of a closing mark, and those that the normaliser may change before each."""
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    changed = [c for c in letters if c < "ɐ" or len(unicodedata.normalize("NFC", c).lower()) > 1]
+    words = [f"x{c}{TAIL[i % len(TAIL)]}" for i, c in enumerate(letters)] + [f"{c}{m}" for c in changed for m in [*TAIL, "...", "?!"]]
+    equal_ids(library, [" ".join(words[lo : lo + 50]) for lo in range(0, len(words), 50)])
+
+
+def test_capitals_with_combining_marks(library):
+    capitals = [*"AIİÅÄΣΩЙЁ", "ẞ", "ﬁ", "क़", "יִ", "ᄀ", "각", "Ⱥ", "ǅ"]
+    combining = ["", "\u0301", "\u0307", "\u0323\u0307", "\u093c", "\u05b4", "\u1161", "\u11a8"]
+    equal_ids(library, [f"{a}{c}{m} K{c}{a}{m} {a}{c}{a}{c}{m}x{m}" for a in capitals for c in combining for m in (*TAIL, "")])
+
+
+TURKISH = ["KİŞİ.", "TATİLİ.", "DEĞİŞİKLİĞİ!", "İ. i̇. İ İ!? DİYARBAKIRLI, KİŞİ.KİŞİ."]
+
+
+def test_turkish_capitals_through_the_operators(spark, library):
+    rows = [(i, t, None, None, None) for i, t in enumerate(TURKISH)]
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in simple8b.token_output(documents(spark, rows)).collect()} == {(i, len(ids_of(library, t)), crc(ids_of(library, t))) for i, t in enumerate(TURKISH)}
+    check_packed(rows, packing.pack(documents(spark, rows)).collect(), library)
+    assert {(r.doc_id, r.n_tokens + 1) for r in edit_counts.edit_counts(documents(spark, rows)).collect()} == {(i, len(ids_of(library, t))) for i, t in enumerate(TURKISH)}
+
+
 @settings(max_examples=200, deadline=None)
 @given(values=st.lists(st.one_of(st.integers(0, 1), st.integers(0, 70_000), st.integers(0, (1 << 64) - 1)), max_size=700), data=st.data())
 def test_simple8b_round_trip(values, data):
