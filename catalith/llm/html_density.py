@@ -1,25 +1,29 @@
 """Operator 4: main text of web pages by composite text density.
 
 For every DOM node: characters per tag, adjusted by how much of it is link text (the composite density). A node's
-density sum adds the densities of its children; the node of the greatest sum leads to the article. The body's own density is the
-threshold: the found node is raised along its path to the body as long as its parents reach the threshold, and siblings of the
-raised node at least half as dense are further sections of the article. Page furniture that markup names (navigation,
-forms, adverts, notices, reader comments, hidden parts) is taken off before, unless it wraps the page: a form or a part
-so named that holds an article, the heading or most of the page's text stays. Where the found node lies in ``article``
-or ``main`` elements, the outermost is the article; where it holds one with most of its text, that one is.
+density sum adds the densities of its children; the node of the greatest sum leads to the article. The body's own density
+is the threshold on the path from there to the body: the highest node on the path that reaches it is the article, and
+siblings at least half as dense are further sections of it. On an ``article`` or ``main`` half the threshold is enough, and
+its further sections are such elements too. A heading of the first rank that stands before it belongs to it.
+
+Page furniture that markup names (navigation, forms, adverts, notices, reader comments, hidden parts) is taken off before,
+unless it wraps the page: a form or a part so named that holds an article, the heading or most of the page's text stays.
+A name of which furniture is only a part ("share-price", "alert-story") takes nothing off by itself: a part below the
+threshold or full of links goes, and any other stays.
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks in page order joined by one
 line feed. ``br`` is white space.
 
 Defined results: a null or empty html gives an empty text; broken markup is repaired as far as unclosed and stray tags
-go; page_id and url are carried, nulls and repeats included; an empty table gives no rows; further columns are ignored.
+go, in time that grows with the page's length only; page_id and url are carried, nulls and repeats included; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,34 +31,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .markup import BLOCK, RAW, VOID, attributes, decoded, tags
 
 # Element classes of HTML, and the words by which markup names page furniture.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe math xmp noembed noframes select object audio video canvas".split())
-BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
-)
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "legend"}
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIST_SCOPE = frozenset("ul ol dl table menu select article section main body".split())
-OFF_TAGS = frozenset("nav footer aside form button menu dialog input label fieldset".split())
+OFF_TAGS = RAW | frozenset("nav footer aside form button menu dialog input label fieldset select object audio video canvas template svg".split())
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 COMMENT_WORDS = frozenset("comment comments respond reply replies disqus discussion".split())
-OFF_WORDS = COMMENT_WORDS | frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter"
-    " subscribe subscription signup login paywall popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget widgets"
-    " related recommended recommendations share sharing social footer header masthead pagination pager toolbar skip hidden copyright disclaimer alert".split()
+#: Words that name furniture whatever stands beside them.
+SURE_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter navbar navigation breadcrumb breadcrumbs"
+    " sidebar pagination pager paywall masthead".split()
+)
+#: Words that name furniture alone or beside words of layout.
+OFF_WORDS = SURE_WORDS | frozenset(
+    "sponsor promo promotion banner notice notices subscribe subscription signup login popup modal overlay nav menu menus aside widget widgets"
+    " related recommended recommendations share sharing social footer header toolbar skip hidden copyright disclaimer alert".split()
 )
+LAYOUT_WORDS = frozenset(
+    "area article articles bar block body bottom box button buttons center col column container content entry fixed form global group head icon icons inner item"
+    " items left link links list main message module more news outer page panel post posts reader right row section site slot sticky stories story text title"
+    " top unit user view wrap wrapper".split()
+)
+#: Words by which a wrapper tells what the page has, not what it is itself.
+STATE_WORDS = frozenset("no not has with without open opened closed active enabled disabled toggled".split())
 LANDMARKS = ("article", "main")
 #: Furniture by tag that may wrap a whole page; the controls inside stay off.
 WRAPPERS = frozenset(("form", "fieldset"))
+#: Elements that hold running text: part of a name says nothing about them unless links fill them.
+TEXT_TAGS = frozenset("p li dd dt td th pre blockquote figcaption caption span em strong b i u mark small cite q code time abbr sub sup".split())
 #: Kept text under so many characters beside a part (a site's name, a skip link) is no article of its own.
 FEW = 100
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([\w:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NOT_SHOWN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.I)
 
 
 class Page:
@@ -63,96 +75,107 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.off = ["html"], [-1], [False]
         self.talk: set[int] = set()  # nodes named as reader comments
+        self.doubtful: list[int] = []  # nodes of whose name furniture is only a part
         self.texts: list[tuple[int, str]] = []  # node, text
-        stack, at = [0], 0
-        for m in TOKEN.finditer(source):
-            if m.start() < at:
-                continue
-            if m.start() > at:
-                self._text(stack[-1], source[at : m.start()])
-            at = m.end()
-            close, name = m[1], (m[2] or "").lower()
+        self.stack = [0]  # open nodes
+        # Depths on the stack: by tag, of blocks, of blocks other than p, and of list scopes; so no search walks the stack.
+        self.depths: dict[str, list[int]] = defaultdict(list)
+        self.blocks, self.walls, self.scopes = [0], [0], [0]
+        at = 0
+        for start, _, close, name, rest, stop in tags(source):
+            if start > at:
+                self._text(source[at:start])
+            at = stop
             if not name:
                 continue
             if close:
-                self._close(stack, name)
-                continue
-            if name == "html":
-                continue
-            node = self._open(stack, name, m[3])
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
-                self.off[node] = True
-            elif name not in VOID:
-                stack.append(node)
+                self._close(name)
+            elif name != "html" and not (name == "body" and self.depths["body"]):
+                self._open(name, rest)
         if at < len(source):
-            self._text(stack[-1], source[at:])
-
-    def _text(self, node: int, text: str) -> None:
-        if text.strip():
-            self.texts.append((node, html.unescape(text) if "&" in text else text))
-        else:
-            self.texts.append((node, " "))
-
-    def _open(self, stack: list[int], name: str, attributes: str) -> int:
-        tags = self.tag
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == "p":
-                    del stack[k:]
-                    break
-                if tags[stack[k]] in BLOCK:
-                    break
+            self._text(source[at:])
+
+    def _text(self, text: str) -> None:
+        self.texts.append((self.stack[-1], decoded(text) if text.strip() else " "))
+
+    def _push(self, node: int, name: str) -> None:
+        depth = len(self.stack)
+        self.stack.append(node)
+        self.depths[name].append(depth)
+        if name in BLOCK:
+            self.blocks.append(depth)
+            if name != "p":
+                self.walls.append(depth)
+        if name in LIST_SCOPE:
+            self.scopes.append(depth)
+
+    def _pop(self, depth: int) -> None:
+        """Close all nodes from ``depth`` up."""
+        while len(self.stack) > depth:
+            last = len(self.stack) - 1
+            self.depths[self.tag[self.stack.pop()]].pop()
+            for some in (self.blocks, self.walls, self.scopes):
+                if some[-1] == last:
+                    some.pop()
+
+    def _open(self, name: str, rest: str) -> None:
+        tag, stack = self.tag, self.stack
+        if name in CLOSES_P and tag[stack[self.blocks[-1]]] == "p":
+            self._pop(self.blocks[-1])
         if ends := CLOSED_BY.get(name):
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in ends:
-                    del stack[k:]
-                    if name != "tr":
-                        break
-                elif tags[stack[k]] in LIST_SCOPE:
-                    break
-        node = len(tags)
-        tags.append(name)
+            found = [d[-1] for e in ends if (d := self.depths[e]) and d[-1] > self.scopes[-1]]
+            if found:
+                self._pop(min(found) if name == "tr" else max(found))
+        node = len(tag)
+        tag.append(name)
         self.parent.append(stack[-1])
-        self.off.append(bool(attributes.strip() and self._named_off(name, attributes, stack)) or name in OFF_TAGS)
-        if name == "header" and not any(tags[k] in LANDMARKS for k in stack):
-            self.off[node] = True
+        self.off.append(name in OFF_TAGS or name == "header" and not self._in_landmark() or bool(rest.strip()) and self._named_off(node, name, rest))
         if name in BLOCK or name == "br":
             self.texts.append((node, "" if name in BLOCK else " "))
-        return node
+        if not (name in VOID or name in RAW or name == "svg" and rest.endswith("/")):
+            self._push(node, name)
 
-    def _named_off(self, name: str, attributes: str, stack: list[int]) -> bool:
-        if name in ("body", "html", "main") or name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    def _in_landmark(self) -> bool:
+        return any(self.depths[t] for t in LANDMARKS)
+
+    def _named_off(self, node: int, name: str, rest: str) -> bool:
+        if name in ("body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
             return False
-        words: set[str] = set()
-        node = len(self.tag) - 1
-        for key, *value in ATTRIBUTE.findall(attributes):
-            key, text = key.lower(), "".join(value)
+        sure = doubtful = False
+        for key, value in attributes(rest):
             if key in ("class", "id"):
-                words.update(w.lower() for w in WORD.findall(text))
-            elif key == "role" and text.lower() in OFF_ROLES or key == "hidden" or key == "aria-hidden" and text.lower() == "true":
+                for one in value.split():
+                    words = {w.lower() for w in WORD.findall(one)}
+                    hit = words & OFF_WORDS
+                    if not hit or words & STATE_WORDS or hit == {"header"} and self._in_landmark():
+                        continue
+                    if name == "article":
+                        sure = sure or bool(hit & COMMENT_WORDS)
+                    elif hit & SURE_WORDS or not words - OFF_WORDS - LAYOUT_WORDS - {w for w in words if len(w) == 1}:
+                        sure = True
+                    else:
+                        doubtful = True
+                    if hit & COMMENT_WORDS:
+                        self.talk.add(node)
+            elif key == "role" and value.lower() in OFF_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return True
-            elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", text, re.I):
+            elif key == "style" and NOT_SHOWN.search(value):
                 return True
-        if words & COMMENT_WORDS:
-            self.talk.add(node)
-        if name == "article":
-            return bool(words & COMMENT_WORDS)
-        hit = words & OFF_WORDS
-        if hit == {"header"} and any(self.tag[k] in LANDMARKS for k in stack):
-            return False
-        return bool(hit)
-
-    def _close(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == name:
-                if name in BLOCK:
-                    self.texts.append((self.parent[stack[k]], ""))
-                del stack[k:]
-                return
-            if name not in BLOCK and self.tag[stack[k]] in BLOCK and self.tag[stack[k]] != "p":
-                return
+        if doubtful and not sure:
+            self.doubtful.append(node)
+        return sure
+
+    def _close(self, name: str) -> None:
+        if not self.depths[name]:
+            if name == "p":
+                self.texts.append((self.stack[-1], ""))
+            return
+        depth = self.depths[name][-1]
+        if name not in BLOCK and self.walls[-1] > depth:
+            return
+        if name in BLOCK:
+            self.texts.append((self.parent[self.stack[depth]], ""))
+        self._pop(depth)
 
     # --- density ---
 
@@ -167,7 +190,7 @@ class Page:
         """
         n = len(self.tag)
         marks = [t in LANDMARKS or t == "h1" for t in self.tag]
-        may_stay = [self.off[k] and (t in WRAPPERS or t not in OFF_TAGS and t not in RAW and t != "header") for k, t in enumerate(self.tag)]
+        may_stay = [self.off[k] and (t in WRAPPERS or t not in OFF_TAGS and t != "header") for k, t in enumerate(self.tag)]
         gone = [False] * n
         above = [-1] * n  # the nearest part, the node itself included, that is taken off
         for k in range(1, n):
@@ -201,8 +224,8 @@ class Page:
                     kept, kept_marks, kept_landmarks = kept + own[k], kept_marks + own_marks[k], kept_landmarks + own_landmarks[k]
             self.off[k] = self.off[k] or self.off[self.parent[k]]
 
-    def densities(self) -> tuple[list[float], list[float], list[int]]:
-        """Composite density, density sum and characters of each node."""
+    def densities(self) -> tuple[list[float], list[float], list[int], list[int]]:
+        """Composite density, density sum, characters and characters of links of each node."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         in_link = [False] * n
@@ -231,45 +254,65 @@ class Page:
             density[k] = c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1) / max(1e-9, math.log(base + 1))
             if k:
                 sums[self.parent[k]] += density[k]
-        return density, sums, chars
+        return density, sums, chars, link_chars
+
+    def judge(self) -> tuple[list[float], list[float], list[int], list[int]]:
+        """Take off the parts of doubtful names that links fill or that are less dense than the body; the densities then."""
+        found = self.densities()
+        density, _, chars, links = found
+        body = self.body
+        gone = [
+            k for k in self.doubtful
+            if not self.off[k] and (2 * links[k] > chars[k] or self.tag[k] not in TEXT_TAGS and (3 * links[k] > chars[k] or density[k] < density[body]))
+        ]
+        if gone:
+            for k in gone:
+                self.off[k] = True
+            for k in range(1, len(self.tag)):
+                self.off[k] = self.off[k] or self.off[self.parent[k]]
+            found = self.densities()
+        return found
+
+    @property
+    def body(self) -> int:
+        return self.tag.index("body") if "body" in self.tag else 0
 
     def article(self) -> list[int]:
-        """Roots of the main text, in page order."""
+        """Roots of the main text."""
         self.settle()
-        density, sums, chars = self.densities()
-        n = len(self.tag)
+        density, sums, chars, links = self.judge()
+        n, body = len(self.tag), self.body
         best = max((k for k in range(n) if not self.off[k]), key=lambda k: (sums[k], density[k]))
-        landmark, k = -1, best
-        while k >= 0:
-            if self.tag[k] in LANDMARKS:  # the outermost: a main's heading and lead stand outside its article
-                landmark = k
+        raised = k = best
+        while k > body:
+            if density[k] >= density[body] * (0.5 if self.tag[k] in LANDMARKS else 1):
+                raised = k
             k = self.parent[k]
-        if landmark >= 0:
-            return [landmark]
-        for k in range(best, n):
-            if self.tag[k] in LANDMARKS and not self.off[k] and 2 * chars[k] > chars[best] and self._under(k, best):
-                return [k]
-        body = self.tag.index("body") if "body" in self.tag else 0
-        raised = best
-        while raised > body and self.parent[raised] > body and density[self.parent[raised]] >= density[body]:
-            raised = self.parent[raised]
-        if raised <= body:
+        if k != body or raised <= body:  # outside of the body, or all of it
             return [raised]
-        parts = [k for k in range(body + 1, n) if self.parent[k] == self.parent[raised] and self.tag[k] in BLOCK and not self.off[k]]
-        return [k for k in parts if k == raised or 2 * density[k] >= density[raised]] if raised in parts else [raised]
+        kind = (*LANDMARKS, "section") if self.tag[raised] in LANDMARKS else BLOCK
+        of = self.parent[raised]
+        roots = [k for k in range(body + 1, n) if self.parent[k] == of and not self.off[k] and (k == raised or self.tag[k] in kind and 2 * density[k] >= density[raised])]
+        inside = self._below(roots)
+        headings = [k for k in range(body + 1, n) if self.tag[k] == "h1" and not self.off[k] and chars[k]]
+        before = [k for k in headings if k < raised and 2 * links[k] <= chars[k]]
+        if before and not any(inside[k] for k in headings):
+            roots.append(before[-1])
+        return roots
 
-    def _under(self, k: int, root: int) -> bool:
-        while k > root:
-            k = self.parent[k]
-        return k == root
+    def _below(self, roots: list[int]) -> list[bool]:
+        """Whether each node is one of the roots or below one."""
+        inside = [False] * len(self.tag)
+        for k in roots:
+            inside[k] = True
+        for k in range(1, len(self.tag)):
+            inside[k] = inside[k] or inside[self.parent[k]]
+        return inside
 
     def text(self) -> str:
         if len(self.tag) == 1 and not self.texts:
             return ""
-        roots = set(self.article())
-        inside = [k in roots for k in range(len(self.tag))]
-        for k in range(1, len(self.tag)):
-            inside[k] = inside[k] or inside[self.parent[k]]
+        inside = self._below(self.article())
         blocks, run = [], []
         for node, text in self.texts:
             if text == "":  # a block begins or ends

@@ -15,7 +15,6 @@ no rows; a null or broken html gives the parts that could be read; further colum
 from __future__ import annotations
 
 import hashlib
-import html
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
-from .html_density import ATTRIBUTE, BLOCK, RAW, TOKEN
+from .markup import BLOCK, RAW, attributes, decoded, tags
 
 WIDTH = 64
 MEDIA_TAGS = frozenset("img video audio source embed".split())
@@ -77,7 +76,12 @@ def parse(source: str | None) -> list[dict]:
     caption: list[str] | None = None  # of the innermost figure
 
     def clean(parts: list[str]) -> str:
-        return " ".join(html.unescape("".join(parts)).split())
+        return " ".join(decoded("".join(parts)).split())
+
+    def merged(a: list[dict], b: list[dict]) -> list[dict]:
+        a, b = (a, b) if len(a) >= len(b) else (b, a)  # the longer one grows, so deep nesting costs no more than the page
+        a += b
+        return a
 
     def flush() -> None:
         text = clean(run)
@@ -102,18 +106,16 @@ def parse(source: str | None) -> list[dict]:
         for held in figure["captions"]:
             held["kind"] = None if takers or not held["text"] else "text"
         if figures:
-            figures[-1]["inner"] += figure["inner"] if figure["items"] and takers else [] if takers else figure["items"] + figure["inner"]
+            bare = [] if takers and not figure["items"] else figure["inner"] if takers else merged(figure["items"], figure["inner"])
+            figures[-1]["inner"] = merged(figures[-1]["inner"], bare)
 
     at, source = 0, source or ""
-    for m in TOKEN.finditer(source):
-        if m.start() < at:
+    for start, _, close, name, rest, stop in tags(source):
+        (run if caption is None else caption).append(source[at:start])
+        at = stop
+        if name in RAW:
             continue
-        (run if caption is None else caption).append(source[at : m.start()])
-        at, close, name = m.end(), m[1], (m[2] or "").lower()
-        if not close and name in RAW and name not in MEDIA_TAGS:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
-        elif name == "figcaption" and figures:
+        if name == "figcaption" and figures:
             end_caption()
             flush()
             if not close:
@@ -129,13 +131,13 @@ def parse(source: str | None) -> list[dict]:
                 end_figure()
         elif name in MEDIA_TAGS and not close:
             flush()
-            values = {k.lower(): html.unescape("".join(v)) for k, *v in ATTRIBUTE.findall(m[3])}
+            values = {k: decoded(v) for k, v in attributes(rest) if k in ("src", "alt")}
             if values.get("src"):
                 item = {"pos": 0, "kind": "media", "text": None, "digest": values["src"].removeprefix("sha256:"), "caption": values.get("alt") or None}
                 out.append(item)
                 if figures:
                     figures[-1]["items"].append(item)
-        elif name in BLOCK or name == "br":
+        elif name in BLOCK or name in ("br", "option"):
             if caption is None:
                 flush()
             else:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from catalith.llm import html_density, media, notices, quality
+from catalith.llm import html_density, markup, media, notices, quality
 
 from .samples import clashing, documents, odd_rows
 
@@ -172,6 +173,73 @@ def test_broken_markup(bad):
     assert isinstance(html_density.main_text(bad), str)
 
 
+STORY = "".join("<p>" + p + "</p>" for p in PROSE)
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<body><div class=widget><p>The long text of the page.</p></div></body>", "The long text of the page."),
+        ("<body><div id=no-sidebar><h2>Head</h2><p>The text.</p></div></body>", "Head\nThe text."),
+        ("<body><article><h2>A</h2><p>First article here.</p></article><article><h2>B</h2><p>Second article here.</p></article></body>", "A\nFirst article here.\nB\nSecond article here."),
+        ("<body><article><p class=share-price>The share price rose.</p><p>Other text of the story.</p><ul class=share-links><li><a href=a>Mail</a></ul></article></body>", "The share price rose.\nOther text of the story."),
+        ("<body><div class=post><p class='notice'>Old page.</p><p>Text of the page that counts.</p><p>And more of it.</p></div></body>", "Text of the page that counts.\nAnd more of it."),
+        ("<body><p class=it's>Hello there</p></body>", "Hello there"),
+        ('<body><p title="x>Hello there</p></body>', "Hello there"),
+        ("<body><svg/><p>After a graphic.</p><title>T<p>More.</p></body>", "After a graphic.\nT\nMore."),
+        ("<body><p>a &#" + "0" * 5000 + "65; &#" + "9" * 5000 + "; b</p></body>", "a A � b"),
+    ],
+)
+def test_parts_of_the_page_that_stay(page, wanted):
+    assert html_density.main_text("<html>" + page + "</html>") == wanted
+
+
+@pytest.mark.parametrize("frame", ["%s", "<div class=wrap>%s</div>", "<main>%s</main>"])
+def test_sections_without_landmarks_and_with(frame):
+    sections = "".join(f"<section><h2>Part {k}</h2>{STORY}</section>" for k in range(3))
+    got = html_density.main_text("<html><body><div>Site</div>" + frame % sections + "<div class=footer>(c)</div></body></html>")
+    assert got.removeprefix("Site\n") == "\n".join("\n".join([f"Part {k}", *PROSE]) for k in range(3))
+
+
+def test_a_heading_outside_the_found_part_stays():
+    page = "<html><body><div class=hero><h1>The heading</h1></div><div>By someone</div><div class=post>" + STORY + "</div><div><a href=a>Next</a> <a href=b>Last</a></div></body></html>"
+    assert html_density.main_text(page) == "\n".join(["The heading", *PROSE])
+
+
+def test_density_chooses_and_no_landmark_does():
+    """An article element of links beside the text is not the article."""
+    links = "<article>" + "".join(f"<h3><a href=/{i}>story number {i}</a></h3>" for i in range(20)) + "</article>"
+    assert html_density.main_text("<html><body>" + links + "<div>" + STORY + "</div></body></html>") == "\n".join(PROSE)
+
+
+HOSTILE = [
+    '<p title="' * 100_000, "<" * 1_000_000, "<b>" * 100_000 + "</p>" * 100_000, "<b>" * 100_000 + "<div>x</div>" * 40_000, "<div>" * 100_000, "<title>" * 100_000, "<li>" * 100_000,
+    "<div>" * 50_000 + "<header>x" * 50_000, "<p x='\">\"" * 80_000, "<!--" * 250_000, "<p " + "=" * 1_000_000, "<figure><img src=a>" * 50_000, "<div class=share-x>" * 40_000, "<a href=x>y" * 80_000,
+]
+
+
+@pytest.mark.parametrize("k", range(len(HOSTILE)))
+def test_hostile_markup_takes_no_longer_than_its_length(k):
+    began = time.perf_counter()
+    html_density.main_text(HOSTILE[k])
+    media.parse(HOSTILE[k])
+    assert time.perf_counter() - began < 20  # quadratic time would be minutes
+
+
+def test_tags_of_a_million_open_quotes():
+    began = time.perf_counter()
+    assert len(list(markup.tags('<p title="' * 100_000))) == 1
+    assert time.perf_counter() - began < 1
+
+
+def test_tags_and_attributes():
+    found = [(close, name, list(markup.attributes(rest))) for _, _, close, name, rest, _ in markup.tags("a<b<P Class = 'x>y' id=z/ hidden>t</p ><!-- <i> --><br/></3><script>'<p>'</script x><i a=\"1\"b=2>")]
+    assert found == [
+        (False, "b<p", [("class", "x>y"), ("id", "z/"), ("hidden", "")]), (True, "p", []), (False, "", []), (False, "br", []), (False, "", []),
+        (False, "script", []), (False, "i", [("a", "1"), ("b", "2")]),
+    ]
+
+
 @settings(max_examples=200, deadline=None)
 @given(parts=st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "text ", "<br>", "<li>", "<table><tr><td>", "</table>", "<article>", "</article>", "&amp;", "<!--", "-->", "<b>", "</b>", "\n", "<nav>", "</nav>"]), max_size=40))
 def test_any_markup_gives_clean_blocks(parts):
