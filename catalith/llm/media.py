@@ -222,6 +222,11 @@ def collected(elements: DataFrame, sequences: DataFrame | None = None) -> DataFr
     return elements.groupBy("key").agg(F.sort_array(F.collect_list(element)).alias("sequence"))
 
 
+def page_sequences(pages: DataFrame) -> DataFrame:
+    """One row per element of each page's sequence; pages without elements have none."""
+    return sequences(pages, "page_id", "html").select(F.col("key").alias("page_id"), F.inline("sequence"))
+
+
 def documents_as_media(docs: DataFrame) -> DataFrame:
     """Each document's text as the payload of a captioned figure: stored, referred to by HTML, resolved by digest."""
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")

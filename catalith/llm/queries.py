@@ -22,6 +22,11 @@ def op3_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(table(spark, sf_dir, "documents"))
 
 
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over the stored pages, whose references have no payloads among the sample tables."""
+    return media.page_sequences(table(spark, sf_dir, "pages"))
+
+
 def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract(table(spark, sf_dir, "pages"))
 
@@ -54,7 +59,7 @@ def op10_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_simple8b_tokens, op2_decontamination, op3_media_sequences, op4_text_density, op5_edit_aware_counts,
-        op6_hierarchical_packing, op7_minimax_shards, op8_simhash_anchors, op9_boosted_quality, op10_fuzzy_notices,
+        op6_hierarchical_packing, op7_minimax_shards, op8_simhash_anchors, op9_boosted_quality, op10_fuzzy_notices, page_sequences,
     )
     return {f.__name__: f for f in own}
 

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from catalith.llm import html_density, markup, media, notices, quality
+from catalith.llm import queries as llm_queries
 
 from .samples import clashing, documents, odd_rows
 
@@ -95,6 +96,20 @@ def test_pages_without_elements_keep_their_key(spark):
     assert got == {1: 2, 2: 0, 3: 0, 4: 0}
 
 
+def test_sequences_of_the_drivers_pages(spark, sf_dir):
+    """The text blocks of the sample pages in order, cut by a regular expression; they hold no media."""
+    from html import unescape
+
+    got = {}
+    for r in sorted(llm_queries.page_sequences(spark, sf_dir).collect(), key=lambda r: (r.page_id, r.pos)):
+        assert (r.kind, r.digest, r.caption) == ("text", None, None)
+        got.setdefault(r.page_id, []).append(r.text)
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        body = re.sub("<!--.*?-->", "", re.sub("<(title|style|script)>.*?</\\1>", "", r.html, flags=re.S), flags=re.S)
+        blocks = [" ".join(unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split("</?(?:html|head|body|nav|article|footer|div|p|h1|li|ul|br)(?: [^>]*)?>", body)]
+        assert got[r.page_id] == [b for b in blocks if b]
+
+
 # --- html ----------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p>";</script></head><body class="menu-open">
