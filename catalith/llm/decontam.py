@@ -4,14 +4,17 @@ A window is ``WINDOW`` consecutive words of a benchmark item (the whole item whe
 set of its shingles of ``SHINGLE`` words, is contained in a document only if every one of its shingles is, so one
 shingle is a sufficient prefix: the rarest one over the whole corpus. The steps are
 
-1. count over all documents how often each benchmark shingle occurs, and keep each window's rarest shingle;
-2. join the documents' shingle positions with these prefixes; the prefix's place in the window fixes where the window
-   would start (positional bound) and the document must reach to its end (length bound); compare the words there;
-3. merge the verified windows of a document into hit words, and map windows back to items.
-
-Document shingles meet the benchmark's through broadcast joins of at most ``BLOCK_WINDOWS`` windows; a larger benchmark
-is taken in several blocks of that size. Documents never shuffle their words: only verified occurrences and one row
-per document do.
+1. one scan of the documents keeps, of every document, its number of words, and every position whose shingle the
+   benchmark has, with the few words around it; shingles of all widths are sought at once;
+2. count over all documents how often each benchmark shingle occurs, and keep each window's rarest shingle;
+3. join the kept positions with these prefixes; the prefix's place in the window fixes where the window would start
+   (positional bound) and the document must reach to its end (length bound); compare the words there;
+4. merge the verified windows of a document into hit words, and map windows back to items.
+
+Up to ``KNOWN_SHINGLES`` distinct benchmark shingles are broadcast as they are. Of more, a bitmap of at most
+``MOST_BITS`` bits (256 MB) is broadcast, 16 bits a shingle as long as that allows: it passes all benchmark shingles and a
+few others, which the joins of steps 2 and 3 drop, then dealt by shingle. Documents never shuffle their words: only the
+kept positions and one row per document do.
 
 Defined results: a null or empty text has no words and is clean; a null doc_id is carried; rows equal in id and text get
 equal results, rows of one id with different texts are judged apart; items without words match nothing; repeated items
@@ -20,8 +23,6 @@ count once per item_id; an empty benchmark leaves every document clean; further
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,12 @@ from .common import ascii_lower, written
 
 WINDOW = 13
 SHINGLE = 5
-BLOCK_WINDOWS = 50_000
+#: Distinct shingles and windows that are broadcast, about 100 MB each.
+KNOWN_SHINGLES = 2_000_000
+KNOWN_WINDOWS = 200_000
+MOST_BITS = 1 << 31
+#: Bits that one aggregate of bitmap_construct_agg holds (fixed value).
+BUCKET_BITS = 32_768
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -47,15 +53,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), words(text).alias("words"))
 
 
-def _positions(keyed: DataFrame, width: int) -> DataFrame:
-    """One row per shingle position of a document, made and used up inside one stage."""
-    return (
-        keyed.where(F.size("words") >= width)
-        .select("*", F.explode(F.sequence(F.lit(0), F.size("words") - width)).alias("pos"))
-        .select("*", _shingle("words", F.col("pos"), width).alias("shingle"))
-    )
-
-
 def windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item_id, window) for each item, and the distinct windows (window, window_words, width of their shingles)."""
     items = benchmark.select(F.col("item_id").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
@@ -68,46 +65,82 @@ def windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut.select("item_id", "window"), distinct
 
 
-def _window_shingles(distinct: DataFrame, width: int) -> DataFrame:
-    return (
-        distinct.where(F.col("width") == width)
-        .select("window", "window_words", F.explode(F.sequence(F.lit(0), F.size("window_words") - width)).alias("at"))
-        .select("*", _shingle("window_words", F.col("at"), width).alias("shingle"))
-    )
+def _of_width(widths: list[int], width: Column, at: str, pos: Column) -> Column:
+    """The shingle of the row's width at ``pos``."""
+    return F.coalesce(*[F.when(width == w, _shingle(at, pos, w)) for w in widths])
+
+
+def _window_shingles(distinct: DataFrame, widths: list[int]) -> DataFrame:
+    placed = distinct.select("window", "window_words", "width", F.explode(F.sequence(F.lit(0), F.size("window_words") - F.col("width"))).alias("at"))
+    return placed.select("window", "window_words", "at", _of_width(widths, F.col("width"), "window_words", F.col("at")).alias("shingle"))
+
+
+def _known(positions: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The rows without a shingle, and those whose shingle the benchmark has, or may have where it is large."""
+    own = shingles.select("shingle").distinct()
+    n = own.count()
+    if n <= KNOWN_SHINGLES:
+        known = F.broadcast(own.withColumnRenamed("shingle", "known"))
+        return positions.join(known, F.col("shingle") == F.col("known"), "left").where(F.col("shingle").isNull() | F.col("known").isNotNull()).drop("known")
+    bits = min(MOST_BITS, max(BUCKET_BITS, 1 << (16 * n - 1).bit_length()))
+    slot = F.pmod(F.col("shingle"), F.lit(bits))
+    bucket, place = F.floor(slot / BUCKET_BITS), slot % BUCKET_BITS
+    bitmap = own.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    found = F.getbit(byte, (place % 8).cast("int")) == 1
+    return positions.join(F.broadcast(bitmap), bucket == F.col("bucket"), "left").where(F.col("shingle").isNull() | found).drop("bucket", "bits")
+
+
+def scan(docs: DataFrame, shingles: DataFrame, widths: list[int]) -> DataFrame:
+    """One row for each document (``pos`` null) and one for each position whose shingle the benchmark may have, with the
+    words from ``first`` on that any window around it can touch. The only scan of the documents."""
+    n = max(1, len(widths))
+    k = F.col("k")
+    placed = _keyed(docs).select("*", F.explode(F.sequence(F.lit(-1), F.size("words") * n - 1)).alias("k"))
+    if not widths:
+        placed = placed.where(k < 0)
+    # k is -1 for the document and else runs over positions and widths.
+    pos = F.when(k >= 0, (k / n).cast("int"))
+    width = F.get(F.array(*[F.lit(w) for w in widths or [1]]), k % n)
+    placed = placed.select("doc_id", "digest", "words", pos.alias("pos"), width.alias("width"))
+    inside = F.col("pos") + F.col("width") <= F.size("words")
+    placed = placed.where(F.col("pos").isNull() | inside)
+    placed = placed.select("doc_id", "digest", "words", "pos", F.when(F.col("pos").isNotNull(), _of_width(widths or [1], F.col("width"), "words", F.col("pos"))).alias("shingle"))
+    first = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
+    kept = _known(placed, shingles).select(
+        "doc_id", "digest", F.size("words").alias("n_words"), "pos", "shingle",
+        F.when(F.col("pos").isNotNull(), first).alias("first"),
+        F.when(F.col("pos").isNotNull(), F.slice("words", first + 1, F.col("pos") - first + WINDOW)).alias("around"),
+    )
+    return written(kept, "bench-positions")
 
 
-def occurrences(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def occurrences(kept: DataFrame, shingles: DataFrame) -> DataFrame:
     """Verified occurrences of benchmark windows: doc_id, digest, window, first word, one past the last word."""
-    keyed = _keyed(docs)
-    widths = [r[0] for r in distinct.select("width").distinct().orderBy("width").collect()]  # at most SHINGLE values
-    found = []
-    for width in widths:
-        shingles = written(_window_shingles(distinct, width), "bench-shingles")
-        blocks = -(-shingles.select("window").distinct().count() // BLOCK_WINDOWS)
-        for block in range(blocks):
-            mine = shingles.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block) if blocks > 1 else shingles
-            known = F.broadcast(mine.select("shingle").distinct())
-            seen = _positions(keyed, width).join(known, "shingle", "left_semi").groupBy("shingle").count()
-            # Shingles that no document has make their windows impossible: the rarest is then one of these.
-            order = Window.partitionBy("window").orderBy(F.coalesce("count", F.lit(0)), "shingle", "at")
-            prefix = mine.join(written(seen, "shingle-counts"), "shingle", "left").withColumn("rank", F.row_number().over(order))
-            prefix = F.broadcast(prefix.where((F.col("rank") == 1) & F.col("count").isNotNull()).select("shingle", "at", "window", "window_words"))
-            start = F.col("pos") - F.col("at")
-            found.append(
-                _positions(keyed, width)
-                .join(prefix, "shingle")
-                .where((start >= 0) & (start + F.size("window_words") <= F.size("words")))
-                .where(F.slice("words", start + 1, F.size("window_words")) == F.col("window_words"))
-                .select("doc_id", "digest", "window", start.alias("first"), (start + F.size("window_words")).alias("stop"))
-            )
-    empty = keyed.where(F.lit(False)).select("doc_id", "digest", F.lit("").alias("window"), F.lit(0).alias("first"), F.lit(0).alias("stop"))
-    return written(reduce(DataFrame.union, found) if found else empty, "bench-occurrences")
+    hits = kept.where(F.col("pos").isNotNull())
+    counts = hits.groupBy("shingle").count()
+    # A window of which a shingle is in no document has that as its rarest, and is left out.
+    order = Window.partitionBy("window").orderBy(F.coalesce("count", F.lit(0)), "shingle", "at")
+    ranked = shingles.join(counts, "shingle", "left").withColumn("rank", F.row_number().over(order))
+    prefix = written(ranked.where((F.col("rank") == 1) & F.col("count").isNotNull()).select("shingle", "at", "window", "window_words"), "bench-prefixes")
+    if prefix.count() <= KNOWN_WINDOWS:
+        prefix = F.broadcast(prefix)
+    start, size = F.col("pos") - F.col("at"), F.size("window_words")
+    found = (
+        hits.join(prefix, "shingle")
+        .where((start >= 0) & (start + size <= F.col("n_words")))
+        .where(F.slice("around", start - F.col("first") + 1, size) == F.col("window_words"))
+    )
+    return written(found.select("doc_id", "digest", "window", start.alias("first"), (start + size).alias("stop")), "bench-occurrences")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: words, hit words, items with occurring windows, and the contamination verdict."""
     item_windows, distinct = windows(benchmark)
-    occurring = occurrences(docs, distinct)
+    widths = [r[0] for r in distinct.select("width").distinct().orderBy("width").collect()]  # at most SHINGLE values
+    shingles = written(_window_shingles(distinct, widths or [1]), "bench-shingles")
+    kept = scan(docs, shingles, widths)
+    occurring = occurrences(kept, shingles)
     # Hit words: windows in order of their first word, each adding what reaches beyond all earlier ones.
     order = Window.partitionBy("doc_id", "digest").orderBy("first", "stop").rowsBetween(Window.unboundedPreceding, -1)
     spans = occurring.select("doc_id", "digest", "first", "stop").distinct()
@@ -122,7 +155,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = hits.join(items, (hits.doc_id.eqNullSafe(items.doc_id)) & (hits.digest == items.digest)).select(
         hits.doc_id.alias("hit_id"), hits.digest.alias("hit_digest"), "n_hit", "items"
     )
-    docs_words = _keyed(docs).select("doc_id", "digest", F.size("words").cast("long").alias("n_words"))
+    docs_words = kept.where(F.col("pos").isNull()).select("doc_id", "digest", F.col("n_words").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return docs_words.join(judged, (F.col("digest") == F.col("hit_digest")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(

@@ -65,11 +65,24 @@ def test_decontamination(spark):
     assert Counter(map(tuple, got)) == brute_contamination(docs, items)
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 7)
+@pytest.mark.parametrize("most_bits", [1 << 31, 1 << 15])
+def test_decontamination_by_a_bitmap(spark, monkeypatch, most_bits):
+    """A benchmark above the broadcast bounds, with a bitmap that passes few or many other shingles."""
+    monkeypatch.setattr(decontam, "KNOWN_SHINGLES", 7)
+    monkeypatch.setattr(decontam, "KNOWN_WINDOWS", 7)
+    monkeypatch.setattr(decontam, "MOST_BITS", most_bits)
     docs, items = planted()
-    got = decontam.decontaminate(documents(spark, docs[-20:]), spark.createDataFrame(items, "item_id long, text string")).drop("digest").collect()
-    assert Counter(map(tuple, got)) == brute_contamination(docs[-20:], items)
+    got = decontam.decontaminate(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).drop("digest").collect()
+    assert Counter(map(tuple, got)) == brute_contamination(docs, items)
+
+
+def test_decontamination_scans_the_documents_once(spark, monkeypatch):
+    seen = []
+    keyed = decontam._keyed
+    monkeypatch.setattr(decontam, "_keyed", lambda docs: seen.append(1) or keyed(docs))
+    docs, items = planted()
+    got = decontam.decontaminate(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(seen) == 1 and got.count() == len(docs) and "ExistingRDD" not in got._jdf.queryExecution().toString()
 
 
 def test_decontamination_of_empty_tables(spark):
