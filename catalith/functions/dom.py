@@ -7,6 +7,7 @@ mean stay in column expressions (``catalith.operators.extract``), so this helper
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -17,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose texts make up a description (a fixed value).
+TEXT_TAGS = frozenset("p span div li h1 h2 h3 h4 h5 td th".split())
 SAME_CLOSES = frozenset("li tr td th option p".split())
 STEP = re.compile(r"(\s*>\s*|\s+)?([a-z][a-z0-9]*|\*)?((?:#[\w-]+|\.[\w-]+|\[[^\]]+\])*)", re.I)
 PART = re.compile(r"#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:=\"?([^\]\"]*)\"?)?\]")
@@ -54,21 +57,26 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {}, None)
         self.at = self.root
+        self.open: Counter[str] = Counter()  # so that no end tag without a start walks up the page
 
     def handle_starttag(self, tag, attrs):
         if tag in SAME_CLOSES and self.at.tag == tag:
+            self.open[tag] -= 1
             self.at = self.at.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
+            self.open[tag] += 1
             self.at = node
 
     def handle_endtag(self, tag):
-        n = self.at
-        while n.parent is not None and n.tag != tag:
-            n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+        if not self.open[tag]:
+            return
+        while self.at.tag != tag:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[tag] -= 1
+        self.at = self.at.parent
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -133,16 +141,34 @@ def select(within: Node | Index, selector: str) -> list[Node]:
     return [n for n in nodes if _fits(n, *steps[-1][1:]) and _matches(n.parent, steps, len(steps) - 2)]
 
 
+def leaf_texts(node: Node) -> list[str]:
+    """Texts over five characters of the elements without text elements among their children, and images, in page order."""
+    out = []
+    for n in (node, *node.nodes()):
+        if n.tag == "img":
+            source = (n.attrs.get("src") or n.attrs.get("data-src", "")).strip()
+            if source and "pixel" not in source and "transparent" not in source:
+                out.append(f"\n[Image: {source}]\n")
+        elif n.tag in TEXT_TAGS and not any(isinstance(c, Node) and c.tag in TEXT_TAGS for c in n.children) and len(text := n.text()) > 5:
+            out.append(text)
+    return out
+
+
 @dataclass(frozen=True)
 class Probe:
-    """``attr`` instead of the text; ``every`` match instead of the first selector's with a text; texts joined ``between``."""
+    """``attr`` instead of the text; ``every`` match instead of the first selector's with a text; texts joined ``between``;
+    ``leaves``: the texts and images inside the first match, in page order."""
 
     selectors: tuple[str, ...]
     attr: str | None = None
     every: bool = False
     between: str = ""
+    leaves: bool = False
 
     def run(self, root: Node | Index) -> list[str]:
+        if self.leaves:
+            found = next((n for s in self.selectors for n in select(root, s)[:1]), None)
+            return leaf_texts(found) if found else []
         for s in self.selectors:
             texts = [(n.attrs.get(self.attr, "") if self.attr else n.text(self.between)).strip() for n in select(root, s)]
             texts = [t for t in texts if t]

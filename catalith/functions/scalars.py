@@ -211,8 +211,8 @@ def first_delivery(phrases: Column, as_of: Column) -> Column:
 
 
 def price_of_parts(whole: Column, fraction: Column) -> Column:
-    digits = F.regexp_replace(whole, r"[^\d]", "")
-    return F.when(digits != "", F.concat(F.lit("$"), digits, F.lit("."), F.coalesce(F.nullif(F.regexp_replace(fraction, r"[^\d]", ""), F.lit("")), F.lit("00"))))
+    """The price that a page shows in two parts; NULL unless both are there."""
+    return F.when((whole != "") & (fraction != ""), F.concat(F.lit("$"), F.replace(whole, F.lit("."), F.lit("")), F.lit("."), fraction))
 
 
 #: Tag that marks a price in another currency (a fixed value).

@@ -19,8 +19,8 @@ def admitted(observations: DataFrame) -> DataFrame:
     return observations.where((X.strip(F.coalesce("asin", F.lit(""))) != "") & ~quality.parse_failure())
 
 
-def detect_changes(observations: DataFrame) -> DataFrame:
-    """Change rows: asin, seq, batch_id, change_type, change_detail, prev_value, new_value.
+def detect_changes(observations: DataFrame, values: bool = True) -> DataFrame:
+    """Change rows: asin, seq, batch_id, change_type, change_detail, and with ``values`` prev_value and new_value.
 
     Needs asin, seq, batch_id, is_auto, title, bullet_points, current_price, buybox_price, stock_count, stock_status.
     A scheduled sighting replaces the whole baseline, NULLs included, hence the struct.
@@ -52,7 +52,8 @@ def detect_changes(observations: DataFrame) -> DataFrame:
     known = ~F.col("first_seen") & F.col("base.current_price").isNotNull()
 
     def change(kind: str, detail: Column, prev: Column, new: Column) -> Column:
-        return F.struct(F.lit(kind).alias("change_type"), detail.alias("change_detail"), prev.cast("string").alias("prev_value"), new.cast("string").alias("new_value"))
+        texts = [prev.cast("string").alias("prev_value"), new.cast("string").alias("new_value")] if values else []
+        return F.struct(F.lit(kind).alias("change_type"), detail.alias("change_detail"), *texts)
 
     detail = X.change_detail(parts)
     found = F.array(

@@ -53,8 +53,7 @@ PROBES = {
     "quantity": Probe(('select[name="quantity"] option', "select#quantity option"), attr="value", every=True),
     "all_text": Probe(("html", "body"), between=" "),
     "bullets": Probe(("div#feature-bullets ul > li span.a-list-item", "div.a-expander-content ul > li span.a-list-item"), every=True),
-    "description": Probe(("div.aplus p", "#aplus p", "#aplusProductDescription p", "#productDescription p", "#productDescription"), every=True),
-    "description_images": Probe(("div.aplus img", "#aplus img", "#productDescription img"), attr="src", every=True),
+    "description": Probe(("div.aplus", "#aplus", "#aplusProductDescription", "#productDescription"), leaves=True),
     "main_image": Probe(("div#imgTagWrapperId img",), attr="src"),
     "crumbs": Probe(("div#wayfinding-breadcrumbs_feature_div a",), every=True),
     "crumb_links": Probe(("div#wayfinding-breadcrumbs_feature_div a",), attr="href", every=True),
@@ -74,6 +73,7 @@ BULLET_BLACKLIST = (
     "go to your orders", "start the return", "free shipping option", "drop off", "leave!", "return this item", "money back", "customer service",
     "full refund", "eligible for return",
 )
+PRODUCT_PAGE = "https://www.amazon.com/dp/"
 NO_OFFER, UNAVAILABLE, IN_CART = "No Featured Offer", "不可售", "See price in cart"
 
 
@@ -94,6 +94,11 @@ def _match_set(html: Column, pattern: str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))))
 
 
+def kept_bullets(bullets: Column) -> Column:
+    """Bullets of two characters or more that speak of the product and not of orders and returns."""
+    return F.filter(bullets, lambda b: (F.length(b) >= 2) & ~reduce(lambda x, y: x | y, [F.lower(b).contains(w) for w in BULLET_BLACKLIST]))
+
+
 def json_product(html: Column) -> Column:
     """The first Product among a page's JSON-LD blocks (objects, or lists of them), as a variant."""
     blocks = F.regexp_extract_all(html, F.lit(r'(?s)<script\s+type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
@@ -179,7 +184,7 @@ def products(pages: DataFrame, as_of: Column, default_zip: str = "10001") -> Dat
     shown = F.when(one("price").contains("$"), one("price")).when(one("price").rlike(r"(?:CNY|EUR|GBP|JPY|¥|€|£)\s*[\d,]+"), F.concat(F.lit(X.FOREIGN), one("price")))
     price = F.coalesce(_first_of(shown, X.price_of_parts(one("price_whole"), one("price_fraction")), ld["price"], js["price"]), F.lit(NA))
     buybox = F.get(F.filter(every("buybox"), lambda t: t.rlike(r"\d")), F.lit(0))
-    shipping = X.shipping_cost(says("delivery_block", "prime members get free delivery"), one("delivery_block"), F.col("price"), _first_of(one("delivery_price"), one("shipping_row")))
+    shipping = X.shipping_cost(says("delivery_block", "prime members get free delivery"), one("delivery_block"), F.when(branch != "in_cart", F.col("price")), _first_of(one("delivery_price"), one("shipping_row")))
     stock = F.coalesce(_first_of(one("availability"), ld["stock"], js["stock"]), F.when(there("cart_button"), "In Stock").when(there("wish_button"), "Currently unavailable"), F.lit(NA))
     stock = F.when(branch == "in_cart", F.coalesce(one("availability"), F.lit("In Stock"))).otherwise(stock)
     phrases = F.regexp_extract_all(F.array_join(every("delivery"), " "), F.lit(X.DELIVERY_PHRASE), F.lit(1))
@@ -189,10 +194,11 @@ def products(pages: DataFrame, as_of: Column, default_zip: str = "10001") -> Dat
     sells = branch.isin("in_cart", "normal")
     only = lambda c: F.when(sells, c).otherwise(NA)
     named = lambda key: F.coalesce(F.col("d")[key], F.lit(NA))
-    bullets = F.filter(every("bullets"), lambda b: (F.length(b) >= 2) & ~reduce(lambda x, y: x | y, [F.lower(b).contains(w) for w in BULLET_BLACKLIST]))
-    long_text = F.concat(F.filter(every("description"), lambda t: F.length(t) > 5), F.transform(F.filter(every("description_images"), lambda s: ~s.contains("pixel") & ~s.contains("transparent")), lambda s: F.concat(F.lit("[Image: "), s, F.lit("]"))))
-    hi, large = _match_set(html, r'"hiRes":"(https://[^"]+)"'), _match_set(html, r'"large":"(https://[^"]+)"')
-    script_images = F.when(html.contains("colorImages"), F.array_join(F.when(F.size(hi) > 0, hi).otherwise(large), "\n"))
+    bullets = kept_bullets(every("bullets"))
+    scripts = F.transform(F.slice(F.split(html, "(?i)<script"), 2, 1 << 30), lambda s: F.get(F.split(s, "(?i)</script", 2), F.lit(0)))
+    with_images = F.get(F.filter(scripts, lambda s: s.contains("colorImages")), F.lit(0))  # the first such script alone
+    hi, large = _match_set(with_images, r'"hiRes":"(https://[^"]+)"'), _match_set(with_images, r'"large":"(https://[^"]+)"')
+    script_images = F.array_join(F.when(F.size(hi) > 0, hi).otherwise(large), "\n")
     upc = F.array_sort(F.array_distinct(F.concat(_match_set(html, r'"upc":"(\d+)"'), _match_set(html, r"UPC\s*[:#]?\s*(\d{12})"), F.array_compact(F.array(F.col("d")["upc"])))))
     ean = F.array_join(_match_set(html, r'"gtin13":"(\d+)"'), ",")
     parent = F.coalesce(_match(html, r'"parentAsin":"(\w+)"'), F.col("asin"))
@@ -219,7 +225,7 @@ def products(pages: DataFrame, as_of: Column, default_zip: str = "10001") -> Dat
         "delivery_time": only(F.when(delivery["days"] < 999, delivery["days"].cast("string")).otherwise(NA)),
         "image_urls": F.coalesce(_first_of(script_images, one("main_image"), ld["images"]), F.lit("")),
         "bullet_points": F.array_join(bullets, "\n"),
-        "long_description": F.coalesce(_first_of(F.array_join(long_text, "\n"), js["long_text"], js["description"], ld["description"]), F.lit("")),
+        "long_description": F.coalesce(_first_of(F.array_join(every("description"), "\n"), js["long_text"], js["description"], ld["description"]), F.lit("")),
         "upc_list": F.array_join(upc, ","),
         "ean_list": F.when(ean == "", F.coalesce(ld["ean"], F.lit(""))).when(~ean.contains(F.coalesce(ld["ean"], F.lit(""))), F.concat_ws(",", ean, ld["ean"])).otherwise(ean),
         "parent_asin": parent,
@@ -229,15 +235,22 @@ def products(pages: DataFrame, as_of: Column, default_zip: str = "10001") -> Dat
         "category_tree": F.array_join(every("crumbs"), " > "),
         "zip_code": F.coalesce(X.zip5(one("zip")), F.lit(default_zip)),
         "site": F.lit("US"),
+        "product_url": F.concat(F.lit(PRODUCT_PAGE), F.col("asin")),
     }
     # Pages that carry no product keep the default record with a title that says why.
-    bare = {"title": F.when(html == "", quality.EMPTY_PAGE).otherwise(F.concat(F.lit("["), F.col("block"), F.lit("]"))), "is_customized": F.lit("No"), "parent_asin": F.col("asin"), "zip_code": F.lit(default_zip), "site": F.lit("US"), "stock_count": F.lit("0")}
+    bare = {"title": F.when(html == "", quality.EMPTY_PAGE).otherwise(X.labelled(F.col("block"), quality.BLOCK_TITLES)), "is_customized": F.lit("No"), "parent_asin": F.col("asin"), "zip_code": F.lit(default_zip), "site": F.lit("US"), "stock_count": F.lit("0"), "product_url": record["product_url"]}
     empty = set("image_urls bullet_points long_description upc_list ean_list variation_asins category_ids category_tree".split())
     shell = (html == "") | F.col("block").isNotNull()
     columns = [F.when(shell, bare.get(n, F.lit("" if n in empty else NA))).otherwise(c).alias(n) for n, c in record.items()]
     return d.select("asin", *columns)
 
 
+def missing_products(asins: DataFrame, default_zip: str = "10001") -> DataFrame:
+    """Records of pages that the site does not have (column asin): the default one under a title that says so, a success."""
+    bare = products(asins.select("asin", F.lit("").alias("html")), F.current_date(), default_zip)
+    return bare.withColumn("title", F.lit(quality.NOT_FOUND))
+
+
 def offers(pages: DataFrame) -> DataFrame:
     """The first priced offer of each offer-list page (columns asin, html); pages without one give no row."""
     block = F.col("html").contains("validateCaptcha")

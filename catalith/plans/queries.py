@@ -7,14 +7,17 @@ users as workers, and screenshots.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions import quality
 from catalith.functions import scalars as X
+from catalith.functions.dom import Probe, probed
 from catalith.operators import changes, extract, metrics, results, tasks
+from catalith.schemas import CONTENT_FIELDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -221,8 +224,8 @@ def keyset_total(spark, sf_dir):
 
 
 @query("""
-WITH i AS (SELECT DISTINCT user_id AS asin, e AS batch FROM events, (SELECT DISTINCT event_type AS e FROM events)),
-v AS (SELECT user_id, event_type, ts, event_id, CASE WHEN event_id % 5 = 0 THEN 'none' ELSE 'p' || event_id END AS path FROM events),
+WITH i AS (SELECT DISTINCT user_id AS asin, event_type AS batch FROM events WHERE event_id % 2 = 0),
+v AS (SELECT user_id, event_type, ts, event_id, CASE WHEN event_id % 5 = 0 THEN 'none' ELSE 'p' || event_id END AS path FROM events WHERE event_id % 2 = 1),
 o AS (SELECT user_id, event_type, arg_max(path, struct_pack(ts := ts, event_id := event_id)) AS p FROM v WHERE path <> 'none' GROUP BY ALL),
 a AS (SELECT user_id, arg_max(path, struct_pack(ts := ts, event_id := event_id)) AS p FROM v WHERE path <> 'none' GROUP BY ALL)
 SELECT i.asin, i.batch, coalesce(o.p, a.p) AS path FROM i LEFT JOIN o ON o.user_id = asin AND event_type = batch LEFT JOIN a ON a.user_id = asin
@@ -230,8 +233,8 @@ SELECT i.asin, i.batch, coalesce(o.p, a.p) AS path FROM i LEFT JOIN o ON o.user_
 def latest_path_two_tier(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     path = F.when(F.col("event_id") % 5 == 0, "none").otherwise(F.concat(F.lit("p"), F.col("event_id").cast("string")))
-    shots = events.select(F.col("user_id").alias("asin"), F.col("event_type").alias("batch"), path.alias("path"), "ts", "event_id")
-    items = shots.select("asin").distinct().join(F.broadcast(shots.select("batch").distinct()))  # event types are a closed list
+    named = events.select(F.col("user_id").alias("asin"), F.col("event_type").alias("batch"), path.alias("path"), "ts", "event_id")
+    items, shots = named.where("event_id % 2 = 0").select("asin", "batch").distinct(), named.where("event_id % 2 = 1")
     return results.latest_paths(items, shots, "asin", "batch", "path", ["ts", "event_id"])
 
 
@@ -288,21 +291,29 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_quantity") != 25, price).alias("current_price"),
         F.when(F.col("l_linenumber") > 1, price).alias("buybox_price"),
         F.concat(F.lit("Only "), F.floor(F.col("l_quantity") / 20).cast("string"), F.lit(" left")).alias("stock_count"),
-        F.when(F.col("l_linestatus") == "O", " In Stock").otherwise("in stock").alias("stock_status"),
+        F.when(F.col("l_returnflag") == "A", "Gone").when(F.col("l_linestatus") == "O", " In Stock").otherwise("in stock").alias("stock_status"),
     )
 
 
+def _shown(row: str) -> str:
+    """The values of a sighting as change rows show them."""
+    texts = {"price": f"'$' || {row}price", "buybox": f"'$' || {row}buybox", "stock": f"'Only ' || {row}stock || ' left'", "status": f"{row}status"}
+    return "concat_ws(', ', " + ", ".join(f"'{k}=' || coalesce({v}, 'None')" for k, v in texts.items()) + ")"
+
+
 OBS = f"""b AS (SELECT l_partkey AS asin, l_suppkey AS batch_id, l_returnflag = 'R' AS is_auto, 'part ' || l_partkey || ' ' || l_linestatus AS title, CASE WHEN l_linenumber <> 3 THEN 'same' END AS bullet_points,
 CASE WHEN l_quantity <> 25 THEN floor(l_extendedprice / l_quantity / 200)::BIGINT END AS price, CASE WHEN l_linenumber > 1 THEN floor(l_extendedprice / l_quantity / 200)::BIGINT END AS buybox, floor(l_quantity / 20)::BIGINT AS stock,
+CASE WHEN l_returnflag = 'A' THEN 'Gone' WHEN l_linestatus = 'O' THEN ' In Stock' ELSE 'in stock' END AS status,
 row_number() OVER (PARTITION BY l_partkey ORDER BY {', '.join(ALL_LINE)}) AS rn FROM lineitem),
 h AS (SELECT *, md5(title || '|' || coalesce(bullet_points, '')) AS tb FROM b),
-w AS (SELECT *, last_value(CASE WHEN rn = 1 OR is_auto THEN struct_pack(price := price, buybox := buybox, stock := stock, tb := tb) END IGNORE NULLS) OVER p AS base,
+w AS (SELECT *, last_value(CASE WHEN rn = 1 OR is_auto THEN struct_pack(price := price, buybox := buybox, stock := stock, status := status, tb := tb) END IGNORE NULLS) OVER p AS base,
 last_value(title IGNORE NULLS) OVER p AS last_title FROM h WINDOW p AS (PARTITION BY asin ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 d AS (SELECT *, concat_ws(', ', CASE WHEN price > base.price THEN 'price:up' WHEN price < base.price THEN 'price:down' END,
 CASE WHEN buybox > base.buybox THEN 'buybox:up' WHEN buybox < base.buybox THEN 'buybox:down' END,
-CASE WHEN stock > base.stock THEN 'stock_qty:up' WHEN stock < base.stock THEN 'stock_qty:down' END) AS detail FROM w),
+CASE WHEN stock > base.stock THEN 'stock_qty:up' WHEN stock < base.stock THEN 'stock_qty:down' END,
+CASE WHEN lower(trim(status)) <> lower(trim(base.status)) THEN 'stock_status:changed' END) AS detail FROM w),
 c AS (SELECT asin, batch_id, 'new' AS change_type, 'first_seen' AS change_detail, NULL AS old_text, NULL AS new_text FROM d WHERE rn = 1 AND batch_id IS NOT NULL
-UNION ALL SELECT asin, batch_id, 'price_stock', detail, NULL, NULL FROM d WHERE rn > 1 AND base.price IS NOT NULL AND detail <> ''
+UNION ALL SELECT asin, batch_id, 'price_stock', detail, {_shown('base.')}, {_shown('')} FROM d WHERE rn > 1 AND base.price IS NOT NULL AND detail <> ''
 UNION ALL SELECT asin, batch_id, 'title_bullets', 'title_or_bullets_changed', 'title=' || last_title, 'title=' || title FROM d WHERE rn > 1 AND base.price IS NOT NULL AND base.tb <> tb)"""
 
 
@@ -311,20 +322,17 @@ WITH {OBS} SELECT asin, batch_id, change_type, change_detail, count(*) AS n, min
 """)
 def baseline_change_detection(spark, sf_dir):
     found = changes.detect_changes(observations(spark, sf_dir))
-    titles = F.col("change_type") == "title_bullets"
-    return found.groupBy("asin", "batch_id", "change_type", "change_detail").agg(
-        F.count("*").alias("n"), F.min(F.when(titles, F.col("prev_value"))).alias("old_text"), F.max(F.when(titles, F.col("new_value"))).alias("new_text")
-    )
+    return found.groupBy("asin", "batch_id", "change_type", "change_detail").agg(F.count("*").alias("n"), F.min("prev_value").alias("old_text"), F.max("new_value").alias("new_text"))
 
 
 @query(f"WITH {OBS} SELECT change_type, count(DISTINCT asin) AS n_keys FROM c GROUP BY 1")
 def change_stats(spark, sf_dir):
-    return changes.change_stats(changes.detect_changes(observations(spark, sf_dir)))
+    return changes.change_stats(changes.detect_changes(observations(spark, sf_dir), values=False))
 
 
 @query(f"WITH {OBS} {PART} WHERE p_partkey IN (SELECT asin FROM c WHERE change_type = 'title_bullets' AND batch_id = 5)")
 def change_facet(spark, sf_dir):
-    found = changes.detect_changes(observations(spark, sf_dir))
+    found = changes.detect_changes(observations(spark, sf_dir), values=False)
     return _parts(spark, sf_dir).changed("title_bullets", found, _members(spark, sf_dir), 5).rows()
 
 
@@ -337,9 +345,16 @@ def current_state_upsert(spark, sf_dir):
     return changes.current_state(observations(spark, sf_dir), ["title", "bullet_points", "current_price", "stock_count"]).drop("seq")
 
 
-@query("SELECT p_partkey, md5(concat_ws('|', coalesce(p_name, ''), coalesce(p_brand, ''), coalesce(p_type, ''), p_size::VARCHAR)) AS record_hash FROM part")
+#: Part columns under the names of the record's content fields; all others are empty.
+PART_CONTENT = {"title": "p_name", "brand": "p_brand", "product_type": "p_type", "item_weight": "p_size"}
+
+
+@query(f"""
+SELECT p_partkey, md5(concat_ws('|', {', '.join(f"coalesce({PART_CONTENT[f]}::VARCHAR, '')" if f in PART_CONTENT else "''" for f in CONTENT_FIELDS)})) AS record_hash FROM part
+""")
 def record_hash(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", X.joined_hash([F.col(c) for c in ("p_name", "p_brand", "p_type", "p_size")]).alias("record_hash"))
+    fields = [F.col(PART_CONTENT[f]).alias(f) if f in PART_CONTENT else F.lit(None).cast("string").alias(f) for f in CONTENT_FIELDS]
+    return table(spark, sf_dir, "part").select("p_partkey", *fields).select("p_partkey", X.content_hash().alias("record_hash"))
 
 
 @query("""
@@ -462,17 +477,14 @@ def json_props(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
+SELECT page_id, replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
 len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::INT AS n_links FROM pages
 """)
 def page_extract(spark, sf_dir):
-    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return table(spark, sf_dir, "pages").select(
-        "page_id",
-        F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"),
-        F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"),
-        F.size(F.array_distinct(links)).alias("n_links"),
-    )
+    probes = {"title": Probe(("title",)), "lang": Probe(("html",), attr="lang"), "links": Probe(("a",), attr="href", every=True)}
+    looked = table(spark, sf_dir, "pages").select("page_id", probed(F.col("html"), probes)["found"].alias("p"))
+    one = lambda name: F.coalesce(F.get(F.col("p")[name], F.lit(0)), F.lit(""))
+    return looked.select("page_id", one("title").alias("title"), one("lang").alias("lang"), F.size(F.array_distinct("p.links")).alias("n_links"))
 
 
 @query("""
@@ -483,25 +495,145 @@ def page_quality_class(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", quality.response_class(status, F.col("html")).alias("class"))
 
 
-#: Articles read as product pages: their heading is put where a title may stand.
-@query(r"""
-SELECT page_id::VARCHAR AS asin, coalesce(nullif(trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')), ''), 'N/A') AS title,
-'N/A' AS brand, 'N/A' AS current_price, 'N/A' AS stock_status, '' AS bullet_points FROM pages
-""")
+# Product pages made of the parts: one kind of page for each branch of extraction, by the last digit of the key.
+BRANCHES = ("full", "json", "parts", "no_offer", "gone", "in_cart", "script", "foreign", "captcha", "empty")
+_HEAD = '<html><head><meta name="keywords" content="{brand}, other"></head><body><span id="productTitle"> {name} </span>'
+PAGES = {
+    "full": _HEAD + '<a id="bylineInfo">Visit the {brand} Store</a><span id="glow-ingress-line1">Deliver to 90210</span>'
+    '<div id="corePrice_feature_div"><span class="a-offscreen">{price}</span><span data-a-strike="true"><span class="a-offscreen">$9999.00</span></span></div>'
+    '<div id="deliveryBlockMessage"><b>FREE delivery</b> on orders over $1000</div><div data-csa-c-delivery-time="x"><span>Friday, Nov 29 or Tomorrow</span></div>'
+    '<div id="availability"><span> Only {size} left in stock </span></div><input id="add-to-cart-button">'
+    '<div id="tabular-buybox"><table><tr><td>Ships from</td><td><span class="a-color-base">Shop {size}</span></td></tr></table></div>'
+    '<table><tr><th>Item model number</th><td>M-{key}</td></tr><tr><th>Package Dimensions</th><td>1 x 2 x {size} inches; {size} pounds</td></tr><tr><th>Manufacturer</th><td>{kind}</td></tr></table>'
+    '<ul><li><span><span class="a-text-bold">Date First Available:</span><span>May {size}, 2020</span></span></li></ul>'
+    '<div id="feature-bullets"><ul><li><span class="a-list-item">{name} of {kind}</span></li><li><span class="a-list-item">Full refund always</span></li><li><span class="a-list-item">x</span></li></ul></div>'
+    '<div id="wayfinding-breadcrumbs_feature_div"><a href="/b?node={size}">{kind}</a><a href="/b?node=7{size}">Kitchen</a></div>'
+    '<div id="productDescription"><h3>About it</h3><p>All about {name} &amp; more</p><img src="https://i/{key}.jpg"><p>Short</p></div>'
+    '<script>"hiRes":"https://other/x.jpg"</script><script>var colorImages = "hiRes":"https://i/b{key}.jpg" "hiRes":"https://i/a{key}.jpg" "parentAsin":"P{key}" "asin":"V2" "asin":"V1" "upc":"77{key}" "gl_product_group_type":"{kind}"</script></body></html>',
+    "json": '<html><body><script type="application/ld+json">{{"@type":"Thing"}}</script><script type="application/ld+json">{{"@type":["Product"],"name":" {name} ","brand":{{"name":"{brand}"}},"image":["u1","u{key}"],'
+    '"offers":[{{"priceCurrency":"EUR","price":1}},{{"price":"{amount}","availability":"http://schema.org/InStock"}}],"gtin13":"12{key}","description":"A text of {name}"}}</script></body></html>',
+    "parts": _HEAD + '<div id="price"><span class="a-price-whole">1,{size}.</span><span class="a-price-fraction">05</span></div><select name="quantity"><option value="1">1<option value="{size}">{size}</select><input id="add-to-cart-button"></body></html>',
+    "no_offer": _HEAD + "<p>No featured offers available</p></body></html>",
+    "gone": _HEAD + '<div id="availability"><span>Currently unavailable.</span></div></body></html>',
+    "in_cart": _HEAD + '<a>See price in cart</a><span data-csa-c-delivery-price="$4.99"></span></body></html>',
+    "script": _HEAD + '<script>"displayPrice":"{amount}" "stockStatus":"Stock of {size}"</script></body></html>',
+    "foreign": _HEAD + '<div id="price"><span class="a-offscreen">EUR {size}.00</span></div></body></html>',
+    "captcha": "<html>validateCaptcha</html>",
+    "empty": "",
+}
+PART_VALUES = "CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(BRANCHES)) + " END AS b, 'B' || p_partkey AS asin, '$' || (round(p_retailprice, 2)::DECIMAL(18,2))::VARCHAR AS price"
+
+
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    """A template as a column: literal pieces and the columns named in braces; doubled braces stand for themselves."""
+    pieces = [x for text, name, *_ in string.Formatter().parse(template) for x in (F.lit(text), values.get(name)) if x is not None]
+    return F.concat(*pieces)
+
+
+def product_pages(spark: SparkSession, sf_dir: str, templates: dict[str, str]) -> DataFrame:
+    """A page (asin, html) for each part whose branch has a template."""
+    part = table(spark, sf_dir, "part").where(F.array_contains(F.array(*[F.lit(BRANCHES.index(n)) for n in templates]), (F.col("p_partkey") % 10).cast("int")))
+    money = F.round("p_retailprice", 2).cast("decimal(18,2)").cast("string")
+    values = {"name": F.col("p_name"), "brand": F.col("p_brand"), "kind": F.col("p_type"), "size": F.col("p_size").cast("string"), "key": F.col("p_partkey").cast("string"), "price": F.concat(F.lit("$"), money), "amount": money}
+    branch = F.col("p_partkey") % 10
+    html = F.coalesce(*[F.when(branch == BRANCHES.index(n), _filled(t, values)) for n, t in templates.items()])
+    return part.select(F.concat(F.lit("B"), F.col("p_partkey").cast("string")).alias("asin"), html.alias("html"))
+
+
+def _by_branch(name: str, other: str, **cases: str) -> str:
+    return "CASE " + " ".join(f"WHEN b = '{b}' THEN {v}" for b, v in cases.items()) + f" ELSE {other} END AS {name}"
+
+
+AS_OF = "2024-11-28"
+RECORD_SQL = ", ".join([
+    "asin",
+    _by_branch("title", "p_name", captcha="'[验证码拦截]'", empty="'[页面为空]'"),
+    _by_branch("brand", "p_brand", captcha="'N/A'", empty="'N/A'"),
+    _by_branch("current_price", "'N/A'", full="price", json="format('${:,.2f}', p_retailprice)", parts="'$1,' || p_size || '.05'", no_offer="'No Featured Offer'", gone="'不可售'", in_cart="'See price in cart'", script="price", foreign="'[非USD]EUR ' || p_size || '.00'"),
+    _by_branch("buybox_price", "'N/A'", full="price", json="format('${:,.2f}', p_retailprice)", parts="'$1,' || p_size || '.05'", script="price", foreign="'[非USD]EUR ' || p_size || '.00'"),
+    _by_branch("original_price", "'N/A'", full="'$9999.00'"),
+    _by_branch("buybox_shipping", "'N/A'", full="CASE WHEN round(p_retailprice, 2) >= 1000 THEN 'FREE' ELSE 'N/A' END", json="'FREE'", parts="'FREE'", in_cart="'$4.99'", script="'FREE'", foreign="'FREE'"),
+    _by_branch("is_fba", "'N/A'", full="'FBM'", json="'FBA'", parts="'FBA'", in_cart="'FBA'", script="'FBA'", foreign="'FBA'"),
+    _by_branch("stock_status", "'N/A'", full="'Only ' || p_size || ' left in stock'", json="'In Stock'", parts="'In Stock'", no_offer="'No Featured Offer'", gone="'Currently unavailable'", in_cart="'In Stock'", script="'Stock of ' || p_size"),
+    _by_branch("stock_count", "'0'", full="p_size::VARCHAR", json="'999'", parts="greatest(1, p_size)::VARCHAR", in_cart="'999'", script="'999'", foreign="'999'"),
+    _by_branch("delivery_date", "'N/A'", full="'Nov 29'"),
+    _by_branch("delivery_time", "'N/A'", full="'1'"),
+    _by_branch("model_number", "'N/A'", full="'M-' || p_partkey"),
+    _by_branch("package_dimensions", "'N/A'", full="'1 x 2 x ' || p_size || ' inches'"),
+    _by_branch("package_weight", "'N/A'", full="'N/A'"),
+    _by_branch("manufacturer", "'N/A'", full="p_type"),
+    _by_branch("first_available_date", "'N/A'", full="'May ' || p_size || ', 2020'"),
+    _by_branch("product_type", "'N/A'", full="p_type"),
+    _by_branch("bullet_points", "''", full="p_name || ' of ' || p_type"),
+    _by_branch("long_description", "''", full="'About it' || chr(10) || 'All about ' || p_name || ' & more' || chr(10) || chr(10) || '[Image: https://i/' || p_partkey || '.jpg]' || chr(10)", json="'A text of ' || p_name"),
+    _by_branch("image_urls", "''", full="'https://i/a' || p_partkey || '.jpg' || chr(10) || 'https://i/b' || p_partkey || '.jpg'", json="'u1' || chr(10) || 'u' || p_partkey"),
+    _by_branch("root_category_id", "'N/A'", full="p_size::VARCHAR"),
+    _by_branch("category_ids", "''", full="p_size || ',7' || p_size"),
+    _by_branch("category_tree", "''", full="p_type || ' > Kitchen'"),
+    _by_branch("upc_list", "''", full="'77' || p_partkey"),
+    _by_branch("ean_list", "''", json="'12' || p_partkey"),
+    _by_branch("parent_asin", "asin", full="'P' || p_partkey"),
+    _by_branch("variation_asins", "''", full="'V1,V2'"),
+    _by_branch("zip_code", "'10001'", full="'90210'"),
+    "'https://www.amazon.com/dp/' || asin AS product_url",
+])
+
+
+@query(f"WITH v AS (SELECT *, {PART_VALUES} FROM part) SELECT {RECORD_SQL} FROM v")
 def product_records(spark, sf_dir):
-    html = F.replace(F.replace("html", F.lit("<h1>"), F.lit("<h1><span>")), F.lit("</h1>"), F.lit("</span></h1>"))
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("asin"), html.alias("html"))
-    records = extract.products(pages, F.to_date(F.lit("2024-01-01")))
-    return records.select("asin", "title", "brand", "current_price", "stock_status", "bullet_points")
+    """Records of one page for each part, through every branch of extraction."""
+    records = extract.products(product_pages(spark, sf_dir, PAGES), F.to_date(F.lit(AS_OF)))
+    return records.drop("part_number", "country_of_origin", "is_customized", "best_sellers_rank", "item_dimensions", "item_weight", "site")
 
 
-@query(r"""
-SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 2 AND NOT contains(lower(x), 'license')), chr(10)) AS bullets FROM documents
+@query(f"""
+WITH v AS (SELECT *, {PART_VALUES} FROM part)
+SELECT asin, CASE b WHEN 'captcha' THEN 'captcha' WHEN 'empty' THEN 'parse_error' WHEN 'foreign' THEN 'foreign_price' WHEN 'missing' THEN 'missing' ELSE 'ok' END AS class,
+CASE b WHEN 'captcha' THEN 'captcha' WHEN 'empty' THEN 'parse_error' WHEN 'foreign' THEN 'parse_error' END AS error_type, b IN ('captcha', 'empty', 'foreign') AS retryable FROM v
+UNION ALL SELECT 'x' || p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 5 = 1 THEN 'degraded' WHEN p_partkey % 5 = 2 THEN 'blank_title' WHEN p_partkey % 5 = 3 THEN 'api_block' ELSE 'foreign_price' END,
+CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 3 THEN 'blocked' ELSE 'parse_error' END, p_partkey % 5 <> 0 FROM part
+""")
+def page_quality_ladder(spark, sf_dir):
+    """What becomes of each parsed record, and of records made so that every further rule holds once."""
+    core = ["current_price", "buybox_price", "stock_status", "brand"]
+    found = extract.products(product_pages(spark, sf_dir, PAGES), F.to_date(F.lit(AS_OF))).select("asin", "title", *core)
+    kind = F.coalesce(*[F.when(F.col("title") == t, k) for k, t in quality.BLOCK_TITLES.items()])
+    k = F.col("p_partkey") % 5
+    made = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("asin"),
+        F.when(k == 0, quality.NOT_FOUND).when(k == 2, "N/A").when(k == 3, quality.BLOCK_TITLES["api_block"]).otherwise(F.col("p_name")).alias("title"),
+        F.when(k == 4, F.concat(F.col("p_size").cast("string"), F.lit(",000.50"))).otherwise("N/A").alias("current_price"),
+        *[F.lit(v).alias(c) for c, v in (("buybox_price", "0"), ("stock_status", "None"), ("brand", "n/a"))],
+    )
+    verdict = quality.record_class(kind, F.col("title"), F.col("current_price"), [F.col(c) for c in core], X.FOREIGN)
+    return found.unionByName(made).select("asin", verdict.alias("v")).select("asin", "v.class", "v.error_type", "v.retryable")
+
+
+OFFER_PAGE = {
+    "no_offer": '<div id="aod-offer"><span class="a-price"><span class="a-offscreen">{price}</span></span><div data-csa-c-delivery-price="${size}.00" data-csa-c-delivery-time="x">Arrives Mon, Dec 2. Details</div>'
+    '<div id="aod-offer-soldBy"><a>{brand} shop</a></div><div id="aod-offer-shipsFrom"><span class="a-color-base">{kind} depot</span></div></div>'
+}
+
+
+@query(f"""
+WITH v AS (SELECT *, {PART_VALUES} FROM part)
+SELECT asin, price AS current_price, price AS buybox_price, '$' || p_size || '.00' AS buybox_shipping, 'FBM' AS is_fba, 'Mon, Dec 2' AS delivery_date, 'In Stock (via offer-listing)' AS stock_status, '5' AS stock_count FROM v WHERE b = 'no_offer'
+""")
+def offer_records(spark, sf_dir):
+    """Records without a featured offer, filled from their offer pages."""
+    pages = product_pages(spark, sf_dir, {"no_offer": PAGES["no_offer"]})
+    records = extract.with_offers(extract.products(pages, F.to_date(F.lit(AS_OF))), extract.offers(product_pages(spark, sf_dir, OFFER_PAGE)))
+    return records.select("asin", "current_price", "buybox_price", "buybox_shipping", "is_fba", "delivery_date", "stock_status", "stock_count")
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) || CASE WHEN doc_id % 3 = 0 THEN ['{extract.BULLET_BLACKLIST[0]} now', 'Ask for a FULL refund', 'x', 'kept'] ELSE [] END AS lines FROM documents)
+SELECT doc_id, array_to_string(list_filter(lines, lambda x: length(x) >= 2 AND NOT ({' OR '.join(f"contains(lower(x), '{w}')" for w in extract.BULLET_BLACKLIST)})), chr(10)) AS bullets FROM d
 """)
 def bullet_filter(spark, sf_dir):
-    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
-    kept = F.filter(lines, lambda x: (F.length(x) >= 2) & ~F.lower(x).contains("license"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(kept, "\n").alias("bullets"))
+    said = F.array(*[F.lit(t) for t in (f"{extract.BULLET_BLACKLIST[0]} now", "Ask for a FULL refund", "x", "kept")])
+    lines = F.when(F.col("doc_id") % 3 == 0, F.concat(F.split("text", "\n"), said)).otherwise(F.split("text", "\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(extract.kept_bullets(lines), "\n").alias("bullets"))
 
 
 def queries() -> dict[str, Query]:

@@ -1,6 +1,7 @@
 """Page extraction: one page per branch and fallback."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def test_json_record(records):
 def test_fallbacks(records):
     assert records["ld_broken"].title == "Head title"
     assert (records["script"].current_price, records["script"].stock_status) == ("$7.00", "Maybe")
-    assert records["parts"].current_price == "$1234.05"
+    assert records["parts"].current_price == "$1,234.05"
     assert records["euro"].current_price == "[非USD]EUR 12.00"
 
 
@@ -83,10 +84,32 @@ def test_branches(records):
 
 
 def test_pages_without_a_product(records):
-    assert records["blocked"].title == "[captcha]" and records["empty"].title == records["missing"].title == "[页面为空]"
+    assert records["blocked"].title == "[验证码拦截]" and records["empty"].title == records["missing"].title == "[页面为空]"
     assert records["empty"].current_price == "N/A" and records["empty"].image_urls == "" and records["broken"].title == "N/A"
 
 
+def test_a_missing_page_is_a_default_record(spark):
+    r = extract.missing_products(spark.createDataFrame([("B1",)], "asin string")).first()
+    assert (r.title, r.current_price, r.stock_count, r.parent_asin, r.image_urls, r.product_url) == ("[商品不存在]", "N/A", "0", "B1", "", "https://www.amazon.com/dp/B1")
+
+
+def test_descriptions_in_page_order():
+    page = parse('<div class="aplus"><h2>Heading text</h2><div><p>First text</p><img src="a.jpg"><p>tiny</p></div><img src="pixel.gif"><img data-src="b.jpg"><ul><li>List item <b>bold</b></li></ul></div>')
+    assert Probe(("#aplus", "div.aplus"), leaves=True).run(page) == ["Heading text", "First text", "\n[Image: a.jpg]\n", "\n[Image: b.jpg]\n", "List itembold"]
+    assert Probe(("#none",), leaves=True).run(page) == []
+
+
+def test_images_of_the_first_script_alone(spark):
+    page = '<html><script>colorImages "large":"https://1"</script><script>colorImages "hiRes":"https://2"</script></html>'
+    assert extract.products(spark.createDataFrame([("B1", page)], "asin string, html string"), F.current_date()).first().image_urls == "https://1"
+
+
+def test_end_tags_without_starts_take_no_time():
+    began = time.perf_counter()
+    parse("<b>" * 50_000 + "</i>" * 50_000)
+    assert time.perf_counter() - began < 5
+
+
 def test_offers(spark, records):
     page = '<div id="aod-offer"><span class="a-price"><span class="a-offscreen">$5.00</span></span><div data-csa-c-delivery-price="FREE" data-csa-c-delivery-time="z">FREE delivery Mon, Dec 2. Details</div><div id="aod-offer-soldBy"><a>Shop</a></div><div id="aod-offer-shipsFrom"><span class="a-color-base">Shop</span></div></div>'
     pages = spark.createDataFrame([("B00000no_offer", page), ("B00000gone", page), ("x", "<p>nothing"), ("y", "validateCaptcha"), ("z", None)], "asin string, html string")
