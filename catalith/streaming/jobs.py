@@ -21,8 +21,14 @@ BATCH_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, as in tests, below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a single local process, as in tests, takes the
+    warehouse; on a cluster it is an error, since a machine-local folder would lose state."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -94,18 +100,51 @@ def silent_workers(heartbeats: DataFrame, timeout: str = "120 seconds", lateness
     return sessions.select("worker_id", "beats", "last_seen", F.col("s.end").alias("dead_at"))
 
 
-def upsert_into(folder: str, key: str, version: str) -> Callable[[DataFrame, int], None]:
-    """Sink for ``foreachBatch``: keeps the highest version of each key as Parquet, one folder per micro-batch.
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    A batch that is repeated after a failure writes the same folder again, so every row counts once.
+
+def _manifests(spark: SparkSession, folder: str) -> dict[int, dict[str, int]]:
+    """Of each kept micro-batch: the micro-batch that wrote each bucket last."""
+    path, files = _files(spark, folder)
+    at = path(f"{folder}/manifests")
+    names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+    return {int(n): {r.bucket: r.version for r in spark.read.json(f"{folder}/manifests/{n}", "bucket string, version int").collect()} for n in names if n.isdigit()}
+
+
+def upsert_into(folder: str, key: str, version: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Sink for ``foreachBatch``: keeps the highest version of each key as Parquet in ``buckets`` parts by a hash of the key.
+
+    A micro-batch rewrites only the buckets it touches; a manifest of at most ``buckets`` rows tells which micro-batch wrote
+    each last. One that is repeated after a failure starts from the manifest before it, so every row counts once; files
+    that neither of the last two manifests names are deleted.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        path, files = _files(spark, folder)
+        kept = {n: m for n, m in _manifests(spark, folder).items() if n < number}
+        last = max(kept, default=-1)
+        before = kept.get(last, {})
         rest = [c for c in batch.columns if c not in (key, version)]
-        seen = batch if number == 0 else batch.unionByName(spark.read.parquet(f"{folder}/{number - 1}"))
-        latest = seen.groupBy(key).agg(F.max(version).alias(version), *[F.max_by(c, version).alias(c) for c in rest])
-        latest.write.mode("overwrite").parquet(f"{folder}/{number}")
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string")).persist()
+        touched = [r.bucket for r in placed.select("bucket").distinct().collect()]  # at most ``buckets``
+        seen = placed
+        if old := [f"{folder}/{before[b]}/bucket={b}" for b in touched if b in before]:
+            stored = spark.read.schema(batch.schema).parquet(*old)
+            seen = placed.unionByName(stored.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string")))
+        latest = seen.groupBy("bucket", key).agg(F.max(version).alias(version), *[F.max_by(c, version).alias(c) for c in rest])
+        latest.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{number}")
+        placed.unpersist()
+        named = [(b, v) for b, v in sorted((before | dict.fromkeys(touched, number)).items())]
+        spark.createDataFrame(named, "bucket string, version int").coalesce(1).write.mode("overwrite").json(f"{folder}/manifests/{number}")
+        for n, manifest in kept.items():
+            if n < last:
+                for b, v in manifest.items():
+                    if before.get(b) != v:
+                        files.delete(path(f"{folder}/{v}/bucket={b}"), True)
+                files.delete(path(f"{folder}/manifests/{n}"), True)
 
     return write
 
@@ -127,10 +166,9 @@ def drained(stream: DataFrame, mode: str = "append", into: Callable[[DataFrame,
 
 
 def last_batch(folder: str, spark: SparkSession) -> DataFrame:
-    """What the latest micro-batch of an upsert sink left."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    statuses = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
-    return spark.read.parquet(f"{folder}/{max(int(s.getPath().getName()) for s in statuses)}")
+    """All keys as the latest micro-batch of an upsert sink left them."""
+    manifests = _manifests(spark, folder)
+    return spark.read.parquet(*[f"{folder}/{v}/bucket={b}" for b, v in manifests[max(manifests)].items()])
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB equivalent, the entry, streaming state over micro-batches, and plans."""
 
 import os
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -79,6 +80,33 @@ def test_results_are_accepted_once_however_late(spark, tmp_path):
     assert sorted(r.lease for r in got) == [1, 2, 3]
 
 
+def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    """Repeated micro-batches count once; untouched buckets keep their files, replaced ones go."""
+    folder, schema = f"{tmp_path}/state", "k string, version long, v string"
+    put = jobs.upsert_into(folder, "k", "version", buckets=8)
+    batches = [[(f"k{i}", 1, "a") for i in range(40)], [("k1", 2, "b"), ("k1", 0, "old")], [("k1", 3, "c"), ("new", 1, "n")], [("k2", 1, "z"), ("k2", 5, "y")]]
+    for n, rows in enumerate(batches):
+        for _ in range(2):  # the second time as after a failure
+            put(spark.createDataFrame(rows, schema), n)
+    got = {r.k: (r.version, r.v) for r in jobs.last_batch(folder, spark).collect()}
+    assert len(got) == 41 and (got["k1"], got["new"], got["k2"], got["k3"]) == ((3, "c"), (1, "n"), (5, "y"), (1, "a"))
+    assert len([d for d in os.listdir(f"{folder}/1") if d.startswith("bucket=")]) <= 1
+    assert sorted(d for d in os.listdir(f"{folder}/manifests") if d.isdigit()) == ["2", "3"]
+
+
+@pytest.mark.parametrize(("master", "folder"), [("local[8]", "/warehouse/stream-"), ("spark://host:7077", None), ("local-cluster[3,2,3000]", None)])
+def test_a_cluster_without_a_shared_folder_is_an_error(master, folder):
+    settings = {"spark.sql.warehouse.dir": "/warehouse"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: settings.get(k, d)), sparkContext=SimpleNamespace(master=master, getConf=lambda: settings))
+    if folder:
+        assert jobs.shared_folder(session).startswith(folder)
+    else:
+        with pytest.raises(ValueError):
+            jobs.shared_folder(session)
+        settings["spark.checkpoint.dir"] = "hdfs://a/b/"
+        assert jobs.shared_folder(session).startswith("hdfs://a/b/stream-")
+
+
 def test_silent_workers(spark, tmp_path):
     beats = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:00:00"), ("z", "2024-01-01 01:00:00")]
     spark.createDataFrame(beats, "worker_id string, t string").select("worker_id", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
