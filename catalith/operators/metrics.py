@@ -197,6 +197,13 @@ def liveness(heartbeats: DataFrame, now: Column, online_s: float = 60, dead_s: f
     return per.withColumns({"last_seen_ago": ago, "online": ago < online_s, "dead": ago > dead_s, "uptime": X.duration(F.col("last_seen").cast("double") - F.col("first_seen").cast("double"))})
 
 
+def registry(workers: DataFrame, coordinator: DataFrame) -> DataFrame:
+    """Registered workers with what the coordinator knows of them: metrics and quota are empty where it knows nothing, the
+    counts of accepted and stale results are then 0."""
+    counts = [c for c in ("accepted", "stale") if c in coordinator.columns]
+    return workers.join(coordinator, "worker_id", "left").fillna(0, counts)
+
+
 def latest_settings(settings: DataFrame, key: str) -> DataFrame:
     """The highest version of each key's settings; older ones that arrive late change nothing."""
     rest = [c for c in settings.columns if c not in (key, "version")]

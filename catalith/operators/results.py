@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from catalith.functions import scalars as X
 
+# The fields of the export preset.
+PRICE_STOCK = frozenset(
+    "asin title current_price buybox_price buybox_shipping stock_count stock_status is_fba delivery_date total_price crawl_time updated_at".split()
+)
 MAX_PAGE = 200
 
 
@@ -128,6 +132,11 @@ def chosen_fields(wanted: str | None, known: list[str]) -> list[str]:
     return some or list(known)
 
 
+def price_stock_fields(known: list[str]) -> list[str]:
+    """The fields of the preset for prices and stock among the known ones, in their order; internal columns are not known."""
+    return [f for f in known if f in PRICE_STOCK]
+
+
 def export_projection(df: DataFrame, fields: list[str], labels: dict[str, str], with_total: bool = True) -> DataFrame:
     """Texts under their labels, empty for missing values, the total price right after the shipping column."""
     columns: list[Column] = []

@@ -86,6 +86,12 @@ def release(tasks: DataFrame, released: DataFrame, now: Column) -> DataFrame:
     return _back_to_pending(tasks.join(held, on, "left"), F.col("r_id").isNotNull() & (F.col("status") == "processing"), now).drop(*[f"r_{k}" for k in keys])
 
 
+def release_by_id(tasks: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """Release without a lease (column id): whatever holds a task that is being processed. ``now`` is a local time."""
+    named = ids.select(F.col("id").alias("r_id")).distinct()
+    return _back_to_pending(tasks.join(named, F.col("id") == F.col("r_id"), "left"), F.col("r_id").isNotNull() & (F.col("status") == "processing"), now).drop("r_id")
+
+
 def prioritize(tasks: DataFrame, batch_id: int, priority: int = 10) -> DataFrame:
     hit = (F.col("batch_id") == batch_id) & (F.col("status") == "pending")
     return tasks.withColumn("priority", F.when(hit, priority).otherwise(F.col("priority")))
@@ -168,6 +174,18 @@ def progress(tasks: DataFrame, status: Column, codes: dict[str, str], by: list[s
     })
 
 
+def screenshot_progress(shots: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of the known statuses per batch, and a total that takes in all others too."""
+    return shots.groupBy(*by).agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count("*").alias("total"))
+
+
+def diagnostics(entities: DataFrame, task_log: DataFrame, workers: DataFrame, settings_version: int) -> DataFrame:
+    """One row: number of entities, task counts and rates, registered workers, version of the settings."""
+    counted = progress(task_log, F.col("status"), {s: s for s in STATUSES})
+    sizes = [df.agg(F.count("*").alias(name)) for name, df in (("total_asins", entities), ("active_workers", workers))]
+    return counted.join(F.broadcast(sizes[0])).join(F.broadcast(sizes[1])).withColumn("settings_version", F.lit(settings_version))  # one row each
+
+
 def error_histogram(tasks: DataFrame, kind: Column) -> DataFrame:
     return tasks.groupBy(kind.alias("error_type")).agg(F.count("*").alias("n"))
 
@@ -177,10 +195,11 @@ def complete(progress_rows: DataFrame) -> DataFrame:
     return progress_rows.where((F.col("total") > 0) & (F.col("done") + F.col("failed") >= F.col("total")))
 
 
-def preempt(queue: DataFrame, incoming_priority: Column) -> tuple[DataFrame, DataFrame]:
-    """On arrival of higher priority: items kept (as urgent) and items released."""
-    keep = F.col("priority") >= incoming_priority
-    return queue.where(keep), queue.where(~F.coalesce(keep, F.lit(False)))
+def preempt(queue: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items kept and items released when tasks arrive: if any of these has priority, only items with priority stay."""
+    urgent = F.broadcast(incoming.agg(F.coalesce(F.bool_or(F.coalesce(F.col("priority") > 0, F.lit(False))), F.lit(False)).alias("__urgent")))  # one row
+    marked = queue.join(urgent).withColumn("__keep", ~F.col("__urgent") | F.coalesce(F.col("priority") > 0, F.lit(False)))
+    return tuple(marked.where(which).drop("__urgent", "__keep") for which in (F.col("__keep"), ~F.col("__keep")))
 
 
 def local_order(queue: DataFrame) -> DataFrame:
@@ -224,7 +243,7 @@ def run_due(due: DataFrame, members: DataFrame, now: Column) -> tuple[DataFrame,
     listed = batches.join(own, "schedule_id").select("name", "asin")
     whole = batches.join(own.select("schedule_id").distinct(), "schedule_id", "left_anti").select("name")
     catalog = members.where(F.col("schedule_id").isNull()).select("asin")
-    return batches, listed.unionByName(catalog.join(F.broadcast(whole)))  # schedules are few: one row each
+    return batches, listed.unionByName(catalog.crossJoin(whole))  # every schedule without members takes the whole catalog
 
 
 def after_run(schedules: DataFrame, due: DataFrame, now: Column) -> DataFrame:
@@ -235,3 +254,8 @@ def after_run(schedules: DataFrame, due: DataFrame, now: Column) -> DataFrame:
 def updated_settings(settings: dict, changes: dict, known: set[str]) -> dict:
     """Known keys laid over the settings under the next version."""
     return settings | {k: v for k, v in changes.items() if k in known} | {"version": settings.get("version", 0) + 1}
+
+
+def reset_settings(settings: dict, defaults: dict) -> dict:
+    """The defaults under the next version."""
+    return defaults | {"version": settings.get("version", 0) + 1}

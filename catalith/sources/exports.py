@@ -18,7 +18,8 @@ SHEET_ROWS = 1_048_575
 
 
 def write_csv(df: DataFrame, path: str, order: str | None = None, mode: str = "errorifexists") -> None:
-    """CSV parts with header, byte order mark and CR LF rows; an empty result is one part of a header only.
+    """CSV with CR LF rows in parts which, put together in order of their names, are one file: byte order mark and header
+    stand in the first part only.
 
     ``order`` sorts by range over all parts, so the parts in order of their names are the sorted rows.
     """
@@ -29,7 +30,8 @@ def write_csv(df: DataFrame, path: str, order: str | None = None, mode: str = "e
     header = BOM + ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c for c in df.columns)
 
     def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([header])], names=["value"])
+        if TaskContext.get().partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([header])], names=["value"])
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0)], names=["value"])
 

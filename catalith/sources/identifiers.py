@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -134,6 +135,19 @@ def read_json_settings(spark: SparkSession, path: str, defaults: dict) -> dict:
     return defaults | known
 
 
+def write_json_settings(spark: SparkSession, path: str, settings: dict) -> None:
+    """A settings document as one file, in place of the one before; it is renamed into place when it is whole."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at, new = hadoop.Path(path), hadoop.Path(f"{path}.new")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(new, True)
+    out.write(bytearray(json.dumps(settings, indent=2, ensure_ascii=False).encode()))
+    out.close()
+    files.delete(at, False)
+    if not files.rename(new, at):
+        raise OSError(f"could not rename {path}.new")
+
+
 def pending_pages(spark: SparkSession, path: str, done: DataFrame | None = None) -> DataFrame:
     """Stored pages (path/<batch>/<asin>.html) that wait for work: names starting with _ and finished batches are out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", True).load(path)

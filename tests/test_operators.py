@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalith.functions import quality
 from catalith.functions import scalars as X
 from catalith.operators import changes, metrics, results, tasks
+from catalith.sources import identifiers
 
 
 def one(spark, column, **values):
@@ -73,10 +74,26 @@ def test_hash_keeps_places(spark):
 def test_quality_classes(spark):
     page = lambda status, body: spark.range(1).select(quality.response_class(F.lit(status), F.lit(body)).alias("v")).first().v
     assert [page(404, "x"), page(503, "x"), page(200, "validateCaptcha"), page(200, "short"), page(200, "y" * 2000)] == ["missing", "blocked", "blocked", "empty", "ok"]
-    rows = [("captcha", "t", "$1", "b"), (None, "", "$1", "b"), (None, "t", "[非USD]x", "b"), (None, "t", "N/A", "0"), (None, "t", "$1", "b")]
-    df = spark.createDataFrame(rows, "block string, title string, price string, brand string")
+    cases = [
+        (("captcha", "t", "$1", "b"), ("captcha", "captcha", True)), (("api_block", "t", "$1", "b"), ("api_block", "blocked", True)),
+        ((None, "[HTML解析失败]", "$1", "b"), ("parse_error", "parse_error", True)), ((None, "", "$1", "b"), ("blank_title", "parse_error", True)),
+        ((None, "none", "$1", "b"), ("ok", None, False)), ((None, "[商品不存在]", "N/A", "N/A"), ("missing", None, False)),
+        ((None, "t", "[非USD]x", "b"), ("foreign_price", "parse_error", True)), ((None, "t", "£5", "b"), ("foreign_price", "parse_error", True)),
+        ((None, "t", "12.000,50", "b"), ("foreign_price", "parse_error", True)), ((None, "t", "12 or more", "b"), ("ok", None, False)),
+        ((None, "t", "不可售", "N/A"), ("ok", None, False)), ((None, "t", "N/A", "0"), ("degraded", "parse_error", True)), ((None, "t", None, "n/a"), ("degraded", "parse_error", True)),
+        ((None, "t", "none", "N/A"), ("ok", None, False)), ((None, "t", "$1", "b"), ("ok", None, False)),
+    ]
+    df = spark.createDataFrame([c[0] for c in cases], "block string, title string, price string, brand string").coalesce(1)
     got = df.select(quality.record_class(F.col("block"), F.col("title"), F.col("price"), [F.col("price"), F.col("brand")], X.FOREIGN).alias("v"))
-    assert [r.v["class"] for r in got.collect()] == ["captcha", "blank_title", "foreign_price", "degraded", "ok"]
+    assert [tuple(r.v) for r in got.collect()] == [c[1] for c in cases]
+
+
+def test_worker_ids_and_regions(spark):
+    ids = spark.createDataFrame([(t,) for t in ("w-1_a", "", "a b", "x" * 65, None)], "w string").coalesce(1)
+    assert [r.v for r in ids.select(quality.valid_worker_id(F.col("w")).alias("v")).collect()] == [True, False, False, False, False]
+    pages = [("Deliver to 10001", "€", True), ("Deliver to 90210", "$", False), (None, "prices in $", True), ("", "a £ sign", False), (None, "plain", True), (None, "x" * 50_000 + "€", True), (None, None, True)]
+    df = spark.createDataFrame([p[:2] for p in pages], "widget string, body string").coalesce(1)
+    assert [r.v for r in df.select(quality.region_ok(F.col("widget"), F.col("body"), "10001").alias("v")).collect()] == [p[2] for p in pages]
 
 
 OBS = "asin string, seq long, batch_id long, is_auto boolean, title string, bullet_points string, current_price string, buybox_price string, stock_count string, stock_status string"
@@ -132,6 +149,51 @@ def test_queue(spark):
     assert [r.id for r in tasks.local_order(spark.createDataFrame([(1, 2, 0), (2, 1, 1), (3, 1, 0)], "id long, seq long, retry_count int")).collect()] == [3, 1, 2]
 
 
+def test_preemption(spark):
+    queue = spark.createDataFrame([task(1, "pending", None), task(2, "pending", None, priority=5), task(3, "pending", None, priority=None)], TASKS)
+    for incoming, kept in (([task(9, "pending", None, priority=1), task(8, "pending", None)], {2}), ([task(9, "pending", None)], {1, 2, 3}), ([], {1, 2, 3})):
+        stay, go = tasks.preempt(queue, spark.createDataFrame(incoming, TASKS))
+        assert {r.id for r in stay.collect()} == kept and {r.id for r in go.collect()} == {1, 2, 3} - kept and stay.columns == queue.columns
+
+
+def test_release_by_id(spark):
+    held = spark.createDataFrame([task(1), task(2, "done"), task(3)], TASKS)
+    after = tasks.release_by_id(held, spark.createDataFrame([(1,), (1,), (2,), (7,)], "id long"), F.current_timestamp())
+    assert {r.id: (r.status, r.worker_id, r.lease_epoch) for r in after.collect()} == {1: ("pending", None, 2), 2: ("done", "w", 1), 3: ("processing", "w", 1)}
+
+
+def test_progress_barrier_and_totals(spark):
+    log = spark.createDataFrame([task(1, "done"), task(2, "failed"), task(3, "done", batch=2), task(4, "pending", batch=2)], TASKS)
+    rows = tasks.progress(log, F.col("status"), {x: x for x in ("pending", "processing", "done", "failed")}, ["batch_id"])
+    assert [r.batch_id for r in tasks.complete(rows).collect()] == [1]
+    assert tasks.complete(rows.where("batch_id = 9")).count() == 0
+    shots = spark.createDataFrame([(1, s) for s in ("done", "odd", "failed", "odd")], "batch_id long, status string")
+    r = tasks.screenshot_progress(shots, ["batch_id"]).first()
+    assert (r.pending, r.processing, r.done, r.failed, r.total) == (0, 0, 1, 1, 4)
+    d = tasks.diagnostics(spark.range(3), log, spark.range(2), 7).first()
+    assert (d.total_asins, d.total, d.done, d.active_workers, d.settings_version) == (3, 4, 2, 2, 7)
+
+
+def test_histories_batches_and_names(spark):
+    log = spark.createDataFrame([("a", 1, "new"), ("b", 2, "new"), ("a", 3, "price_stock")], "asin string, seq long, change_type string")
+    assert [r.seq for r in changes.change_history(log, "a").collect()] == [3, 1]
+    tables = {"tasks": spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "batch_id long, v string"), "none": spark.createDataFrame([], "batch_id long")}
+    assert {r.v for r in results.delete_batch(tables, 1)["tasks"].collect()} == {"y", "z"} and results.delete_batch(tables, 1)["none"].count() == 0
+    assert identifiers.safe_archive_name("a b/ü-1_2.x") == "a_b__-1_2_x"
+    assert spark.range(1).select(X.safe_name(F.lit("a b/ü-1_2.x")).alias("v")).first().v == "a_b__-1_2_x"
+    known = ["asin", "brand", "current_price", "site", "stock_count"]
+    assert results.price_stock_fields(known) == ["asin", "current_price", "stock_count"]
+    assert tasks.reset_settings({"a": 5, "version": 3}, {"a": 1}) == {"a": 1, "version": 4}
+
+
+def test_fleet_and_registry(spark):
+    workers = spark.createDataFrame([("a", True, 3), ("b", False, 5), ("c", True, None)], "worker_id string, online boolean, inflight long")
+    assert tuple(metrics.fleet_totals(workers).first()) == (3, 2) and tuple(metrics.fleet_totals(workers.limit(0)).first()) == (0, 0)
+    known = spark.createDataFrame([("a", 0.9, 4, None), ("z", 0.1, 1, 1)], "worker_id string, success_rate double, accepted long, stale long")
+    got = {r.worker_id: (r.success_rate, r.accepted, r.stale) for r in metrics.registry(workers, known).collect()}
+    assert got == {"a": (0.9, 4, 0), "b": (None, 0, 0), "c": (None, 0, 0)}
+
+
 def test_creation(spark):
     batches = spark.createDataFrame([(1, "a")], "id long, name string")
     assert tasks.create_batch(batches, spark.createDataFrame([("a",), ("b",)], "name string")).count() == 2
