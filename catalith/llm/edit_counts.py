@@ -3,7 +3,10 @@
 A document's text is cut at white space, which no pre-token of the vocabulary crosses, into leaves of about
 ``LEAF_CHARS`` characters. A binary tree over the leaves holds the sums of characters and tokens. An edit is resolved
 to leaves by descending the tree; the touched leaves, with a neighbour where the edit reaches a leaf's rim, are encoded
-anew as one region, and the sums on the way to the root follow. Everything else keeps its count.
+anew as one region, cut into leaves again, and the sums on the way to the root follow; where a region has more leaves
+than before, the tree over the leaves is made anew, without encoding. Everything else keeps its count.
+
+A vocabulary whose pre-tokens cross white space is an error, since leaves would then change its counts.
 
 Defined results: a null text has no tokens and takes no edits; edits are (start, end, replacement) on the text as it was,
 in any order; overlapping ones raise an error; an empty table gives no rows; equal rows are counted separately; further
@@ -67,6 +70,16 @@ class Tree:
                 k += 1
         return k - self.width, start
 
+    def replace(self, first: int, last: int, new: list[tuple[int, int]]) -> None:
+        """Put leaves of (characters, tokens) in the place of the leaves first to last."""
+        if len(new) > last + 1 - first:
+            leaf = self.sums[self.width : self.width + self.n].tolist()
+            leaf[first : last + 1] = new
+            self.__init__([c for c, _ in leaf], [t for _, t in leaf])
+            return
+        for k in range(first, last + 1):
+            self.put(k, *(new[k - first] if k - first < len(new) else (0, 0)))
+
     def put(self, leaf: int, chars: int, tokens: int) -> None:
         k = self.width + leaf
         change = np.array([chars, tokens]) - self.sums[k]
@@ -75,7 +88,7 @@ class Tree:
             k //= 2
 
 
-def apply_edits(text: str, tree: Tree, edits: list[tuple[int, int, str]], count) -> tuple[str, int]:
+def apply_edits(text: str, tree: Tree, edits: list[tuple[int, int, str]], count, size: int = LEAF_CHARS) -> tuple[str, int]:
     """The edited text and how many characters were encoded anew; ``count`` maps texts to token counts.
 
     Regions are found from the last edit to the first, so that earlier positions stay right, and are joined where they
@@ -104,13 +117,16 @@ def apply_edits(text: str, tree: Tree, edits: list[tuple[int, int, str]], count)
             parts += [text[at:s], r]
             at = e
         new.append("".join(parts) + text[at:end])
-    counts = count(new)
-    for (first, last, _), s, c in zip(reversed(regions), reversed(new), reversed(counts), strict=True):
-        text = text[: int(starts[first])] + s + text[int(starts[last + 1]) :]
-        tree.put(first, len(s), c)
-        for leaf in range(first + 1, last + 1):
-            tree.put(leaf, 0, 0)
-    return text, sum(map(len, new))
+    cut = [leaves(s, size) for s in new]
+    counts = iter(count([leaf for some in cut for leaf in some]))
+    counted = [[(len(leaf), next(counts)) for leaf in some] for some in cut]
+    out, at = [], 0
+    for (first, last, _), s in zip(regions, new, strict=True):
+        out += [text[at : int(starts[first])], s]
+        at = int(starts[last + 1])
+    for (first, last, _), some in zip(reversed(regions), reversed(counted), strict=True):
+        tree.replace(first, last, some)
+    return "".join(out) + text[at:], sum(map(len, new))
 
 
 def private_spans(text: str) -> list[tuple[int, int, str]]:
@@ -121,6 +137,13 @@ TREES = "doc_id long, text string, leaf_chars array<int>, leaf_tokens array<int>
 COUNTS = "doc_id long, n_tokens long, n_edits long, n_tokens_after long, chars_after long, chars_encoded_again long"
 
 
+def _encoder(path: str):
+    found = encoder(path)
+    if not found.by_word:
+        raise ValueError(f"{path}: pre-tokens may cross white space")
+    return found
+
+
 def build(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Each document with the leaves of its tree (the state to keep)."""
     path = path or tokenizer_path()
@@ -129,7 +152,7 @@ def build(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for some in slices(batch, "text"):
                 cut = [leaves(t or "") for t in some.column(1).to_pylist()]
-                counts = encoder(path).encode([leaf for c in cut for leaf in c])[1].astype(np.int32)
+                counts = _encoder(path).encode([leaf for c in cut for leaf in c])[1].astype(np.int32)
                 stops = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
                 chars = np.array([len(leaf) for c in cut for leaf in c], np.int32)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.ListArray.from_arrays(stops, chars), pa.ListArray.from_arrays(stops, counts)], names=["doc_id", "text", "leaf_chars", "leaf_tokens"])
@@ -152,12 +175,35 @@ def recount(trees: DataFrame, spans=private_spans, path: str | None = None) -> D
                         out.append((doc, before, 0, before, len(text or ""), 0))
                         continue
                     tree = Tree(chars, tokens)
-                    after, again = apply_edits(text, tree, edits, lambda new: encoder(path).encode(new)[1].tolist())
+                    after, again = apply_edits(text, tree, edits, lambda new: _encoder(path).encode(new)[1].tolist())
                     out.append((doc, before, len(edits), tree.tokens, len(after), again))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[f.split()[0] for f in COUNTS.split(", ")])
 
     return trees.mapInArrow(run, COUNTS)
 
 
+def edited(trees: DataFrame, spans=private_spans, path: str | None = None) -> DataFrame:
+    """The trees of the edited texts, from which later edits go on."""
+    path = path or tokenizer_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "text"):
+                texts, leaf_chars, leaf_tokens = [], [], []
+                for text, chars, tokens in zip(*(c.to_pylist() for c in some.columns[1:]), strict=True):
+                    if edits := spans(text) if text else []:
+                        tree = Tree(chars, tokens)
+                        text, _ = apply_edits(text, tree, edits, lambda new: _encoder(path).encode(new)[1].tolist())
+                        kept = [(c, t) for c, t in tree.sums[tree.width : tree.width + tree.n].tolist() if c]
+                        chars, tokens = [c for c, _ in kept], [t for _, t in kept]
+                    texts.append(text)
+                    leaf_chars.append(chars)
+                    leaf_tokens.append(tokens)
+                numbers = [pa.array(x, pa.list_(pa.int32())) for x in (leaf_chars, leaf_tokens)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string()), *numbers], names=some.schema.names)
+
+    return trees.mapInArrow(run, TREES)
+
+
 def edit_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     return recount(build(docs, path), path=path)

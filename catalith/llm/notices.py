@@ -2,7 +2,8 @@
 
 Short notices are searched in the words of a text with a bounded number of character edits. A notice allowed k edits is
 cut into k + 1 seeds; of any match, one seed at least is unedited (pigeonhole), so exact finds of the seeds locate all
-candidates. Around each, the regex library's bounded-error matching verifies the edits and gives the span.
+candidates. Around each, the regex library's bounded-error matching verifies the edits and gives the span. A span begins
+and ends with whole words; edits may stand anywhere inside it, spaces included.
 
 Base phrases are exact: places where their words stand consecutively.
 
@@ -12,6 +13,7 @@ judged separately and alike; overlapping places all count; further columns are i
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -51,7 +53,7 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
 def _compiled():
     import regex
 
-    return [(regex.compile(f"(?e)(?:{regex.escape(n, special_only=True)}){{e<={k}}}"), n, label, k, seeds(n, k)) for n, label, k in NOTICES]
+    return [(regex.compile(f"(?e)(?:{regex.escape(n, special_only=True)}){{e<={k}}}(?![^ ])"), n, label, k, seeds(n, k)) for n, label, k in NOTICES]
 
 
 def word_text(text: str | None) -> str:
@@ -66,21 +68,32 @@ def _finds(text: str, part: str) -> Iterator[int]:
         at = text.find(part, at + 1)
 
 
+def _word_starts(text: str, lo: int, hi: int) -> Iterator[int]:
+    """Places of first letters of words from lo to hi."""
+    at = 0 if lo <= 0 else text.find(" ", lo - 1, hi) + 1 or hi + 1
+    while at <= hi:
+        yield at
+        at = text.find(" ", at, hi) + 1 or hi + 1
+
+
 def fuzzy(text: str) -> Iterator[tuple[str, int, int, int, float]]:
-    """(label, start, stop, edits, likeness) of the best spans of each notice that do not overlap."""
+    """(label, start, stop, edits, likeness) of the best spans of each notice that do not overlap, fewest edits first.
+
+    A seed found at its place, give or take the edits before it, fixes where a span may start.
+    """
     for pattern, notice, label, k, parts in _compiled():
-        near = sorted((max(0, at - place - k), at - place + len(notice) + k) for place, part in parts for at in _finds(text, part))
-        done, i = 0, 0
-        while i < len(near):
-            lo, hi = near[i]
-            while i < len(near) and near[i][0] <= hi:
-                hi = max(hi, near[i][1])
-                i += 1
-            at = max(lo, done)
-            while m := pattern.search(text, at, min(hi, len(text))):
-                edits = sum(m.fuzzy_counts)
-                yield label, m.start(), m.end(), edits, 1 - edits / len(notice)
-                at = done = max(m.end(), at + 1)
+        starts = {s for place, part in parts for at in _finds(text, part) for s in _word_starts(text, at - place - k, at - place + k)}
+        matched = []
+        for s in sorted(starts):
+            word_end = text.find(" ", s + len(notice) + k)
+            if m := pattern.match(text, s, len(text) if word_end < 0 else word_end):
+                matched.append((sum(m.fuzzy_counts), s, m.end()))
+        taken: list[tuple[int, int]] = []  # ascending and apart
+        for edits, s, e in sorted(matched):
+            k_after = bisect_left(taken, (s, 0))
+            if (k_after == 0 or taken[k_after - 1][1] <= s) and (k_after == len(taken) or taken[k_after][0] >= e):
+                taken.insert(k_after, (s, e))
+                yield label, s, e, edits, 1 - edits / len(notice)
 
 
 def word_numbers(words: str, places: Iterable[int]) -> list[int]:

@@ -160,7 +160,8 @@ def number_slots(placed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local, pa.int64()), pa.array([part] * len(local), pa.int32())], names=[*b.schema.names, "local", "part"])
 
     schema = "doc_id long, size long, text_crc32 long, shard int, local long, part int"
-    dealt = placed.repartitionByRange("shard", "doc_id").sortWithinPartitions("shard", "doc_id", "text_crc32", "size")
+    order = ["shard", "doc_id", "text_crc32", "size", "source_part"]  # rows equal otherwise are dealt by where they were read
+    dealt = placed.withColumn("source_part", F.spark_partition_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("source_part")
     local = written(dealt.mapInArrow(run, schema), "slots")
     totals = local.groupBy("part", "shard").agg(F.count("*").alias("n"))  # at most tasks + shards rows
     offsets = running_offsets(totals, "part", "n", "before", within=("shard",)).select("part", "shard", "before")

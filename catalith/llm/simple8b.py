@@ -7,7 +7,7 @@ block carries the index of the first id of every ``OFFSET_STEP``-th word, so tha
 The file format is a Parquet folder of blocks; file order, then block order, is ascending doc_id order.
 
 Defined results: a null text counts as empty (only the end id); a null doc_id sorts first; rows with one doc_id are
-ordered by text, equal rows stay separate rows; an empty table gives no blocks; further columns are ignored.
+ordered by the head and a hash of their texts, equal rows stay separate rows; an empty table gives no blocks; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,10 +144,12 @@ def encode_corpus(docs: DataFrame, path: str | None = None, end_id: int = END_ID
     """Write the documents' ids, each document closed by ``end_id``, and return the stored blocks.
 
     One range shuffle of the texts puts them in doc_id order; tokenizing comes after it, so that the shuffle's sampling
-    does not encode anything.
+    does not encode anything. Rows of one doc_id (or none) are dealt out too: by their texts, and equal ones by where they
+    were read.
     """
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    place = ["doc_id", F.substring("text", 1, 64), F.xxhash64("text"), F.col("source_part")]
+    ordered = ordered.withColumn("source_part", F.spark_partition_id()).repartitionByRange(*place).sortWithinPartitions(*place).drop("source_part")
     return written(ordered.mapInArrow(_as_blocks(path or tokenizer_path(), end_id), BLOCKS), "token-blocks")
 
 

@@ -364,15 +364,17 @@ def test_base_phrases(spark):
 
 
 def edit_distance_within(text, notice, k):
-    """Whether some substring of the text is within k edits of the notice (Sellers' recurrence)."""
+    """Whether some run of whole words is within k edits of the notice (Sellers' recurrence, entered at word starts only)."""
+    starts = lambda i: i == 0 or text[i - 1] == " "
     row = list(range(len(notice) + 1))
     best = row[-1]
-    for c in text:
-        new = [0]
+    for i, c in enumerate(text):
+        new = [0 if starts(i + 1) else row[0] + 1]
         for j, d in enumerate(notice):
             new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
         row = new
-        best = min(best, row[-1])
+        if i + 1 == len(text) or text[i + 1] == " ":
+            best = min(best, row[-1])
     return best <= k
 
 
@@ -396,6 +398,11 @@ def test_fuzzy_search_misses_nothing(data):
     assert found == wanted
 
 
+@pytest.mark.parametrize(("text", "labels"), [("mallrights reserve d", ""), ("xx all rights reserved", "reserved"), ("ball rights reserveds", "reserved"), ("balls rights reserveds", ""), ("recall rights reserved", ""), ("allrights reserved", "reserved"), ("unlicensed under cc bye", ""), ("it is licensed under ccby", "cc-by")])
+def test_notices_begin_and_end_with_words(text, labels):
+    assert notices.scan_text(text)[5] == labels
+
+
 def test_spans_are_reported():
     *_, labels, score, spans = notices.scan_text("intro words. Licensd under the Apache Licence, Version 2.0")
     assert labels == "apache" and 0.8 < score < 1 and [(s["first_word"], s["last_word"], s["edits"]) for s in spans] == [(2, 6, 2)]

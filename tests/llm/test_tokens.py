@@ -1,6 +1,7 @@
 """Tokens, Simple-8b output, packing and edit-aware counts against the library itself."""
 
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -175,13 +176,14 @@ def test_edits_equal_a_full_recount(library, seed):
     tree = edit_counts.Tree([len(x) for x in pieces], count(pieces))
     cuts = sorted(rng.randint(0, len(text)) for _ in range(2 * rng.randint(0, 4)))
     edits = [(a, b, rng.choice(["", "x", " y ", "'s", ".."])) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
-    after, again = edit_counts.apply_edits(text, tree, edits, count)
+    after, again = edit_counts.apply_edits(text, tree, edits, count, 40)
     wanted = text
     for a, b, r in sorted(edits, reverse=True):
         wanted = wanted[:a] + r + wanted[b:]
     if sorted(edits) == edits:  # several edits at one place have no defined order between them
         assert after == wanted
         assert tree.tokens == count([wanted])[0]
+        assert int(tree.sums[1, 0]) == len(wanted) and tree.sums[tree.width :, 0].max(initial=0) <= 40 + len(max(re.split("[ \\t\\n]", wanted), key=len)) + 1
 
 
 def test_edit_counts_query(spark, library):
@@ -196,6 +198,25 @@ def test_edit_counts_query(spark, library):
     assert edit_counts.edit_counts(clashing(spark)).count() == 2
 
 
+def test_edits_go_on_from_edits(spark, library):
+    """A text grown by an edit is in small leaves again, and a second round of edits counts right."""
+    rows = [(1, "start END " + "word " * 400, None, None, None), (2, None, None, None, None), (3, "no mark", None, None, None)]
+    grow = lambda t: [(m.start(), m.end(), "many new words END " * 300) for m in list(re.finditer("END", t))[:1]]
+    once = edit_counts.edited(edit_counts.build(documents(spark, rows)), grow)
+    twice = {r.doc_id: r for r in edit_counts.edited(once, grow).collect()}
+    text = rows[0][1]
+    for _ in range(2):
+        text = text.replace("END", "many new words END " * 300, 1)
+    assert twice[1].text == text and sum(twice[1].leaf_tokens) == len(library.encode(text, add_special_tokens=False).ids)
+    assert sum(twice[1].leaf_chars) == len(text) and max(twice[1].leaf_chars) < 600
+    assert (twice[2].text, twice[2].leaf_chars, twice[3].text) == (None, [], "no mark")
+
+
+def test_a_vocabulary_that_crosses_white_space_is_an_error(spark):
+    with pytest.raises(Exception, match="cross white space"):
+        edit_counts.edit_counts(documents(spark), tokenizer_path("byte_bpe_50k.json")).collect()
+
+
 def test_overlapping_edits_are_an_error():
     tree = edit_counts.Tree([3], [1])
     with pytest.raises(ValueError):
