@@ -42,11 +42,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` once to the shared folder as zstd Parquet and read it back."""
+    """Cut lineage: write ``df`` once to the shared folder as zstd Parquet and read it back.
+
+    The files go when the driver's JVM ends in order, or before by ``discard``.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    path, files = _place(spark, at)
+    files.deleteOnExit(path)
+    table = spark.read.schema(df.schema).parquet(at)
+    table.stored_at = at
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table from ``written`` that no later step reads."""
+    path, files = _place(table.sparkSession, table.stored_at)
+    files.delete(path, True)
+
+
+def _place(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def ascii_lower(c: Column) -> Column:

@@ -4,10 +4,12 @@ A document is cut into full windows of the longest context size; its rest is rou
 holds it. Each tier's rests open windows of the tier's size, longest tier first; the gap of a window is filled by the
 best-fitting rests of shorter tiers, and at last by the head of one more document, cut to fit. Windows thus come out
 exactly full, at a power of two; only what is left at the end of an input partition makes one padded sequence.
-Finished sequences are dealt to step groups of about ``STEP_TOKENS`` tokens, largest first to the lightest group.
+Finished sequences are dealt to step groups of about ``STEP_TOKENS`` tokens, largest first to the lightest group, some
+``HELD_STEPS`` groups at a time; so groups of one time differ by a sequence at most, and only the last of an input partition
+may be light.
 
 Packing is local to an input partition and streams through it: nothing is shuffled, and memory holds one slice of texts
-and fewer than two windows of carried rests. Sequence numbers are made global from the per-partition totals.
+fewer than two windows of carried rests, and the windows of ``HELD_STEPS`` groups. Sequence numbers are made global from the per-partition totals.
 
 Defined results: a null text counts as empty and still takes one place (its end id); a null doc_id is carried; equal
 rows are packed separately; an empty table gives no pieces; further columns are ignored.
@@ -31,6 +33,7 @@ from .tokens import END_ID, encode_with_end, tokenizer_path
 
 TIERS = (256, 512, 1024, 2048, 4096)
 STEP_TOKENS = 16 * 4096
+HELD_STEPS = 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, sequence long, offset long, tier int, step long"
 
 
@@ -95,8 +98,8 @@ class Packer:
 
 
 def step_groups(sizes: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
-    """Group of each sequence: largest first, each to the lightest of ceil(total / step_tokens) groups."""
-    groups = [(0, g) for g in range(max(1, -(-sum(sizes) // step_tokens)))]
+    """Group of each sequence: largest first, each to the lightest of about total / step_tokens groups."""
+    groups = [(0, g) for g in range(max(1, round(sum(sizes) / step_tokens)))]
     out = [0] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         load, g = groups[0]
@@ -110,7 +113,8 @@ def _pack(path: str, tiers: tuple[int, ...], end_id: int):
         part = TaskContext.get().partitionId()
         packer = Packer(tiers)
         held: dict[int, tuple[int | None, memoryview, int, int]] = {}  # number: doc_id, ids, tokens, tokens not yet placed
-        number = sequence = step = 0
+        number = sequence = step = waiting = 0
+        windows: list = []  # finished, not yet in a step group
 
         def rows(windows: list) -> pa.RecordBatch:
             nonlocal sequence, step
@@ -137,14 +141,17 @@ def _pack(path: str, tiers: tuple[int, ...], end_id: int):
                 ids, counts = encode_with_end(path, [t or "" for t in some.column(1).to_pylist()], end_id)
                 stops = np.cumsum(counts).tolist()
                 ids = ids.astype("<u4")
-                windows = []
+                seen = len(windows)
                 for name, b, c in zip(some.column(0).to_pylist(), stops, counts.tolist(), strict=True):
                     held[number] = (name, memoryview(ids[b - c : b].tobytes()), c, c)
                     windows += packer.add(number, c)
                     number += 1
                 windows += packer.windows(2 * packer.longest)
-                yield rows(windows)
-        yield rows(list(packer.finish()))
+                waiting += sum(p[2] for _, pieces in windows[seen:] for p in pieces)
+                if waiting >= HELD_STEPS * STEP_TOKENS:
+                    yield rows(windows)
+                    windows, waiting = [], 0
+        yield rows([*windows, *packer.finish()])
 
     return run
 

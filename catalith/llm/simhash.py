@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import discard, slices, written
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -219,17 +219,19 @@ def links(prints: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(node, label) with the least node of each component, by minimum labels over neighbours and pointer jumping.
 
-    Each round is written to the shared folder, so a lost executor repeats one round at most.
+    Each round is written to the shared folder, so a lost executor repeats one round at most; the round before is deleted.
     """
     both = written(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")), "links")
-    labels = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
+    stored = labels = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
         hop = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = written(hop.join(up, "label").select("node", F.least("label", "up").alias("label"), (F.least("label", "up") < F.col("old")).alias("moved")), "labels")
-        labels = new.select("node", "label")
+        discard(stored)
+        stored, labels = new, new.select("node", "label")
         if new.where("moved").isEmpty():
+            discard(both)
             return labels
 
 

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from catalith.llm import quality, simhash
+from catalith.llm import common, quality, simhash
 
 from .samples import documents, odd_rows
 from .test_sets import brute_components, brute_contamination, brute_fingerprint, planted
@@ -79,6 +79,22 @@ def test_repeated_rows_and_ids(spark, tables):
     assert Counter(rows_of(kept)) == Counter(rows_of(once))
 
 
+def test_rows_equal_in_id_and_text_leave_a_defined_one(spark, tables):
+    rows = [(1, "the same text of both", lang, source, None) for lang, source in (("en", "b"), ("de", "z"), ("en", "a"))] + [(1, "another text altogether, of the same id", "en", None, 4)]
+    for order in (rows, rows[::-1]):
+        kept = corpus_pipeline.near_duplicate_removal(spark, documents(spark, order).repartition(3).selectExpr("*", "'k' AS row_key", "1 AS `a.b`"), tables)
+        assert kept.columns[-2:] == ["row_key", "a.b"]
+        assert {tuple(r)[:4] for r in kept.collect()} == {(1, "the same text of both", "de", "z"), (1, "another text altogether, of the same id", "en", None)}
+
+
+def test_intermediate_tables_go(spark, tmp_path):
+    table = common.written(spark.range(3), "some")
+    at = table.stored_at.removeprefix("file:").replace("//", "/")
+    assert Path(at).exists() and table.count() == 3
+    common.discard(table)
+    assert not Path(at).exists()
+
+
 def test_empty_documents(spark, tables):
     docs = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:

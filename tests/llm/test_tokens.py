@@ -150,6 +150,17 @@ def test_packing(spark, library):
     assert packing.pack(clashing(spark)).count() == 2
 
 
+def test_step_groups_of_a_partition_are_near_equal(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9000))), None, None, None) for i in range(900)]
+    loads = Counter()
+    for r in packing.pack(documents(spark, rows).coalesce(1)).collect():
+        loads[r.step_group] += r.length
+    sizes = sorted(loads.values())
+    assert len(sizes) > 30 and sorted(loads) == list(range(len(sizes)))
+    assert sizes[1] > 0.9 * packing.STEP_TOKENS and sizes[-1] < 1.2 * packing.STEP_TOKENS
+
+
 def test_packing_has_little_padding(spark, library):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 900))), None, None, None) for i in range(600)]
