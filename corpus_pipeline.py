@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns
 of documents. Between stages the rows are written as Parquet to the shared folder and read again.
+
+Defined for every stage: an empty table gives no rows; further columns are carried unchanged, whatever their names (the last
+stage returns pieces and leaves them out); a null text counts as empty.
 """
 
 from __future__ import annotations
@@ -10,34 +13,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.llm import decontam, packing, quality, simhash
-from catalith.llm.common import row_key, table, with_key, written
+from catalith.llm.common import discard, row_key, table, with_key, written
 
 #: The fixed tokenizer and the grown forest are outside SQL.
 ORACLE_SQL = None
-KEY = "__row_key"
+
+
+def _free_name(docs: DataFrame) -> str:
+    """A column name that the documents do not have."""
+    name = "row_key"
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
 
 def quality_gate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go.
+
+    A row is judged by its text alone, so rows equal in text share their fate, with null ids and repeated ids too. Labels of
+    ids that the documents lack are not used; without any usable label nothing is accepted (every score is 0.5).
+    """
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.accepts(forest, F.col("text")))
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one of the smallest id; of equal rows one."""
-    kept = simhash.survivors(docs).select(row_key(F.col("doc_id"), F.col("digest")).alias(KEY))
-    return with_key(docs, KEY).join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
+    """One document of each component stays: that of the smallest id (null last), then of the least digest of the text.
+
+    Of rows equal in id and text the one stays whose other columns come first as JSON. Null, empty and blank texts are one
+    component, with all others whose fingerprint is near zero.
+    """
+    key, row = _free_name(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = simhash.survivors(docs).select(row_key(F.col("doc_id"), F.col("digest")).alias(key))
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    found = with_key(docs, key).join(kept, key, "left_semi")
+    return found.groupBy(key).agg(F.min_by(row, others).alias("row")).select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go.
+
+    Rows of one id with different texts are judged apart; repeated rows share their fate and stay repeated; texts without
+    words and, with an empty benchmark, all documents stay.
+    """
+    key = _free_name(docs)
     judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    dirty = judged.select(row_key(F.col("doc_id"), F.col("digest")).alias(KEY)).distinct()
-    return with_key(docs, KEY).join(dirty, KEY, "left_anti").select(*docs.columns)
+    dirty = judged.select(row_key(F.col("doc_id"), F.col("digest")).alias(key)).distinct()
+    return with_key(docs, key).join(dirty, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, as sequences."""
+    """Pieces of what is left, as sequences. Repeated rows are packed separately; an empty text takes one place."""
     return packing.pack(docs)
 
 
@@ -51,6 +77,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
