@@ -2,8 +2,8 @@
 
 For every DOM node: characters per tag, adjusted by how much of it is link text (the composite density). A node's
 density sum adds the densities of its children; the node of the greatest sum leads to the article. The body's own density
-is the threshold on the path from there to the body: the highest node on the path that reaches it is the article, and
-siblings at least half as dense are further sections of it. On an ``article`` or ``main`` half the threshold is enough, and
+is the threshold on the path from there to the body: the article is raised to each node on the path that reaches it, unless
+links are a third or more of the text that comes in thereby. Siblings at least half as dense are further sections. On an ``article`` or ``main`` half the threshold is enough, and
 its further sections are such elements too. A heading of the first rank that stands before it belongs to it.
 
 Page furniture that markup names (navigation, forms, adverts, notices, reader comments, hidden parts) is taken off before,
@@ -285,7 +285,8 @@ class Page:
         best = max((k for k in range(n) if not self.off[k]), key=lambda k: (sums[k], density[k]))
         raised = k = best
         while k > body:
-            if density[k] >= density[body] * (0.5 if self.tag[k] in LANDMARKS else 1):
+            dense = density[k] >= density[body] * (0.5 if self.tag[k] in LANDMARKS else 1)
+            if dense and 3 * (links[k] - links[raised]) <= chars[k] - chars[raised]:
                 raised = k
             k = self.parent[k]
         if k != body or raised <= body:  # outside of the body, or all of it

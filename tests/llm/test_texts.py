@@ -221,6 +221,13 @@ def test_a_heading_outside_the_found_part_stays():
     assert html_density.main_text(page) == "\n".join(["The heading", *PROSE])
 
 
+@pytest.mark.parametrize("frame", ["%s%s", "<div id=wrap>%s%s</div>", "<div><div>%s<div>%s</div></div></div>", "<table><tr><td>%s</td><td>%s</td></tr></table>", "<main><div>%s</div><div>%s</div></main>"])
+def test_lists_of_links_beside_the_text_go(frame):
+    links = "<ul>" + "".join(f"<li><a href=/{i}>another story {i}</a></li>" for i in range(40)) + "</ul>"
+    page = "<html><body>" + frame % ("<div>" + links + "</div>", "<div><h1>Heading</h1><div>" + STORY + "</div></div>") + "</body></html>"
+    assert html_density.main_text(page) == "\n".join(["Heading", *PROSE])
+
+
 def test_density_chooses_and_no_landmark_does():
     """An article element of links beside the text is not the article."""
     links = "<article>" + "".join(f"<h3><a href=/{i}>story number {i}</a></h3>" for i in range(20)) + "</article>"
