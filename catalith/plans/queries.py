@@ -18,6 +18,7 @@ from catalith.functions import scalars as X
 from catalith.functions.dom import Probe, probed
 from catalith.operators import changes, extract, metrics, results, tasks
 from catalith.schemas import CONTENT_FIELDS
+from catalith.sources.layout import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -482,7 +483,7 @@ len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::INT AS n_l
 """)
 def page_extract(spark, sf_dir):
     probes = {"title": Probe(("title",)), "lang": Probe(("html",), attr="lang"), "links": Probe(("a",), attr="href", every=True)}
-    looked = table(spark, sf_dir, "pages").select("page_id", probed(F.col("html"), probes)["found"].alias("p"))
+    looked = spread(table(spark, sf_dir, "pages")).select("page_id", probed(F.col("html"), probes)["found"].alias("p"))
     one = lambda name: F.coalesce(F.get(F.col("p")[name], F.lit(0)), F.lit(""))
     return looked.select("page_id", one("title").alias("title"), one("lang").alias("lang"), F.size(F.array_distinct("p.links")).alias("n_links"))
 
@@ -532,7 +533,7 @@ def _filled(template: str, values: dict[str, Column]) -> Column:
 
 def product_pages(spark: SparkSession, sf_dir: str, templates: dict[str, str]) -> DataFrame:
     """A page (asin, html) for each part whose branch has a template."""
-    part = table(spark, sf_dir, "part").where(F.array_contains(F.array(*[F.lit(BRANCHES.index(n)) for n in templates]), (F.col("p_partkey") % 10).cast("int")))
+    part = spread(table(spark, sf_dir, "part")).where(F.array_contains(F.array(*[F.lit(BRANCHES.index(n)) for n in templates]), (F.col("p_partkey") % 10).cast("int")))
     money = F.round("p_retailprice", 2).cast("decimal(18,2)").cast("string")
     values = {"name": F.col("p_name"), "brand": F.col("p_brand"), "kind": F.col("p_type"), "size": F.col("p_size").cast("string"), "key": F.col("p_partkey").cast("string"), "price": F.concat(F.lit("$"), money), "amount": money}
     branch = F.col("p_partkey") % 10
