@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.sources.layout import spread
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_CHARS = 2_000_000
 
@@ -21,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of long texts, spread over the cores where it is small."""
+    return spread(table(spark, sf_dir, name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see: ``spark.checkpoint.dir``.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, edit_counts, html_density, media, notices, packing, quality, sharding, simhash, simple8b
-from .common import table
+from .common import corpus, table
 
 
 def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,28 +15,28 @@ def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
+    return decontam.decontaminate(corpus(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("digest")
 
 
 def op3_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.documents_as_media(table(spark, sf_dir, "documents"))
+    return media.documents_as_media(corpus(spark, sf_dir))
 
 
 def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 over the stored pages, whose references have no payloads among the sample tables."""
-    return media.page_sequences(table(spark, sf_dir, "pages"))
+    return media.page_sequences(corpus(spark, sf_dir, "pages"))
 
 
 def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_density.extract(table(spark, sf_dir, "pages"))
+    return html_density.extract(corpus(spark, sf_dir, "pages"))
 
 
 def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_counts.edit_counts(table(spark, sf_dir, "documents"))
+    return edit_counts.edit_counts(corpus(spark, sf_dir))
 
 
 def op6_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(corpus(spark, sf_dir))
 
 
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,16 +44,16 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("digest", "label")
+    return simhash.near_duplicates(corpus(spark, sf_dir)).drop("digest", "label")
 
 
 def op9_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = corpus(spark, sf_dir)
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notices.scan(table(spark, sf_dir, "documents"))
+    return notices.scan(corpus(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
