@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.llm import decontam, packing, quality, simhash
-from catalith.llm.common import discard, row_key, table, with_key, written
+from catalith.llm.common import corpus, discard, row_key, table, with_key, written
 
 #: The fixed tokenizer and the grown forest are outside SQL.
 ORACLE_SQL = None
@@ -76,7 +76,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = corpus(spark, sf_dir)
     before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
