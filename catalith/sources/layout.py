@@ -9,8 +9,10 @@ SMALL_TABLE = 64 << 20
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """A table just read, for steps that are costly per row and shuffle nothing: a small one is dealt to all cores, a larger
-    one has row groups enough and stays as it lies. The rows are the same either way; columns not used are still not read.
+    """A table just read, for steps that are costly per row and shuffle nothing: a small one in few parts is dealt to all
+    cores, any other stays as it lies. The rows are the same either way; columns not used are still not read.
     """
+    cores = table.sparkSession.sparkContext.defaultParallelism
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, from their listing
-    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if size < SMALL_TABLE else table
+    few = size < SMALL_TABLE and table.rdd.getNumPartitions() < 2 * cores
+    return table.repartition(cores) if few else table

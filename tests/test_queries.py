@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from catalith.operators import results
 from catalith.plans import queries as plans
+from catalith.sources import layout
 from catalith.streaming import jobs
 
 
@@ -130,5 +131,14 @@ def test_counts_are_combined_before_the_shuffle(spark, sf_dir):
     assert "partial_count" in text and "CartesianProduct" not in text
 
 
+def test_small_tables_are_dealt_to_all_cores(spark, sf_dir, monkeypatch):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    some = layout.spread(part).where("p_size > 10").select("p_partkey")
+    assert "RoundRobinPartitioning(8)" in plan(some) and "p_type" not in plan(some) and "GreaterThan(p_size,10)" in plan(some)
+    assert layout.spread(part.repartition(16)).rdd.getNumPartitions() == 16
+    monkeypatch.setattr(layout, "SMALL_TABLE", 1)
+    assert "RoundRobin" not in plan(layout.spread(part))
+
+
 def test_change_detection_shuffles_once(spark, sf_dir):
     assert plan(plans.changes.detect_changes(plans.observations(spark, sf_dir))).count("Exchange hashpartitioning") == 1
