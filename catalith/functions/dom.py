@@ -92,8 +92,10 @@ def parse(html: str) -> Node:
 class Index:
     """Nodes of a page by what a selector's last step may ask for, each list in page order."""
 
-    def __init__(self, root: Node):
+    def __init__(self, root: Node, source: str | None = None):
+        """With the page's ``source``, probes whose phrases it cannot hold are passed over."""
         self.root, self.nodes = root, list(root.nodes())
+        self.low = source.lower() if source is not None and "&#" not in source else None
         self.of: dict[str, list[Node]] = {}
         for n in self.nodes:
             for key in {n.tag, *(f".{c}" for c in n.attrs.get("class", "").split()), *(f"[{a}" for a in n.attrs), f"#{n.attrs.get('id', '')}"}:
@@ -157,15 +159,19 @@ def leaf_texts(node: Node) -> list[str]:
 @dataclass(frozen=True)
 class Probe:
     """``attr`` instead of the text; ``every`` match instead of the first selector's with a text; texts joined ``between``;
-    ``leaves``: the texts and images inside the first match, in page order."""
+    ``leaves``: the texts and images inside the first match, in page order; ``phrases``: only texts that hold one of these
+    (lower case) are of interest, so pages without them need no look."""
 
     selectors: tuple[str, ...]
     attr: str | None = None
     every: bool = False
     between: str = ""
     leaves: bool = False
+    phrases: tuple[str, ...] = ()
 
     def run(self, root: Node | Index) -> list[str]:
+        if self.phrases and isinstance(root, Index) and root.low is not None and not any(p in root.low for p in self.phrases):
+            return []
         if self.leaves:
             found = next((n for s in self.selectors for n in select(root, s)[:1]), None)
             return leaf_texts(found) if found else []
@@ -199,7 +205,7 @@ def probed(html: Column, probes: dict[str, Probe]) -> Column:
     def look(pages: pd.Series) -> pd.DataFrame:
         found, details = [], []
         for page in pages:
-            root = Index(parse(page or ""))
+            root = Index(parse(page or ""), page or "")
             found.append({name: p.run(root) for name, p in probes.items()})
             details.append(pairs(root))
         return pd.DataFrame({"found": found, "details": details})

@@ -43,15 +43,15 @@ PROBES = {
     "cart_button": Probe(("#add-to-cart-button",), attr="id"),
     "wish_button": Probe(("#add-to-wishlist-button-submit",), attr="id"),
     "price_box": Probe(("#corePrice_feature_div", "#corePriceDisplay_desktop_feature_div"), attr="id"),
-    "links": Probe(("a",), every=True),
-    "spans": Probe(("span",), every=True),
+    "links": Probe(("a",), every=True, phrases=("see all buying", "see price in cart")),
+    "spans": Probe(("span",), every=True, phrases=("see all buying",)),
     "cart_help": Probe(("#a-popover-map_help_pop_",), attr="id"),
     "lines": Probe(("table.a-lineitem",), between=" "),
     "ships_rows": Probe(("div#tabular-buybox tr",), every=True, between=" "),
     "right_column": Probe(("div#rightCol",), between=" "),
     "buybox_table": Probe(("div#tabular-buybox",), between=" "),
     "quantity": Probe(('select[name="quantity"] option', "select#quantity option"), attr="value", every=True),
-    "all_text": Probe(("html", "body"), between=" "),
+    "all_text": Probe(("html", "body"), between=" ", phrases=("customize",)),
     "bullets": Probe(("div#feature-bullets ul > li span.a-list-item", "div.a-expander-content ul > li span.a-list-item"), every=True),
     "description": Probe(("div.aplus", "#aplus", "#aplusProductDescription", "#productDescription"), leaves=True),
     "main_image": Probe(("div#imgTagWrapperId img",), attr="src"),
