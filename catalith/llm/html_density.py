@@ -88,7 +88,9 @@ class Page:
             at = stop
             if not name:
                 continue
-            if close:
+            if close and name in ("body", "html"):  # what follows still belongs to the body
+                self.texts.append((self.stack[-1], ""))
+            elif close:
                 self._close(name)
             elif name != "html" and not (name == "body" and self.depths["body"]):
                 self._open(name, rest)

@@ -201,6 +201,7 @@ STORY = "".join("<p>" + p + "</p>" for p in PROSE)
         ("<body><div class=post><p class='notice'>Old page.</p><p>Text of the page that counts.</p><p>And more of it.</p></div></body>", "Text of the page that counts.\nAnd more of it."),
         ("<body><p class=it's>Hello there</p></body>", "Hello there"),
         ('<body><p title="x>Hello there</p></body>', "Hello there"),
+        ("<body><p>Text before the end of the body.</p></body></html><p>And some text after it.</p>", "Text before the end of the body.\nAnd some text after it."),
         ("<body><svg/><p>After a graphic.</p><title>T<p>More.</p></body>", "After a graphic.\nT\nMore."),
         ("<body><p>a &#" + "0" * 5000 + "65; &#" + "9" * 5000 + "; b</p></body>", "a A � b"),
     ],
