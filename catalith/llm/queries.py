@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, edit_counts, html_density, media, notices, packing, quality, sharding, simhash, simple8b
+from . import ball_clusters, decontam, edit_counts, html_density, media, notices, packing, quality, sharding, simhash, simple8b, spellings, top_k
 from .common import corpus, table
 
 
@@ -56,13 +56,29 @@ def op10_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notices.scan(corpus(spark, sf_dir))
 
 
+def op11_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variants(corpus(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_simple8b_tokens, op2_decontamination, op3_media_sequences, op4_text_density, op5_edit_aware_counts,
-        op6_hierarchical_packing, op7_minimax_shards, op8_simhash_anchors, op9_boosted_quality, op10_fuzzy_notices, page_sequences,
+        op6_hierarchical_packing, op7_minimax_shards, op8_simhash_anchors, op9_boosted_quality, op10_fuzzy_notices,
+        op11_ball_clusters, op12_exact_top_k, op13_spelling_variants, page_sequences,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE}
+    return {
+        "op2_decontamination": decontam.ORACLE, "op11_ball_clusters": ball_clusters.ORACLE, "op12_exact_top_k": top_k.ORACLE,
+        "op13_spelling_variants": spellings.ORACLE,
+    }
