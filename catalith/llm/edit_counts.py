@@ -3,8 +3,9 @@
 A document's text is cut at white space, which no pre-token of the vocabulary crosses, into leaves of about
 ``LEAF_CHARS`` characters. A binary tree over the leaves holds the sums of characters and tokens. An edit is resolved
 to leaves by descending the tree; the touched leaves, with a neighbour where the edit reaches a leaf's rim, are encoded
-anew as one region, cut into leaves again, and the sums on the way to the root follow; where a region has more leaves
-than before, the tree over the leaves is made anew, without encoding. Everything else keeps its count.
+anew as one region, cut into leaves again, and the sums on the way to the root follow; where regions have more leaves
+than before, the leaf list is spliced and the tree over it made anew once for all edits, without encoding. Everything
+else keeps its count.
 
 A vocabulary whose pre-tokens cross white space is an error, since leaves would then change its counts.
 
@@ -53,8 +54,10 @@ class Tree:
         self.sums = np.zeros((2 * self.width, 2), np.int64)
         if chars:
             self.sums[self.width : self.width + len(chars)] = np.stack([chars, tokens], axis=1)
-        for k in range(self.width - 1, 0, -1):
-            self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
+        k = self.width // 2
+        while k:
+            self.sums[k : 2 * k] = self.sums[2 * k : 4 * k : 2] + self.sums[2 * k + 1 : 4 * k : 2]
+            k //= 2
 
     @property
     def tokens(self) -> int:
@@ -70,15 +73,23 @@ class Tree:
                 k += 1
         return k - self.width, start
 
-    def replace(self, first: int, last: int, new: list[tuple[int, int]]) -> None:
-        """Put leaves of (characters, tokens) in the place of the leaves first to last."""
-        if len(new) > last + 1 - first:
-            leaf = self.sums[self.width : self.width + self.n].tolist()
-            leaf[first : last + 1] = new
-            self.__init__([c for c, _ in leaf], [t for _, t in leaf])
+    def replace(self, regions: list[tuple[int, int, list[tuple[int, int]]]]) -> None:
+        """Put leaves of (characters, tokens) in the place of the leaves first to last, for ascending (first, last, leaves).
+
+        Where all have room the sums on their ways to the root follow; else the leaf list is spliced once for all and the
+        tree made anew once.
+        """
+        if all(len(new) <= last + 1 - first for first, last, new in regions):
+            for first, last, new in regions:
+                for k in range(first, last + 1):
+                    self.put(k, *(new[k - first] if k - first < len(new) else (0, 0)))
             return
-        for k in range(first, last + 1):
-            self.put(k, *(new[k - first] if k - first < len(new) else (0, 0)))
+        old, parts, at = self.sums[self.width : self.width + self.n], [], 0
+        for first, last, new in regions:
+            parts += [old[at:first], np.array(new, np.int64).reshape(-1, 2)]
+            at = last + 1
+        spliced = np.concatenate([*parts, old[at:]])
+        self.__init__(*[spliced[:, k].tolist() for k in (0, 1)])
 
     def put(self, leaf: int, chars: int, tokens: int) -> None:
         k = self.width + leaf
@@ -91,8 +102,7 @@ class Tree:
 def apply_edits(text: str, tree: Tree, edits: list[tuple[int, int, str]], count, size: int = LEAF_CHARS) -> tuple[str, int]:
     """The edited text and how many characters were encoded anew; ``count`` maps texts to token counts.
 
-    Regions are found from the last edit to the first, so that earlier positions stay right, and are joined where they
-    share leaves.
+    Edits become regions of whole leaves, joined where they share leaves; all regions are put into the tree together.
     """
     edits = sorted(edits)
     if any(a[1] > b[0] for a, b in zip(edits, edits[1:], strict=False)) or any(not 0 <= s <= e <= len(text) for s, e, _ in edits):
@@ -124,8 +134,7 @@ def apply_edits(text: str, tree: Tree, edits: list[tuple[int, int, str]], count,
     for (first, last, _), s in zip(regions, new, strict=True):
         out += [text[at : int(starts[first])], s]
         at = int(starts[last + 1])
-    for (first, last, _), some in zip(reversed(regions), reversed(counted), strict=True):
-        tree.replace(first, last, some)
+    tree.replace([(first, last, some) for (first, last, _), some in zip(regions, counted, strict=True)])
     return "".join(out) + text[at:], sum(map(len, new))
 
 

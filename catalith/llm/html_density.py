@@ -3,13 +3,15 @@
 For every DOM node: characters per tag, adjusted by how much of it is link text (the composite density). A node's
 density sum adds the densities of its children; the node of the greatest sum leads to the article. The body's own density
 is the threshold on the path from there to the body: the article is raised to each node on the path that reaches it, unless
-links are a third or more of the text that comes in thereby. Siblings at least half as dense are further sections. On an ``article`` or ``main`` half the threshold is enough, and
+links are a third or more of the text that comes in thereby. Siblings at least half as dense are further sections, and so are
+those without links that come later or have elements of their own, unless an article element lies in the found part. On an ``article`` or ``main`` half the threshold is enough, and
 its further sections are such elements too. A heading of the first rank that stands before it belongs to it.
 
 Page furniture that markup names (navigation, forms, adverts, notices, reader comments, hidden parts) is taken off before,
 unless it wraps the page: a form or a part so named that holds an article, the heading or most of the page's text stays.
-A name of which furniture is only a part ("share-price", "alert-story") takes nothing off by itself: a part below the
-threshold or full of links goes, and any other stays.
+A name of which furniture is only a part ("share-price", "alert-story"), or of a quote, takes nothing off by itself: a part
+full of links goes, or one with links below the threshold, and any other stays. A button or label outside of forms whose
+parent has words of its own is part of that sentence.
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks in page order joined by one
 line feed. ``br`` is white space.
@@ -62,6 +64,10 @@ LANDMARKS = ("article", "main")
 WRAPPERS = frozenset(("form", "fieldset"))
 #: Elements that hold running text: part of a name says nothing about them unless links fill them.
 TEXT_TAGS = frozenset("p li dd dt td th pre blockquote figcaption caption span em strong b i u mark small cite q code time abbr sub sup".split())
+#: What somebody says: a word of the name alone takes nothing of it off.
+QUOTES = frozenset(("blockquote", "q"))
+#: Controls whose label may be a word of the sentence around them.
+SPOKEN = frozenset(("button", "label"))
 #: Kept text under so many characters beside a part (a site's name, a skip link) is no article of its own.
 FEW = 100
 
@@ -76,6 +82,7 @@ class Page:
         self.tag, self.parent, self.off = ["html"], [-1], [False]
         self.talk: set[int] = set()  # nodes named as reader comments
         self.doubtful: list[int] = []  # nodes of whose name furniture is only a part
+        self.spoken: list[int] = []  # controls outside of forms that may be words of a sentence
         self.texts: list[tuple[int, str]] = []  # node, text
         self.stack = [0]  # open nodes
         # Depths on the stack: by tag, of blocks, of blocks other than p, and of list scopes; so no search walks the stack.
@@ -132,6 +139,8 @@ class Page:
         tag.append(name)
         self.parent.append(stack[-1])
         self.off.append(name in OFF_TAGS or name == "header" and not self._in_landmark() or bool(rest.strip()) and self._named_off(node, name, rest))
+        if name in SPOKEN and tag[stack[-1]] in TEXT_TAGS and not (self.depths["form"] or self.depths["fieldset"]):
+            self.spoken.append(node)
         if name in BLOCK or name == "br":
             self.texts.append((node, "" if name in BLOCK else " "))
         if not (name in VOID or name in RAW or name == "svg" and rest.endswith("/")):
@@ -153,7 +162,7 @@ class Page:
                         continue
                     if name == "article":
                         sure = sure or bool(hit & COMMENT_WORDS)
-                    elif hit & SURE_WORDS or not words - OFF_WORDS - LAYOUT_WORDS - {w for w in words if len(w) == 1}:
+                    elif name not in QUOTES and hit & SURE_WORDS or not words - OFF_WORDS - LAYOUT_WORDS - {w for w in words if len(w) == 1}:
                         sure = True
                     else:
                         doubtful = True
@@ -191,6 +200,9 @@ class Page:
         a kept article or heading, and for parts named as comments, size alone keeps a part only if little else is kept, and never next to a headed article.
         """
         n = len(self.tag)
+        saying = {node for node, text in self.texts if text.strip()}
+        for k in self.spoken:
+            self.off[k] = self.off[k] and self.parent[k] not in saying
         marks = [t in LANDMARKS or t == "h1" for t in self.tag]
         may_stay = [self.off[k] and (t in WRAPPERS or t not in OFF_TAGS and t != "header") for k, t in enumerate(self.tag)]
         gone = [False] * n
@@ -259,13 +271,14 @@ class Page:
         return density, sums, chars, link_chars
 
     def judge(self) -> tuple[list[float], list[float], list[int], list[int]]:
-        """Take off the parts of doubtful names that links fill or that are less dense than the body; the densities then."""
+        """Take off the parts of doubtful names that links fill, or that hold links and are less dense than the body; the
+        densities then."""
         found = self.densities()
         density, _, chars, links = found
         body = self.body
         gone = [
             k for k in self.doubtful
-            if not self.off[k] and (2 * links[k] > chars[k] or self.tag[k] not in TEXT_TAGS and (3 * links[k] > chars[k] or density[k] < density[body]))
+            if not self.off[k] and (2 * links[k] > chars[k] or self.tag[k] not in TEXT_TAGS and links[k] and (3 * links[k] > chars[k] or density[k] < density[body]))
         ]
         if gone:
             for k in gone:
@@ -294,8 +307,9 @@ class Page:
         if k != body or raised <= body:  # outside of the body, or all of it
             return [raised]
         kind = (*LANDMARKS, "section") if self.tag[raised] in LANDMARKS else BLOCK
-        of = self.parent[raised]
-        roots = [k for k in range(body + 1, n) if self.parent[k] == of and not self.off[k] and (k == raised or self.tag[k] in kind and 2 * density[k] >= density[raised])]
+        of, parents = self.parent[raised], set(self.parent)
+        marked = any(inside and tag in LANDMARKS for inside, tag in zip(self._below([raised]), self.tag, strict=True))  # the page says what its article is
+        roots = [k for k in range(body + 1, n) if self.parent[k] == of and not self.off[k] and (k == raised or self.tag[k] in kind and (2 * density[k] >= density[raised] or not (links[k] or marked) and (k > raised or k in parents)))]
         inside = self._below(roots)
         headings = [k for k in range(body + 1, n) if self.tag[k] == "h1" and not self.off[k] and chars[k]]
         before = [k for k in headings if k < raised and 2 * links[k] <= chars[k]]

@@ -74,10 +74,11 @@ def tags(source: str) -> Iterator[tuple[int, int, bool, str, str, int]]:
         tag = name[0].lower()
         stop = end
         if tag in RAW and not close:
-            finish = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>", re.I).search(source, end)
-            if finish:
-                stop = finish.end()
-            else:
+            finish = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, end)
+            behind = source.find(">", finish.end()) if finish else -1
+            if behind >= 0:
+                stop = behind + 1
+            else:  # neither a later end tag has a ">"
                 unclosed.add(tag)
                 stop = len(source) if tag in ("script", "style") else end
         yield start, end, close, tag, source[name.end() : end].removesuffix(">"), stop

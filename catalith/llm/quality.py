@@ -18,7 +18,6 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,10 +180,12 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
 
 
 def accepts(forest: Forest, text: Column) -> Column:
-    """Whether a text is accepted, for use as a filter."""
+    """Whether a text is accepted, for use as a filter. Texts become Python objects in bounded slices."""
 
-    @F.pandas_udf("boolean")
-    def accepted(texts: pd.Series) -> pd.Series:
-        return pd.Series(forest.score(feature_rows(texts.tolist())) >= ACCEPT)
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        some = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text")
+        marks = [forest.score(feature_rows(x.column(0).to_pylist())) >= ACCEPT for x in some]
+        return pa.array(np.concatenate(marks) if marks else [], pa.bool_())
 
     return accepted(text)

@@ -1,5 +1,6 @@
 """Media sequences, text density, quality and notices."""
 
+import math
 import hashlib
 import re
 import time
@@ -229,6 +230,65 @@ def test_lists_of_links_beside_the_text_go(frame):
     assert html_density.main_text(page) == "\n".join(["Heading", *PROSE])
 
 
+ITEMS = "".join(f"<li>Item {i}</li>" for i in range(10))
+SHOWN_ITEMS = "\n".join(f"Item {i}" for i in range(10))
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<div>" + STORY + "</div><div><h2>Conclusion</h2><p>Short end.</p></div>", "\n".join([*PROSE, "Conclusion", "Short end."])),
+        ("<div>" + STORY + "</div><ul>" + ITEMS + "</ul>", "\n".join([*PROSE, SHOWN_ITEMS])),
+        ("<ul>" + ITEMS + "</ul><div>" + STORY + "</div>", "\n".join([SHOWN_ITEMS, *PROSE])),
+        ("<article>" + STORY + "<section class=related-work><p>Others did it too.</p></section></article>", "\n".join([*PROSE, "Others did it too."])),
+        ("<article>" + STORY + "<div class=footer-notes>1 A note.</div></article>", "\n".join([*PROSE, "1 A note."])),
+        ("<article>" + STORY + '<blockquote class="comment-quote">They said so.</blockquote></article>', "\n".join([*PROSE, "They said so."])),
+        ("<div>" + "".join(f"<div class=elementor-widget><p>Short {i}.</p></div>" for i in range(6)) + "<div>" + STORY + "</div></div>", "\n".join([*[f"Short {i}." for i in range(6)], *PROSE])),
+        ("<article>" + STORY + "<p>Click <button>here</button> now, or <label>there</label>.</p></article>", "\n".join([*PROSE, "Click here now, or there."])),
+        ("<article>" + STORY + "<p><button>Share</button> <button>Mail</button></p><form><p>Your <label>name</label></p></form></article>", "\n".join(PROSE)),
+        ("<article>" + STORY + "<div class=related-stories><a href=a>One more</a> <a href=b>And one</a></div></article>", "\n".join(PROSE)),
+    ],
+)
+def test_short_parts_without_links_stay(page, wanted):
+    assert html_density.main_text("<html><body>" + page + "</body></html>") == wanted
+
+
+def brute_densities(page):
+    """Composite densities and their sums, each node counted anew from the whole tree."""
+    n = len(page.tag)
+    below = lambda k, top: k == top or k > 0 and below(page.parent[k], top)
+    in_link = lambda k: k > 0 and (page.tag[k] == "a" or in_link(page.parent[k]))
+    on = [k for k in range(n) if not page.off[k]]
+
+    def counted(top):
+        chars = sum(len(t.strip()) for k, t in page.texts if k in on and below(k, top))
+        links = sum(len(t.strip()) for k, t in page.texts if k in on and below(k, top) and in_link(k))
+        tags = [page.tag[k] for k in on if k != top and below(k, top)]
+        return chars, links, len(tags), tags.count("a")
+
+    whole = counted(0)
+    density, sums = {}, {k: 0.0 for k in range(n)}
+    for k in on:
+        c, lc, t, lt = counted(k)
+        t = max(1, t)
+        if c:
+            base = math.log(c / max(1, c - lc) * lc + whole[1] / max(1, whole[0]) * c + math.e)
+            density[k] = c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1) / max(1e-9, math.log(base + 1))
+            if k:
+                sums[page.parent[k]] += density[k]
+    return density, sums
+
+
+@settings(max_examples=100, deadline=None)
+@given(parts=st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "some text ", "<ul><li>", "</ul>", "<b>", "</b>", "<nav>", "</nav>", "x"]), max_size=40))
+def test_densities_equal_a_recount_of_every_node(parts):
+    page = html_density.Page("".join(parts))
+    page.settle()
+    density, sums, *_ = page.densities()
+    want, want_sums = brute_densities(page)
+    assert density == pytest.approx([want.get(k, 0.0) for k in range(len(page.tag))]) and sums == pytest.approx([want_sums[k] for k in range(len(page.tag))])
+
+
 def test_density_chooses_and_no_landmark_does():
     """An article element of links beside the text is not the article."""
     links = "<article>" + "".join(f"<h3><a href=/{i}>story number {i}</a></h3>" for i in range(20)) + "</article>"
@@ -237,7 +297,7 @@ def test_density_chooses_and_no_landmark_does():
 
 HOSTILE = [
     '<p title="' * 100_000, "<" * 1_000_000, "<b>" * 100_000 + "</p>" * 100_000, "<b>" * 100_000 + "<div>x</div>" * 40_000, "<div>" * 100_000, "<title>" * 100_000, "<li>" * 100_000,
-    "<div>" * 50_000 + "<header>x" * 50_000, "<p x='\">\"" * 80_000, "<!--" * 250_000, "<p " + "=" * 1_000_000, "<figure><img src=a>" * 50_000, "<div class=share-x>" * 40_000, "<a href=x>y" * 80_000,
+    "<script>" + "</script " * 200_000, "<title>" + "</title " * 200_000 + "<p>x", "<div>" * 50_000 + "<header>x" * 50_000, "<p x='\">\"" * 80_000, "<!--" * 250_000, "<p " + "=" * 1_000_000, "<figure><img src=a>" * 50_000, "<div class=share-x>" * 40_000, "<a href=x>y" * 80_000,
 ]
 
 
@@ -249,6 +309,14 @@ def test_hostile_markup_takes_no_longer_than_its_length(k):
     assert time.perf_counter() - began < 20  # quadratic time would be minutes
 
 
+def test_end_tags_that_never_close_are_looked_at_once(monkeypatch):
+    """2 MB of end tags without ">": in a second, not in minutes."""
+    for source in ("<script>" + "</script " * 250_000, "<style>" + "</style/" * 250_000):
+        began = time.perf_counter()
+        assert html_density.main_text(source) == "" and media.parse(source) is not None
+        assert time.perf_counter() - began < 1
+
+
 def test_tags_of_a_million_open_quotes():
     began = time.perf_counter()
     assert len(list(markup.tags('<p title="' * 100_000))) == 1

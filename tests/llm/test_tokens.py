@@ -228,6 +228,25 @@ def test_a_vocabulary_that_crosses_white_space_is_an_error(spark):
         edit_counts.edit_counts(documents(spark), tokenizer_path("byte_bpe_50k.json")).collect()
 
 
+def test_many_edits_make_the_tree_anew_once(monkeypatch):
+    """Work, not seconds: a long text with many edits that add leaves."""
+    made = []
+    whole = edit_counts.Tree.__init__
+    monkeypatch.setattr(edit_counts.Tree, "__init__", lambda self, *a: made.append(1) or whole(self, *a))
+    text = "some words stand here " * 20_000
+    cut = edit_counts.leaves(text)
+    tree = edit_counts.Tree([len(c) for c in cut], [c.count("w") for c in cut])
+    edits = [(at, at + 4, "longer words " * 60) for at in range(0, len(text) - 10, 2_200)]
+    after, again = edit_counts.apply_edits(text, tree, edits, lambda new: [c.count("w") for c in new])
+    want, at = [], 0
+    for a, b, new in edits:
+        want += [text[at:a], new]
+        at = b
+    want = "".join(want) + text[at:]
+    assert after == want and tree.tokens == want.count("w") and len(made) == 2
+    assert again < len(edits) * (len(edits[0][2]) + 4 * (edit_counts.LEAF_CHARS + 64)) and (tree.sums[1] == [len(want), want.count("w")]).all()
+
+
 def test_overlapping_edits_are_an_error():
     tree = edit_counts.Tree([3], [1])
     with pytest.raises(ValueError):
