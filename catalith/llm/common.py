@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ from catalith.sources.layout import spread
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_CHARS = 2_000_000
+#: Bits that one aggregate of bitmap_construct_agg holds (fixed value).
+BUCKET_BITS = 32_768
+#: Bitmaps of 4 KB that are broadcast at once: 64 MB.
+BITMAPS = 16_384
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,11 +107,59 @@ def running_offsets(counts: DataFrame, part: str, count: str, offset: str, withi
 
 
 def row_key(doc_id: Column, digest: Column) -> Column:
-    """One string per (id, digest of the text), for joins back to rows; null ids included."""
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), digest)
+    """One string per (id, digest of the text), for joins back to rows; null ids included. Ids of any numeric type are
+    taken as the operators take them, as long integers."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("none")), digest)
 
 
 def with_key(docs: DataFrame, name: str) -> DataFrame:
     """The documents with ``row_key`` of their id and text in column ``name``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.withColumn(name, row_key(F.col("doc_id"), F.md5(text.cast("binary"))))
+
+
+# --- rows by their places in files ---------------------------------------------------------------------------------
+
+
+def free_name(table: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have."""
+    while name in table.columns:
+        name = f"_{name}"
+    return name
+
+
+def with_places(table: DataFrame, name: str) -> DataFrame:
+    """The rows with a struct of their file and their number in it. A table that is not read from Parquet files is written
+    to the shared folder first."""
+    try:
+        meta = table.metadataColumn("_metadata")
+        return table.withColumn(name, F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")))
+    except AnalysisException:
+        return with_places(written(table, "rows"), name)
+
+
+def bit_at(bits: Column, place: Column) -> Column:
+    """Whether a bitmap of bitmap_construct_agg holds a place."""
+    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return F.getbit(byte, (place % 8).cast("int")) == 1
+
+
+def at_places(placed: DataFrame, name: str, places: DataFrame) -> DataFrame:
+    """The rows of ``placed`` (from ``with_places``) that stand at ``places`` (file, row), filtered where they lie: nothing
+    but bitmaps moves. These are broadcast 64 MB at a time, each time to the files that they speak of."""
+    bits, file, bucket = (free_name(placed, n) for n in ("bits", "bits_file", "bits_bucket"))
+    numbered = F.floor(F.col("row") / BUCKET_BITS)
+    bitmaps = written(places.groupBy(F.col("file").alias(file), numbered.alias(bucket)).agg(F.bitmap_construct_agg(F.col("row") % BUCKET_BITS).alias(bits)), "places")
+    waves = max(1, -(-bitmaps.count() // BITMAPS))
+    row = F.col(f"`{name}`.row")
+    of_wave = lambda c, wave: F.pmod(F.xxhash64(c), F.lit(waves)) == wave
+    on = (F.col(f"`{name}`.file") == F.col(file)) & (F.floor(row / BUCKET_BITS) == F.col(bucket))
+    columns = [f"`{c}`" for c in placed.columns if c != name]
+    parts = None
+    for wave in range(waves):
+        own, some = placed, bitmaps
+        if waves > 1:
+            own, some = placed.where(of_wave(F.col(f"`{name}`.file"), wave)), bitmaps.where(of_wave(F.col(file), wave))
+        found = own.join(F.broadcast(some), on).where(bit_at(F.col(bits), row % BUCKET_BITS)).select(*columns)
+        parts = found if parts is None else parts.unionAll(found)
+    return parts

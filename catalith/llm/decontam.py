@@ -4,16 +4,18 @@ A window is ``WINDOW`` consecutive words of a benchmark item (the whole item whe
 set of its shingles of ``SHINGLE`` words, is contained in a document only if every one of its shingles is, so one
 shingle is a sufficient prefix: the rarest one over the whole corpus. The steps are
 
-1. one scan of the documents keeps, of every document, its number of words, and every position whose shingle the
-   benchmark has, with the few words around it; shingles of all widths are sought at once;
-2. count over all documents how often each benchmark shingle occurs, and keep each window's rarest shingle;
-3. join the kept positions with these prefixes; the prefix's place in the window fixes where the window would start
-   (positional bound) and the document must reach to its end (length bound); compare the words there;
-4. merge the verified windows of a document into hit words, and map windows back to items.
+1. a first scan of the documents counts how often each benchmark shingle occurs, shingles of all widths at once; only
+   counts leave it;
+2. keep each window's rarest shingle as its prefix;
+3. a second scan keeps, of every document, its number of words, and every position of a prefix with the few words around
+   it, so what is kept does not grow with shingles that the corpus is full of;
+4. join the kept positions with the windows of their prefixes; the prefix's place in the window fixes where the window
+   would start (positional bound) and the document must reach to its end (length bound); compare the words there;
+5. merge the verified windows of a document into hit words, and map windows back to items.
 
 Up to ``KNOWN_SHINGLES`` distinct benchmark shingles are broadcast as they are. Of more, a bitmap of at most
 ``MOST_BITS`` bits (256 MB) is broadcast, 16 bits a shingle as long as that allows: it passes all benchmark shingles and a
-few others, which the joins of steps 2 and 3 drop, then dealt by shingle. Documents never shuffle their words: only the
+few others, which the joins of steps 1 and 4 drop, then dealt by shingle. Documents never shuffle their words: only the
 kept positions and one row per document do.
 
 Defined results: a null or empty text has no words and is clean; a null doc_id is carried; rows equal in id and text get
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import BUCKET_BITS, ascii_lower, bit_at, written
 
 WINDOW = 13
 SHINGLE = 5
@@ -34,8 +36,6 @@ SHINGLE = 5
 KNOWN_SHINGLES = 2_000_000
 KNOWN_WINDOWS = 200_000
 MOST_BITS = 1 << 31
-#: Bits that one aggregate of bitmap_construct_agg holds (fixed value).
-BUCKET_BITS = 32_768
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -86,28 +86,41 @@ def _known(positions: DataFrame, shingles: DataFrame) -> DataFrame:
     slot = F.pmod(F.col("shingle"), F.lit(bits))
     bucket, place = F.floor(slot / BUCKET_BITS), slot % BUCKET_BITS
     bitmap = own.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
-    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    found = F.getbit(byte, (place % 8).cast("int")) == 1
+    found = bit_at(F.col("bits"), place)
     return positions.join(F.broadcast(bitmap), bucket == F.col("bucket"), "left").where(F.col("shingle").isNull() | found).drop("bucket", "bits")
 
 
-def scan(docs: DataFrame, shingles: DataFrame, widths: list[int]) -> DataFrame:
-    """One row for each document (``pos`` null) and one for each position whose shingle the benchmark may have, with the
-    words from ``first`` on that any window around it can touch. The only scan of the documents."""
-    n = max(1, len(widths))
-    k = F.col("k")
+def _positions(docs: DataFrame, widths: list[int], whole: bool) -> DataFrame:
+    """Every position of the documents' words with its shingle, for each width; with ``whole`` also a row for each document
+    (``pos`` null)."""
+    k, n = F.col("k"), len(widths)
     placed = _keyed(docs).select("*", F.explode(F.sequence(F.lit(-1), F.size("words") * n - 1)).alias("k"))
-    if not widths:
-        placed = placed.where(k < 0)
     # k is -1 for the document and else runs over positions and widths.
-    pos = F.when(k >= 0, (k / n).cast("int"))
-    width = F.get(F.array(*[F.lit(w) for w in widths or [1]]), k % n)
+    pos = F.when(k >= 0, (k / n).cast("int")) if n else F.lit(None).cast("int")
+    width = F.get(F.array(*[F.lit(w) for w in widths]), k % n) if n else F.lit(1)
     placed = placed.select("doc_id", "digest", "words", pos.alias("pos"), width.alias("width"))
     inside = F.col("pos") + F.col("width") <= F.size("words")
-    placed = placed.where(F.col("pos").isNull() | inside)
-    placed = placed.select("doc_id", "digest", "words", "pos", F.when(F.col("pos").isNotNull(), _of_width(widths or [1], F.col("width"), "words", F.col("pos"))).alias("shingle"))
+    placed = placed.where(F.col("pos").isNull() | inside if whole else inside)
+    return placed.select("doc_id", "digest", "words", "pos", F.when(F.col("pos").isNotNull(), _of_width(widths or [1], F.col("width"), "words", F.col("pos"))).alias("shingle"))
+
+
+def prefixes(docs: DataFrame, shingles: DataFrame, widths: list[int]) -> DataFrame:
+    """(shingle, at, window, window_words): the rarest shingle of each window that can occur, and its place there.
+
+    A window of which a shingle is in no document has that as its rarest, and is left out.
+    """
+    known = _known(_positions(docs, widths, whole=False).select("shingle"), shingles)
+    counts = known.groupBy("shingle").count()
+    order = Window.partitionBy("window").orderBy(F.coalesce("count", F.lit(0)), "shingle", "at")
+    ranked = shingles.join(counts, "shingle", "left").withColumn("rank", F.row_number().over(order))
+    return written(ranked.where((F.col("rank") == 1) & F.col("count").isNotNull()).select("shingle", "at", "window", "window_words"), "bench-prefixes")
+
+
+def scan(docs: DataFrame, prefix: DataFrame, widths: list[int]) -> DataFrame:
+    """One row for each document (``pos`` null) and one for each position whose shingle is a prefix, or may be, with the
+    words from ``first`` on that any window around it can touch."""
     first = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
-    kept = _known(placed, shingles).select(
+    kept = _known(_positions(docs, widths, whole=True), prefix).select(
         "doc_id", "digest", F.size("words").alias("n_words"), "pos", "shingle",
         F.when(F.col("pos").isNotNull(), first).alias("first"),
         F.when(F.col("pos").isNotNull(), F.slice("words", first + 1, F.col("pos") - first + WINDOW)).alias("around"),
@@ -115,14 +128,9 @@ def scan(docs: DataFrame, shingles: DataFrame, widths: list[int]) -> DataFrame:
     return written(kept, "bench-positions")
 
 
-def occurrences(kept: DataFrame, shingles: DataFrame) -> DataFrame:
+def occurrences(kept: DataFrame, prefix: DataFrame) -> DataFrame:
     """Verified occurrences of benchmark windows: doc_id, digest, window, first word, one past the last word."""
     hits = kept.where(F.col("pos").isNotNull())
-    counts = hits.groupBy("shingle").count()
-    # A window of which a shingle is in no document has that as its rarest, and is left out.
-    order = Window.partitionBy("window").orderBy(F.coalesce("count", F.lit(0)), "shingle", "at")
-    ranked = shingles.join(counts, "shingle", "left").withColumn("rank", F.row_number().over(order))
-    prefix = written(ranked.where((F.col("rank") == 1) & F.col("count").isNotNull()).select("shingle", "at", "window", "window_words"), "bench-prefixes")
     if prefix.count() <= KNOWN_WINDOWS:
         prefix = F.broadcast(prefix)
     start, size = F.col("pos") - F.col("at"), F.size("window_words")
@@ -139,8 +147,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_windows, distinct = windows(benchmark)
     widths = [r[0] for r in distinct.select("width").distinct().orderBy("width").collect()]  # at most SHINGLE values
     shingles = written(_window_shingles(distinct, widths or [1]), "bench-shingles")
-    kept = scan(docs, shingles, widths)
-    occurring = occurrences(kept, shingles)
+    prefix = prefixes(docs, shingles, widths)
+    kept = scan(docs, prefix, widths)
+    occurring = occurrences(kept, prefix)
     # Hit words: windows in order of their first word, each adding what reaches beyond all earlier ones.
     order = Window.partitionBy("doc_id", "digest").orderBy("first", "stop").rowsBetween(Window.unboundedPreceding, -1)
     spans = occurring.select("doc_id", "digest", "first", "stop").distinct()

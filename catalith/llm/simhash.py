@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, slices, written
 
@@ -58,16 +59,19 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, digest of the text, fp) of each row, and the columns ``carried``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text"):
                 texts = some.column(1).to_pylist()
                 digests = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(digests), pa.array([fingerprint(t) for t in texts], pa.int64())], names=["doc_id", "digest", "fp"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(digests), pa.array([fingerprint(t) for t in texts], pa.int64()), *some.columns[2:]], names=["doc_id", "digest", "fp", *carried])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, digest string, fp long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    kinds = [T.StructField("doc_id", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("fp", T.LongType()), *slim.schema.fields[2:]]
+    return slim.mapInArrow(run, T.StructType(kinds))
 
 
 # --- anchors -------------------------------------------------------------------------------------------------------
@@ -248,7 +252,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(of_print, F.col("fp") == F.col("node_fp")).select("doc_id", hexed, "component_id", "digest", "label")
 
 
-def survivors(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) of the document of each component that stays: the smallest id, nulls last, then the digest."""
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    return near_duplicates(docs).groupBy("label").agg(F.min(order).alias("kept")).select("kept.doc_id", "kept.digest")
+def survivors(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, digest, and the columns ``carried``) of the document of each component that stays: the smallest id, nulls
+    last, then the least digest, then the least of what is carried. Rows are reduced by fingerprint before they meet labels."""
+    prints = fingerprints(docs, carried)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", *carried)
+    nodes = written(prints.groupBy("fp").agg(F.min(order).alias("first")), "nodes")
+    labels = components(written(links(nodes), "pairs"))
+    named = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("label", "fp").alias("label"))
+    return named.groupBy("label").agg(F.min("first").alias("kept")).select("kept.*").drop("last")

@@ -13,20 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.llm import decontam, packing, quality, simhash
-from catalith.llm.common import corpus, discard, row_key, table, with_key, written
+from catalith.llm.common import at_places, corpus, discard, free_name, row_key, table, with_key, with_places, written
+
+#: Contaminated documents whose keys are broadcast, about 64 MB; with more the documents are dealt by key.
+KNOWN_DIRTY = 1_000_000
 
 #: The fixed tokenizer and the grown forest are outside SQL.
 ORACLE_SQL = None
 
 
-def _free_name(docs: DataFrame) -> str:
-    """A column name that the documents do not have."""
-    name = "row_key"
-    while name in docs.columns:
-        name = f"_{name}"
-    return name
-
-
 def quality_gate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go.
 
@@ -40,14 +35,16 @@ def quality_gate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that of the smallest id (null last), then of the least digest of the text.
 
-    Of rows equal in id and text the one stays whose other columns come first as JSON. Null, empty and blank texts are one
-    component, with all others whose fingerprint is near zero.
+    Of rows equal in id and text the one stays whose other columns come first as JSON, and of those equal in all columns
+    the first in the files. Null, empty and blank texts are one component, with all others whose fingerprint is near zero.
+    Texts are read where they lie, for their fingerprints and again for the rows that stay; they are not shuffled.
     """
-    key, row = _free_name(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = simhash.survivors(docs).select(row_key(F.col("doc_id"), F.col("digest")).alias(key))
+    place = free_name(docs, "place")
+    placed = with_places(docs, place)
     others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
-    found = with_key(docs, key).join(kept, key, "left_semi")
-    return found.groupBy(key).agg(F.min_by(row, others).alias("row")).select("row.*")
+    slim = placed.select("doc_id", "text", others.alias("others"), F.col(f"{place}.file").alias("file"), F.col(f"{place}.row").alias("row"))
+    kept = simhash.survivors(slim, ("others", "file", "row"))
+    return at_places(placed, place, kept)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +53,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Rows of one id with different texts are judged apart; repeated rows share their fate and stay repeated; texts without
     words and, with an empty benchmark, all documents stay.
     """
-    key = _free_name(docs)
+    key = free_name(docs, "row_key")
     judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    dirty = judged.select(row_key(F.col("doc_id"), F.col("digest")).alias(key)).distinct()
+    dirty = written(judged.select(row_key(F.col("doc_id"), F.col("digest")).alias(key)).distinct(), "dirty")
+    if dirty.count() <= KNOWN_DIRTY:
+        dirty = F.broadcast(dirty)
     return with_key(docs, key).join(dirty, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

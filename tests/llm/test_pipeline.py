@@ -87,6 +87,40 @@ def test_rows_equal_in_id_and_text_leave_a_defined_one(spark, tables):
         assert {tuple(r)[:4] for r in kept.collect()} == {(1, "the same text of both", "de", "z"), (1, "another text altogether, of the same id", "en", None)}
 
 
+@pytest.mark.parametrize("kind", ["int", "decimal(10,1)", "double", "long"])
+def test_ids_of_any_numeric_type_give_the_same_survivors(spark, tables, kind):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id IS NOT NULL")
+    typed = docs.withColumn("doc_id", docs.doc_id.cast(kind))
+    for stage in (corpus_pipeline.near_duplicate_removal, corpus_pipeline.benchmark_decontamination):
+        want, got = stage(spark, docs, tables), stage(spark, typed, tables)
+        assert dict(got.dtypes)["doc_id"] == {"long": "bigint"}.get(kind, kind)
+        assert 0 < got.count() < docs.count() and Counter((int(r.doc_id), r.text) for r in got.collect()) == Counter((r.doc_id, r.text) for r in want.collect())
+
+
+def test_rows_at_places_in_waves(spark, tables, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "BITMAPS", 1)
+    spark.range(200).selectExpr("id", "id % 7 AS file", "'x' AS bits").repartition(5).write.parquet(f"{tmp_path}/t")
+    placed = common.with_places(spark.read.parquet(f"{tmp_path}/t"), "place")
+    wanted = placed.where("id % 3 = 0").select("place.file", "place.row")
+    got = common.at_places(placed, "place", wanted)
+    assert got.columns == ["id", "file", "bits"] and sorted(r.id for r in got.collect()) == list(range(0, 200, 3))
+    assert common.at_places(placed, "place", wanted.limit(0)).count() == 0
+
+
+def test_near_duplicate_removal_shuffles_no_text(spark, tables):
+    """The texts pass a join with broadcast bitmaps only."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    plan = corpus_pipeline.near_duplicate_removal(spark, docs, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_more_dirty_keys_than_are_broadcast(spark, tables, monkeypatch):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    want = Counter(rows_of(corpus_pipeline.benchmark_decontamination(spark, docs, tables)))
+    monkeypatch.setattr(corpus_pipeline, "KNOWN_DIRTY", 0)
+    assert Counter(rows_of(corpus_pipeline.benchmark_decontamination(spark, docs, tables))) == want
+
+
 def test_intermediate_tables_go(spark, tmp_path):
     table = common.written(spark.range(3), "some")
     at = table.stored_at.removeprefix("file:").replace("//", "/")

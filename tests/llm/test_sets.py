@@ -76,13 +76,27 @@ def test_decontamination_by_a_bitmap(spark, monkeypatch, most_bits):
     assert Counter(map(tuple, got)) == brute_contamination(docs, items)
 
 
-def test_decontamination_scans_the_documents_once(spark, monkeypatch):
+def test_decontamination_keeps_no_positions_of_common_shingles(spark, monkeypatch):
+    """A benchmark window of words that every document repeats, with a rare one: only the rare one's place is kept."""
+    stored = {}
+    write = decontam.written
+    monkeypatch.setattr(decontam, "written", lambda df, name: stored.setdefault(name, write(df, name)))
+    common = "to be or not to be or not"
+    docs = [(i, f"{common} " * 50, None, None, None) for i in range(20)] + [(100, f"{common} rare words here that close", None, None, None)]
+    items = [(1, f"{common} rare words here that close")]
+    got = decontam.decontaminate(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).drop("digest").collect()
+    assert Counter(map(tuple, got)) == brute_contamination(docs, items)
+    assert stored["bench-positions"].where("pos IS NOT NULL").count() == 1
+
+
+def test_decontamination_scans_the_documents_twice(spark, monkeypatch):
+    """Once for counts, once for the positions of prefixes."""
     seen = []
     keyed = decontam._keyed
     monkeypatch.setattr(decontam, "_keyed", lambda docs: seen.append(1) or keyed(docs))
     docs, items = planted()
     got = decontam.decontaminate(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
-    assert len(seen) == 1 and got.count() == len(docs) and "ExistingRDD" not in got._jdf.queryExecution().toString()
+    assert len(seen) == 2 and got.count() == len(docs) and "ExistingRDD" not in got._jdf.queryExecution().toString()
 
 
 def test_decontamination_of_empty_tables(spark):
