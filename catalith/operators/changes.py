@@ -2,7 +2,7 @@
 
 Observations hold one row per sighting of a key, with a sequence that totally orders the sightings of a key. The
 baseline of a sighting is what the last scheduled sighting (or the first one) showed; a change is a difference from it.
-All is one window per key over the log: the partition key is the entity, so the work spreads with the number of entities.
+The log is scanned in parts of a range over key and sequence, so no task holds a key (``scans``).
 """
 
 from __future__ import annotations
@@ -13,35 +13,34 @@ from pyspark.sql import functions as F
 from catalith.functions import quality
 from catalith.functions import scalars as X
 
+from .scans import earlier_states
+
 
 def admitted(observations: DataFrame) -> DataFrame:
-    """Sightings that count: a key is there and the record is no parse failure."""
-    return observations.where((X.strip(F.coalesce("asin", F.lit(""))) != "") & ~quality.parse_failure())
+    """Sightings that count: a key is there and the record is no parse failure. Fields that the table lacks count as missing."""
+    fields = {f: F.col(f) if f in observations.columns else F.lit(None).cast("string") for f in ["title", *quality.GATE_FIELDS]}
+    return observations.where((X.strip(F.coalesce(F.col("asin").cast("string"), F.lit(""))) != "") & ~quality.parse_failure(fields))
 
 
 def detect_changes(observations: DataFrame, values: bool = True) -> DataFrame:
     """Change rows: asin, seq, batch_id, change_type, change_detail, and with ``values`` prev_value and new_value.
 
     Needs asin, seq, batch_id, is_auto, title, bullet_points, current_price, buybox_price, stock_count, stock_status.
-    A scheduled sighting replaces the whole baseline, NULLs included, hence the struct.
+    Only sightings that are ``admitted`` count. A scheduled sighting replaces the whole baseline, NULLs included, hence the
+    struct; without one the key's first sighting is the baseline.
     """
-    by_key = Window.partitionBy("asin").orderBy("seq")
-    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.row_number().over(by_key) == 1
-    # Dealt by key first: the window needs it anyway, and so the parsed columns never travel. Texts are parsed once per
-    # sighting, below the window; above it only numbers and codes are compared.
-    observations = observations.repartition("asin")
+    shown = ["current_price", "buybox_price", "stock_count", "stock_status"] if values else ["current_price"]
+    # Texts are parsed once per sighting, below the scan; above it only numbers and codes are compared.
     parsed = {
         "tb_hash": X.title_bullets_hash(), "price_n": X.parse_price(F.col("current_price")), "buybox_n": X.parse_price(F.col("buybox_price")),
         "stock_n": X.parse_int(F.col("stock_count")), "status_n": X.normal_status(F.col("stock_status")),
     }
-    seen = observations.withColumns({**parsed, "first_seen": first})
-    snapshot = F.struct("current_price", "buybox_price", "stock_count", "stock_status", *parsed)
-    seen = seen.withColumn("sets_baseline", F.col("first_seen") | F.coalesce("is_auto", F.lit(False)))
-    seen = seen.withColumns({
-        "base": F.last(F.when(F.col("sets_baseline"), snapshot), ignorenulls=True).over(earlier),
-        "last_title": F.last("title", ignorenulls=True).over(earlier),
-    })
+    slim = admitted(observations).withColumns(parsed).select("asin", "seq", "batch_id", "is_auto", *shown, *(["title"] if values else []), *parsed)
+    snapshot = F.struct(*shown, *parsed)
+    tracks = {"auto": (F.coalesce("is_auto", F.lit(False)), snapshot)}
+    if values:
+        tracks["told"] = (F.col("title").isNotNull(), F.col("title"))
+    seen = earlier_states(slim, "asin", "seq", tracks, ("origin", snapshot)).withColumn("base", F.coalesce("auto.v", "origin.v"))
     parts = {
         "price": X.compare(F.col("base.price_n"), F.col("price_n")),
         "buybox": X.compare(F.col("base.buybox_n"), F.col("buybox_n")),
@@ -58,10 +57,10 @@ def detect_changes(observations: DataFrame, values: bool = True) -> DataFrame:
     detail = X.change_detail(parts)
     found = F.array(
         F.when(F.col("first_seen") & F.col("batch_id").isNotNull(), change("new", F.lit("first_seen"), F.lit(None), F.lit(None))),
-        F.when(known & (detail != ""), change("price_stock", detail, X.rendered({k: F.col(f"base.{v}") for k, v in fields.items()}), X.rendered({k: F.col(v) for k, v in fields.items()}))),
+        F.when(known & (detail != ""), change("price_stock", detail, *[X.rendered({k: F.col(f"{of}{v}") for k, v in fields.items()}) if values else F.lit(None) for of in ("base.", "")])),
         F.when(
             known & (F.col("base.tb_hash") != F.col("tb_hash")),
-            change("title_bullets", F.lit("title_or_bullets_changed"), F.concat(F.lit("title="), X.truncated(F.col("last_title"), 100)), F.concat(F.lit("title="), X.truncated(F.col("title"), 100))),
+            change("title_bullets", F.lit("title_or_bullets_changed"), *[F.concat(F.lit("title="), X.truncated(F.col(c), 100)) if values else F.lit(None) for c in ("told.v", "title")]),
         ),
     )
     return seen.select("asin", "seq", "batch_id", F.inline(F.array_compact(found)))

@@ -8,7 +8,6 @@ checkpoints in a shared folder, so a lost executor repeats a micro-batch at most
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,22 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from catalith.sources.layout import shared_folder
+
 WINDOW, SLIDE, LATENESS = "30 seconds", "3 seconds", "1 minute"
 BATCH_ROWS = 500_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a single local process, as in tests, takes the
-    warehouse; on a cluster it is an error, since a machine-local folder would lose state."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def sliding_metrics(requests: DataFrame, by: list[str], window: str = WINDOW, slide: str = SLIDE, lateness: str = LATENESS) -> DataFrame:
     """Number, success rate and bytes per sliding window; requests later than ``lateness`` are dropped."""
     marked = requests.withWatermark("ts", lateness)
