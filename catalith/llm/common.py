@@ -95,6 +95,7 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iter
             first, total = i + 1, 0
     if first < len(sizes):
         yield batch.slice(first)
+    pa.default_memory_pool().release_unused()
 
 
 def running_offsets(counts: DataFrame, part: str, count: str, offset: str, within: tuple[str, ...] = ()) -> DataFrame:
