@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from catalith.functions import quality
 from catalith.functions import scalars as X
 from catalith.functions.dom import Probe, probed
-from catalith.operators import changes, extract, metrics, results, tasks
+from catalith.operators import changes, extract, metrics, results, search_index, tasks
 from catalith.schemas import CONTENT_FIELDS
-from catalith.sources.layout import spread
+from catalith.sources.layout import shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,7 +78,7 @@ def latest_failures(spark, sf_dir):
     return errors.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "user_id", "value")
 
 
-def _order_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "processing").otherwise("done")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
@@ -105,7 +105,7 @@ SELECT id, c_name AS batch_name, priority FROM p JOIN customer ON c_custkey = ba
 """)
 def priority_dequeue(spark, sf_dir):
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch_id"), F.col("c_name").alias("batch_name"))
-    taken = tasks.dequeue(_order_tasks(spark, sf_dir), 50)
+    taken = tasks.dequeue(order_tasks(spark, sf_dir), 50)
     return taken.join(names, "batch_id").select("id", "batch_name", "priority")
 
 
@@ -116,7 +116,7 @@ lease_epoch + x::INT AS lease_epoch FROM e
 """)
 def reclaim_expired(spark, sf_dir):
     now = F.to_timestamp(F.lit("2000-01-01 00:00:00"))
-    out = tasks.reclaim(_order_tasks(spark, sf_dir), ["w3", "w7"], F.to_timestamp(F.lit("1996-01-01 00:00:00")), now)
+    out = tasks.reclaim(order_tasks(spark, sf_dir), ["w3", "w7"], F.to_timestamp(F.lit("1996-01-01 00:00:00")), now)
     return out.select("id", "status", "worker_id", "lease_epoch")
 
 
@@ -133,7 +133,7 @@ def fenced_accept(spark, sf_dir):
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _order_tasks(spark, sf_dir)
+    held = order_tasks(spark, sf_dir)
     worker = held.select(F.col("id").alias("task_id"), "worker_id")
     submitted = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("task_id"),
@@ -158,7 +158,7 @@ FROM t LEFT JOIN o USING (id)
 """)
 def tasks_after_results(spark, sf_dir):
     now = F.to_timestamp(F.lit("2000-01-01 00:00:00"))
-    return tasks.after_results(_order_tasks(spark, sf_dir), _outcomes(spark, sf_dir), now).select("id", "status", "retry_count", "lease_epoch")
+    return tasks.after_results(order_tasks(spark, sf_dir), _outcomes(spark, sf_dir), now).select("id", "status", "retry_count", "lease_epoch")
 
 
 @query("SELECT l_partkey, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY 1")
@@ -198,6 +198,13 @@ def search_multi_term(spark, sf_dir):
     return _parts(spark, sf_dir).search("Ring, widget\n#13").rows()
 
 
+@query(f"{PART} WHERE {HIT.format('ring')} OR {HIT.format('widget')} OR {HIT.format('#13')} OR {HIT.format('7x')} OR {HIT.format('9')}")
+def search_by_index(spark, sf_dir):
+    """The same kind of search through an index that is built for it."""
+    entities = _parts(spark, sf_dir).entities
+    return search_index.build(entities, shared_folder(spark, "search")).search("Ring, widget\n#13,7x,9")
+
+
 @query(f"{PART} WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey = 7)")
 def batch_facet(spark, sf_dir):
     return _parts(spark, sf_dir).in_batch(_members(spark, sf_dir), 7).rows()

@@ -1,12 +1,11 @@
 """Identifier lists from text, ragged CSV and spreadsheet files.
 
-Files are read by Spark's own readers, so any store that Spark reaches will do. Text splits at every line; CSV and
-spreadsheets are parsed a file at a time in the task that reads it (both are upload formats of bounded size).
+Files are read by Spark's own readers, so any store that Spark reaches will do. Text splits at every line, and so does CSV
+(``ragged``); spreadsheets, an upload format of bounded size, are parsed a file at a time in the task that reads it.
 """
 
 from __future__ import annotations
 
-import csv
 import io
 import json
 import re
@@ -21,6 +20,8 @@ from pyspark.sql import functions as F
 from catalith.functions import quality
 from catalith.functions.scalars import strip
 
+from .ragged import read_cells
+
 #: Line ends beyond CR and LF (a fixed value).
 LINE_ENDS = "[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+"
 BATCH_CELLS = 100_000
@@ -39,12 +40,6 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return _identifiers(lines.select(F.struct("line", "at").alias("position"), "cell"), F.col("cell"))
 
 
-def csv_cells(content: bytes) -> Iterator[str]:
-    """Every cell of every ragged row, quoted and multiline cells included; undecodable bytes are dropped."""
-    for row in csv.reader(io.StringIO(content.decode("utf-8-sig", "ignore"), newline="")):
-        yield from row
-
-
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -106,7 +101,7 @@ def _batch(name: str, first: int, cells: list[str]) -> pa.RecordBatch:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _read_files(spark, path, csv_cells)
+    return _identifiers(read_cells(spark, path).select(F.struct("path", "block", "at").alias("position"), "cell"), F.col("cell"))
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
@@ -136,16 +131,19 @@ def read_json_settings(spark: SparkSession, path: str, defaults: dict) -> dict:
 
 
 def write_json_settings(spark: SparkSession, path: str, settings: dict) -> None:
-    """A settings document as one file, in place of the one before; it is renamed into place when it is whole."""
+    """A settings document as one file, in place of the one before; it is renamed over it when it is whole,
+    so that at any time one of the two is there."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     at, new = hadoop.Path(path), hadoop.Path(f"{path}.new")
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = files.create(new, True)
     out.write(bytearray(json.dumps(settings, indent=2, ensure_ascii=False).encode()))
     out.close()
-    files.delete(at, False)
-    if not files.rename(new, at):
-        raise OSError(f"could not rename {path}.new")
+    conf, gateway = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gateway
+    kinds = getattr(hadoop, "Options$Rename")
+    replacing = gateway.new_array(kinds, 1)
+    replacing[0] = kinds.OVERWRITE
+    hadoop.FileContext.getFileContext(files.makeQualified(at).toUri(), conf).rename(files.makeQualified(new), files.makeQualified(at), replacing)
 
 
 def pending_pages(spark: SparkSession, path: str, done: DataFrame | None = None) -> DataFrame:

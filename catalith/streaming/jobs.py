@@ -1,4 +1,4 @@
-"""Streaming forms: sliding metrics, baseline changes with state per entity, fencing of late results, upserts.
+"""Streaming forms: sliding metrics, baseline changes with state per entity, fencing of late results, latest settings.
 
 Each function maps a streaming DataFrame to one, or starts from one a query that drains what is there
 (``availableNow``); a long-running job uses the same plans with another trigger. State lives in Spark's state store and
@@ -7,7 +7,6 @@ checkpoints in a shared folder, so a lost executor repeats a micro-batch at most
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +17,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from catalith.sources.layout import shared_folder
 
 WINDOW, SLIDE, LATENESS = "30 seconds", "3 seconds", "1 minute"
-BATCH_ROWS = 500_000
 
 
 def sliding_metrics(requests: DataFrame, by: list[str], window: str = WINDOW, slide: str = SLIDE, lateness: str = LATENESS) -> DataFrame:
@@ -32,32 +30,12 @@ def accepted_once(results: DataFrame, lease: list[str]) -> DataFrame:
     return results.dropDuplicates(lease)
 
 
-def ordered_stream(table: DataFrame, by: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """A table as a stream of micro-batches of at most ``rows`` rows, ascending in ``by`` from one to the next.
-
-    The table is dealt by range and written as files of so many rows; a file source takes the oldest file first, so their
-    times are set in order. A file system that does not keep set times gives an error.
-    """
-    spark = table.sparkSession
-    at = shared_folder(spark)
-    table.repartitionByRange(by).sortWithinPartitions(by).write.option("maxRecordsPerFile", rows).parquet(f"{at}/ordered")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/ordered")
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    place = lambda path: [int(n) for n in re.search(r"part-(\d+)-.*?(?:[.-]c(\d+))?\.", path.getName()).groups(default="0")]
-    paths = sorted((s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("part-")), key=place)
-    for k, path in enumerate(paths):
-        files.setTimes(path, (1_000_000_000 + k) * 1000, -1)
-        if files.getFileStatus(path).getModificationTime() != (1_000_000_000 + k) * 1000:
-            raise ValueError("the folder's file system keeps no set times, which the order of micro-batches needs")
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d").parquet(f"{at}/ordered")
-
-
 def price_changes(observations: DataFrame) -> DataFrame:
     """Changes of numeric price and stock against the baseline that the last scheduled sighting set.
 
-    Needs asin, seq (long, ascending in time within a key across micro-batches), is_auto, price, stock. The state of a
-    key is its baseline alone, so it does not grow with the log. A key's rows of one micro-batch come in no order and are
-    sorted in memory: bound the micro-batches, as ``ordered_stream`` does.
+    Needs asin, seq (long), is_auto, price, stock. Sightings count in order of seq within a micro-batch and of arrival across
+    them. The state of a key is its baseline alone, so it does not grow with the log. A key's rows of one micro-batch come in
+    no order and are sorted in memory: bound the micro-batches, as ``file_stream`` does by files.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -89,77 +67,30 @@ def silent_workers(heartbeats: DataFrame, timeout: str = "120 seconds", lateness
     return sessions.select("worker_id", "beats", "last_seen", F.col("s.end").alias("dead_at"))
 
 
-def _files(spark: SparkSession, folder: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _manifests(spark: SparkSession, folder: str) -> dict[int, dict[str, int]]:
-    """Of each kept micro-batch: the micro-batch that wrote each bucket last."""
-    path, files = _files(spark, folder)
-    at = path(f"{folder}/manifests")
-    names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
-    return {int(n): {r.bucket: r.version for r in spark.read.json(f"{folder}/manifests/{n}", "bucket string, version int").collect()} for n in names if n.isdigit()}
-
-
-def upsert_into(folder: str, key: str, version: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """Sink for ``foreachBatch``: keeps the highest version of each key as Parquet in ``buckets`` parts by a hash of the key.
-
-    A micro-batch rewrites only the buckets it touches; a manifest of at most ``buckets`` rows tells which micro-batch wrote
-    each last. One that is repeated after a failure starts from the manifest before it, so every row counts once; files
-    that neither of the last two manifests names are deleted.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        path, files = _files(spark, folder)
-        kept = {n: m for n, m in _manifests(spark, folder).items() if n < number}
-        last = max(kept, default=-1)
-        before = kept.get(last, {})
-        rest = [c for c in batch.columns if c not in (key, version)]
-        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string")).persist()
-        touched = [r.bucket for r in placed.select("bucket").distinct().collect()]  # at most ``buckets``
-        seen = placed
-        if old := [f"{folder}/{before[b]}/bucket={b}" for b in touched if b in before]:
-            stored = spark.read.schema(batch.schema).parquet(*old)
-            seen = placed.unionByName(stored.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string")))
-        latest = seen.groupBy("bucket", key).agg(F.max(version).alias(version), *[F.max_by(c, version).alias(c) for c in rest])
-        latest.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{number}")
-        placed.unpersist()
-        named = [(b, v) for b, v in sorted((before | dict.fromkeys(touched, number)).items())]
-        spark.createDataFrame(named, "bucket string, version int").coalesce(1).write.mode("overwrite").json(f"{folder}/manifests/{number}")
-        for n, manifest in kept.items():
-            if n < last:
-                for b, v in manifest.items():
-                    if before.get(b) != v:
-                        files.delete(path(f"{folder}/{v}/bucket={b}"), True)
-                files.delete(path(f"{folder}/manifests/{n}"), True)
-
-    return write
+def latest(settings: DataFrame, key: str) -> DataFrame:
+    """The highest version of each key's settings, kept in the state store; emits each key that a micro-batch changes."""
+    rest = [c for c in settings.columns if c not in (key, "version")]
+    return settings.groupBy(key).agg(F.max("version").alias("version"), *[F.max_by(c, "version").alias(c) for c in rest])
 
 
 def drained(stream: DataFrame, mode: str = "append", into: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Run a stream over all that is there; returns the folder that holds its rows (append: Parquet; complete: the last
-    micro-batch's)."""
+    """Run a stream over all that is there; returns the folder that holds its rows as Parquet (append: all; update: those of
+    each micro-batch under its number; complete: the last micro-batch's)."""
     spark = stream.sparkSession
     at = shared_folder(spark)
+
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/rows/batch={n}" if mode == "update" else f"{at}/rows")
+
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
-    if into is not None:
-        query = writer.foreachBatch(into).start()
-    elif mode == "append":
+    if into is None and mode == "append":
         query = writer.format("parquet").start(f"{at}/rows")
     else:
-        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/rows")).start()
+        query = writer.foreachBatch(into or write).start()
     query.awaitTermination()
     return f"{at}/rows"
 
 
-def last_batch(folder: str, spark: SparkSession) -> DataFrame:
-    """All keys as the latest micro-batch of an upsert sink left them."""
-    manifests = _manifests(spark, folder)
-    return spark.read.parquet(*[f"{folder}/{v}/bucket={b}" for b, v in manifests[max(manifests)].items()])
-
-
 def file_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
     """A table's Parquet file (or folder) as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema

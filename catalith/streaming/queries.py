@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jobs
+from catalith.operators import metrics
+from catalith.plans.queries import SQL as BATCH_SQL
+from catalith.plans.queries import order_tasks
+
+from . import jobs, leases, submit
 
 
 def sliding_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +21,7 @@ def sliding_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "value", "props")
-    sightings = jobs.ordered_stream(events, "event_id").select(
+    sightings = jobs.file_stream(spark, sf_dir, "events").select(
         F.col("user_id").alias("asin"),
         F.col("event_id").alias("seq"),
         (F.col("event_type") == "purchase").alias("is_auto"),
@@ -30,9 +33,8 @@ def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = jobs.file_stream(spark, sf_dir, "events").select(F.col("user_id").alias("worker_id"), F.col("event_id").alias("version"), F.col("event_type").alias("setting"))
-    at = jobs.shared_folder(spark)
-    jobs.drained(settings, into=jobs.upsert_into(at, "worker_id", "version"))
-    return jobs.last_batch(at, spark).select("worker_id", "setting", "version")
+    emitted = spark.read.parquet(jobs.drained(jobs.latest(settings, "worker_id"), "update"))
+    return metrics.latest_settings(emitted.select("worker_id", "version", "setting"), "worker_id").select("worker_id", "setting", "version")
 
 
 def stream_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +43,43 @@ def stream_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted.groupBy("event_type").agg(F.count("*").alias("accepted"))
 
 
-QUERIES = {f.__name__: f for f in (sliding_stream_metrics, stream_price_changes, stream_settings, stream_accepted)}
+def stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task table after a stream of submitted results: as the batch query ``tasks_after_results`` has it."""
+    tasks = order_tasks(spark, sf_dir)
+    worker = tasks.select("id", "worker_id")
+    results = jobs.file_stream(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"),
+        F.array(*[F.col(c).cast("double") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")], jobs.seconds(F.col("l_shipdate"))).alias("seq"),
+        F.lit("result").alias("kind"),
+        (F.col("l_linenumber") % 3).cast("int").alias("lease_epoch"),
+        (F.col("l_returnflag") != "A").alias("success"),
+        (F.col("l_quantity") > 48).alias("rejected"),
+        F.col("l_linestatus").alias("error_type"),
+    )
+    events = results.join(worker, "id").select("id", "seq", "kind", "worker_id", "lease_epoch", "success", "rejected", "error_type")
+    with leases.rocks(spark):
+        changes = jobs.drained(leases.lease_changes(events, tasks.where("status = 'processing'"), lease_s=None))
+    return leases.tasks_now(tasks, spark.read.parquet(changes)).select("id", "status", "retry_count", "lease_epoch")
+
+
+def _refuses(rows: list[dict]) -> None:
+    """A service that refuses a whole submit for a row of it."""
+    if any(r["event_type"] == "error" and r["user_id"] % 97 == 0 for r in rows):
+        raise ValueError("a row cannot be taken")
+
+
+def stream_submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs.file_stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    at = jobs.shared_folder(spark)
+    jobs.drained(rows, into=submit.submit_into(at, _refuses, wait_s=0))
+    marked = [submit.outcomes(spark, at, dead).select("event_type", F.lit(dead).alias("dead")) for dead in (False, True)]
+    return marked[0].unionAll(marked[1]).groupBy("event_type", "dead").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (sliding_stream_metrics, stream_price_changes, stream_settings, stream_accepted, stream_leases, stream_submitted)}
 SQL = {
+    "stream_leases": BATCH_SQL["tasks_after_results"],
+    "stream_submitted": "SELECT event_type, event_type = 'error' AND user_id % 97 = 0 AS dead, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_price_changes": """
 WITH b AS (SELECT user_id AS asin, event_id AS seq, event_type = 'purchase' AS is_auto, CASE WHEN event_type <> 'click' THEN floor(value / 20) END AS price,
 floor(json_extract_string(props, '$.k')::BIGINT / 30) AS stock, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from catalith.operators import results
+from catalith.operators import metrics, results
 from catalith.plans import queries as plans
 from catalith.sources import layout
 from catalith.streaming import jobs
@@ -59,15 +59,24 @@ def test_state_over_micro_batches(spark, tmp_path):
     assert {(r.asin, r.seq): r.change_detail for r in got} == {(1, 2): "price:up", (1, 3): "price:down, stock_qty:down", (1, 4): "stock_qty:up", (2, 4): "price:up"}
 
 
-def test_ordered_micro_batches_are_bounded(spark):
+def written_in_turn(frames, at):
+    """Each frame as a file of its own, one older than the next."""
+    for k, df in enumerate(frames):
+        df.coalesce(1).write.parquet(f"{at}/{k}")
+        for f in os.listdir(f"{at}/{k}"):
+            os.utime(f"{at}/{k}/{f}", (1_600_000_000 + k, 1_600_000_000 + k))
+
+
+def test_micro_batches_of_a_hot_key_equal_one(spark, tmp_path):
     """A hot key in small micro-batches gives what one batch over all gives."""
-    rows = [(1, (i * 7919) % 1000, i % 5 == 0, float(i * 31 % 17), float(i % 3)) for i in range(1000)]
-    table = spark.createDataFrame(rows, "asin long, seq long, is_auto boolean, price double, stock double").repartition(4)
-    sizes, at = [], []
-    jobs.drained(jobs.ordered_stream(table, "seq", 90), into=lambda df, n: (sizes.append(df.count()), at.append(df.agg(F.min("seq"), F.max("seq")).first())))
-    assert sum(sizes) == 1000 and max(sizes) <= 90 and all(a[1] < b[0] for a, b in zip(at, at[1:]))
-    one, many = (sorted(map(tuple, spark.read.parquet(jobs.drained(jobs.price_changes(jobs.ordered_stream(table, "seq", n)))).collect())) for n in (5000, 300))
-    assert one == many and len(one) > 100
+    schema = "asin long, seq long, is_auto boolean, price double, stock double"
+    rows = [(1, i, i % 5 == 0, float(i * 31 % 17), float(i % 3)) for i in range(400)]
+    got = []
+    for name, size in (("one", 400), ("many", 90)):
+        written_in_turn([spark.createDataFrame(rows[i : i + size][::-1], schema) for i in range(0, 400, size)], f"{tmp_path}/{name}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/*")
+        got.append(sorted(map(tuple, spark.read.parquet(jobs.drained(jobs.price_changes(stream))).collect())))
+    assert got[0] == got[1] and len(got[0]) > 100
 
 
 def test_results_are_accepted_once_however_late(spark, tmp_path):
@@ -81,18 +90,16 @@ def test_results_are_accepted_once_however_late(spark, tmp_path):
     assert sorted(r.lease for r in got) == [1, 2, 3]
 
 
-def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
-    """Repeated micro-batches count once; untouched buckets keep their files, replaced ones go."""
-    folder, schema = f"{tmp_path}/state", "k string, version long, v string"
-    put = jobs.upsert_into(folder, "k", "version", buckets=8)
-    batches = [[(f"k{i}", 1, "a") for i in range(40)], [("k1", 2, "b"), ("k1", 0, "old")], [("k1", 3, "c"), ("new", 1, "n")], [("k2", 1, "z"), ("k2", 5, "y")]]
-    for n, rows in enumerate(batches):
-        for _ in range(2):  # the second time as after a failure
-            put(spark.createDataFrame(rows, schema), n)
-    got = {r.k: (r.version, r.v) for r in jobs.last_batch(folder, spark).collect()}
+def test_latest_settings_over_micro_batches(spark, tmp_path):
+    """Versions that come late change nothing; a micro-batch emits the keys it touches only."""
+    schema = "k string, version long, v string"
+    batches = [[(f"k{i}", 1, "a") for i in range(40)], [("k1", 2, "b"), ("k1", 0, "old")], [("k1", 3, "c"), ("new", 1, "n")], [("k2", 1, "z"), ("k2", 5, "y"), ("k1", 2, "late")]]
+    written_in_turn([spark.createDataFrame(b, schema) for b in batches], f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    emitted = spark.read.parquet(jobs.drained(jobs.latest(stream, "k"), "update"))
+    assert {r.batch: r["count"] for r in emitted.groupBy("batch").count().collect()} == {0: 40, 1: 1, 2: 2, 3: 2}
+    got = {r.k: (r.version, r.v) for r in metrics.latest_settings(emitted.drop("batch"), "k").collect()}
     assert len(got) == 41 and (got["k1"], got["new"], got["k2"], got["k3"]) == ((3, "c"), (1, "n"), (5, "y"), (1, "a"))
-    assert len([d for d in os.listdir(f"{folder}/1") if d.startswith("bucket=")]) <= 1
-    assert sorted(d for d in os.listdir(f"{folder}/manifests") if d.isdigit()) == ["2", "3"]
 
 
 @pytest.mark.parametrize(("master", "folder"), [("local[8]", "/warehouse/stream-"), ("spark://host:7077", None), ("local-cluster[3,2,3000]", None)])
