@@ -243,9 +243,9 @@ def valid_clock(c: Column) -> Column:
     return F.coalesce((F.size(parts) == 2) & h.between(0, 23) & m.between(0, 59), F.lit(False))
 
 
-def plain_text(markup: Column, limit: int = 4000) -> Column:
-    """Tags out, white space collapsed, cut to the field's limit."""
-    return F.left(strip(F.regexp_replace(F.regexp_replace(markup, r"<[^>]+>", " "), r"(?U)\s+", " ")), F.lit(limit))
+def plain_text(markup: Column) -> Column:
+    """Tags out, white space collapsed, the whole text."""
+    return strip(F.regexp_replace(F.regexp_replace(markup, r"<[^>]+>", " "), r"(?U)\s+", " "))
 
 
 def duration(seconds: Column) -> Column:

@@ -258,13 +258,13 @@ def offers(pages: DataFrame) -> DataFrame:
     one = lambda name: F.get(F.col("p.found")[name], F.lit(0))
     price = F.coalesce(F.when(one("price").contains("$"), one("price")), X.price_of_parts(one("whole"), one("fraction")))
     free = F.when(F.lower(one("block")).rlike("free delivery|free shipping"), "FREE")
-    stated = F.coalesce(_match(one("shipping_text"), r"^(FREE|\$[\d.]+)"), F.left(one("shipping_text"), F.lit(20)))
+    stated = F.coalesce(_match(one("shipping_text"), r"^(FREE|\$[\d.]+)"), one("shipping_text"))
     day = _match(one("delivery"), r"(?i)(Tomorrow|Today|(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\w*,?\s+)?(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\.?\s+\d+(?:\s*-\s*\d+)?)")
     return looked.select(
         "asin",
         price.alias("price"),
         F.coalesce(one("shipping"), stated, free).alias("shipping"),
-        F.coalesce(day, F.left(X.strip(F.regexp_replace(one("delivery"), r"Details|Or fastest|FREE delivery|\.", "")), F.lit(60))).alias("delivery"),
+        F.coalesce(day, F.nullif(X.strip(F.regexp_replace(one("delivery"), r"Details|Or fastest|FREE delivery|\.", "")), F.lit("")), one("delivery")).alias("delivery"),
         one("seller").alias("seller"),
         one("ships_from").alias("ships_from"),
         F.when(F.lower(one("ships_from")).contains(X.OWN_SENDER), "FBA").otherwise("FBM").alias("is_fba"),

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .results import matches, terms
 
@@ -42,7 +43,7 @@ def build(entities: DataFrame, folder: str, key: str = "asin", columns: tuple[st
     postings = placed.groupBy("gram", "block").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     bucketed = postings.withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int"))
     bucketed.repartitionByRange("bucket", "gram", "block").sortWithinPartitions("bucket", "gram", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    return SearchIndex(entities.sparkSession, folder, key, tuple(columns), blocks)
+    return SearchIndex(entities.sparkSession, folder, key, tuple(columns), blocks, rows.schema, bucketed.schema)
 
 
 @dataclass(frozen=True)
@@ -54,12 +55,14 @@ class SearchIndex:
     key: str
     columns: tuple[str, ...]
     blocks: int
+    store_schema: StructType
+    postings_schema: StructType
 
     def postings(self, words: list[str]) -> DataFrame:
         """(term, wanted, block, keys) of the terms' grams alone; ``wanted`` is the number of grams of the term."""
         asked = [(t, g, len(own)) for t, own in ((t, {t[i : i + GRAM] for i in range(max(1, len(t) - GRAM + 1))}) for t in dict.fromkeys(words)) for g in own]
         buckets = sorted({zlib.crc32(g.encode()) % BUCKETS for _, g, _ in asked})
-        stored = self.spark.read.parquet(f"{self.folder}/postings")
+        stored = self.spark.read.schema(self.postings_schema).parquet(f"{self.folder}/postings")
         found = stored.where(F.col("bucket").isin(buckets) & F.col("gram").isin(sorted({g for _, g, _ in asked})))
         wanted = self.spark.createDataFrame(asked, "term string, gram string, wanted int")
         return found.join(F.broadcast(wanted), "gram").select("term", "wanted", "block", "keys")  # a row for each gram of the search
@@ -72,7 +75,7 @@ class SearchIndex:
 
     def search(self, text: str | None) -> DataFrame:
         """Entities with any term in any column; without terms all of them."""
-        store = self.spark.read.parquet(f"{self.folder}/store")
+        store = self.spark.read.schema(self.store_schema).parquet(f"{self.folder}/store")
         words = [t.lower() for t in terms(text)]
         if not words:
             return store.drop("span")

@@ -7,8 +7,10 @@ users as workers, and screenshots.
 
 from __future__ import annotations
 
+import json
 import string
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -505,30 +507,8 @@ def page_quality_class(spark, sf_dir):
 
 # Product pages made of the parts: one kind of page for each branch of extraction, by the last digit of the key.
 BRANCHES = ("full", "json", "parts", "no_offer", "gone", "in_cart", "script", "foreign", "captcha", "empty")
-_HEAD = '<html><head><meta name="keywords" content="{brand}, other"></head><body><span id="productTitle"> {name} </span>'
-PAGES = {
-    "full": _HEAD + '<a id="bylineInfo">Visit the {brand} Store</a><span id="glow-ingress-line1">Deliver to 90210</span>'
-    '<div id="corePrice_feature_div"><span class="a-offscreen">{price}</span><span data-a-strike="true"><span class="a-offscreen">$9999.00</span></span></div>'
-    '<div id="deliveryBlockMessage"><b>FREE delivery</b> on orders over $1000</div><div data-csa-c-delivery-time="x"><span>Friday, Nov 29 or Tomorrow</span></div>'
-    '<div id="availability"><span> Only {size} left in stock </span></div><input id="add-to-cart-button">'
-    '<div id="tabular-buybox"><table><tr><td>Ships from</td><td><span class="a-color-base">Shop {size}</span></td></tr></table></div>'
-    '<table><tr><th>Item model number</th><td>M-{key}</td></tr><tr><th>Package Dimensions</th><td>1 x 2 x {size} inches; {size} pounds</td></tr><tr><th>Manufacturer</th><td>{kind}</td></tr></table>'
-    '<ul><li><span><span class="a-text-bold">Date First Available:</span><span>May {size}, 2020</span></span></li></ul>'
-    '<div id="feature-bullets"><ul><li><span class="a-list-item">{name} of {kind}</span></li><li><span class="a-list-item">Full refund always</span></li><li><span class="a-list-item">x</span></li></ul></div>'
-    '<div id="wayfinding-breadcrumbs_feature_div"><a href="/b?node={size}">{kind}</a><a href="/b?node=7{size}">Kitchen</a></div>'
-    '<div id="productDescription"><h3>About it</h3><p>All about {name} &amp; more</p><img src="https://i/{key}.jpg"><p>Short</p></div>'
-    '<script>"hiRes":"https://other/x.jpg"</script><script>var colorImages = "hiRes":"https://i/b{key}.jpg" "hiRes":"https://i/a{key}.jpg" "parentAsin":"P{key}" "asin":"V2" "asin":"V1" "upc":"77{key}" "gl_product_group_type":"{kind}"</script></body></html>',
-    "json": '<html><body><script type="application/ld+json">{{"@type":"Thing"}}</script><script type="application/ld+json">{{"@type":["Product"],"name":" {name} ","brand":{{"name":"{brand}"}},"image":["u1","u{key}"],'
-    '"offers":[{{"priceCurrency":"EUR","price":1}},{{"price":"{amount}","availability":"http://schema.org/InStock"}}],"gtin13":"12{key}","description":"A text of {name}"}}</script></body></html>',
-    "parts": _HEAD + '<div id="price"><span class="a-price-whole">1,{size}.</span><span class="a-price-fraction">05</span></div><select name="quantity"><option value="1">1<option value="{size}">{size}</select><input id="add-to-cart-button"></body></html>',
-    "no_offer": _HEAD + "<p>No featured offers available</p></body></html>",
-    "gone": _HEAD + '<div id="availability"><span>Currently unavailable.</span></div></body></html>',
-    "in_cart": _HEAD + '<a>See price in cart</a><span data-csa-c-delivery-price="$4.99"></span></body></html>',
-    "script": _HEAD + '<script>"displayPrice":"{amount}" "stockStatus":"Stock of {size}"</script></body></html>',
-    "foreign": _HEAD + '<div id="price"><span class="a-offscreen">EUR {size}.00</span></div></body></html>',
-    "captcha": "<html>validateCaptcha</html>",
-    "empty": "",
-}
+_TEMPLATES = json.loads(Path(__file__).with_name("product_pages.json").read_text())
+PAGES, OFFER_PAGE = _TEMPLATES["pages"], _TEMPLATES["offers"]
 PART_VALUES = "CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(BRANCHES)) + " END AS b, 'B' || p_partkey AS asin, '$' || (round(p_retailprice, 2)::DECIMAL(18,2))::VARCHAR AS price"
 
 
@@ -542,7 +522,7 @@ def product_pages(spark: SparkSession, sf_dir: str, templates: dict[str, str]) -
     """A page (asin, html) for each part whose branch has a template."""
     part = spread(table(spark, sf_dir, "part")).where(F.array_contains(F.array(*[F.lit(BRANCHES.index(n)) for n in templates]), (F.col("p_partkey") % 10).cast("int")))
     money = F.round("p_retailprice", 2).cast("decimal(18,2)").cast("string")
-    values = {"name": F.col("p_name"), "brand": F.col("p_brand"), "kind": F.col("p_type"), "size": F.col("p_size").cast("string"), "key": F.col("p_partkey").cast("string"), "price": F.concat(F.lit("$"), money), "amount": money}
+    values = {"name": F.col("p_name"), "brand": F.col("p_brand"), "kind": F.col("p_type"), "size": F.col("p_size").cast("string"), "key": F.col("p_partkey").cast("string"), "price": F.concat(F.lit("$"), money), "amount": money, "long": F.repeat(F.concat("p_name", F.lit(" ")), F.lit(400))}
     branch = F.col("p_partkey") % 10
     html = F.coalesce(*[F.when(branch == BRANCHES.index(n), _filled(t, values)) for n, t in templates.items()])
     return part.select(F.concat(F.lit("B"), F.col("p_partkey").cast("string")).alias("asin"), html.alias("html"))
@@ -561,6 +541,7 @@ RECORD_SQL = ", ".join([
     _by_branch("buybox_price", "'N/A'", full="price", json="format('${:,.2f}', p_retailprice)", parts="'$1,' || p_size || '.05'", script="price", foreign="'[非USD]EUR ' || p_size || '.00'"),
     _by_branch("original_price", "'N/A'", full="'$9999.00'"),
     _by_branch("buybox_shipping", "'N/A'", full="CASE WHEN round(p_retailprice, 2) >= 1000 THEN 'FREE' ELSE 'N/A' END", json="'FREE'", parts="'FREE'", in_cart="'$4.99'", script="'FREE'", foreign="'FREE'"),
+    _by_branch("is_customized", "'No'", gone="'Yes'"),
     _by_branch("is_fba", "'N/A'", full="'FBM'", json="'FBA'", parts="'FBA'", in_cart="'FBA'", script="'FBA'", foreign="'FBA'"),
     _by_branch("stock_status", "'N/A'", full="'Only ' || p_size || ' left in stock'", json="'In Stock'", parts="'In Stock'", no_offer="'No Featured Offer'", gone="'Currently unavailable'", in_cart="'In Stock'", script="'Stock of ' || p_size"),
     _by_branch("stock_count", "'0'", full="p_size::VARCHAR", json="'999'", parts="greatest(1, p_size)::VARCHAR", in_cart="'999'", script="'999'", foreign="'999'"),
@@ -573,7 +554,7 @@ RECORD_SQL = ", ".join([
     _by_branch("first_available_date", "'N/A'", full="'May ' || p_size || ', 2020'"),
     _by_branch("product_type", "'N/A'", full="p_type"),
     _by_branch("bullet_points", "''", full="p_name || ' of ' || p_type"),
-    _by_branch("long_description", "''", full="'About it' || chr(10) || 'All about ' || p_name || ' & more' || chr(10) || chr(10) || '[Image: https://i/' || p_partkey || '.jpg]' || chr(10)", json="'A text of ' || p_name"),
+    _by_branch("long_description", "''", full="'About it' || chr(10) || 'All about ' || p_name || ' & more' || chr(10) || chr(10) || '[Image: https://i/' || p_partkey || '.jpg]' || chr(10)", json="'A text of ' || p_name", script="rtrim(repeat(p_name || ' ', 400))"),
     _by_branch("image_urls", "''", full="'https://i/a' || p_partkey || '.jpg' || chr(10) || 'https://i/b' || p_partkey || '.jpg'", json="'u1' || chr(10) || 'u' || p_partkey"),
     _by_branch("root_category_id", "'N/A'", full="p_size::VARCHAR"),
     _by_branch("category_ids", "''", full="p_size || ',7' || p_size"),
@@ -591,7 +572,7 @@ RECORD_SQL = ", ".join([
 def product_records(spark, sf_dir):
     """Records of one page for each part, through every branch of extraction."""
     records = extract.products(product_pages(spark, sf_dir, PAGES), F.to_date(F.lit(AS_OF)))
-    return records.drop("part_number", "country_of_origin", "is_customized", "best_sellers_rank", "item_dimensions", "item_weight", "site")
+    return records.drop("part_number", "country_of_origin", "best_sellers_rank", "item_dimensions", "item_weight", "site")
 
 
 @query(f"""
@@ -617,12 +598,6 @@ def page_quality_ladder(spark, sf_dir):
     return found.unionByName(made).select("asin", verdict.alias("v")).select("asin", "v.class", "v.error_type", "v.retryable")
 
 
-OFFER_PAGE = {
-    "no_offer": '<div id="aod-offer"><span class="a-price"><span class="a-offscreen">{price}</span></span><div data-csa-c-delivery-price="${size}.00" data-csa-c-delivery-time="x">Arrives Mon, Dec 2. Details</div>'
-    '<div id="aod-offer-soldBy"><a>{brand} shop</a></div><div id="aod-offer-shipsFrom"><span class="a-color-base">{kind} depot</span></div></div>'
-}
-
-
 @query(f"""
 WITH v AS (SELECT *, {PART_VALUES} FROM part)
 SELECT asin, price AS current_price, price AS buybox_price, '$' || p_size || '.00' AS buybox_shipping, 'FBM' AS is_fba, 'Mon, Dec 2' AS delivery_date, 'In Stock (via offer-listing)' AS stock_status, '5' AS stock_count FROM v WHERE b = 'no_offer'

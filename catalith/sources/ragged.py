@@ -88,7 +88,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def of(kind: str, values: list[str]) -> pa.RecordBatch:
         k = len(values)
         places = range(n, n + k)
-        return pa.RecordBatch.from_arrays([pa.array([at[0]] * k), pa.array([at[1]] * k, pa.int64()), pa.array(places, pa.int64()), pa.array([kind] * k), pa.array(values, pa.string())], names=["path", "block", "at", "kind", "cell"])
+        return pa.RecordBatch.from_arrays([pa.array([at[0]] * k, pa.string()), pa.array([at[1]] * k, pa.int64()), pa.array(places, pa.int64()), pa.array([kind] * k, pa.string()), pa.array(values, pa.string())], names=["path", "block", "at", "kind", "cell"])
 
     def parsed() -> list[str]:
         return [c for row in _rows("\n".join(whole) + "\n") for c in row] if whole else []
@@ -134,9 +134,9 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, block, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            cells = [c for row in _rows(text + "\n") for c in row]
+            cells = [c for row in _rows(text) for c in row]
             k = len(cells)
-            yield pa.RecordBatch.from_arrays([pa.array([path] * k), pa.array([block] * k, pa.int64()), pa.array(range(at, at + k), pa.int64()), pa.array(cells, pa.string())], names=["path", "block", "at", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.array([path] * k, pa.string()), pa.array([block] * k, pa.int64()), pa.array(range(at, at + k), pa.int64()), pa.array(cells, pa.string())], names=["path", "block", "at", "cell"])
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:

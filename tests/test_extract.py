@@ -130,6 +130,29 @@ def test_selectors(selector, wanted):
     assert Probe((selector,), every=True).run(root) == wanted
 
 
+LONG = ("word " * 5_000).strip()
+LONG_SOURCES = {
+    "selector": f'<div id="productDescription"><p>{LONG}</p></div>',
+    "script": f'<script>"description":"{LONG}"</script>',
+    "block": f'<div id="productDescription_feature_div"><b>{LONG}</b></div>',
+    "json": f'<script type="application/ld+json">{{"@type":"Product","description":"{LONG}"}}</script>',
+}
+
+
+def test_descriptions_of_any_source_are_whole(spark):
+    pages = [(k, f'<html><body><span id="productTitle">T</span>{v}</body></html>') for k, v in LONG_SOURCES.items()]
+    got = extract.products(spark.createDataFrame(pages, "asin string, html string"), F.current_date()).collect()
+    assert {r.asin: r.long_description for r in got} == dict.fromkeys(LONG_SOURCES, LONG)
+
+
+def test_offer_texts_are_whole(spark):
+    shipping, delivery = "about " * 20 + "five", "between now and " * 20 + "then"
+    page = f'<div id="aod-offer"><span class="a-price"><span class="a-offscreen">$5.00</span></span><div id="aod-offer-price"><span data-csa-c-delivery-price="">{shipping}</span></div><div data-csa-c-delivery-time="z">{delivery}</div></div>'
+    only = '<div id="aod-offer"><span class="a-price"><span class="a-offscreen">$5.00</span></span><div data-csa-c-delivery-time="z">Details.</div></div>'
+    got = {r.asin: r for r in extract.offers(spark.createDataFrame([("a", page), ("b", only)], "asin string, html string")).collect()}
+    assert (got["a"].shipping, got["a"].delivery, got["b"].delivery) == (shipping, delivery, "Details.")
+
+
 def test_long_pages_are_read_whole(spark):
     """The reference looks at the first 50,000 characters and keeps 10,000 of the description."""
     page = "<html><body><span id=\"productTitle\">T</span><div id=\"productDescription\"><p>" + "word " * 12_000 + "end</p></div><p>No featured offers available</p></body></html>"
