@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from catalith.functions import quality
 from catalith.functions import scalars as X
 from catalith.functions.dom import Probe, probed
-from catalith.operators import changes, extract, metrics, results, search_index, tasks
+from catalith.operators import changes, extract, metrics, paging, results, search_index, tasks
 from catalith.schemas import CONTENT_FIELDS
 from catalith.sources.layout import shared_folder, spread
 
@@ -228,6 +228,13 @@ def keyset_page_prev(spark, sf_dir):
     return _parts(spark, sf_dir).page(cursor=100, direction="prev")
 
 
+@query(f"{PART} WHERE p_partkey < (SELECT count(*) // 2 FROM part) ORDER BY p_partkey DESC LIMIT 51")
+def keyset_page_deep(spark, sf_dir):
+    """A page from the middle, of the files that it touches."""
+    layout = paging.build(_parts(spark, sf_dir).entities, shared_folder(spark, "pages"), file_rows=500)
+    return layout.page(cursor=layout.total() // 2)
+
+
 @query(f"SELECT count(*) AS total FROM part WHERE {HIT.format('brand#2')}")
 def keyset_total(spark, sf_dir):
     return _parts(spark, sf_dir).search("brand#2").total()

@@ -25,6 +25,41 @@ def sliding_metrics(requests: DataFrame, by: list[str], window: str = WINDOW, sl
     return marked.groupBy(F.window("ts", window, slide), *by).agg(F.count("*").alias("total"), F.avg(F.col("success").cast("int")).alias("success_rate"), F.sum("resp_bytes").alias("bytes"))
 
 
+#: Size of a quantile sketch: exact up to about so many values, beyond with a rank error of about 0.06 %.
+SKETCH_K = 4096
+
+
+def slide_figures(requests: DataFrame, by: list[str], slide: str = SLIDE, lateness: str = LATENESS) -> DataFrame:
+    """Per slide: number, successes, bytes, and a mergeable sketch of latencies. Every request is counted in one slide, and
+    what is kept of a slide does not grow with its requests."""
+    marked = requests.withWatermark("ts", lateness) if requests.isStreaming else requests
+    return marked.groupBy(F.window("ts", slide).alias("slide"), *by).agg(
+        F.count("*").alias("total"), F.count_if("success").alias("successes"), F.sum("resp_bytes").alias("bytes"), F.kll_sketch_agg_double("latency_s", SKETCH_K).alias("sketch")
+    )
+
+
+def window_figures(slides: DataFrame, by: list[str], window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
+    """The slides merged to sliding windows: number, success rate, bytes, median and p95 of latency. A further step of the same
+    stream (windows come when the watermark closes them), or over stored slides."""
+    at = F.window_time("slide") if slides.isStreaming else F.col("slide.start")
+    merged = slides.groupBy(F.window(at, window, slide), *by).agg(
+        F.sum("total").alias("total"), F.sum("successes").alias("successes"), F.sum("bytes").alias("bytes"), F.kll_merge_agg_double("sketch").alias("sketch")
+    )
+    quantile = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    return merged.select("window", *by, "total", (F.col("successes") / F.col("total")).alias("success_rate"), "bytes", quantile(0.5).alias("latency_p50"), quantile(0.95).alias("latency_p95"))
+
+
+def duplicated(local: DataFrame, served: DataFrame, within: str = "10 minutes", lateness: str = LATENESS) -> DataFrame:
+    """Successes that a worker counted and no accepted result followed within ``within``: a stream-stream outer join.
+
+    Needs (worker_id, result_id, ts, success) and (worker_id, result_id, ts, counter); state is dropped as the watermarks pass.
+    """
+    ours = local.where("success").select("worker_id", "result_id", "ts").withWatermark("ts", lateness)
+    theirs = served.where("counter = 'accepted'").select(F.col("worker_id").alias("s_worker"), F.col("result_id").alias("s_result"), F.col("ts").alias("s_ts")).withWatermark("s_ts", lateness)
+    on = (F.col("worker_id") == F.col("s_worker")) & (F.col("result_id") == F.col("s_result")) & (F.col("s_ts") >= F.col("ts")) & (F.col("s_ts") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
+    return ours.join(theirs, on, "leftOuter").where("s_result IS NULL").select("worker_id", "result_id", "ts")
+
+
 def accepted_once(results: DataFrame, lease: list[str]) -> DataFrame:
     """The first result of each lease; repeats are stale and dropped, however late. The state keeps every lease."""
     return results.dropDuplicates(lease)

@@ -62,6 +62,30 @@ def stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leases.tasks_now(tasks, spark.read.parquet(changes)).select("id", "status", "retry_count", "lease_epoch")
 
 
+def stream_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of sliding windows from the sketches that a stream keeps per slide."""
+    requests = jobs.file_stream(spark, sf_dir, "events").select(
+        F.col("event_type").alias("worker_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 10).alias("success"), F.get_json_object("props", "$.k").cast("long").alias("resp_bytes"), F.col("value").alias("latency_s")
+    )
+    slides = spark.read.parquet(jobs.drained(jobs.slide_figures(requests, ["worker_id"], "12 hours"), "complete"))
+    figures = jobs.window_figures(slides, ["worker_id"], "1 day", "12 hours")
+    return figures.select("worker_id", F.unix_seconds("window.start").alias("start_s"), "total", F.round("success_rate", 6).alias("success_rate"), "bytes", "latency_p50", "latency_p95")
+
+
+def stream_duplicate_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successes without an accepted result. A last row far behind all others lets the watermarks pass them."""
+    events = jobs.file_stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    end = jobs.shared_folder(spark)
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("ts").cast("timestamp").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.timestamp_add("DAY", F.lit(400), "ts").alias("ts"))
+    last.write.parquet(end)
+    both = events.union(spark.readStream.schema(last.schema).parquet(end))
+    named = both.select(F.col("user_id").alias("worker_id"), F.col("event_id").alias("result_id"), "ts", "event_type")
+    local = named.withColumn("success", F.col("event_type") != "error")
+    served = named.withColumns({"counter": F.when(F.col("result_id") % 7 == 0, "stale").otherwise("accepted"), "ts": F.timestamp_add("SECOND", (F.col("result_id") % 900).cast("int"), "ts")})
+    found = spark.read.parquet(jobs.drained(jobs.duplicated(local, served)))
+    return found.where("worker_id >= 0").groupBy("worker_id").agg(F.count("*").alias("duplicates"))
+
+
 def _refuses(rows: list[dict]) -> None:
     """A service that refuses a whole submit for a row of it."""
     if any(r["event_type"] == "error" and r["user_id"] % 97 == 0 for r in rows):
@@ -76,9 +100,15 @@ def stream_submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked[0].unionAll(marked[1]).groupBy("event_type", "dead").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (sliding_stream_metrics, stream_price_changes, stream_settings, stream_accepted, stream_leases, stream_submitted)}
+QUERIES = {f.__name__: f for f in (sliding_stream_metrics, stream_price_changes, stream_settings, stream_accepted, stream_leases, stream_submitted, stream_percentiles, stream_duplicate_work)}
 SQL = {
     "stream_leases": BATCH_SQL["tasks_after_results"],
+    "stream_percentiles": """
+WITH e AS (SELECT event_type AS worker_id, floor(epoch(ts))::BIGINT AS t, value > 10 AS success, json_extract_string(props, '$.k')::BIGINT AS b, value FROM events),
+w AS (SELECT *, unnest([t - t % 43200, t - t % 43200 - 43200]) AS start_s FROM e)
+SELECT worker_id, start_s, count(*) AS total, round(avg(success::INT), 6) AS success_rate, sum(b) AS bytes, quantile_disc(value, 0.5) AS latency_p50, quantile_disc(value, 0.95) AS latency_p95 FROM w GROUP BY 1, 2
+""",
+    "stream_duplicate_work": "SELECT user_id AS worker_id, count(*) AS duplicates FROM events WHERE event_type <> 'error' AND (event_id % 7 = 0 OR event_id % 900 > 600) GROUP BY 1",
     "stream_submitted": "SELECT event_type, event_type = 'error' AND user_id % 97 = 0 AS dead, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_price_changes": """
 WITH b AS (SELECT user_id AS asin, event_id AS seq, event_type = 'purchase' AS is_auto, CASE WHEN event_type <> 'click' THEN floor(value / 20) END AS price,
