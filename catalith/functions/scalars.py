@@ -38,14 +38,6 @@ def compare(old: Column, new: Column) -> Column:
     return F.when(new > old, "up").when(new < old, "down")
 
 
-def compare_price(old: Column, new: Column) -> Column:
-    return compare(parse_price(old), parse_price(new))
-
-
-def compare_quantity(old: Column, new: Column) -> Column:
-    return compare(parse_int(old), parse_int(new))
-
-
 def normal_status(c: Column) -> Column:
     v = F.lower(strip(c))
     return F.when(~v.isin("", "n/a", "none"), v)
@@ -293,4 +285,5 @@ def bandwidth_share(bytes_per_s: Column, cap_mbps: float) -> Column:
 
 
 def receive_speed(cap: Column, inflight: Column) -> Column:
-    return F.expr("NULL") if cap is None else F.floor(cap / F.greatest(inflight, F.lit(1)))
+    """Bytes a second that a request may take of the cap; without a cap NULL."""
+    return F.floor(cap / F.greatest(inflight, F.lit(1)))

@@ -57,12 +57,12 @@ _PARTS = {
 }
 
 
-class _Workbook:
-    """One sheet, compressed row by row."""
+class Workbook:
+    """One sheet, compressed row by row into a stream."""
 
-    def __init__(self, columns: list[str]):
-        self.buffer = io.BytesIO()
-        self.book = zipfile.ZipFile(self.buffer, "w", zipfile.ZIP_DEFLATED)
+    def __init__(self, columns: list[str], stream):
+        self.stream = stream
+        self.book = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
         for name, text in _PARTS.items():
             self.book.writestr(name, _XML + text)
         self.sheet = self.book.open("xl/worksheets/sheet1.xml", "w")
@@ -76,11 +76,10 @@ class _Workbook:
         xml = "".join(f'<c r="{n}{self.rows}" t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>' for n, c in zip(self.names, clean, strict=True))
         self.sheet.write(f'<row r="{self.rows}">{xml}</row>'.encode())
 
-    def close(self) -> bytes:
+    def close(self) -> None:
         self.sheet.write(b"</sheetData></worksheet>")
         self.sheet.close()
         self.book.close()
-        return self.buffer.getvalue()
 
 
 def workbooks(df: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
@@ -91,11 +90,12 @@ def workbooks(df: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
         part, n, book = TaskContext.get().partitionId(), 0, None
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{n:05d}.xlsx"]), pa.array([book.rows - 1], pa.int64()), pa.array([book.close()], pa.binary())], names=["name", "rows", "content"])
+            book.close()
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{n:05d}.xlsx"]), pa.array([book.rows - 1], pa.int64()), pa.array([book.stream.getvalue()], pa.binary())], names=["name", "rows", "content"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                book = book or _Workbook(columns)
+                book = book or Workbook(columns, io.BytesIO())
                 book.add(row)
                 if book.rows > most:
                     yield done()

@@ -44,27 +44,37 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def xlsx_cells(content: bytes) -> Iterator[str]:
-    """Every filled cell of the active sheet; a broken file has none."""
+def xlsx_rows(file) -> Iterator[list[str]]:
+    """The filled cells of each row of the active sheet, as it is unpacked; a broken file has none."""
     try:
-        book = zipfile.ZipFile(io.BytesIO(content))
+        book = zipfile.ZipFile(file)
     except zipfile.BadZipFile:
         return
     names = set(book.namelist())
     shared: list[str] = []
     if "xl/sharedStrings.xml" in names:
-        for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si"):
-            shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
-    for _, cell in ElementTree.iterparse(io.BytesIO(book.read(_active_sheet(book, names)))):
+        for _, item in ElementTree.iterparse(book.open("xl/sharedStrings.xml")):
+            if item.tag == f"{_MAIN}si":
+                shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
+                item.clear()
+    row: list[str] = []
+    for _, cell in ElementTree.iterparse(book.open(_active_sheet(book, names))):
         if cell.tag == f"{_MAIN}c":
             kind, value = cell.get("t"), cell.findtext(f"{_MAIN}v")
             text = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t")) if kind == "inlineStr" else value
             if text:
-                yield shared[int(text)] if kind == "s" else text
+                row.append(shared[int(text)] if kind == "s" else text)
         elif cell.tag == f"{_MAIN}row":
+            yield row
+            row = []
             cell.clear()
 
 
+def xlsx_cells(content: bytes) -> Iterator[str]:
+    """Every filled cell of the active sheet; a broken file has none."""
+    return (c for row in xlsx_rows(io.BytesIO(content)) for c in row)
+
+
 def _active_sheet(book: zipfile.ZipFile, names: set[str]) -> str:
     root = ElementTree.fromstring(book.read("xl/workbook.xml"))
     view = root.find(f"{_MAIN}bookViews/{_MAIN}workbookView")

@@ -296,3 +296,14 @@ def test_smoothing_spreads_a_hot_key_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert got["hot"] == pytest.approx(want, rel=1e-12) and got["b"] == pytest.approx(0.001 * 7 + 0.999 * 5) and got[None] == 3.0 and got["c"] is None
     assert "rangepartitioning" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_receive_speed(spark):
+    df = spark.createDataFrame([(100.0, 3), (100.0, 0), (None, 2)], "cap double, inflight int")
+    assert [r.v for r in df.select(X.receive_speed(F.col("cap"), F.col("inflight")).alias("v")).collect()] == [33, 100, None]
+
+
+def test_pending_screenshots(spark):
+    rows = [(5, "pending"), (3, "done"), (2, "pending"), (9, "pending"), (4, "failed"), (1, None)]
+    df = spark.createDataFrame(rows, "id long, status string")
+    assert [r.id for r in tasks.pending_screenshots(df, 2).collect()] == [2, 5] and tasks.pending_screenshots(df, 50).count() == 3

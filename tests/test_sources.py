@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.sources import exports, identifiers
+from catalith.sources import exports, identifiers, workbooks
 
 A, B, C = "B000000001", "B00000000A", "BABCDEFGHI"
 
@@ -105,3 +105,44 @@ def test_identifier_rule(spark, text, ok):
 
     row = spark.createDataFrame([(text,)], "c string").select(quality.valid_identifier(F.col("c")).alias("v")).first()
     assert row.v is ok
+
+
+# --- the xlsx data source ------------------------------------------------------------------------------------------
+
+
+def test_workbooks_as_a_data_source(spark, tmp_path):
+    at = f"{tmp_path}/books"
+    df = spark.range(25).selectExpr("id", "concat('t<', id, '>') AS title", "CAST(NULL AS double) AS none").repartition(3)
+    workbooks.write_workbooks(df, at, rows_per_file=4)
+    names = sorted(p.name for p in (tmp_path / "books").iterdir())
+    assert all(n.endswith(".xlsx") for n in names) and len(names) >= 7
+    read = spark.read.format("xlsx").load(at)
+    assert read.rdd.getNumPartitions() == len(names)
+    rows = [r.cells for r in read.where("row > 0").collect()]
+    assert sorted(rows, key=lambda r: int(r[0])) == [[str(i), f"t<{i}>"] for i in range(25)]
+    assert {tuple(r.cells) for r in read.where("row = 0").collect()} == {("id", "title", "none")}
+    workbooks.write_workbooks(df.limit(2), f"file://{at}", mode="overwrite")
+    assert spark.read.format("xlsx").load(f"file:{at}").where("row > 0").count() == 2
+    one = next((tmp_path / "books").glob("*.xlsx"))
+    assert spark.read.format("xlsx").load(str(one)).count() > 1
+    workbooks.write_workbooks(df.limit(0), f"{tmp_path}/none")
+    assert not list(tmp_path.glob("none/*"))
+
+
+def test_an_aborted_job_leaves_no_file(spark, tmp_path):
+    at = tmp_path / "books"
+    good = spark.range(30).repartition(3)
+    workbooks.write_workbooks(good, str(at))
+    before = sorted(p.name for p in at.iterdir())
+    bad = good.withColumn("v", F.when(F.col("id") == 17, F.raise_error(F.lit("bad row"))).otherwise(F.lit("x")))
+    with pytest.raises(Exception, match="bad row"):
+        workbooks.write_workbooks(bad, str(at), rows_per_file=2)
+    assert sorted(p.name for p in at.iterdir()) == before
+
+
+def test_settings_are_replaced_in_one_step(spark, tmp_path):
+    at = str(tmp_path / "settings.json")
+    for n in range(3):
+        identifiers.write_json_settings(spark, at, {"a": n, "name": "é"})
+        assert identifiers.read_json_settings(spark, at, {"a": None, "name": None}) == {"a": n, "name": "é"}
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["settings.json"]
