@@ -30,22 +30,22 @@ def detect_changes(observations: DataFrame, values: bool = True) -> DataFrame:
     struct; without one the key's first sighting is the baseline.
     """
     shown = ["current_price", "buybox_price", "stock_count", "stock_status"] if values else ["current_price"]
-    # Texts are parsed once per sighting, below the scan; above it only numbers and codes are compared.
     parsed = {
         "tb_hash": X.title_bullets_hash(), "price_n": X.parse_price(F.col("current_price")), "buybox_n": X.parse_price(F.col("buybox_price")),
         "stock_n": X.parse_int(F.col("stock_count")), "status_n": X.normal_status(F.col("stock_status")),
     }
-    slim = admitted(observations).withColumns(parsed).select("asin", "seq", "batch_id", "is_auto", *shown, *(["title"] if values else []), *parsed)
-    snapshot = F.struct(*shown, *parsed)
-    tracks = {"auto": (F.coalesce("is_auto", F.lit(False)), snapshot)}
+    states = {"now": F.struct(*shown, *[c.alias(n) for n, c in parsed.items()])}
+    tracks = {"auto": (F.coalesce("is_auto", F.lit(False)), "now")}
     if values:
-        tracks["told"] = (F.col("title").isNotNull(), F.col("title"))
-    seen = earlier_states(slim, "asin", "seq", tracks, ("origin", snapshot)).withColumn("base", F.coalesce("auto.v", "origin.v"))
+        states["said"] = F.struct(F.col("title"))
+        tracks["told"] = (F.col("title").isNotNull(), "said")
+    slim = admitted(observations).select("asin", "seq", "batch_id", "is_auto", "title", "bullet_points", "current_price", "buybox_price", "stock_count", "stock_status")
+    seen = earlier_states(slim, "asin", "seq", states, tracks, ("origin", "now")).withColumn("base", F.coalesce("auto", "origin"))
     parts = {
-        "price": X.compare(F.col("base.price_n"), F.col("price_n")),
-        "buybox": X.compare(F.col("base.buybox_n"), F.col("buybox_n")),
-        "stock_qty": X.compare(F.col("base.stock_n"), F.col("stock_n")),
-        "stock_status": F.when(F.col("base.status_n") != F.col("status_n"), "changed"),
+        "price": X.compare(F.col("base.price_n"), F.col("now.price_n")),
+        "buybox": X.compare(F.col("base.buybox_n"), F.col("now.buybox_n")),
+        "stock_qty": X.compare(F.col("base.stock_n"), F.col("now.stock_n")),
+        "stock_status": F.when(F.col("base.status_n") != F.col("now.status_n"), "changed"),
     }
     fields = {"price": "current_price", "buybox": "buybox_price", "stock": "stock_count", "status": "stock_status"}
     known = ~F.col("first_seen") & F.col("base.current_price").isNotNull()
@@ -57,10 +57,10 @@ def detect_changes(observations: DataFrame, values: bool = True) -> DataFrame:
     detail = X.change_detail(parts)
     found = F.array(
         F.when(F.col("first_seen") & F.col("batch_id").isNotNull(), change("new", F.lit("first_seen"), F.lit(None), F.lit(None))),
-        F.when(known & (detail != ""), change("price_stock", detail, *[X.rendered({k: F.col(f"{of}{v}") for k, v in fields.items()}) if values else F.lit(None) for of in ("base.", "")])),
+        F.when(known & (detail != ""), change("price_stock", detail, *[X.rendered({k: F.col(f"{of}{v}") for k, v in fields.items()}) if values else F.lit(None) for of in ("base.", "now.")])),
         F.when(
-            known & (F.col("base.tb_hash") != F.col("tb_hash")),
-            change("title_bullets", F.lit("title_or_bullets_changed"), *[F.concat(F.lit("title="), X.truncated(F.col(c), 100)) if values else F.lit(None) for c in ("told.v", "title")]),
+            known & (F.col("base.tb_hash") != F.col("now.tb_hash")),
+            change("title_bullets", F.lit("title_or_bullets_changed"), *[F.concat(F.lit("title="), X.truncated(F.col(c), 100)) if values else F.lit(None) for c in ("told.title", "said.title")]),
         ),
     )
     return seen.select("asin", "seq", "batch_id", F.inline(F.array_compact(found)))

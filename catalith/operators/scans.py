@@ -28,10 +28,10 @@ def _changed(keys: pa.Array) -> np.ndarray:
     return pc.or_(unequal, pc.xor(pc.is_null(before), pc.is_null(after))).to_numpy(zero_copy_only=False)
 
 
-def _walk(n_tracks: int, names: list[str]):
-    """Rows of one part in order, as key, first value, (when, value) of each track, and all else -> the same with, for each
-    track, the value at the last earlier row of the key where ``when`` holds; marks of a key's first row here, of the part's
-    first key, and of the part's first and last row."""
+def _walk(values: list[int], first: int, names: list[str]):
+    """Rows of one part in order (key, the ``when`` of each track, and all columns) -> the same with the value of column
+    ``first`` at the key's first row; for each track, the value of its column at the last earlier row of the key where
+    ``when`` holds; and marks of a key's first row here, of the part's first key, and of the part's first and last row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, lead, held = TaskContext.get().partitionId(), True, None
@@ -46,7 +46,7 @@ def _walk(n_tracks: int, names: list[str]):
             n = batch.num_rows
             if not n:
                 continue
-            at, key, first = np.arange(n), batch.column(0), batch.column(1)
+            at, key, origin = np.arange(n), batch.column(0), batch.column(first)
             start = np.ones(n, bool)
             start[1:] = _changed(key)
             if carry is not None:
@@ -58,12 +58,11 @@ def _walk(n_tracks: int, names: list[str]):
             if len(later):
                 leading[later[0] :] = False
             lead = bool(leading[-1])
-            none = pa.nulls(1, first.type)
-            firsts = pa.concat_arrays([carry[1] if carry else none, first])
-            first_of = firsts.take(pa.array(np.where(here, begins + 1, 0)))
+            origins = pa.concat_arrays([carry[1] if carry else pa.nulls(1, origin.type), origin])
+            first_of = origins.take(pa.array(np.where(here, begins + 1, 0)))
             tracks, after = [], []
-            for t in range(n_tracks):
-                when, value = batch.column(2 + 2 * t), batch.column(3 + 2 * t)
+            for t, column in enumerate(values):
+                when, value = batch.column(1 + t), batch.column(column)
                 set_at = np.maximum.accumulate(np.where(pc.fill_null(when, False).to_numpy(zero_copy_only=False), at, -1))
                 before = np.concatenate([[-1], set_at[:-1]])
                 pool = pa.concat_arrays([carry[2 + t] if carry else pa.nulls(1, value.type), value, pa.nulls(1, value.type)])
@@ -83,26 +82,29 @@ def _walk(n_tracks: int, names: list[str]):
     return run
 
 
-def earlier_states(rows: DataFrame, key: str, order: str, tracks: dict[str, tuple[Column, Column]], first: tuple[str, Column]) -> DataFrame:
-    """The rows with, for each track of (when, value), a struct ``v`` of the value at the key's last earlier row where
-    ``when`` holds (NULL where there is none); under ``first``'s name the same of the value at the key's first row; and
-    ``first_seen``, whether the row is the key's first.
+def earlier_states(rows: DataFrame, key: str, order: str, states: dict[str, Column], tracks: dict[str, tuple[Column, str]], first: tuple[str, str]) -> DataFrame:
+    """The rows with ``states``, each a struct that is not NULL; for each track (when, state), that state at the key's last
+    earlier row where ``when`` holds (NULL where there is none); under ``first``'s name its state at the key's first row;
+    and ``first_seen``, whether the row is the key's first.
+
+    States and conditions are computed after the rows are dealt, so they do not travel and are computed once.
     """
-    packed = lambda c: F.struct(c.alias("v"))
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = rows.columns
-    slim = rows.select(
-        F.col(key).alias("_key"), packed(first[1]).alias("_first"),
-        *[c for name, (when, value) in tracks.items() for c in (when.alias(f"_when_{name}"), packed(value).alias(f"_value_{name}"))],
-        F.col(order).alias("_order"), *[F.col(c).alias(f"_row_{c}") for c in kept],
+    dealt = rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order)
+    walked = dealt.select(
+        F.col(key).alias("_key"), *[when.alias(f"_when_{name}") for name, (when, _) in tracks.items()],
+        *[F.col(c).alias(f"_row_{c}") for c in kept], *[c.alias(f"_row_{name}") for name, c in states.items()],
     )
-    dealt = slim.repartitionByRange("_key", "_order").sortWithinPartitions("_key", "_order")
-    of = {f.name: f.dataType for f in dealt.schema}
-    fields = [*dealt.schema.fields, T.StructField("_first_of", of["_first"]), *[T.StructField(f"_track_{name}", of[f"_value_{name}"]) for name in tracks]]
+    of, place = {f.name: f.dataType for f in walked.schema}, walked.columns.index
+    fields = [*walked.schema.fields, T.StructField("_first_of", of[f"_row_{first[1]}"]), *[T.StructField(f"_track_{name}", of[f"_row_{state}"]) for name, (_, state) in tracks.items()]]
     fields += [T.StructField(n, T.BooleanType()) for n in ("_start", "_leading")] + [T.StructField("_part", T.IntegerType())] + [T.StructField(n, T.BooleanType()) for n in ("_head", "_tail")]
-    scanned = stored(dealt.mapInArrow(_walk(len(tracks), [f.name for f in fields]), T.StructType(fields)), "scanned")
+    walk = _walk([place(f"_row_{state}") for _, state in tracks.values()], place(f"_row_{first[1]}"), [f.name for f in fields])
+    scanned = stored(walked.mapInArrow(walk, T.StructType(fields)), "scanned")
 
     # One row for the end of each part, and one without values for its beginning.
-    after = [F.when(F.col(f"_when_{n}"), F.col(f"_value_{n}")).otherwise(F.col(f"_track_{n}")).alias(f"_in_{n}") for n in tracks]
+    after = [F.when(F.col(f"_when_{n}"), F.col(f"_row_{state}")).otherwise(F.col(f"_track_{n}")).alias(f"_in_{n}") for n, (_, state) in tracks.items()]
     tails = scanned.where("_tail").select("_key", "_part", F.lit(1).alias("_kind"), F.col("_first_of").alias("_in_first"), *after)
     heads = scanned.where("_head").select("_key", "_part", F.lit(0).alias("_kind"))
     earlier = Window.partitionBy("_key").orderBy("_part", "_kind").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +115,7 @@ def earlier_states(rows: DataFrame, key: str, order: str, tracks: dict[str, tupl
 
     joined = scanned.join(F.broadcast(incoming), (F.col("_part") == F.col("_in_part")) & F.col("_leading"), "left")  # a row a part at most
     return joined.select(
-        *[F.col(f"_row_{c}").alias(c) for c in kept],
+        *[F.col(f"_row_{c}").alias(c) for c in (*kept, *states)],
         *[F.coalesce(f"_track_{n}", f"_in_{n}").alias(n) for n in tracks],
         F.coalesce("_in_first", "_first_of").alias(first[0]),
         (F.col("_start") & F.col("_from").isNull()).alias("first_seen"),

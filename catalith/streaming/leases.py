@@ -19,7 +19,7 @@ from catalith.operators.tasks import MAX_RETRIES
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Seconds that a lease lasts without a renewal (a fixed value: the model's hard timeout).
-LEASE_S = 120.0
+LEASE_S = 600.0
 
 STATE = "status string, worker_id string, lease_epoch int, retry_count int, error_type string, version long, deadline long"
 EVENTS = "id long, seq array<double>, kind string, worker_id string, lease_epoch int, success boolean, rejected boolean, error_type string"

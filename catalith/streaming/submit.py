@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The model's sizes of submits.
-SIZE, RETRIES, WAIT_S = 20, 3, 1.0
+SIZE, RETRIES, WAIT_S = 10, 3, 1.0
 
 #: Takes rows as dictionaries, each with its ``submit_key``; raises where it does not take them all.
 Submit = Callable[[list[dict]], None]
