@@ -40,30 +40,31 @@ def detect_changes(observations: DataFrame, values: bool = True) -> DataFrame:
         states["said"] = F.struct(F.col("title"))
         tracks["told"] = (F.col("title").isNotNull(), "said")
     slim = admitted(observations).select("asin", "seq", "batch_id", "is_auto", "title", "bullet_points", "current_price", "buybox_price", "stock_count", "stock_status")
-    seen = earlier_states(slim, "asin", "seq", states, tracks, ("origin", "now")).withColumn("base", F.coalesce("auto", "origin"))
+    base = lambda name: F.coalesce(F.col("auto"), F.col("origin"))[name]
     parts = {
-        "price": X.compare(F.col("base.price_n"), F.col("now.price_n")),
-        "buybox": X.compare(F.col("base.buybox_n"), F.col("now.buybox_n")),
-        "stock_qty": X.compare(F.col("base.stock_n"), F.col("now.stock_n")),
-        "stock_status": F.when(F.col("base.status_n") != F.col("now.status_n"), "changed"),
+        "price": X.compare(base("price_n"), F.col("now.price_n")),
+        "buybox": X.compare(base("buybox_n"), F.col("now.buybox_n")),
+        "stock_qty": X.compare(base("stock_n"), F.col("now.stock_n")),
+        "stock_status": F.when(base("status_n") != F.col("now.status_n"), "changed"),
     }
     fields = {"price": "current_price", "buybox": "buybox_price", "stock": "stock_count", "status": "stock_status"}
-    known = ~F.col("first_seen") & F.col("base.current_price").isNotNull()
+    known = ~F.col("first_seen") & base("current_price").isNotNull()
 
     def change(kind: str, detail: Column, prev: Column, new: Column) -> Column:
         texts = [prev.cast("string").alias("prev_value"), new.cast("string").alias("new_value")] if values else []
-        return F.struct(F.lit(kind).alias("change_type"), detail.alias("change_detail"), *texts)
+        return F.struct("asin", "seq", "batch_id", F.lit(kind).alias("change_type"), detail.alias("change_detail"), *texts)
 
     detail = X.change_detail(parts)
-    found = F.array(
-        F.when(F.col("first_seen") & F.col("batch_id").isNotNull(), change("new", F.lit("first_seen"), F.lit(None), F.lit(None))),
-        F.when(known & (detail != ""), change("price_stock", detail, *[X.rendered({k: F.col(f"{of}{v}") for k, v in fields.items()}) if values else F.lit(None) for of in ("base.", "now.")])),
-        F.when(
-            known & (F.col("base.tb_hash") != F.col("now.tb_hash")),
-            change("title_bullets", F.lit("title_or_bullets_changed"), *[F.concat(F.lit("title="), X.truncated(F.col(c), 100)) if values else F.lit(None) for c in ("told.title", "said.title")]),
-        ),
-    )
-    return seen.select("asin", "seq", "batch_id", F.inline(F.array_compact(found)))
+    texts = lambda show: [show(base), show(lambda name: F.col("now")[name])] if values else [F.lit(None)] * 2
+    titles = [F.concat(F.lit("title="), X.truncated(F.col(c), 100)) for c in ("told.title", "said.title")] if values else [F.lit(None)] * 2
+    kinds = [
+        (F.col("first_seen") & F.col("batch_id").isNotNull(), "new", F.lit("first_seen"), [F.lit(None)] * 2),
+        (known & (detail != ""), "price_stock", detail, texts(lambda of: X.rendered({k: of(v) for k, v in fields.items()}))),
+        (known & (base("tb_hash") != F.col("now.tb_hash")), "title_bullets", F.lit("title_or_bullets_changed"), titles),
+    ]
+    # No lambda over the array: these would keep all that is inside from being compiled.
+    found = F.concat(*[F.array_repeat(F.when(holds, change(kind, said, *shown)), F.when(holds, 1).otherwise(0)) for holds, kind, said, shown in kinds])
+    return earlier_states(slim, "asin", "seq", ["asin", "seq", "batch_id"], states, tracks, ("origin", "now"), found)
 
 
 def current_state(observations: DataFrame, fields: list[str]) -> DataFrame:

@@ -1,9 +1,10 @@
 """Segmented scans: what the earlier rows of a key showed, without a key in one task.
 
 Rows are dealt by range over key and order, so a key of any size is spread over tasks. Each task walks its part in order, a
-batch at a time by numpy, and attaches to each row what it knows; the rows are stored so. A part hands on its last row's
-state alone; these rows, at most two a part, are combined in order, and what comes in from earlier parts is joined to the
-rows of a part's first key by broadcast, at most one row a part.
+batch at a time by numpy, and attaches to each row what it knows. That settles all rows but those of the part's first key:
+of them the results are stored, of the first key's rows and the part's last row the states. These ends of parts, at most two
+rows each, are combined in order, and what comes in from earlier parts is joined to the rows that wait for it by broadcast,
+at most one row a part.
 """
 
 from __future__ import annotations
@@ -82,41 +83,44 @@ def _walk(values: list[int], first: int, names: list[str]):
     return run
 
 
-def earlier_states(rows: DataFrame, key: str, order: str, states: dict[str, Column], tracks: dict[str, tuple[Column, str]], first: tuple[str, str]) -> DataFrame:
-    """The rows with ``states``, each a struct that is not NULL; for each track (when, state), that state at the key's last
-    earlier row where ``when`` holds (NULL where there is none); under ``first``'s name its state at the key's first row;
-    and ``first_seen``, whether the row is the key's first.
+def earlier_states(rows: DataFrame, key: str, order: str, keep: list[str], states: dict[str, Column], tracks: dict[str, tuple[Column, str]], first: tuple[str, str], result: Column) -> DataFrame:
+    """The elements of ``result``, an array of structs for each row, made of the row's columns in ``keep`` and of
+
+    * ``states``, each a struct of the row that is not NULL;
+    * for each track (when, state): that state at the key's last earlier row where ``when`` holds, NULL where there is none;
+    * under ``first``'s name: its state at the key's first row;
+    * ``first_seen``: whether the row is the key's first.
 
     States and conditions are computed after the rows are dealt, so they do not travel and are computed once.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = rows.columns
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order)
-    walked = dealt.select(
-        F.col(key).alias("_key"), *[when.alias(f"_when_{name}") for name, (when, _) in tracks.items()],
-        *[F.col(c).alias(f"_row_{c}") for c in kept], *[c.alias(f"_row_{name}") for name, c in states.items()],
-    )
+    walked = dealt.select(F.col(key).alias("_key"), *[when.alias(f"_when_{name}") for name, (when, _) in tracks.items()], *keep, *[c.alias(name) for name, c in states.items()])
     of, place = {f.name: f.dataType for f in walked.schema}, walked.columns.index
-    fields = [*walked.schema.fields, T.StructField("_first_of", of[f"_row_{first[1]}"]), *[T.StructField(f"_track_{name}", of[f"_row_{state}"]) for name, (_, state) in tracks.items()]]
-    fields += [T.StructField(n, T.BooleanType()) for n in ("_start", "_leading")] + [T.StructField("_part", T.IntegerType())] + [T.StructField(n, T.BooleanType()) for n in ("_head", "_tail")]
-    walk = _walk([place(f"_row_{state}") for _, state in tracks.values()], place(f"_row_{first[1]}"), [f.name for f in fields])
-    scanned = stored(walked.mapInArrow(walk, T.StructType(fields)), "scanned")
+    fields = [*walked.schema.fields, T.StructField(first[0], of[first[1]]), *[T.StructField(name, of[state]) for name, (_, state) in tracks.items()]]
+    fields += [T.StructField(n, T.BooleanType()) for n in ("first_seen", "_leading")] + [T.StructField("_part", T.IntegerType())] + [T.StructField(n, T.BooleanType()) for n in ("_head", "_tail")]
+    names = [f.name for f in fields]
+    walk = _walk([place(state) for _, state in tracks.values()], place(first[1]), names)
+    seen = walked.mapInArrow(walk, T.StructType(fields))
+    leading, waits = F.col("_leading"), F.col("_leading") | F.col("_tail")
+    kept = seen.select(F.when(~leading, result).alias("done"), F.when(waits, F.struct(*names)).alias("open"))
+    scanned = stored(kept, "scanned")  # unfiltered: a filter on the results would compute them twice
+    ends = scanned.where("open IS NOT NULL").select("open.*")
 
     # One row for the end of each part, and one without values for its beginning.
-    after = [F.when(F.col(f"_when_{n}"), F.col(f"_row_{state}")).otherwise(F.col(f"_track_{n}")).alias(f"_in_{n}") for n, (_, state) in tracks.items()]
-    tails = scanned.where("_tail").select("_key", "_part", F.lit(1).alias("_kind"), F.col("_first_of").alias("_in_first"), *after)
-    heads = scanned.where("_head").select("_key", "_part", F.lit(0).alias("_kind"))
+    after = [F.when(F.col(f"_when_{n}"), F.col(state)).otherwise(F.col(n)).alias(f"_in_{n}") for n, (_, state) in tracks.items()]
+    tails = ends.where("_tail").select("_key", "_part", F.lit(1).alias("_kind"), F.col(first[0]).alias("_in_first"), *after)
+    heads = ends.where("_head").select("_key", "_part", F.lit(0).alias("_kind"))
     earlier = Window.partitionBy("_key").orderBy("_part", "_kind").rowsBetween(Window.unboundedPreceding, -1)
     edges = tails.unionByName(heads, allowMissingColumns=True)
     come = [F.last(f"_in_{n}", ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in tracks]
     incoming = edges.select("_part", "_kind", F.first("_in_first", ignorenulls=True).over(earlier).alias("_in_first"), *come)
     incoming = incoming.where("_kind = 0 AND _in_first IS NOT NULL").withColumn("_from", F.lit(True)).withColumnRenamed("_part", "_in_part")
 
-    joined = scanned.join(F.broadcast(incoming), (F.col("_part") == F.col("_in_part")) & F.col("_leading"), "left")  # a row a part at most
-    return joined.select(
-        *[F.col(f"_row_{c}").alias(c) for c in (*kept, *states)],
-        *[F.coalesce(f"_track_{n}", f"_in_{n}").alias(n) for n in tracks],
-        F.coalesce("_in_first", "_first_of").alias(first[0]),
-        (F.col("_start") & F.col("_from").isNull()).alias("first_seen"),
-    )
+    waiting = ends.where("_leading").join(F.broadcast(incoming), F.col("_part") == F.col("_in_part"), "left")  # a row a part at most
+    settled = waiting.withColumns({
+        **{n: F.coalesce(n, f"_in_{n}") for n in tracks},
+        first[0]: F.coalesce("_in_first", first[0]),
+        "first_seen": F.col("first_seen") & F.col("_from").isNull(),
+    })
+    return scanned.where("done IS NOT NULL").select(F.inline("done")).unionAll(settled.select(F.inline(result)))
