@@ -17,7 +17,7 @@ def spread(table: DataFrame) -> DataFrame:
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     files = table.inputFiles()
-    if len(files) >= 2 * cores:
+    if len(files) >= 2 * cores or table.rdd.getNumPartitions() >= 2 * cores:
         return table
     listed = table.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] if files else 0  # from the listing; no file is opened
     return table.repartition(cores) if (listed or 0) < SMALL_TABLE else table
