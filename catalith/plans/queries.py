@@ -514,7 +514,7 @@ def page_quality_class(spark, sf_dir):
 
 # Product pages made of the parts: one kind of page for each branch of extraction, by the last digit of the key.
 BRANCHES = ("full", "json", "parts", "no_offer", "gone", "in_cart", "script", "foreign", "captcha", "empty")
-_TEMPLATES = json.loads(Path(__file__).with_name("product_pages.json").read_text())
+_TEMPLATES = json.loads(Path(__file__).with_name("product_pages.json").read_text(encoding="utf-8"))
 PAGES, OFFER_PAGE = _TEMPLATES["pages"], _TEMPLATES["offers"]
 PART_VALUES = "CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(BRANCHES)) + " END AS b, 'B' || p_partkey AS asin, '$' || (round(p_retailprice, 2)::DECIMAL(18,2))::VARCHAR AS price"
 
