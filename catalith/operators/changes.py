@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from catalith.functions import quality
 from catalith.functions import scalars as X
 
-from .scans import earlier_states
+from .scans import with_earlier
 
 
 def admitted(observations: DataFrame) -> DataFrame:
@@ -40,31 +40,40 @@ def detect_changes(observations: DataFrame, values: bool = True) -> DataFrame:
         states["said"] = F.struct(F.col("title"))
         tracks["told"] = (F.col("title").isNotNull(), "said")
     slim = admitted(observations).select("asin", "seq", "batch_id", "is_auto", "title", "bullet_points", "current_price", "buybox_price", "stock_count", "stock_status")
-    base = lambda name: F.coalesce(F.col("auto"), F.col("origin"))[name]
+    base, now = lambda name: F.col("base")[name], lambda name: F.col("now")[name]
     parts = {
-        "price": X.compare(base("price_n"), F.col("now.price_n")),
-        "buybox": X.compare(base("buybox_n"), F.col("now.buybox_n")),
-        "stock_qty": X.compare(base("stock_n"), F.col("now.stock_n")),
-        "stock_status": F.when(base("status_n") != F.col("now.status_n"), "changed"),
+        "price": X.compare(base("price_n"), now("price_n")),
+        "buybox": X.compare(base("buybox_n"), now("buybox_n")),
+        "stock_qty": X.compare(base("stock_n"), now("stock_n")),
+        "stock_status": F.when(base("status_n") != now("status_n"), "changed"),
     }
-    fields = {"price": "current_price", "buybox": "buybox_price", "stock": "stock_count", "status": "stock_status"}
     known = ~F.col("first_seen") & base("current_price").isNotNull()
-
-    def change(kind: str, detail: Column, prev: Column, new: Column) -> Column:
-        texts = [prev.cast("string").alias("prev_value"), new.cast("string").alias("new_value")] if values else []
-        return F.struct("asin", "seq", "batch_id", F.lit(kind).alias("change_type"), detail.alias("change_detail"), *texts)
-
-    detail = X.change_detail(parts)
-    texts = lambda show: [show(base), show(lambda name: F.col("now")[name])] if values else [F.lit(None)] * 2
-    titles = [F.concat(F.lit("title="), X.truncated(F.col(c), 100)) for c in ("told.title", "said.title")] if values else [F.lit(None)] * 2
-    kinds = [
-        (F.col("first_seen") & F.col("batch_id").isNotNull(), "new", F.lit("first_seen"), [F.lit(None)] * 2),
-        (known & (detail != ""), "price_stock", detail, texts(lambda of: X.rendered({k: of(v) for k, v in fields.items()}))),
-        (known & (base("tb_hash") != F.col("now.tb_hash")), "title_bullets", F.lit("title_or_bullets_changed"), titles),
+    found = [
+        {"base": F.coalesce("auto", "origin")},
+        {
+            "is_new": F.col("first_seen") & F.col("batch_id").isNotNull(),
+            "detail": F.nullif(F.when(known, X.change_detail(parts)), F.lit("")),
+            "retitled": known & (base("tb_hash") != now("tb_hash")),
+        },
     ]
-    # No lambda over the array: these would keep all that is inside from being compiled.
-    found = F.concat(*[F.array_repeat(F.when(holds, change(kind, said, *shown)), F.when(holds, 1).otherwise(0)) for holds, kind, said, shown in kinds])
-    return earlier_states(slim, "asin", "seq", ["asin", "seq", "batch_id"], states, tracks, ("origin", "now"), found)
+    if values:
+        fields = {"price": "current_price", "buybox": "buybox_price", "stock": "stock_count", "status": "stock_status"}
+        texts = {n: X.rendered({k: of(v) for k, v in fields.items()}) for n, of in (("old_values", base), ("new_values", now))}
+        titles = {n: F.concat(F.lit("title="), X.truncated(F.col(c), 100)) for n, c in (("old_title", "told.title"), ("new_title", "said.title"))}
+        found.append({**{n: F.when(F.col("detail").isNotNull(), c) for n, c in texts.items()}, **{n: F.when(F.col("retitled"), c) for n, c in titles.items()}})
+    scanned = with_earlier(slim, "asin", "seq", ["asin", "seq", "batch_id"], states, tracks, ("origin", "now"), found)
+
+    def change(holds: Column, kind: str, detail: Column, prev: str | None, new: str | None) -> Column:
+        said = [(F.col(c) if c else F.lit(None).cast("string")).alias(n) for n, c in (("prev_value", prev), ("new_value", new))] if values else []
+        return F.struct(F.when(holds, kind).alias("change_type"), detail.alias("change_detail"), *said)
+
+    kinds = F.array(
+        change(F.col("is_new"), "new", F.lit("first_seen"), None, None),
+        change(F.col("detail").isNotNull(), "price_stock", F.col("detail"), "old_values", "new_values"),
+        change(F.col("retitled"), "title_bullets", F.lit("title_or_bullets_changed"), "old_title", "new_title"),
+    )
+    changed = scanned.where("is_new OR detail IS NOT NULL OR retitled")
+    return changed.select("asin", "seq", "batch_id", F.inline(kinds)).where("change_type IS NOT NULL")
 
 
 def current_state(observations: DataFrame, fields: list[str]) -> DataFrame:

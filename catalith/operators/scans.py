@@ -83,15 +83,17 @@ def _walk(values: list[int], first: int, names: list[str]):
     return run
 
 
-def earlier_states(rows: DataFrame, key: str, order: str, keep: list[str], states: dict[str, Column], tracks: dict[str, tuple[Column, str]], first: tuple[str, str], result: Column) -> DataFrame:
-    """The elements of ``result``, an array of structs for each row, made of the row's columns in ``keep`` and of
+def with_earlier(rows: DataFrame, key: str, order: str, keep: list[str], states: dict[str, Column], tracks: dict[str, tuple[Column, str]], first: tuple[str, str], found: list[dict[str, Column]]) -> DataFrame:
+    """Each row's columns in ``keep`` and those of ``found``, dictionaries of columns of which later ones may name earlier
+    ones, made of the row's columns in ``keep`` and of
 
     * ``states``, each a struct of the row that is not NULL;
     * for each track (when, state): that state at the key's last earlier row where ``when`` holds, NULL where there is none;
     * under ``first``'s name: its state at the key's first row;
     * ``first_seen``: whether the row is the key's first.
 
-    States and conditions are computed after the rows are dealt, so they do not travel and are computed once.
+    States and conditions are computed after the rows are dealt, so they do not travel and are computed once; what is found
+    is stored as it is, a row a row, and should be turned into more rows by the caller.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order)
@@ -102,9 +104,17 @@ def earlier_states(rows: DataFrame, key: str, order: str, keep: list[str], state
     names = [f.name for f in fields]
     walk = _walk([place(state) for _, state in tracks.values()], place(first[1]), names)
     seen = walked.mapInArrow(walk, T.StructType(fields))
-    leading, waits = F.col("_leading"), F.col("_leading") | F.col("_tail")
-    kept = seen.select(F.when(~leading, result).alias("done"), F.when(waits, F.struct(*names)).alias("open"))
-    scanned = stored(kept, "scanned")  # unfiltered: a filter on the results would compute them twice
+    wanted = [*keep, *[n for step in found for n in step]]
+
+    def described(df: DataFrame) -> DataFrame:
+        for step in found:
+            df = df.withColumns(step)
+        return df
+
+    settled = ~F.col("_leading")
+    waits = F.col("_leading") | F.col("_tail")
+    kept = described(seen).select(settled.alias("_settled"), *[F.when(settled, F.col(n)).alias(n) for n in wanted], F.when(waits, F.struct(*names)).alias("open"))
+    scanned = stored(kept, "scanned")
     ends = scanned.where("open IS NOT NULL").select("open.*")
 
     # One row for the end of each part, and one without values for its beginning.
@@ -118,9 +128,15 @@ def earlier_states(rows: DataFrame, key: str, order: str, keep: list[str], state
     incoming = incoming.where("_kind = 0 AND _in_first IS NOT NULL").withColumn("_from", F.lit(True)).withColumnRenamed("_part", "_in_part")
 
     waiting = ends.where("_leading").join(F.broadcast(incoming), F.col("_part") == F.col("_in_part"), "left")  # a row a part at most
-    settled = waiting.withColumns({
+    late = waiting.withColumns({
         **{n: F.coalesce(n, f"_in_{n}") for n in tracks},
         first[0]: F.coalesce("_in_first", first[0]),
         "first_seen": F.col("first_seen") & F.col("_from").isNull(),
     })
-    return scanned.where("done IS NOT NULL").select(F.inline("done")).unionAll(settled.select(F.inline(result)))
+    return scanned.where("_settled").select(*wanted).unionAll(described(late).select(*wanted))
+
+
+def earlier_states(rows: DataFrame, key: str, order: str, keep: list[str], states: dict[str, Column], tracks: dict[str, tuple[Column, str]], first: tuple[str, str], result: Column) -> DataFrame:
+    """The elements of ``result``, an array of structs for each row, made of what ``with_earlier`` has. The arrays are stored;
+    where its structs repeat columns of the row, ``with_earlier`` stores less."""
+    return with_earlier(rows, key, order, keep, states, tracks, first, [{"_result": result}]).select(F.inline("_result"))
