@@ -4,12 +4,14 @@ A document is cut into full windows of the longest context size; its rest is rou
 holds it. Each tier's rests open windows of the tier's size, longest tier first; the gap of a window is filled by the
 best-fitting rests of shorter tiers, and at last by the head of one more document, cut to fit. Windows thus come out
 exactly full, at a power of two; only what is left at the end of an input partition makes one padded sequence.
-Finished sequences are dealt to step groups of about ``STEP_TOKENS`` tokens, largest first to the lightest group, some
-``HELD_STEPS`` groups at a time; so groups of one time differ by a sequence at most, and only the last of an input partition
-may be light.
+Finished sequences are dealt to step groups of ``STEP_TOKENS`` places (padding included), largest first to the lightest
+group, some ``HELD_STEPS`` groups at a time. Only as many go as make full groups, which tiers that divide each other and the
+group always do exactly; the rest waits. What an input partition leaves in the end, less than a group, is numbered by tier
+and dealt over all partitions, longest tier first; so only the very last group of all may be light.
 
 Packing is local to an input partition and streams through it: nothing is shuffled, and memory holds one slice of texts
-fewer than two windows of carried rests, and the windows of ``HELD_STEPS`` groups. Sequence numbers are made global from the per-partition totals.
+fewer than two windows of carried rests, and the windows of ``HELD_STEPS`` groups. Numbers of sequences and groups are made
+global from the totals of each partition, and for what it leaves of each tier.
 
 Defined results: a null text counts as empty and still takes one place (its end id); a null doc_id is carried; equal
 rows are packed separately; an empty table gives no pieces; further columns are ignored.
@@ -20,12 +22,14 @@ from __future__ import annotations
 import heapq
 import zlib
 from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import running_offsets, slices, written
@@ -108,6 +112,16 @@ def step_groups(sizes: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
     return out
 
 
+def full_groups(windows: list, step_tokens: int = STEP_TOKENS) -> tuple[list, list[int], list]:
+    """The windows that make full groups, the group of each, and the windows left, which have less than a group's places
+    where tiers divide each other."""
+    order = sorted(windows, key=lambda w: -w[0])
+    room = sum(w[0] for w in order) // step_tokens * step_tokens
+    taken = bisect_right(list(accumulate(w[0] for w in order)), room)
+    full = order[:taken]
+    return full, step_groups([w[0] for w in full], step_tokens), order[taken:]
+
+
 def _pack(path: str, tiers: tuple[int, ...], end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -116,42 +130,54 @@ def _pack(path: str, tiers: tuple[int, ...], end_id: int):
         number = sequence = step = waiting = 0
         windows: list = []  # finished, not yet in a step group
 
-        def rows(windows: list) -> pa.RecordBatch:
-            nonlocal sequence, step
+        def rows(windows: list, steps: list[int]) -> pa.RecordBatch:
+            nonlocal sequence
             out = []
-            groups = step_groups([sum(p[2] for p in pieces) for _, pieces in windows])
-            for (tier, pieces), group in zip(windows, groups, strict=True):
+            for (tier, pieces), group in zip(windows, steps, strict=True):
                 offset = 0
                 for doc, start, length in pieces:
                     name, raw, tokens, left = held[doc]
-                    out.append((name, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), tokens, part, sequence, offset, tier, step + group))
+                    out.append((name, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), tokens, part, sequence, offset, tier, group))
                     offset += length
                     if left == length:
                         del held[doc]
                     else:
                         held[doc] = (name, raw, tokens, left - length)
                 sequence += 1
-            step += max(groups, default=-1) + 1
             types = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             names = [f.split()[0] for f in PIECES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=names)
 
+        def grouped() -> pa.RecordBatch:
+            nonlocal windows, step
+            full, groups, windows = full_groups(windows)
+            steps = [step + g for g in groups]
+            step += max(groups, default=-1) + 1
+            return rows(full, steps)
+
         for batch in batches:
             for some in slices(batch, "text"):
                 ids, counts = encode_with_end(path, [t or "" for t in some.column(1).to_pylist()], end_id)
                 stops = np.cumsum(counts).tolist()
                 ids = ids.astype("<u4")
-                seen = len(windows)
+                before = len(windows)
                 for name, b, c in zip(some.column(0).to_pylist(), stops, counts.tolist(), strict=True):
                     held[number] = (name, memoryview(ids[b - c : b].tobytes()), c, c)
                     windows += packer.add(number, c)
                     number += 1
                 windows += packer.windows(2 * packer.longest)
-                waiting += sum(p[2] for _, pieces in windows[seen:] for p in pieces)
+                waiting += sum(tier for tier, _ in windows[before:])
                 if waiting >= HELD_STEPS * STEP_TOKENS:
-                    yield rows(windows)
-                    windows, waiting = [], 0
-        yield rows([*windows, *packer.finish()])
+                    yield grouped()
+                    waiting = sum(tier for tier, _ in windows)
+        windows += packer.finish()
+        yield grouped()
+        number_in_tier: Counter[int] = Counter()
+        left = []  # -1 - number of a window among those of its tier that are left
+        for tier, _ in windows:
+            number_in_tier[tier] += 1
+            left.append(-number_in_tier[tier])
+        yield rows(windows, left)
 
     return run
 
@@ -160,6 +186,12 @@ def pack(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TIER
     """One row per piece: where its ids stand in its document and in which sequence, at which place."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = written(slim.mapInArrow(_pack(path or tokenizer_path(), tiers, end_id), PIECES), "pieces")
-    totals = pieces.groupBy("part").agg((F.max("sequence") + 1).alias("n"), (F.max("step") + 1).alias("m"))
-    offsets = running_offsets(running_offsets(totals, "part", "n", "n0"), "part", "m", "m0").select("part", "n0", "m0")
-    return pieces.join(F.broadcast(offsets), "part").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("sequence") + F.col("n0")).alias("sequence_id"), "offset", "tier", (F.col("step") + F.col("m0")).alias("step_group"))
+    totals = pieces.groupBy("part").agg((F.max("sequence") + 1).alias("n"), F.greatest(F.max("step") + 1, F.lit(0)).alias("m"))
+    offsets = running_offsets(running_offsets(totals, "part", "n", "n0"), "part", "m", "m0").select("part", "n0", "m0", F.sum("m").over(Window.partitionBy()).alias("m_all"))
+    # Places that the sequences left by earlier partitions, longest tier first, take: a row for each partition and tier.
+    left = pieces.where("step < 0 AND offset = 0").groupBy("part", "tier").agg((F.count("*") * F.first("tier")).alias("places"))
+    left = running_offsets(left.withColumn("at", F.struct(-F.col("tier"), "part")), "at", "places", "left0").select("part", "tier", "left0")
+    dealt = F.floor((F.col("left0") + (-1 - F.col("step")) * F.col("tier")) / STEP_TOKENS)
+    step = F.when(F.col("step") < 0, F.col("m_all") + dealt).otherwise(F.col("step") + F.col("m0"))
+    numbered = pieces.join(F.broadcast(offsets), "part").join(F.broadcast(left), ["part", "tier"], "left")
+    return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("sequence") + F.col("n0")).alias("sequence_id"), "offset", "tier", step.cast("long").alias("step_group"))

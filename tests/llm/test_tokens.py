@@ -161,6 +161,21 @@ def test_step_groups_of_a_partition_are_near_equal(spark):
     assert sizes[1] > 0.9 * packing.STEP_TOKENS and sizes[-1] < 1.2 * packing.STEP_TOKENS
 
 
+def test_step_groups_are_full_over_all_partitions(spark):
+    """All groups but the last have the same number of places, whatever partitions leave, even ones without a full group."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 3000))), None, None, None) for i in range(400)]
+    for parts in (1, 7, 40):
+        got = packing.pack(documents(spark, rows).repartition(parts)).collect()
+        sequences = {r.sequence_id: (r.tier, r.step_group) for r in got}
+        places = Counter()
+        for tier, group in sequences.values():
+            places[group] += tier
+        assert len({(r.sequence_id, r.step_group) for r in got}) == len(sequences)
+        assert sorted(places) == list(range(len(places)))
+        assert all(places[g] == packing.STEP_TOKENS for g in range(len(places) - 1)) and places[len(places) - 1] <= packing.STEP_TOKENS
+
+
 def test_packing_has_little_padding(spark, library):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 900))), None, None, None) for i in range(600)]
