@@ -83,6 +83,11 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.bround(part / whole * 100, 1)).otherwise(F.lit(0.0))
 
 
+def rounded(c: Column, places: int = 6) -> Column:
+    """Rounded in binary, as SQL engines round a double: what lies between two values goes to where the scaled double lies."""
+    return F.round(c * 10.0**places) / 10.0**places
+
+
 def bounded_percent(a: Column, b: Column) -> Column:
     return F.coalesce(F.least(F.lit(100.0), a / F.nullif(b, F.lit(0)) * 100), F.lit(0.0))
 

@@ -132,5 +132,10 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parquet*")
 
 
+def whole_second(c: Column) -> Column:
+    """A time to the nearest second, halves to the even one."""
+    return F.timestamp_seconds(F.rint(seconds(c)).cast("long"))
+
+
 def seconds(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / 1e6

@@ -1,12 +1,15 @@
 """Pages from a range layout, percentiles from sketches and the duplicate-work join against plain versions."""
 
 import random
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from catalith.operators import metrics, paging, results
 from catalith.streaming import jobs
+from catalith.streaming import queries as streaming
 
 from .test_queries import written_in_turn
 
@@ -85,6 +88,26 @@ def test_percentiles_in_one_stream(spark, tmp_path):
     assert len(found) > 40 and all(want[k] == v for k, v in found.items())
 
 
+def against_sql(spark, events, at, name):
+    """Rows of a registered query over these events, and of its SQL."""
+    df = spark.createDataFrame(events, "event_id long, t double, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz")).drop("t").coalesce(2).write.parquet(f"{at}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{at}/events.parquet/*.parquet')")
+    cursor = con.execute(streaming.SQL[name])
+    columns = [d[0] for d in cursor.description]
+    return Counter(map(tuple, streaming.QUERIES[name](spark, str(at)).select(columns).collect())), Counter(cursor.fetchall())
+
+
+def test_windows_and_rates_round_as_sql_does(spark, tmp_path):
+    """Requests within half a second of a window's end, and a rate that lies between two values of six digits."""
+    start = 1_704_067_200.0
+    events = [(i, start + 43_199 + i / 10, i, "edge", 20.0, '{"k": 3}') for i in range(1, 10)] + [(i, start + 43_198.5, i, "even", 20.0, '{"k": 3}') for i in range(3)]
+    events += [(i, start + i, i, "rate", 20.0 if i < 2_997 else 1.0, '{"k": 3}') for i in range(5_760)]
+    got, want = against_sql(spark, events, tmp_path, "sliding_stream_metrics")
+    assert got == want and {r[3] for r in want if r[0] == "rate"} == {0.520312}
+
+
 # --- duplicates ----------------------------------------------------------------------------------------------------
 
 
