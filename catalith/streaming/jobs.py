@@ -8,9 +8,10 @@ checkpoints in a shared folder, so a lost executor repeats a micro-batch at most
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,6 +28,7 @@ def sliding_metrics(requests: DataFrame, by: list[str], window: str = WINDOW, sl
 
 #: Size of a quantile sketch: exact up to about so many values, beyond with a rank error of about 0.06 %.
 SKETCH_K = 4096
+QUANTILES = {"latency_p50": "0.5", "latency_p95": "0.95"}
 
 
 def slide_figures(requests: DataFrame, by: list[str], slide: str = SLIDE, lateness: str = LATENESS) -> DataFrame:
@@ -34,19 +36,73 @@ def slide_figures(requests: DataFrame, by: list[str], slide: str = SLIDE, latene
     what is kept of a slide does not grow with its requests."""
     marked = requests.withWatermark("ts", lateness) if requests.isStreaming else requests
     return marked.groupBy(F.window("ts", slide).alias("slide"), *by).agg(
-        F.count("*").alias("total"), F.count_if("success").alias("successes"), F.sum("resp_bytes").alias("bytes"), F.kll_sketch_agg_double("latency_s", SKETCH_K).alias("sketch")
+        F.count("*").alias("total"), F.count("success").alias("judged"), F.count_if("success").alias("successes"), F.sum("resp_bytes").alias("bytes"), F.kll_sketch_agg_double("latency_s", SKETCH_K).alias("sketch")
     )
 
 
 def window_figures(slides: DataFrame, by: list[str], window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
     """The slides merged to sliding windows: number, success rate, bytes, median and p95 of latency. A further step of the same
     stream (windows come when the watermark closes them), or over stored slides."""
+    quantiles = [_quantile(float(q)).alias(name) for name, q in QUANTILES.items()]
+    return _merged(slides, by, window, slide).select("window", *by, "total", "success_rate", "bytes", *quantiles)
+
+
+def _quantile(q: float) -> Column:
+    """Of a sketch; NULL of an empty one."""
+    return F.when(F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+
+
+def _merged(slides: DataFrame, by: list[str], window: str, slide: str) -> DataFrame:
     at = F.window_time("slide") if slides.isStreaming else F.col("slide.start")
     merged = slides.groupBy(F.window(at, window, slide), *by).agg(
-        F.sum("total").alias("total"), F.sum("successes").alias("successes"), F.sum("bytes").alias("bytes"), F.kll_merge_agg_double("sketch").alias("sketch")
+        F.sum("total").alias("total"), F.sum("judged").alias("judged"), F.sum("successes").alias("successes"), F.sum("bytes").alias("bytes"), F.kll_merge_agg_double("sketch").alias("sketch")
     )
-    quantile = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
-    return merged.select("window", *by, "total", (F.col("successes") / F.col("total")).alias("success_rate"), "bytes", quantile(0.5).alias("latency_p50"), quantile(0.95).alias("latency_p95"))
+    return merged.withColumn("success_rate", F.col("successes") / F.nullif(F.col("judged"), F.lit(0)))
+
+
+#: How far, as a share of the requests, the bounds of a quantile lie from it: several times a sketch's error.
+BRACKET = 0.005
+
+
+def stored_slides(requests: DataFrame, by: list[str], slide: str = SLIDE) -> tuple[DataFrame, DataFrame]:
+    """Drain a stream of requests into slides, as ``slide_figures`` has them, and how often each latency occurs in a slide. A
+    micro-batch stores its own under its number, so nothing is kept between them; a slide of many micro-batches has many rows."""
+    spark, at = requests.sparkSession, shared_folder(requests.sparkSession)
+
+    def put(df: DataFrame, n: int) -> None:
+        slide_figures(df, by, slide).write.mode("overwrite").parquet(f"{at}/slides/batch={n}")
+        values = df.where("latency_s IS NOT NULL").groupBy(F.window("ts", slide).alias("slide"), *by, "latency_s").agg(F.count("*").alias("n"))
+        values.write.mode("overwrite").parquet(f"{at}/values/batch={n}")
+
+    drained(requests, into=put)
+    return spark.read.parquet(f"{at}/slides").drop("batch"), spark.read.parquet(f"{at}/values").drop("batch")
+
+
+def exact_figures(slides: DataFrame, values: DataFrame, by: list[str], window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
+    """``window_figures`` with exact percentiles. The merged sketches put bounds about each; counts of the values below, between
+    and above them say where it lies for certain, and only the values there are put in order."""
+    group = ["window", *by]
+    merged = _merged(slides, by, window, slide)
+    bounds = merged.select(*group, F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(Decimal(q)).cast("decimal(4,2)").alias("q"), _quantile(max(float(q) - BRACKET, 0.0)).alias("lo"), _quantile(min(float(q) + BRACKET, 1.0)).alias("hi")) for name, q in QUANTILES.items()])))
+    counted = values.groupBy(F.window("slide.start", window, slide), *by, "latency_s").agg(F.sum("n").alias("n"))
+    n, v = F.col("n"), F.col("latency_s")
+    place = F.when(v < F.col("lo"), 0).when(v <= F.col("hi"), 1).otherwise(2)
+    sums = _beside(counted, bounds, group, "inner").groupBy(*group, "name").agg(F.first("q").alias("q"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), *[F.sum(F.when(place == k, n).otherwise(0)).alias(f"n{k}") for k in (0, 1, 2)])
+    rank = F.greatest(F.lit(1), F.ceil(F.col("q") * (F.col("n0") + F.col("n1") + F.col("n2"))))
+    ranked = sums.withColumn("rank", rank)
+    at = F.when(F.col("rank") <= F.col("n0"), 0).when(F.col("rank") <= F.col("n0") + F.col("n1"), 1).otherwise(2)
+    before = F.when(at == 0, 0).when(at == 1, F.col("n0")).otherwise(F.col("n0") + F.col("n1"))
+    wanted = ranked.select(*group, "name", "lo", "hi", at.alias("at"), (F.col("rank") - before).alias("rank"))
+    inside = _beside(counted, wanted, group, "inner").where(place == F.col("at"))
+    so_far = inside.withColumn("so_far", F.sum("n").over(Window.partitionBy(*group, "name").orderBy("latency_s")))
+    found = so_far.where(F.col("so_far") >= F.col("rank")).groupBy(*group).agg(*[F.min(F.when(F.col("name") == name, v)).alias(name) for name in QUANTILES])
+    return _beside(merged, found, group, "left").select("window", *by, "total", "success_rate", "bytes", *QUANTILES)
+
+
+def _beside(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join in which a missing key is a key."""
+    named = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return df.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], how).drop(*[f"_{k}" for k in keys])
 
 
 def duplicated(local: DataFrame, served: DataFrame, within: str = "10 minutes", lateness: str = LATENESS) -> DataFrame:

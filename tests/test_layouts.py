@@ -99,6 +99,16 @@ def against_sql(spark, events, at, name):
     return Counter(map(tuple, streaming.QUERIES[name](spark, str(at)).select(columns).collect())), Counter(cursor.fetchall())
 
 
+@pytest.mark.parametrize("values", [6_000, 50])
+def test_percentiles_of_large_windows_equal_sql(spark, tmp_path, values):
+    """More requests in a window than a sketch holds, of many and of few values; a group without a name, one without latencies."""
+    rng = random.Random(9)
+    events = [(i, 1_704_067_200.0 + rng.random() * 90_000, i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(values) / 4, '{"k": 3}') for i in range(40_000)]
+    events += [(i, 1_704_067_200.0, i, "none", None, '{"k": 3}') for i in range(5)] + [(9, 1_704_067_200.0, 9, "one", 7.5, '{"k": 3}')]
+    got, want = against_sql(spark, events, tmp_path, "stream_percentiles")
+    assert got == want and len(want) > 12
+
+
 def test_windows_and_rates_round_as_sql_does(spark, tmp_path):
     """Requests within half a second of a window's end, and a rate that lies between two values of six digits."""
     start = 1_704_067_200.0
