@@ -1,9 +1,10 @@
 """The task log as one stateful stream: leases, results, releases and reclaims, fenced by epoch, with lease timers.
 
-State is one row per task that ever held a lease: who holds it, its epoch, retries, and when the lease runs out. Events of a
-task are applied in order of ``seq`` within a micro-batch and of arrival across them; what names a lease that is no longer
-held is stale, however late it comes. A lease that runs out goes back to pending by a processing-time timer, once: the
-timer and the state commit with the micro-batch, so a restart from the checkpoint neither loses nor repeats it.
+State holds each task that ever held a lease: who holds it, its epoch, retries, and when the lease runs out. Tasks of 1,024
+neighbouring ids share a row of state, which is read and written once for a micro-batch's events of them. Events of a task
+are applied in order of ``seq`` within a micro-batch and of arrival across them; what names a lease that is no longer held is
+stale, however late it comes. A lease that runs out goes back to pending by a processing-time timer, once: the timer and the
+state commit with the micro-batch, so a restart from the checkpoint neither loses nor repeats it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,15 +23,28 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 #: Seconds that a lease lasts without a renewal (a fixed value: the model's hard timeout).
 LEASE_S = 600.0
 
-STATE = "status string, worker_id string, lease_epoch int, retry_count int, error_type string, version long, deadline long"
+#: Tasks of neighbouring ids are kept together, 2 ** this of them, so that state is read and written once for all of them.
+SHELF_BITS = 10
+
+TASK = "id long, status string, worker_id string, lease_epoch int, retry_count int, error_type string, version long, deadline long"
+STATE = f"timer long, tasks array<struct<{TASK}>>"
 EVENTS = "id long, seq array<double>, kind string, worker_id string, lease_epoch int, success boolean, rejected boolean, error_type string"
 CHANGES = "id long, version long, effect string, status string, worker_id string, lease_epoch int, retry_count int, error_type string"
+_CHANGE_TYPES = {"id": "Int64", "version": "Int64", "effect": object, "status": object, "worker_id": object, "lease_epoch": "Int32", "retry_count": "Int32", "error_type": object}
+
+
+def _values(column: pd.Series) -> list:
+    """Python values with None for what is missing; numbers of a column with gaps come as floats."""
+    if not column.hasnans:
+        return column.tolist()
+    return [None if v is None or v != v else int(v) if isinstance(v, float) else v for v in column.tolist()]
 
 
 class Leases(StatefulProcessor):
-    """Applies a task's events to its state and emits the task after each of them.
+    """Applies the events of a shelf's tasks to its state and emits a task after each of them.
 
     Kinds of events: ``lease`` (of a pending task, at the epoch it has), ``renew``, ``release``, ``reclaim`` and ``result``.
+    A task is a list [status, worker_id, lease_epoch, retry_count, error_type, version, deadline].
     """
 
     def __init__(self, lease_s: float | None = LEASE_S, max_retries: int = MAX_RETRIES):
@@ -37,30 +52,45 @@ class Leases(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.task = handle.getValueState("task", STATE)
-
-    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        held = initialState.status == "processing"
-        self._keep([initialState.status, initialState.worker_id, initialState.lease_epoch, initialState.retry_count, initialState.error_type, 0, 0], self._deadline(timerValues) if held else 0)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state = list(self.task.get()) if self.task.exists() else None
-        for event in sorted(rows, key=lambda r: r.seq):
-            effect = self._effect(state, event)
+        self.shelf = handle.getValueState("shelf", STATE)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        timer, tasks = self._stored()
+        columns = [_values(initialState[c]) for c in ("id", "status", "worker_id", "lease_epoch", "retry_count", "error_type")]
+        for task, status, *rest in zip(*columns, strict=True):
+            tasks[task] = [status, *rest, 0, self._deadline(timerValues) if status == "processing" else 0]
+        self._keep(timer, tasks)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        timer, tasks = self._stored()
+        events = []
+        for frame in rows:
+            fields = [_values(frame[c]) for c in ("kind", "worker_id", "lease_epoch", "success", "rejected", "error_type")]
+            events += zip(_values(frame["id"]), [s if s is None else s.tolist() for s in frame["seq"]], *fields, strict=True)
+        events.sort(key=lambda e: (e[0] is not None, e[0] or 0, e[1]))
+        out = []
+        for task, _, kind, worker, epoch, success, rejected, error in events:
+            state = tasks.get(task)
+            effect = self._effect(state, kind, worker, epoch, success, rejected)
             if effect == "leased" and state is None:
-                state = ["pending", None, event.lease_epoch, 0, None, 0, 0]
+                state = ["pending", None, epoch, 0, None, 0, 0]
             if effect != "stale":
-                state = self._after(state, effect, event.worker_id, event.error_type)
-                self._keep(state, self._deadline(timerValues) if effect in ("leased", "renewed") else state[6] if state[0] == "processing" else 0)
-                state = list(self.task.get())
-            yield self._row(key, state, effect)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state = list(self.task.get()) if self.task.exists() else None
-        if state is not None and state[0] == "processing" and state[6] == expiredTimerInfo.getExpiryTimeInMs():
-            state = self._after(state, "expired", None, None)
-            self._keep(state, 0)
-            yield self._row(key, state, "expired")
+                state = tasks[task] = self._after(state, effect, worker, error)
+                state[6] = self._deadline(timerValues) if effect in ("leased", "renewed") else 0
+            out.append(self._row(task, state, effect))
+        self._keep(timer, tasks)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        timer, tasks = self._stored()
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        for task, state in sorted(tasks.items(), key=lambda t: t[0] or 0):
+            if state[0] == "processing" and state[6] and state[6] <= now:
+                tasks[task] = self._after(state, "expired", None, None)
+                out.append(self._row(task, tasks[task], "expired"))
+        self._keep(0 if timer == now else timer, tasks)  # a timer that has run out goes by itself
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -68,28 +98,36 @@ class Leases(StatefulProcessor):
     def _deadline(self, timer_values) -> int:
         return 0 if self.lease_ms is None else timer_values.getCurrentProcessingTimeInMs() + self.lease_ms
 
-    def _keep(self, state: list, deadline: int) -> None:
-        """Store a task; one timer is set at most, for the lease that is held."""
-        if state[6] and state[6] != deadline:
-            self.handle.deleteTimer(state[6])
-        if deadline and state[6] != deadline:
-            self.handle.registerTimer(deadline)
-        self.task.update((*state[:6], deadline))
-
-    def _effect(self, state: list | None, event: Row) -> str:
-        if event.kind == "lease":
-            free = state is None or state[0] == "pending" and state[2] == event.lease_epoch
+    def _stored(self) -> tuple[int, dict]:
+        if not self.shelf.exists():
+            return 0, {}
+        timer, tasks = self.shelf.get()
+        return timer, {t[0]: list(t[1:]) for t in tasks}
+
+    def _keep(self, timer: int, tasks: dict) -> None:
+        """Store a shelf; one timer is set at most, for the first of its leases that runs out."""
+        first = min((t[6] for t in tasks.values() if t[6]), default=0)
+        if timer and timer != first:
+            self.handle.deleteTimer(timer)
+        if first and timer != first:
+            self.handle.registerTimer(first)
+        if tasks:
+            self.shelf.update((first, [(task, *state) for task, state in tasks.items()]))
+
+    def _effect(self, state: list | None, kind: str, worker_id: str | None, epoch: int | None, success: bool | None, rejected: bool | None) -> str:
+        if kind == "lease":
+            free = state is None or state[0] == "pending" and state[2] == epoch
             return "leased" if free else "stale"
-        if state is None or state[0] != "processing" or (event.kind != "reclaim" and state[1:3] != [event.worker_id, event.lease_epoch]):
+        if state is None or state[0] != "processing" or (kind != "reclaim" and state[1:3] != [worker_id, epoch]):
             return "stale"
-        if event.kind != "result":
-            return {"renew": "renewed", "release": "released", "reclaim": "reclaimed"}[event.kind]
-        if event.success:
-            return "rejected" if event.rejected else "done"
+        if kind != "result":
+            return {"renew": "renewed", "release": "released", "reclaim": "reclaimed"}[kind]
+        if success:
+            return "rejected" if rejected else "done"
         return "failed" if state[3] + 1 >= self.max_retries else "retry"
 
     def _after(self, state: list, effect: str, worker_id: str | None, error_type: str | None) -> list:
-        status, worker, epoch, retries, error, version, deadline = state
+        status, worker, epoch, retries, error, version, _ = state
         if effect in ("released", "reclaimed", "expired", "retry"):
             status, worker, epoch = "pending", None, epoch + 1
         elif effect == "leased":
@@ -100,12 +138,17 @@ class Leases(StatefulProcessor):
             retries, error = retries + 1, error_type
         elif effect == "rejected":
             error = "server_reject"
-        return [status, worker, epoch, retries, error, version + 1, deadline]
+        return [status, worker, epoch, retries, error, version + 1, 0]
 
     @staticmethod
-    def _row(key, state: list | None, effect: str) -> Row:
+    def _row(task: int | None, state: list | None, effect: str) -> tuple:
         status, worker, epoch, retries, error, version = (state or [None] * 6)[:6]
-        return Row(id=key[0], version=version, effect=effect, status=status, worker_id=worker, lease_epoch=epoch, retry_count=retries, error_type=error)
+        return task, version, effect, status, worker, epoch, retries, error
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        columns = zip(*rows, strict=True) if rows else [()] * len(_CHANGE_TYPES)
+        return pd.DataFrame({name: pd.Series(values, dtype=kind) for (name, kind), values in zip(_CHANGE_TYPES.items(), columns, strict=True)})
 
 
 def lease_changes(events: DataFrame, tasks: DataFrame, lease_s: float | None = LEASE_S, max_retries: int = MAX_RETRIES) -> DataFrame:
@@ -118,7 +161,9 @@ def lease_changes(events: DataFrame, tasks: DataFrame, lease_s: float | None = L
     """
     start = tasks.select(F.col("id").cast("long").alias("id"), "status", "worker_id", F.col("lease_epoch").cast("int").alias("lease_epoch"), F.col("retry_count").cast("int").alias("retry_count"), "error_type")
     mode = "None" if lease_s is None else "ProcessingTime"
-    return events.groupBy("id").transformWithState(Leases(lease_s, max_retries), CHANGES, "Append", mode, initialState=start.groupBy("id"))
+    shelf = F.shiftright("id", SHELF_BITS).alias("shelf")
+    shelved = events.select("*", shelf).groupBy("shelf")
+    return shelved.transformWithStateInPandas(Leases(lease_s, max_retries), CHANGES, "Append", mode, initialState=start.select("*", shelf).groupBy("shelf"))
 
 
 def tasks_now(tasks: DataFrame, changes: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ import random
 import time
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +84,33 @@ def test_any_log_of_events(spark, tmp_path):
     assert {k: now[k] for k in state} == state
 
 
+def test_state_is_read_and_written_once_for_many_tasks():
+    """600 events of 300 tasks: one state, one read, one write."""
+
+    class Shelf:
+        value, reads, writes = None, 0, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.reads += 1
+            return self.value
+
+        def update(self, value):
+            self.value, self.writes = value, self.writes + 1
+
+    shelf, made = Shelf(), leases.Leases(lease_s=None)
+    made.init(SimpleNamespace(getValueState=lambda name, schema: shelf))
+    ids = range(300)
+    made.handleInitialState((0,), pd.DataFrame({"id": ids, "status": "processing", "worker_id": "w", "lease_epoch": 1, "retry_count": 0, "error_type": None}), None)
+    shelf.reads = shelf.writes = 0
+    frame = pd.DataFrame({"id": [*ids, *ids], "seq": [np.array([1.0])] * 300 + [np.array([0.0])] * 300, "kind": "result", "worker_id": "w", "lease_epoch": [1] * 300 + [2] * 300, "success": True, "rejected": False, "error_type": None})
+    out = pd.concat(list(made.handleInputRows((0,), iter([frame[:200], frame[200:]]), None)))
+    assert (shelf.reads, shelf.writes) == (1, 1) and len(shelf.value[1]) == 300
+    assert out.id.tolist() == sorted([*ids, *ids]) and out.effect.tolist() == ["stale", "done"] * 300
+
+
 def test_stream_equals_the_batch_operator(spark, tmp_path):
     """Single leases with repeats: the table after the stream is the one of ``after_results``."""
     rng = random.Random(2)
