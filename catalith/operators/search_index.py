@@ -1,6 +1,7 @@
 """Substring search without a full scan: an index of grams, intersected, then verified.
 
-Entities are dealt into blocks of a bounded number of rows. The index holds, for every gram (one to three characters) and
+Entities are dealt into blocks of a bounded number of rows, and a block's grams are made in one task, entity by entity, so only
+its lists of keys are shuffled. The index holds, for every gram (one to three characters) and
 block, the sorted keys of the block's entities that have it; it is stored by buckets of grams and sorted by gram, so a
 search opens the buckets of its terms' grams and, in their files, the row groups that hold them. Keys that have all grams of a
 term are candidates; their entities are read from the parts of the store that hold candidates, and matched exactly.
@@ -8,12 +9,16 @@ term are candidates; their entities are read from the parts of the store that ho
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .results import matches, terms
 
@@ -21,14 +26,26 @@ GRAM = 3
 BLOCK_ROWS = 4_096
 #: Folders of the index and of the store.
 BUCKETS, SPANS = 64, 64
+#: Blocks of which a task writes a bucket.
+BUCKET_BLOCKS = 64
 
 
-def _grams(text: Column) -> Column:
-    """All distinct runs of one to three characters within a field."""
-    n = F.length(text)
-    of = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))
-    runs = [F.when(n >= size, of(size)).otherwise(F.array().cast("array<string>")) for size in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(*runs))
+def _listed(kind: pa.DataType) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(block, key and lower-case fields) of the entities of a block -> (gram, block, sorted keys) of it."""
+
+    def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        having: dict[str, set] = {}
+        for batch in batches:
+            for key, *fields in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                if key is not None:
+                    for gram in {t[i : i + n] for t in fields if t for n in range(1, GRAM + 1) for i in range(len(t) - n + 1)}:
+                        having.setdefault(gram, set()).add(key)
+        lists = [sorted(having[g]) for g in having]
+        ends = pa.array([0, *itertools.accumulate(map(len, lists))], pa.int32())
+        keys = pa.ListArray.from_arrays(ends, pa.array(list(itertools.chain.from_iterable(lists)), kind))
+        yield pa.RecordBatch.from_arrays([pa.array(list(having), pa.string()), pa.array([group[0].as_py()] * len(lists), pa.int64()), keys], names=["gram", "block", "keys"])
+
+    return run
 
 
 def build(entities: DataFrame, folder: str, key: str = "asin", columns: tuple[str, ...] = ("asin", "title", "brand"), block_rows: int = BLOCK_ROWS) -> SearchIndex:
@@ -37,12 +54,15 @@ def build(entities: DataFrame, folder: str, key: str = "asin", columns: tuple[st
     block = F.pmod(F.xxhash64(key), F.lit(blocks))
     rows = entities.withColumn("span", F.floor(block * SPANS / blocks).cast("int"))
     rows.repartitionByRange("span", key).write.mode("overwrite").partitionBy("span").parquet(f"{folder}/store")
-    fields = F.array_compact(F.array(*[F.lower(F.col(c).cast("string")) for c in columns]))
-    grams = F.array_distinct(F.flatten(F.transform(fields, _grams)))
-    placed = entities.select(block.alias("block"), F.col(key).alias("key"), F.explode(grams).alias("gram"))
-    postings = placed.groupBy("gram", "block").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    fields = [F.make_valid_utf8(F.lower(F.col(c).cast("string"))).alias(f"_{n}") for n, c in enumerate(columns)]
+    placed = entities.select(block.cast("long").alias("block"), F.col(key).alias("key"), *fields)
+    kind = placed.schema["key"].dataType
+    made = T.StructType([T.StructField("gram", T.StringType()), T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(kind))])
+    postings = placed.groupBy("block").applyInArrow(_listed(to_arrow_type(kind)), made)
     bucketed = postings.withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int"))
-    bucketed.repartitionByRange("bucket", "gram", "block").sortWithinPartitions("bucket", "gram", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    # Dealt by hash, not by range: a range would be sampled, and so all grams made twice.
+    dealt = bucketed.repartition("bucket", F.floor(F.col("block") / BUCKET_BLOCKS)).sortWithinPartitions("bucket", "gram", "block")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     return SearchIndex(entities.sparkSession, folder, key, tuple(columns), blocks, rows.schema, bucketed.schema)
 
 
@@ -55,8 +75,8 @@ class SearchIndex:
     key: str
     columns: tuple[str, ...]
     blocks: int
-    store_schema: StructType
-    postings_schema: StructType
+    store_schema: T.StructType
+    postings_schema: T.StructType
 
     def postings(self, words: list[str]) -> DataFrame:
         """(term, wanted, block, keys) of the terms' grams alone; ``wanted`` is the number of grams of the term."""

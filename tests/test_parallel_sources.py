@@ -4,6 +4,7 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,18 @@ def test_only_the_terms_buckets_and_grams_are_read(spark, index):
 def test_an_index_of_nothing(spark, tmp_path):
     made = search_index.build(entities(spark).limit(0), str(tmp_path / "index"))
     assert made.search("ring").count() == 0 and made.search(None).count() == 0
+
+
+def test_the_grams_of_a_block_are_made_entity_by_entity():
+    """Batches of a block, with a key of many rows, missing fields and a missing key."""
+    rows = [(7, i % 3, f"Ab{i % 5}", "x" if i % 2 else None) for i in range(90)] + [(7, 50, "", None), (7, None, "zz", "zz"), (7, 51, "äöü", "ab")]
+    schema = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("_0", pa.string()), ("_1", pa.string())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 20], strict=True), schema.types, strict=True)], schema=schema) for i in range(0, len(rows), 20)]
+    (made,) = search_index._listed(pa.int64())((pa.scalar(7),), iter(batches))
+    want = {}
+    for _, key, *texts in rows:
+        for t in texts if key is not None else []:
+            for n in (1, 2, 3):
+                for i in range(len(t or "") - n + 1):
+                    want.setdefault(t[i : i + n], set()).add(key)
+    assert {r["gram"]: (r["block"], r["keys"]) for r in made.to_pylist()} == {g: (7, sorted(k)) for g, k in want.items()}
