@@ -22,8 +22,9 @@ def admitted(observations: DataFrame) -> DataFrame:
     return observations.where((X.strip(F.coalesce(F.col("asin").cast("string"), F.lit(""))) != "") & ~quality.parse_failure(fields))
 
 
-def detect_changes(observations: DataFrame, values: bool = True) -> DataFrame:
-    """Change rows: asin, seq, batch_id, change_type, change_detail, and with ``values`` prev_value and new_value.
+def detect_changes(observations: DataFrame, values: bool = True, places: bool = True) -> DataFrame:
+    """Change rows: asin, batch_id, change_type, change_detail, with ``places`` seq, and with ``values`` prev_value and new_value.
+    What is not asked for passes neither the scan nor the store.
 
     Needs asin, seq, batch_id, is_auto, title, bullet_points, current_price, buybox_price, stock_count, stock_status.
     Only sightings that are ``admitted`` count. A scheduled sighting replaces the whole baseline, NULLs included, hence the
@@ -49,7 +50,7 @@ def detect_changes(observations: DataFrame, values: bool = True) -> DataFrame:
     }
     known = ~F.col("first_seen") & base("current_price").isNotNull()
     found = [
-        {"base": F.coalesce("auto", "origin")},
+        {"base": F.coalesce("auto", "origin"), "asin": F.col("_key")},
         {
             "is_new": F.col("first_seen") & F.col("batch_id").isNotNull(),
             "detail": F.nullif(F.when(known, X.change_detail(parts)), F.lit("")),
@@ -61,7 +62,7 @@ def detect_changes(observations: DataFrame, values: bool = True) -> DataFrame:
         texts = {n: X.rendered({k: of(v) for k, v in fields.items()}) for n, of in (("old_values", base), ("new_values", now))}
         titles = {n: F.concat(F.lit("title="), X.truncated(F.col(c), 100)) for n, c in (("old_title", "told.title"), ("new_title", "said.title"))}
         found.append({**{n: F.when(F.col("detail").isNotNull(), c) for n, c in texts.items()}, **{n: F.when(F.col("retitled"), c) for n, c in titles.items()}})
-    scanned = with_earlier(slim, "asin", "seq", ["asin", "seq", "batch_id"], states, tracks, ("origin", "now"), found)
+    scanned = with_earlier(slim, "asin", "seq", ["seq", "batch_id"] if places else ["batch_id"], states, tracks, ("origin", "now"), found, ("base",))
 
     def change(holds: Column, kind: str, detail: Column, prev: str | None, new: str | None) -> Column:
         said = [(F.col(c) if c else F.lit(None).cast("string")).alias(n) for n, c in (("prev_value", prev), ("new_value", new))] if values else []
@@ -73,7 +74,7 @@ def detect_changes(observations: DataFrame, values: bool = True) -> DataFrame:
         change(F.col("retitled"), "title_bullets", F.lit("title_or_bullets_changed"), "old_title", "new_title"),
     )
     changed = scanned.where("is_new OR detail IS NOT NULL OR retitled")
-    return changed.select("asin", "seq", "batch_id", F.inline(kinds)).where("change_type IS NOT NULL")
+    return changed.select("asin", *(["seq"] if places else []), "batch_id", F.inline(kinds)).where("change_type IS NOT NULL")
 
 
 def current_state(observations: DataFrame, fields: list[str]) -> DataFrame:

@@ -83,14 +83,16 @@ def _walk(values: list[int], first: int, names: list[str]):
     return run
 
 
-def with_earlier(rows: DataFrame, key: str, order: str, keep: list[str], states: dict[str, Column], tracks: dict[str, tuple[Column, str]], first: tuple[str, str], found: list[dict[str, Column]]) -> DataFrame:
+def with_earlier(rows: DataFrame, key: str, order: str, keep: list[str], states: dict[str, Column], tracks: dict[str, tuple[Column, str]], first: tuple[str, str], found: list[dict[str, Column]], passing: tuple[str, ...] = ()) -> DataFrame:
     """Each row's columns in ``keep`` and those of ``found``, dictionaries of columns of which later ones may name earlier
     ones, made of the row's columns in ``keep`` and of
 
     * ``states``, each a struct of the row that is not NULL;
     * for each track (when, state): that state at the key's last earlier row where ``when`` holds, NULL where there is none;
     * under ``first``'s name: its state at the key's first row;
-    * ``first_seen``: whether the row is the key's first.
+    * ``first_seen``: whether the row is the key's first; and ``_key``, its key.
+
+    Columns of ``found`` that are only ``passing``, named by later ones, are not among the results and not stored.
 
     States and conditions are computed after the rows are dealt, so they do not travel and are computed once; what is found
     is stored as it is, a row a row, and should be turned into more rows by the caller.
@@ -104,7 +106,7 @@ def with_earlier(rows: DataFrame, key: str, order: str, keep: list[str], states:
     names = [f.name for f in fields]
     walk = _walk([place(state) for _, state in tracks.values()], place(first[1]), names)
     seen = walked.mapInArrow(walk, T.StructType(fields))
-    wanted = [*keep, *[n for step in found for n in step]]
+    wanted = [*keep, *[n for step in found for n in step if n not in passing]]
 
     def described(df: DataFrame) -> DataFrame:
         for step in found:

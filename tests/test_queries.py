@@ -149,3 +149,12 @@ def test_small_tables_are_dealt_to_all_cores(spark, sf_dir, monkeypatch):
 
 def test_change_detection_shuffles_once(spark, sf_dir):
     assert plan(plans.changes.detect_changes(plans.observations(spark, sf_dir))).count("Exchange hashpartitioning") == 1
+
+
+def test_changes_without_places_carry_no_sequence(spark, sf_dir):
+    """The sequence and the baseline are stored only where they are asked for; the changes are the same."""
+    seen = plans.observations(spark, sf_dir).where("asin < 20")
+    whole, slim = plans.changes.detect_changes(seen, values=False), plans.changes.detect_changes(seen, values=False, places=False)
+    stored = next(f for f in slim.inputFiles())
+    assert not {"seq", "base"} & set(spark.read.parquet(stored).columns)
+    assert slim.count() > 10 and slim.exceptAll(whole.drop("seq")).count() == 0 and whole.drop("seq").exceptAll(slim).count() == 0
