@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +22,8 @@ SLICE_CHARS = 2_000_000
 BUCKET_BITS = 32_768
 #: Bitmaps of 4 KB that are broadcast at once: 64 MB.
 BITMAPS = 16_384
+#: How to drop what operators keep in a Python worker from one of their tasks to the next.
+KEPT: list[Callable[[], None]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +82,16 @@ def _place(spark: SparkSession, at: str):
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(c, UPPER, LOWER)
+    """Lower-case A-Z and nothing else. Spark's translate makes a string of every character, some fifty times the text, so
+    only texts with characters of several bytes go through it; in all others lower changes the same letters."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
+def drop_kept() -> None:
+    """Free what other operators have kept in this Python worker. Spark gives a worker to one stage after another, and what an
+    earlier one left would count for the executor in all that follow."""
+    for drop in KEPT:
+        drop()
 
 
 def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

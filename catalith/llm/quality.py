@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import drop_kept, slices
 
 SAMPLE_ROWS = 20_000
 BINS = 64
@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Forest
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
             for some in slices(batch, "text"):
                 x = feature_rows(some.column(1).to_pylist())
@@ -184,6 +185,7 @@ def accepts(forest: Forest, text: Column) -> Column:
 
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
+        drop_kept()
         some = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text")
         marks = [forest.score(feature_rows(x.column(0).to_pylist())) >= ACCEPT for x in some]
         return pa.array(np.concatenate(marks) if marks else [], pa.bool_())

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, slices, written
+from .common import discard, drop_kept, slices, written
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, digest of the text, fp) of each row, and the columns ``carried``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
             for some in slices(batch, "text"):
                 texts = some.column(1).to_pylist()

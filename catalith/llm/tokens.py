@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import KEPT
+
 WORD_FILE = "word_bpe_49k.json"
 END_ID = 2
 TABLE_WORDS = 1_000_000
@@ -183,10 +185,13 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder in each Python worker."""
+    """One encoder in each Python worker, kept until another operator's tasks come."""
     return Encoder(path)
 
 
+KEPT.append(encoder.cache_clear)
+
+
 def encode_with_end(path: str, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """As :meth:`Encoder.encode`, with ``end_id`` after each text."""
     ids, counts = encoder(path).encode(texts)

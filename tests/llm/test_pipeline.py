@@ -6,10 +6,12 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from catalith.llm import common, quality, simhash
+from catalith.llm import common, quality, simhash, tokens
 
 from .samples import documents, odd_rows
 from .test_sets import brute_components, brute_contamination, brute_fingerprint, planted
@@ -121,6 +123,31 @@ def test_more_dirty_keys_than_are_broadcast(spark, tables, monkeypatch):
     assert Counter(rows_of(corpus_pipeline.benchmark_decontamination(spark, docs, tables))) == want
 
 
+def test_stages_free_the_words_that_packing_kept(spark, tables, monkeypatch):
+    """A worker that has packed and comes to the gate or to fingerprints holds no table of words any more."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    texts = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some text"])], names=["doc_id", "text"])
+    forest = quality.grow(quality.feature_rows([]), quality.np.zeros(0))
+    runs = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a: runs.append(f) or self)
+    simhash.fingerprints(docs)
+    monkeypatch.setattr(quality.F, "arrow_udf", lambda kind: lambda f: lambda text: f)
+    for stage in (lambda: list(runs[0](iter([texts]))), lambda: quality.accepts(forest, None)(texts.column(1))):
+        tokens.encode_with_end(tokens.tokenizer_path(), ["some text"])
+        assert tokens.encoder.cache_info().currsize == 1
+        stage()
+        assert tokens.encoder.cache_info().currsize == 0
+
+
+def test_ascii_texts_are_lowered_without_a_string_for_each_character(spark):
+    """Only texts with characters of several bytes pass through translate; both ways change A-Z alone."""
+    texts = ["", "ABC xyz @[`{", "ÀÉ Straße İI ſK Σ", "Δ ABC", "\x00A\x7f", None, "A\U0001f600Z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    lowered = rows.select(common.ascii_lower(F.col("text")).alias("low"))
+    assert [r.low for r in lowered.collect()] == [t and "".join(c.lower() if c.isascii() else c for c in t) for t in texts]
+    assert "lower(text" in lowered._jdf.queryExecution().executedPlan().toString()
+
+
 def test_intermediate_tables_go(spark, tmp_path):
     table = common.written(spark.range(3), "some")
     at = table.stored_at.removeprefix("file:").replace("//", "/")
